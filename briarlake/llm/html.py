@@ -60,19 +60,24 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """chars, tags, link_chars, link_tags: of the whole subtree. parts: texts, nodes and None for a line break."""
 
-    __slots__ = ("name", "parts", "off", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
-    def __init__(self, name: str, off: bool = False):
-        self.name, self.off, self.parts = name, off, []
+    def __init__(self, name: str, parent: "Node | None" = None, off: bool = False):
+        self.name, self.parent, self.off, self.parts = name, parent, off, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.best = self
 
 
-def _set_aside(name: str, attributes: str, open_names: list[str]) -> bool:
+def _in_article(stack: list[Node]) -> bool:
+    return any(x.name in ("article", "main") for x in stack)
+
+
+def _set_aside(name: str, attributes: str, stack: list[Node]) -> bool:
     """Whether an element starts a part that is no article text."""
     if name in ASIDE:
         return True
-    if name == "header" and "article" not in open_names and "main" not in open_names:
+    if name == "header" and not _in_article(stack):
         return True
     if not attributes or name in ("html", "body", "article", "main") and "hidden" not in attributes:
         return False
@@ -86,7 +91,7 @@ def _set_aside(name: str, attributes: str, open_names: list[str]) -> bool:
             for token in value.split():
                 words = [w.lower() for w in _WORDS.findall(token)]
                 marks = {token.lower(), *words[:1], *words[-1:]} & MARKED
-                if marks - HEADS or marks and "article" not in open_names and "main" not in open_names:
+                if marks - HEADS or marks and not _in_article(stack):
                     return True
     return False
 
@@ -119,7 +124,7 @@ def parse(page: str) -> Node:
             continue
         if name in ("html", "body"):
             if len(stack) == 1 and name == "body":
-                body = Node("body")
+                body = Node("body", stack[-1])
                 stack[-1].parts.append(body)
                 stack.append(body)
             continue
@@ -136,7 +141,7 @@ def parse(page: str) -> Node:
             if name == "br":
                 stack[-1].parts.append(" ")
             elif name == "hr":
-                stack[-1].parts.append(Node("hr"))
+                stack[-1].parts.append(Node("hr", stack[-1]))
             continue
         if name in BLOCK:
             for k in range(len(stack) - 1, 0, -1):
@@ -151,7 +156,8 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].name in SCOPE[name]:
                     break
-        node = Node(name, _set_aside(name, attributes, [x.name for x in stack]) if attributes or name in ASIDE or name == "header" else False)
+        off = _set_aside(name, attributes, stack) if attributes or name in ASIDE or name == "header" else False
+        node = Node(name, stack[-1], off)
         stack[-1].parts.append(node)
         if not attributes.endswith("/") or name in BLOCK:
             stack.append(node)
@@ -191,36 +197,38 @@ def weigh(root: Node) -> list[Node]:
             node.density = c / tags * math.log(max(c / max(lc, 1) * tags / link_tags, 1.0)) / math.log(base) if base > 1 else c / tags
             if base <= math.e + 1e-9 and not lc:
                 node.density = max(node.density, c / tags)
-        node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.off)
-        if not node.total:
-            node.total = node.density  # a leaf stands for itself
+        inner = [x for x in node.parts if isinstance(x, Node) and not x.off]
+        node.total = sum(x.density for x in inner) or node.density  # a leaf stands for itself
+        for x in inner:
+            if x.best.total > node.best.total:
+                node.best = x.best
     return nodes
 
 
-def _best(root: Node) -> tuple[Node, list[Node]]:
-    """The node of the greatest sum under `root`, the first of equals, and its path from `root`."""
-    best, path, todo = root, [root], [(root, [root])]
-    while todo:
-        node, way = todo.pop()
-        if node.total > best.total:
-            best, path = node, way
-        todo += [(x, [*way, x]) for x in reversed(node.parts) if isinstance(x, Node) and not x.off]
-    return best, path
+def _path(node: Node, above: Node) -> Iterator[Node]:
+    """From the node up to `above`."""
+    while True:
+        yield node
+        if node is above:
+            return
+        node = node.parent
 
 
 def choose(root: Node) -> set[int]:
     """Ids of the nodes whose subtrees are article text."""
-    best, path = _best(root)
-    threshold = min(x.density for x in path)
+    threshold = min(x.density for x in _path(root.best, root))
     chosen: set[int] = set()
+    seen: set[int] = set()
     todo: list[tuple[Node, Node | None]] = [(root, None)]
     while todo:
         node, article = todo.pop()
         article = article or (node if node.name == "article" else None)
-        if node.density >= threshold and node.chars:
-            found, way = _best(node)
-            holder = article or next((x for x in way if x.name == "article"), None)
-            chosen.add(id(holder or found))
+        if node.density >= threshold and node.chars and id(node.best) not in seen:
+            seen.add(id(node.best))
+            holder = article
+            for x in _path(node.best, node) if article is None else ():
+                holder = x if x.name == "article" else holder
+            chosen.add(id(holder or node.best))
         if id(node) not in chosen:
             todo += [(x, article) for x in reversed(node.parts) if isinstance(x, Node) and not x.off]
     return chosen
