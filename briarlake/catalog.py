@@ -11,4 +11,4 @@ __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["h29_dedupe_keys"](spark, sf_dir)
+    return QUERIES["k03_selection_rank"](spark, sf_dir)
