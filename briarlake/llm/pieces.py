@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ NORMAL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 2, 6, 1, 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Longer units take the heap of merges: the lattice would be long and narrow.
 LONG_UNIT = 200
-#: Distinct units that a task remembers: about 100 MB.
-REMEMBERED = 500_000
+#: Distinct units that a task remembers: about 50 MB.
+REMEMBERED = 250_000
+#: Units whose ids are put together at once.
+PART_UNITS = 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -228,19 +231,19 @@ class Pieces:
 
     def _lattice(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Paths of units of one length, one after another, and their lengths; `none` is a character that is no piece."""
-        n, count = len(units[0]), len(units)
-        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(count, n)
+        n, rows_n = len(units[0]), len(units)
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(rows_n, n)
         chars = points.astype(np.uint64) + np.uint64(1)
         lengths = [size for size in self.lengths if size <= n]
-        found, rolled = {}, np.zeros((count, n + 1), np.uint64)
+        found, rolled = {}, np.zeros((rows_n, n + 1), np.uint64)
         for size in range(1, lengths[-1] + 1):
             rolled = rolled[:, : n - size + 1] * _PRIME + chars[:, size - 1 :]
             if size in lengths:
                 found[size] = self._probe(rolled)
         found[1] = np.where(found[1] < 0, self.none, found[1])
-        last = np.full((n + 1, count), self.edge)
-        best, back = np.zeros((n + 1, count)), np.zeros((n + 1, count), np.int64)
-        sizes, rows = np.array(lengths), np.arange(count)
+        last = np.full((n + 1, rows_n), self.edge)
+        best, back = np.zeros((n + 1, rows_n)), np.zeros((n + 1, rows_n), np.int64)
+        sizes, rows = np.array(lengths), np.arange(rows_n)
         for j in range(1, n + 1):
             step = np.stack([found[size][:, j - size] for size in lengths if size <= j])
             k, row = np.nonzero(step >= 0)
@@ -252,7 +255,7 @@ class Pieces:
                 gain[k, row] = np.where(self.apart(last[start, row], piece), 0.0, -np.inf)
             chosen = gain.argmax(axis=0)
             best[j], back[j], last[j] = gain[chosen, rows], sizes[chosen], step[chosen, rows]
-        path, at, steps = np.full((count, n), -1), np.full(count, n), np.zeros(count, np.int64)
+        path, at, steps = np.full((rows_n, n), -1), np.full(rows_n, n), np.zeros(rows_n, np.int64)
         while (on := np.flatnonzero(at > 0)).size:
             steps[on] += 1
             piece = last[at[on], on]
@@ -316,7 +319,7 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes batches of texts and remembers units, up to REMEMBERED of them."""
+    """Encodes batches of texts and remembers units: forgets them all once there are over REMEMBERED."""
 
     def __init__(self, pieces: Pieces):
         if any("\n" in p for p in pieces.ids):
@@ -325,28 +328,45 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
+        #: Unit to its number, given when it is first asked for.
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)
+        self.flat, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self) -> None:
+        """Encode the units that have a number but no ids yet."""
+        new = list(islice(self.place, len(self.counts), None))
+        units, flat, counts = self.pieces.encode_units(new)
+        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units)) - len(self.counts)
+        starts, sizes = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        starts[at], sizes[at] = len(self.flat) + np.cumsum(counts) - counts, counts
+        self.flat = np.concatenate([self.flat, flat])
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, sizes])
+
+    def stream(self, texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Parts of the texts with their ids one after another and the number of each; a null text has none."""
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        at: list[np.ndarray] = []
+        for text in texts:
+            units = self.pieces.units(text) if text else []
+            at.append(np.fromiter(map(self.place.__getitem__, units), np.int32, len(units)))
+        self._learn()
+        first = 0
+        while first < len(texts):
+            last, units = first + 1, len(at[first])
+            while last < len(texts) and units + len(at[last]) <= PART_UNITS:
+                units, last = units + len(at[last]), last + 1
+            here = np.concatenate(at[first:last])
+            many = self.counts[here]
+            ends = np.r_[0, np.cumsum(many)]
+            ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[here] - ends[:-1], many)]
+            yield slice(first, last), ids, np.diff(ends[np.r_[0, np.cumsum([len(x) for x in at[first:last]])]])
+            first = last
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and the number of each; a null text has none."""
-        cut = [self.pieces.units(t) for t in texts if t is not None]
-        new = set(chain.from_iterable(cut)) - self.place.keys()
-        if len(self.place) + len(new) > REMEMBERED:
-            self._forget()
-            new = set(chain.from_iterable(cut))
-        units, flat, counts = self.pieces.encode_units(sorted(new))
-        self.place.update(zip(units, range(len(self.place), len(self.place) + len(units)), strict=True))
-        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
-        number = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, int(number.sum()))
-        many = self.counts[at]
-        ends = np.r_[0, np.cumsum(many)]
-        starts = np.cumsum(self.counts) - self.counts
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[1:] + many, many)]
-        sizes = np.zeros(len(texts), np.int64)
-        sizes[[t is not None for t in texts]] = np.diff(ends[np.r_[0, np.cumsum(number)]])
-        return ids, sizes
+        """The ids of all texts one after another, and the number of each."""
+        parts = list(self.stream(texts))
+        return np.concatenate([np.empty(0, np.int32), *(p[1] for p in parts)]), np.concatenate([np.empty(0, np.int64), *(p[2] for p in parts)])
 
 
 def restored(pieces: Pieces, texts: list[str | None], ids: np.ndarray, sizes: np.ndarray) -> list[bool]:
@@ -365,17 +385,19 @@ def encode_documents(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id"
     The broadcast tables are bounded by the model's vocabulary.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4000)
+    small_batches(spark, 1200)
     shared = spark.sparkContext.broadcast(Pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            flat, counts = encoder.encode(texts)
-            same = restored(encoder.pieces, texts, flat, counts)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(counts), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "restored"])
+            for part, ids, counts in encoder.stream(texts):
+                some = texts[part]
+                same = restored(encoder.pieces, some, ids, counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids), mask=pa.array([t is None for t in some], pa.bool_()))
+                own = batch.column(0).slice(part.start, len(some))
+                yield pa.RecordBatch.from_arrays([own, lists, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "restored"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, restored boolean")
