@@ -26,3 +26,14 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, brute.SMALL).columns == docs.columns
         assert stage(spark, docs.limit(0), brute.SMALL).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    good = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, good, "en", "s", 3, "x", 7), (1, good, "en", "s", 3, "x", 7), (None, good + " more", None, None, None, None, None), (2, None, "en", "s", 0, "x", 7), (3, "", "en", "s", 0, "x", 7), (4, "long " + good * 2000, "en", None, 1, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string, copies int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, brute.SMALL)
+        assert after.columns == docs.columns and after.count() <= 2 * len(rows)
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, brute.SMALL).collect()
+    assert len(ids) == len(rows) and all(r.restored for r in ids)
