@@ -10,6 +10,8 @@ lowest density on the path from the body to the node of greatest sum is the
 threshold, and under every node that reaches it the subtree of greatest sum is
 article text. An article element that holds such a subtree is taken whole.
 
+If nothing is left, the page is read again with only menus and footers set aside.
+
 Defined results: a null or empty page has an empty text; a page without mark-up
 is its own text; broken mark-up is read as a browser would close it; repeated
 rows each get their text; text is never cut.
@@ -44,6 +46,10 @@ MARKED = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay "
     "share sharing social newsletter subscribe subscription subscribing signup login search paywall".split()
 )
+#: Unmistakable also inside longer words.
+STEMS = re.compile(r"cookie|sidebar|navbar|topnav|sidenav|subnav|breadcrumb|newsletter|advert|sponsor|disqus|comments|commentlist|paywall")
+#: "with-sidebar" and the like describe the page, not the part.
+DESCRIBES = re.compile(r"(?:has|with|no|without|hide|show|is)[-_]")
 #: Inside an article these mark its own heading.
 HEADS = frozenset("header masthead banner".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -73,8 +79,10 @@ def _in_article(stack: list[Node]) -> bool:
     return any(x.name in ("article", "main") for x in stack)
 
 
-def _set_aside(name: str, attributes: str, stack: list[Node]) -> bool:
-    """Whether an element starts a part that is no article text."""
+def _set_aside(name: str, attributes: str, stack: list[Node], loose: bool) -> bool:
+    """Whether an element starts a part that is no article text. `loose`: by few elements only."""
+    if loose:
+        return name in ("nav", "footer", "menu", "button", "select")
     if name in ASIDE:
         return True
     if name == "header" and not _in_article(stack):
@@ -89,6 +97,10 @@ def _set_aside(name: str, attributes: str, stack: list[Node]) -> bool:
             return True
         if key in ("class", "id"):
             for token in value.split():
+                if DESCRIBES.match(token.lower()):
+                    continue
+                if STEMS.search(token.lower()):
+                    return True
                 words = [w.lower() for w in _WORDS.findall(token)]
                 marks = {token.lower(), *words[:1], *words[-1:]} & MARKED
                 if marks - HEADS or marks and not _in_article(stack):
@@ -96,7 +108,7 @@ def _set_aside(name: str, attributes: str, stack: list[Node]) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
+def parse(page: str, loose: bool = False) -> Node:
     """The tree of a page. An open paragraph ends where a block begins; an end tag closes what is open inside it."""
     root = Node("html")
     stack, at, lower = [root], 0, None
@@ -156,7 +168,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].name in SCOPE[name]:
                     break
-        off = _set_aside(name, attributes, stack) if attributes or name in ASIDE or name == "header" else False
+        off = _set_aside(name, attributes, stack, loose) if attributes or name in ASIDE or name == "header" else False
         node = Node(name, stack[-1], off)
         stack[-1].parts.append(node)
         if not attributes.endswith("/") or name in BLOCK:
@@ -271,9 +283,12 @@ def main_text(page: str | None) -> str:
     """The article text of one page: blocks in page order, one to a line."""
     if not page:
         return ""
-    root = parse(page)
-    weigh(root)
-    return _blocks(root, choose(root))
+    for loose in (False, True):  # a form or a marked wrapper may hold the whole page: then few parts are set aside
+        root = parse(page, loose)
+        weigh(root)
+        if text := _blocks(root, choose(root)):
+            return text
+    return ""
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -25,6 +25,9 @@ LONG = "Some long text in this paragraph with many words in it, right here."
         (f"<article><header class='entry-header'><h1>T</h1></header><p>{LONG}</p></article><div class='cookie-notice'><p>{LONG}</p></div>", f"T\n{LONG}"),
         (f"<article><p>a  <b>b\n c</b>d</p><style>p{{}}</style><!-- {LONG} --><p>{LONG}</p></article>", f"a b cd\n{LONG}"),
         (f"<div><div><p>{LONG}</p><p>x.</p></div><div><p>{LONG}</p></div></div><div><a href=x>l</a> <a href=y>m</a></div>", f"{LONG}\nx.\n{LONG}"),
+        (f"<form id='aspnet'><div><p>{LONG}</p></div></form><footer>x</footer>", LONG),
+        (f"<div class='page with-sidebar'><div class='post'><p>{LONG}</p></div><div class='left-sidebar'><p>{LONG}</p></div><div id='topnav'>{LONG}</div></div>", LONG),
+        (f"<div class='wrap'><div class='post'><p>{LONG}</p><p>{LONG}</p></div><section id='user-comments'><h3>Comments</h3><p>{LONG} {LONG}</p></section></div>", f"{LONG}\n{LONG}"),
         (f"<article><p>{LONG}</p><script>var t='</p>';</script><p title='a>b'>{LONG}</p></article>", f"{LONG}\n{LONG}"),
     ],
 )
