@@ -163,9 +163,9 @@ def _(f: Frames) -> DataFrame:
     return joined.select("id", F.when(C("sid").isNotNull(), "server").otherwise("local").alias("src"), F.coalesce("srev", "revision").alias("revision"))
 
 
-@query("c20_unseen_queries", "SELECT id, lower(query) AS q FROM tasks WHERE lower(query) NOT IN (SELECT lower(query) FROM tasks WHERE id % 2 = 0)")
+@query("c20_unseen_queries", "SELECT id, lower(query) AS q FROM tasks WHERE lower(query) NOT IN (SELECT lower(query) FROM tasks WHERE id % 7 = 0 AND id < 40)")
 def _(f: Frames) -> DataFrame:
-    seen = f.tasks.where("id % 2 = 0").select(F.lower("query").alias("seen"))
+    seen = f.tasks.where("id % 7 = 0 AND id < 40").select(F.lower("query").alias("seen"))
     return f.tasks.select("id", F.lower("query").alias("q")).join(seen, C("q") == C("seen"), "left_anti")
 
 
