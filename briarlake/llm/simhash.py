@@ -218,11 +218,12 @@ def digest(found: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: that of the smallest doc_id. Documents of null doc_id stay.
 
-    If rows repeat a doc_id, one row of it stays.
+    If rows repeat a doc_id, one row of it stays. The join is a sort-merge join
+    at every size: what it costs then grows in proportion.
     """
     found = near_duplicates(docs, scratch, doc_id, text)
     chosen = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", "_chosen"))
-    kept = docs.join(chosen, F.col(doc_id) == F.col("_chosen"), "left_semi").select(*docs.columns)
+    kept = docs.join(chosen.hint("merge"), F.col(doc_id) == F.col("_chosen"), "left_semi").select(*docs.columns)
     if not chosen.where("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id])
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
