@@ -90,8 +90,8 @@ def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """
     begin, middle, end = F.lit("<|im_start|>"), F.lit("\n"), F.lit("<|im_end|>\n")
     chosen = kept.withColumnRenamed("conv_id", "_conv")
-    own = turns.join(chosen, F.col("conv_id") == F.col("_conv"), "left_semi").select("conv_id", "turn", "role", "text").distinct()
-    shown = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
+    own = turns.join(chosen, F.col("conv_id") == F.col("_conv"), "left_semi")
+    shown = own.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("_turns"))
     text = F.array_join(F.transform("_turns", lambda t: F.concat(begin, F.coalesce(t["role"], F.lit("")), middle, F.coalesce(t["text"], F.lit("")), end)), "")
     return shown.join(chosen, F.col("conv_id") == F.col("_conv")).select("conv_id", "n_turns", "n_same", text.alias("rendered"))
 
