@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 from datetime import date
@@ -107,8 +109,14 @@ def _account(move: Move, value: str) -> str:
 
 
 def _phone(move: Move, value: str) -> str:
-    """The country code after a + stays."""
-    code = re.match(r"\+\d{1,3}(?=\D)", value)
+    """The country code after a + and the trunk 0 of a national number stay."""
+    bare = re.fullmatch(r"(1?)([2-9]\d\d)([2-9]\d\d)(\d{4})", value, re.ASCII)
+    if bare:  # within the North American numbering plan: area and exchange of 200 or more
+        moved, line = divmod(move("nanp", 800 * 800 * 10**4, ((int(bare[2]) - 200) * 800 + int(bare[3]) - 200) * 10**4 + int(bare[4])), 10**4)
+        area, exchange = divmod(moved, 800)
+        return f"{bare[1]}{area + 200}{exchange + 200}{line:04d}"
+    trunk = re.match(r"0(?=\d)", value) if _TRUNK.fullmatch(value) else None
+    code = trunk or re.match(r"\+\d{1,3}(?=\D)", value)
     head = code[0] if code else ""
     rest = value[len(head) :]
     return head + _refill(rest, _number(move, "phone", _digits(rest)))
@@ -183,28 +191,51 @@ def _day(move: Move, value: str) -> str | None:
     return days[move(f"day{key}", len(days), place[value])]
 
 
-def _mixed(move: Move, domain: str, value: str) -> str:
-    """Digits stay digits, small and capital ASCII letters stay such, all else stays."""
-    bases = [(10, "0") if c in "0123456789" else (26, "a") if "a" <= c <= "z" else (26, "A") if "A" <= c <= "Z" else None for c in value]
+@lru_cache(1)
+def _alphabets() -> dict[tuple[str, int], str]:
+    """Letters and digits beyond ASCII by category and block of 256; what stands alone in its block is joined by category."""
+    by: dict[tuple[str, int], list[str]] = {}
+    for n in range(128, sys.maxunicode + 1):
+        if chr(n).isalnum():
+            by.setdefault((unicodedata.category(chr(n)), n >> 8), []).append(chr(n))
+    for kind, block in [x for x, found in by.items() if len(found) < 2]:
+        by.setdefault((kind, -1), []).extend(by.pop((kind, block)))
+    return {x: "".join(found) for x, found in by.items()}
+
+
+@lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The characters among which a letter or digit moves; none for others."""
+    for known in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if c in known:
+            return known
+    kind = unicodedata.category(c)
+    return (_alphabets().get((kind, ord(c) >> 8)) or _alphabets()[kind, -1]) if c.isalnum() else ""
+
+
+def _mixed(move: Move, domain: str, value: str) -> str | None:
+    """Digits stay digits, small and capital letters stay such, in their script; all else stays. None without any."""
+    bases = [_alphabet(c) for c in value]
     size = index = 0
     for c, base in zip(value, bases, strict=True):
         if base:
-            size, index = (size or 1) * base[0], index * base[0] + ord(c) - ord(base[1])
+            size, index = (size or 1) * len(base), index * len(base) + base.index(c)
     if not size:
-        return value
-    index = move(f"{domain}:{''.join(b[1] if b else c for b, c in zip(bases, value, strict=True))}", size, index)
+        return None
+    index = move(f"{domain}:{''.join(b[0] if b else c for b, c in zip(bases, value, strict=True))}", size, index)
     out = list(value)
     for k in range(len(value) - 1, -1, -1):
         if bases[k]:
-            index, digit = divmod(index, bases[k][0])
-            out[k] = chr(ord(bases[k][1]) + digit)
+            index, digit = divmod(index, len(bases[k]))
+            out[k] = bases[k][digit]
     return "".join(out)
 
 
-def _email(move: Move, value: str) -> str:
-    """The domain stays: it is not a person's."""
+def _email(move: Move, value: str) -> str | None:
+    """The domain stays: it is not a person's. A local part without letters and digits is no person's."""
     local, _, domain = value.rpartition("@")
-    return f"{_mixed(move, 'email', local)}@{domain}"
+    moved = _mixed(move, "email", local)
+    return moved and f"{moved}@{domain}"
 
 
 def _iban(move: Move, value: str) -> str | None:
@@ -222,15 +253,30 @@ def _secret(move: Move, value: str) -> str:
 
 
 # Fixed formats.
-_EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
+def _marks() -> str:
+    """Combining marks, as ranges of a character class: a name in decomposed or Indic script holds some."""
+    out: list[list[int]] = []
+    for n in range(128, sys.maxunicode + 1):
+        if unicodedata.category(chr(n)) in ("Mn", "Mc"):
+            if out and out[-1][1] == n - 1:
+                out[-1][1] = n
+            else:
+                out.append([n, n])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+_LOCAL = rf"\w{_marks()}.%+-"
+_EMAIL = re.compile(rf"(?<![{_LOCAL}])[{_LOCAL}]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}(?![A-Za-z0-9_-])")
+_TRUNK = re.compile(r"0\d(?:(?: ?[/-] ?|[ .])?\d){7,10}", re.ASCII)
 _NUMBERS = re.compile(
     r"(?<![\w.-])(?:"
-    r"(?P<day>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4})"
+    r"(?P<day>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4}|\d\d?-\d\d?-\d{4})"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
     r"|(?P<account>\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{4,5})"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|(?:\+?\d{1,3}[ .-])?\d{3}(?P<u>[ .-])\d{3}(?P=u)\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4})"
-    r")(?![\w]|[.-]\d)"
+    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|(?:\+?\d{1,3}[ .-])?\d{3}(?P<u>[ .-])\d{3}(?P=u)\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}"
+    r"|(?a:1?[2-9]\d\d[2-9]\d{6}|0\d(?:(?: ?[/-] ?|[ .])?\d){7,10}(?![/@]|\d)))"
+    r")(?:(?![\w]|[.-]\d)|(?=[Tt]\d\d:?\d\d))"
 )
 _MAYBE = re.compile(r"\d[\d().+/ -]{6}")
 _IBAN = re.compile(r"\b[A-Z]{2}\d\d[A-Z0-9]{11,30}\b")

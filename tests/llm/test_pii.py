@@ -65,3 +65,44 @@ def test_query_can_be_undone(spark):
         assert pseudonymize(r.text, back=True)[0] == texts[r.doc_id]
         assert r.n_found == sum(r[f"n_{k}"] for k in KINDS)
         assert (r.n_found == 0) == (r.text == texts[r.doc_id])
+
+
+@pytest.mark.parametrize("local", ["иван", "иванов1", "李小龙", "josé", "José", "राम", "ΑΒΓ", "x_é"])
+def test_letters_of_every_script_move(local):
+    text = f"mail {local}@example.com now"
+    out, counts = pseudonymize(text)
+    moved = out.removeprefix("mail ").removesuffix("@example.com now")
+    assert counts == {"email": 1} and len(moved) == len(local)
+    assert not any(a == b == c for a, b, c in zip(local, moved, pseudonymize(text, b"another key")[0][5:], strict=False) if c.isalpha()) and moved != local
+    assert pseudonymize(out, back=True)[0] == text
+
+
+def test_local_part_without_letters_does_not_count():
+    assert pseudonymize("mail __@example.com") == ("mail __@example.com", {})
+
+
+def test_address_before_text_without_spaces():
+    out, counts = pseudonymize("a.b@example.com或者")
+    assert counts == {"email": 1} and out.endswith("@example.com或者") and not out.startswith("a.b@")
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("phone", x) for x in ("0171 1234567", "01 23 45 67 89", "030/1234567", "030 / 123 45 67", "4435555793", "14435555793", "07700 900123", "01711234567", "0171-1234567", "01.23.45.67.89")] + [("day", "12-05-1990"), ("day", "5-12-1990"), ("day", "31-12-2001")],
+)
+def test_national_phones_and_hyphenated_days(kind, value):
+    text = f"call {value}, or"
+    out, counts = pseudonymize(text)
+    assert counts == {kind: 1} and value not in out and len(out) == len(text)
+    assert pseudonymize(out, back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["at 1990-05-12T10:00", "at 1990-05-12T10:00:30Z.", "12.05.1990t1000"])
+def test_days_before_a_time(text):
+    out, counts = pseudonymize(text)
+    assert counts == {"day": 1} and out != text and pseudonymize(out, back=True)[0] == text
+
+
+def test_numbers_that_are_no_phones_stay():
+    for text in ("0.123456789", "stamp 1704067200", "id 00 12", "ISBN 0-19-852663-6", "5432 of 1234567"):
+        assert pseudonymize(text) == (text, {})
