@@ -49,6 +49,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.match_lists(pages, urls.stand_in_events(pages), Scratch(spark, "op7")).withColumn("fetch_ts", F.col("fetch_ts").cast("timestamp_ntz"))
 
 
+def op7_url_filters_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With exact URLs and path prefixes listed too; the SQL of op7_url_filters has hosts only."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", urls.stand_in_fetch_time(F.col("page_id")).alias("fetch_ts"))
+    return urls.match_lists(pages, urls.stand_in_events(pages, ("domain", "url", "prefix")), Scratch(spark, "op7")).withColumn("fetch_ts", F.col("fetch_ts").cast("timestamp_ntz"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"), Scratch(spark, "op8"))
 
@@ -63,7 +69,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_html_extraction, op3_embedding_near_dedup, op4_mixing, op5_sentencepiece, op6_sharding, op7_url_filters, op8_chat_formatting, op9_simhash_near_dedup, op10_pii_pseudonyms)
+    for f in (op1_quality_rules, op2_html_extraction, op3_embedding_near_dedup, op4_mixing, op5_sentencepiece, op6_sharding, op7_url_filters, op7_url_filters_all_kinds, op8_chat_formatting, op9_simhash_near_dedup, op10_pii_pseudonyms)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op7_url_filters": urls.SQL, "op8_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op7_url_filters": urls.SQL, "op7_url_filters_all_kinds": urls.SQL_ALL, "op8_chat_formatting": chat.SQL}

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from briarlake.scratch import Scratch
 
-#: More labels or path parts than these are not looked up (a host name has at most 127 labels).
-MAX_LABELS, MAX_PARTS = 127, 64
-
 
 def host(url: Column) -> Column:
     """Lower-case host of an http(s) URL, without user, port and final dot; null if there is none."""
@@ -47,28 +44,34 @@ def intervals(events: DataFrame) -> DataFrame:
     return turns.withColumn("valid_to", F.lead("at").over(per)).where("action = 'add'").select("kind", "pattern", "list_name", F.col("at").alias("valid_from"), "valid_to")
 
 
-def lookups(url: Column) -> Column:
-    """Every (kind, pattern) that would block the URL: a short array, bounded by labels and path parts."""
-    labels = F.slice(F.split(host(url), r"\."), -MAX_LABELS, MAX_LABELS)
-    labels = F.when(F.size(F.split(host(url), r"\.")) <= MAX_LABELS, F.split(host(url), r"\.")).otherwise(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("pattern")))
-    parts = F.slice(F.filter(F.split(path(url), "/"), lambda p: p != ""), 1, MAX_PARTS)
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")).alias("pattern"))))
+def parts(url: Column) -> Column:
+    """Path parts of the URL, without empty ones."""
+    return F.filter(F.split(path(url), "/"), lambda p: p != "")
+
+
+def lookups(url: Column, labels: Column, depths: Column) -> Column:
+    """Every (kind, pattern) that would block the URL: by domains of `labels` many labels and prefixes of `depths` many parts."""
+    own, steps = F.split(host(url), r"\."), parts(url)
+    domains = F.transform(F.filter(labels, lambda k: k <= F.size(own)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(own, -k, k), ".").alias("pattern")))
+    prefixes = F.transform(F.filter(depths, lambda k: k <= F.size(steps)), lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host(url), F.lit("/"), F.array_join(F.slice(steps, 1, k), "/")).alias("pattern")))
     exact = F.array(F.struct(F.lit("url").alias("kind"), url.alias("pattern")))
-    return F.when(host(url).isNotNull(), F.concat(exact, domains, F.coalesce(prefixes, F.array().cast("array<struct<kind:string,pattern:string>>"))))
+    return F.when(host(url).isNotNull(), F.concat(exact, domains, prefixes))
 
 
 def match_lists(captures: DataFrame, events: DataFrame, scratch: Scratch, key: str = "page_id", url: str = "url", fetched: str = "fetch_ts") -> DataFrame:
     """(key, url, fetched, n_entries, first_list, blocked) for every capture.
 
-    Each distinct (url, fetch time) is looked up once. The intervals are a
+    Each distinct (url, fetch time) is looked up once, at the label counts and
+    path depths that occur in the list: none is too deep. The intervals are a
     written table: broadcast if small, else AQE splits the partition of a hot
     host. Matches are counted per capture row by a partial aggregation.
     """
     valid = scratch.keep(intervals(events)).withColumnsRenamed({"kind": "_kind", "pattern": "_pattern"})
     own = captures.select(key, url, fetched)
     seen = scratch.keep(own.where(F.col(url).isNotNull() & F.col(fetched).isNotNull()).select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).distinct())
-    asked = seen.select("_url", "_at", F.explode(lookups(F.col("_url"))).alias("_ask")).select("_url", "_at", "_ask.kind", "_ask.pattern")
+    in_list = lambda kind, n: F.filter(F.collect_set(F.when(F.col("_kind") == kind, n)), lambda k: k > 0)
+    sizes = valid.agg(in_list("domain", F.size(F.split("_pattern", r"\."))).alias("_labels"), in_list("prefix", F.size(F.split("_pattern", "/")) - 1).alias("_depths"))
+    asked = seen.crossJoin(F.broadcast(sizes)).select("_url", "_at", F.explode(lookups(F.col("_url"), F.col("_labels"), F.col("_depths"))).alias("_ask")).select("_url", "_at", "_ask.kind", "_ask.pattern")
     active = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     hits = asked.join(valid, (F.col("kind") == F.col("_kind")) & (F.col("pattern") == F.col("_pattern")) & active)
     hits = scratch.keep(hits.groupBy("_url", "_at").agg(F.count("*").alias("_n"), F.min("list_name").alias("first_list")))
@@ -81,20 +84,24 @@ def stand_in_fetch_time(key: Column) -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + F.pmod(key * 37, F.lit(730)) * 86400)
 
 
-def stand_in_events(pages: DataFrame) -> DataFrame:
-    """The test tables have no block list: dated entries for the pages' own hosts, by the host's MD5.
+def stand_in_events(pages: DataFrame, kinds: tuple[str, ...] = ("domain",)) -> DataFrame:
+    """The test tables have no block list: dated entries for the pages' own hosts, URLs and path prefixes, by the pattern's MD5.
 
-    A third of the hosts are listed at some day; half of these are taken off
+    A third of the patterns are listed at some day; half of these are taken off
     later and half of those listed again. One farm is listed all the time, one
-    path prefix from the middle on.
+    domain for a month. Prefixes are the first half of a path, one part at least.
     """
-    found = pages.select(host(F.col("url")).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    url = F.col("url")
+    half = F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts(url), 1, F.greatest(F.lit(1), F.floor(F.size(parts(url)) / 2).cast("int"))), "/"))
+    made = {"domain": host(url), "url": F.when(host(url).isNotNull(), url), "prefix": F.when(F.size(parts(url)) > 0, half)}
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit({"domain": "hosts", "url": "urls", "prefix": "paths"}[k]).alias("list_name"), made[k].alias("pattern")) for k in kinds])
+    found = pages.select(F.explode(listed).alias("p")).select("p.*").where("pattern IS NOT NULL").distinct()
     nibble = lambda k: F.conv(F.substring(F.md5("pattern"), k, 1), 16, 10).cast("int")
     day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
     first = nibble(2) * 16 + nibble(3)
     event = lambda at, action, when: F.when(when, F.struct(at.alias("at"), F.lit(action).alias("action")))
     turns = F.array(event(day(first), "add", nibble(1) < 5), event(day(first + 200), "remove", (nibble(1) < 5) & (nibble(4) < 8)), event(day(first + 300), "add", (nibble(1) < 5) & (nibble(4) < 4)))
-    dated = found.select("pattern", F.explode(F.filter(turns, lambda t: t.isNotNull())).alias("e")).select(F.lit("domain").alias("kind"), "pattern", F.lit("hosts").alias("list_name"), "e.at", "e.action")
+    dated = found.select("kind", "pattern", "list_name", F.explode(F.filter(turns, lambda t: t.isNotNull())).alias("e")).select("kind", "pattern", "list_name", "e.at", "e.action")
     fixed = found.sparkSession.createDataFrame([("domain", "spam-farm.example.org", "farms", 0, "add"), ("domain", "example.net", "zones", 600, "add"), ("domain", "example.net", "zones", 630, "remove")], "kind string, pattern string, list_name string, d int, action string")
     return dated.unionByName(fixed.select("kind", "pattern", "list_name", day(F.col("d")).alias("at"), "action"))
 
@@ -124,3 +131,34 @@ WITH captures AS (
 )
 SELECT page_id, url, fetch_ts, coalesce(n, 0) AS n_entries, first_list, n IS NOT NULL AS blocked FROM captures LEFT JOIN hits USING (page_id)
 """
+
+#: As SQL, with exact URLs and path prefixes listed too.
+SQL_ALL = r"""
+WITH parted AS (
+  SELECT page_id, url, make_timestamp((1704067200 + ((page_id * 37) % 730) * 86400)::BIGINT * 1000000) AS fetch_ts,
+         rtrim(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
+         list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> '') AS parts
+  FROM pages
+), captures AS (
+  SELECT *, host || '/' || array_to_string(parts, '/') || '/' AS whole, host || '/' || array_to_string(parts[1:greatest(1, len(parts) // 2)], '/') AS half FROM parted
+), patterns AS (
+  SELECT 'domain' AS kind, 'hosts' AS list_name, host AS pattern FROM captures WHERE host <> ''
+  UNION SELECT 'url', 'urls', url FROM captures WHERE host <> ''
+  UNION SELECT 'prefix', 'paths', half FROM captures WHERE host <> '' AND len(parts) > 0
+), coded AS (
+  SELECT *, ('0x' || md5(pattern)[1])::INT AS n1, ('0x' || md5(pattern)[2])::INT * 16 + ('0x' || md5(pattern)[3])::INT AS f, ('0x' || md5(pattern)[4])::INT AS n4 FROM patterns
+), events AS (
+  SELECT kind, list_name, pattern, f AS d, 'add' AS action FROM coded WHERE n1 < 5
+  UNION ALL SELECT kind, list_name, pattern, f + 200, 'remove' FROM coded WHERE n1 < 5 AND n4 < 8
+  UNION ALL SELECT kind, list_name, pattern, f + 300, 'add' FROM coded WHERE n1 < 5 AND n4 < 4
+  UNION ALL VALUES ('domain', 'farms', 'spam-farm.example.org', 0, 'add'), ('domain', 'zones', 'example.net', 600, 'add'), ('domain', 'zones', 'example.net', 630, 'remove')
+), valid AS (
+  SELECT * FROM (SELECT *, lead(d) OVER (PARTITION BY kind, list_name, pattern ORDER BY d) AS until FROM events) WHERE action = 'add'
+), hits AS (
+  SELECT c.page_id, count(*) AS n, min(v.list_name) AS first_list
+  FROM captures c JOIN valid v ON c.host <> '' AND ((v.kind = 'domain' AND (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern))) OR (v.kind = 'url' AND c.url = v.pattern) OR (v.kind = 'prefix' AND starts_with(c.whole, v.pattern || '/')))
+   AND c.fetch_ts >= make_timestamp((1704067200 + v.d * 86400)::BIGINT * 1000000) AND (v.until IS NULL OR c.fetch_ts < make_timestamp((1704067200 + v.until * 86400)::BIGINT * 1000000))
+  GROUP BY c.page_id
+)
+SELECT page_id, url, fetch_ts, coalesce(n, 0) AS n_entries, first_list, n IS NOT NULL AS blocked FROM captures LEFT JOIN hits USING (page_id)
+"""

@@ -42,3 +42,24 @@ def test_matches_as_of_fetch_time(spark):
     none = spark.createDataFrame([], EVENTS)
     assert not any(r.blocked for r in match_lists(frame, none, Scratch(spark, "t")).collect())
     assert match_lists(frame.limit(0), none, Scratch(spark, "t")).count() == 0
+
+
+def test_deep_prefixes_and_hosts(spark):
+    deep, labels = "/".join(f"p{k}" for k in range(100)), ".".join(["a"] * 140)
+    events = [("prefix", f"site.org/{deep}", "paths", day(1), "add"), ("domain", f"{labels}.com", "hosts", day(1), "add")]
+    captures = [(1, f"http://site.org/{deep}/more", day(2)), (2, f"http://site.org/{deep}x", day(2)), (3, f"http://b.{labels}.com/", day(2))]
+    got = match_lists(spark.createDataFrame([(*c, "x") for c in captures], CAPTURES), spark.createDataFrame(events, EVENTS), Scratch(spark, "t")).collect()
+    assert sorted((r.page_id, r.first_list) for r in got if r.blocked) == [(1, "paths"), (3, "hosts")]
+
+
+def test_every_kind_is_hit_in_the_query(spark):
+    import duckdb
+
+    from briarlake.llm import queries
+    from tests.llm import brute
+
+    got = sorted((r.page_id, r.n_entries, r.first_list, r.blocked) for r in queries.op7_url_filters_all_kinds(spark, brute.SMALL).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{brute.SMALL}/pages.parquet'")
+    want = con.execute(f"SELECT page_id, n_entries, first_list, blocked FROM ({queries.ORACLE_SQL['op7_url_filters_all_kinds'].strip()})").fetchall()
+    assert got == sorted(want) and {"hosts", "urls", "paths"} <= {r[2] for r in got}
