@@ -69,14 +69,25 @@ def _(f: Frames) -> DataFrame:
     return runs.groupBy("session_id").agg(F.max("streak").alias("longest_stall"))
 
 
+def _fused(events: DataFrame) -> DataFrame:
+    seen = F.sort_array(F.collect_list(F.struct("event_id", (C("event_id") % 10 + 1).cast("double").alias("s"))))
+    listed = events.groupBy("session_id").agg(seen.alias("all"))
+    fold = F.aggregate(F.slice("all", 2, F.size("all")), C("all")[0]["s"], lambda x, e: x + (e["s"] - x) * F.lit(1.0 / 3.0))
+    return listed.select("session_id", fixed(fold, 6).alias("fused"))
+
+
 @query("e13_sequential_fusion", f"""WITH RECURSIVE s AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k, (event_id % 10 + 1)::DOUBLE AS seen FROM trace_events WHERE event_id % 7 = 0),
  w AS (SELECT session_id, k, seen AS x FROM s WHERE k = 1 UNION ALL SELECT s.session_id, s.k, w.x + (s.seen - w.x) * (1.0::DOUBLE / 3.0::DOUBLE) FROM w JOIN s ON s.session_id = w.session_id AND s.k = w.k + 1)
  SELECT session_id, {S.fixed('arg_max(x, k)', 6)} AS fused FROM w GROUP BY session_id""")
 def _(f: Frames) -> DataFrame:
-    seen = F.sort_array(F.collect_list(F.struct("event_id", (C("event_id") % 10 + 1).cast("double").alias("s"))))
-    listed = f.trace_events.where("event_id % 7 = 0").groupBy("session_id").agg(seen.alias("all"))
-    fold = F.aggregate(F.slice("all", 2, F.size("all")), C("all")[0]["s"], lambda x, e: x + (e["s"] - x) * F.lit(1.0 / 3.0))
-    return listed.select("session_id", fixed(fold, 6).alias("fused"))
+    """A seventh of the events, as its SQL; e13_sequential_fusion_all folds all."""
+    return _fused(f.trace_events.where("event_id % 7 = 0"))
+
+
+@query("e13_sequential_fusion_all")
+def _(f: Frames) -> DataFrame:
+    """Every event of a session; recursive SQL would scan them once a step."""
+    return _fused(f.trace_events)
 
 
 @query("e15_failure_breaker", "SELECT event_id, sum((status = 'error')::INT) OVER (PARTITION BY session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) >= 3 AS disabled FROM trace_events")

@@ -60,3 +60,14 @@ def test_sequential_duplicates_against_a_loop(spark):
         if not want[lead]:
             held.update(keys.get(lead, []))
     assert {r.id: r.duplicate for r in catalog.QUERIES["c16_keep_first_duplicates"](spark, SMALL).collect()} == want
+
+
+def test_fusion_folds_every_event(spark):
+    from briarlake.registry import Frames
+
+    want: dict = {}
+    for r in Frames(spark, SMALL).trace_events.select("session_id", "event_id").orderBy("event_id").collect():
+        seen = r.event_id % 10 + 1.0
+        want[r.session_id] = want[r.session_id] + (seen - want[r.session_id]) * (1.0 / 3.0) if r.session_id in want else seen
+    got = {r.session_id: r.fused for r in catalog.QUERIES["e13_sequential_fusion_all"](spark, SMALL).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-6 for k in want)
