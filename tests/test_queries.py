@@ -71,3 +71,8 @@ def test_fusion_folds_every_event(spark):
         want[r.session_id] = want[r.session_id] + (seen - want[r.session_id]) * (1.0 / 3.0) if r.session_id in want else seen
     got = {r.session_id: r.fused for r in catalog.QUERIES["e13_sequential_fusion_all"](spark, SMALL).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-6 for k in want)
+
+
+def test_every_url_is_asked_for(spark):
+    urls = spark.read.parquet(f"{SMALL}/pages.parquet").where("url IS NOT NULL").select("url").distinct()
+    assert {r.url for r in catalog.QUERIES["a10_page_extracts_all"](spark, SMALL).select("url").collect()} == {r.url for r in urls.collect()}
