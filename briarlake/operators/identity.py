@@ -21,14 +21,19 @@ def without_known(leads: DataFrame, keys: DataFrame, known: DataFrame) -> DataFr
     return leads.join(hit, F.col("id") == F.col("_id"), "left_anti")
 
 
-def sequential_duplicates(leads: DataFrame, keys: DataFrame) -> DataFrame:
+def sequential_duplicates(leads: DataFrame, keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, duplicate) by walking leads in order of id: a lead is a duplicate if a kept lead before it has one of its keys.
 
     Leads that share no key with another never meet; only connected groups need
     an order. Groups are found by a few rounds of least-id propagation over
     shared keys and each is walked by itself, so the walk is as large as the
-    largest group of leads tied by keys, not as the table.
+    largest group of leads tied by keys, not as the table. A lead with a `known`
+    key is a duplicate too; it is never kept, so its keys leave the walk first.
     """
+    if known is not None:
+        fresh = without_known(leads, keys, known).select("id")
+        rest = sequential_duplicates(fresh, keys.join(fresh, "id", "left_semi"))
+        return leads.select("id").join(rest, "id", "left").select("id", F.coalesce("duplicate", F.lit(True)).alias("duplicate"))
     shared = keys.groupBy("k").agg(F.count_distinct("id").alias("n")).where("n > 1").select(F.col("k").alias("_k"))
     tied = keys.select("id", "k").distinct().join(shared, F.col("k") == F.col("_k"), "left_semi")
     labels = tied.select("id").distinct().select("id", F.col("id").alias("label"))

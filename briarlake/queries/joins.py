@@ -165,10 +165,19 @@ def _(f: Frames) -> DataFrame:
 
 @query("c20_unseen_queries", "SELECT id, lower(query) AS q FROM tasks WHERE lower(query) NOT IN (SELECT lower(query) FROM tasks WHERE id % 7 = 0 AND id < 40)")
 def _(f: Frames) -> DataFrame:
+    """Five seen queries at most, as its SQL; in c20_unseen_queries_all the seen ones grow with the table."""
     seen = f.tasks.where("id % 7 = 0 AND id < 40").select(F.lower("query").alias("seen"))
     return f.tasks.select("id", F.lower("query").alias("q")).join(seen, C("q") == C("seen"), "left_anti")
 
 
+@query("c20_unseen_queries_all", "WITH t AS (SELECT id, lower(query || ' ' || id) AS q FROM tasks) SELECT id, q FROM t WHERE q NOT IN (SELECT q FROM t WHERE id % 2 = 0 AND q IS NOT NULL)")
+def _(f: Frames) -> DataFrame:
+    """Half the tasks are seen, in capitals; the id makes each query its own, so rows stay at every size."""
+    text = F.concat("query", F.lit(" "), C("id").cast("string"))
+    seen = f.tasks.where("id % 2 = 0").select(F.lower(F.upper(text)).alias("seen"))
+    return f.tasks.select("id", F.lower(text).alias("q")).join(seen, C("q") == C("seen"), "left_anti")
+
+
 @query("c22_first_alias_with_signals", f"""WITH {_SIGNALS}, alias AS (SELECT id, 1 AS pos, company AS name FROM leads UNION ALL SELECT id, 2, 'Northwind ' || location FROM leads UNION ALL SELECT id, 3, 'Beacon & Sons' FROM leads),
   hit AS (SELECT DISTINCT a.id, a.pos, a.name FROM alias a JOIN sig b ON {S.company('a.name')} = {S.company('b.company')} AND {S.company('a.name')} <> '') SELECT id, arg_min(name, pos) AS name FROM hit GROUP BY id""")
 def _(f: Frames) -> DataFrame:
@@ -179,5 +188,6 @@ def _(f: Frames) -> DataFrame:
 
 @query("c21_sequential_bulk_insert")
 def _(f: Frames) -> DataFrame:
-    """A kept row's keys block later rows of the batch; C21 is C16 on a batch against stored keys."""
-    return I.sequential_duplicates(f.leads.where("id % 2 = 0"), _keys(f).where("id % 2 = 0"))
+    """A kept row's keys block later rows of the batch, as the stored leads' keys do: even ids come in, odd ones are stored."""
+    keys = _keys(f)
+    return I.sequential_duplicates(f.leads.where("id % 2 = 0"), keys.where("id % 2 = 0"), keys.where("id % 2 = 1"))

@@ -76,3 +76,30 @@ def test_fusion_folds_every_event(spark):
 def test_every_url_is_asked_for(spark):
     urls = spark.read.parquet(f"{SMALL}/pages.parquet").where("url IS NOT NULL").select("url").distinct()
     assert {r.url for r in catalog.QUERIES["a10_page_extracts_all"](spark, SMALL).select("url").collect()} == {r.url for r in urls.collect()}
+
+
+def test_bulk_insert_against_a_loop_over_stored_keys(spark):
+    from briarlake.queries.joins import _keys
+    from briarlake.registry import Frames
+
+    frames = Frames(spark, SMALL)
+    keys: dict[int, list[str]] = {}
+    for r in _keys(frames).collect():
+        keys.setdefault(r.id, []).append(r.k)
+    leads = sorted(r.id for r in frames.leads.select("id").collect())
+    held, want = {k for lead in leads if lead % 2 for k in keys.get(lead, [])}, {}
+    for lead in (x for x in leads if x % 2 == 0):
+        want[lead] = any(k in held for k in keys.get(lead, []))
+        if not want[lead]:
+            held.update(keys.get(lead, []))
+    rows = catalog.QUERIES["c21_sequential_bulk_insert"](spark, SMALL).collect()
+    assert len(rows) == len(want) and {r.id: r.duplicate for r in rows} == want
+
+
+def test_known_keys_block_and_blocked_leads_add_none(spark):
+    from briarlake.operators import identity
+
+    leads = spark.createDataFrame([(n,) for n in (2, 4, 6, 8)], "id long")
+    keys = spark.createDataFrame([(2, "stored"), (2, "x"), (4, "x"), (6, "x")], "id long, k string")
+    known = spark.createDataFrame([(1, "stored"), (3, None)], "id long, k string")
+    assert {r.id: r.duplicate for r in identity.sequential_duplicates(leads, keys, known).collect()} == {2: True, 4: False, 6: True, 8: False}
