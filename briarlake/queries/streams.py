@@ -24,7 +24,7 @@ def _(f: Frames) -> DataFrame:
 @query("i03_duplicate_suppression", "SELECT DISTINCT event_id, event_type FROM events")
 def _(f: Frames) -> DataFrame:
     stream, scratch = _stream(f)
-    return E.drain(E.once(stream.select("event_id", "event_type", "ts")).select("event_id", "event_type"), scratch)
+    return E.drain(E.once(stream.select("event_id", "event_type")), scratch)
 
 
 @query("i04_session_fold", "SELECT user_id, CAST(count(*) AS BIGINT) AS n_events, max(event_id) AS last_event, CASE WHEN bool_or(event_type = 'error') THEN 'error' ELSE 'running' END AS status FROM events GROUP BY user_id")

@@ -103,3 +103,18 @@ def test_known_keys_block_and_blocked_leads_add_none(spark):
     keys = spark.createDataFrame([(2, "stored"), (2, "x"), (4, "x"), (6, "x")], "id long, k string")
     known = spark.createDataFrame([(1, "stored"), (3, None)], "id long, k string")
     assert {r.id: r.duplicate for r in identity.sequential_duplicates(leads, keys, known).collect()} == {2: True, 4: False, 6: True, 8: False}
+
+
+def test_streams_read_folders_of_unordered_files(spark, tmp_path):
+    from briarlake.scratch import Scratch
+    from briarlake.streaming import events
+
+    table = spark.read.parquet(f"{SMALL}/events.parquet")
+    late = table.orderBy("ts", ascending=False).collect()
+    for k in range(4):
+        spark.createDataFrame(late[k * len(late) // 4 : (k + 1) * len(late) // 4] + late[:5], table.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    want = sorted({r.event_id for r in late})
+    stream = events.source(spark, str(tmp_path), per_batch=1).select("event_id", "event_type")
+    assert sorted(r.event_id for r in events.drain(events.once(stream), Scratch(spark, "t")).collect()) == want
+    for name in ("i01_event_source", "i03_duplicate_suppression", "i04_session_fold", "i10_day_windows"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 0
