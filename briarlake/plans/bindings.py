@@ -123,3 +123,6 @@ SELECT c_custkey AS session_id, {pick("c_custkey", "'running'", "'interrupted'",
 FROM {{customer}}
 """,
 }
+
+#: The same with descriptions of any length.
+FRAMES["whole_careers"] = FRAMES["careers"].replace("substr(text, 1, 80) AS description", "text AS description")

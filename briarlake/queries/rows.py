@@ -353,10 +353,21 @@ def _(f: Frames) -> DataFrame:
 
 @query("b32_evidence_record", "SELECT seq, url, provider, query, round, CAST(1 AS BIGINT) AS n_blocks FROM observations")
 def _(f: Frames) -> DataFrame:
+    """One block a record, as its SQL; b32_evidence_record_all has the snippets."""
     record = F.struct("url", "provider", "query", "round", F.array(F.substring("content", 1, 100)).alias("blocks"))
     return f.observations.select("seq", record.alias("e")).select("seq", "e.url", "e.provider", "e.query", "e.round", F.size("e.blocks").cast("long").alias("n_blocks"))
 
 
+@query("b32_evidence_record_all", rf"""WITH lines AS (SELECT seq, url, provider, query, round, list_filter(list_transform(string_split('LINK: x' || chr(10) || '[P 1] ' || content, chr(10)), lambda x: {S.collapse(r"regexp_replace(x, '^\[[^\]]+\]\s*', '')")}),
+  lambda x: x <> '' AND NOT starts_with(x, 'LINK:') AND NOT starts_with(x, 'SOURCE_PROVIDER:'))[1:3] AS s FROM observations)
+  SELECT seq, url, provider, query, round, array_to_string(list_transform(s, lambda x: CASE WHEN length(x) > 260 THEN trim(substr(x, 1, 257)) || '...' ELSE x END), '|') AS snippets FROM lines""")
+def _(f: Frames) -> DataFrame:
+    """The snippets of B24 from the whole content."""
+    block = F.concat(F.lit("LINK: x\n[P 1] "), C("content"))
+    record = F.struct("url", "provider", "query", "round", T.snippets(block).alias("snippets"))
+    return f.observations.select("seq", record.alias("e")).select("seq", "e.url", "e.provider", "e.query", "e.round", F.array_join("e.snippets", "|").alias("snippets"))
+
+
 @query("b34_finalist_evidence", "SELECT id, 'e' || k AS evidence_id, CASE k WHEN 0 THEN 'Title: ' || title WHEN 1 THEN headline ELSE industry END AS body FROM leads, (VALUES (0), (1), (2)) t(k) WHERE CASE k WHEN 0 THEN true WHEN 1 THEN coalesce(headline, '') <> '' ELSE true END AND NOT (k = 1 AND headline IS NULL)")
 def _(f: Frames) -> DataFrame:
     items = F.array(F.concat(F.lit("Title: "), C("title")), C("headline"), C("industry"))

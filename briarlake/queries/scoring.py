@@ -235,16 +235,29 @@ _ROLE = f"""CASE WHEN list_has_any(l, ['founder', 'owner', 'c-suite']) THEN 10.0
  WHEN regexp_matches(x, '\\b(lead|manager|principal|supervisor)\\b') THEN 5.5 ELSE 4 END"""
 
 
-@query("e08_career_relevance", f"""WITH w AS (SELECT person_id, position, {S.words("title || ' ' || company || ' ' || description")} AS x FROM careers WHERE position < 6), l AS (SELECT *, {labels_sql('x')} AS l FROM w),
- v AS (SELECT person_id, {_ROLE} * CASE WHEN contains(x, 'sales') THEN 1.0::DOUBLE ELSE 0.75 END * power(0.8::DOUBLE, position) AS s, power(0.8::DOUBLE, position) AS d FROM l) SELECT person_id, {S.fixed(S.clamp('(sum(s) / sum(d))', 1, 10))} AS trajectory FROM v GROUP BY person_id""")
-def _(f: Frames) -> DataFrame:
+_CAREER = f"""WITH w AS (SELECT person_id, position, {S.words("title || ' ' || company || ' ' || description")} AS x FROM careers WHERE position < 6), l AS (SELECT *, {labels_sql('x')} AS l FROM w),
+ v AS (SELECT person_id, {_ROLE} * CASE WHEN contains(x, 'sales') THEN 1.0::DOUBLE ELSE 0.75 END * power(0.8::DOUBLE, position) AS s, power(0.8::DOUBLE, position) AS d FROM l) SELECT person_id, {S.fixed(S.clamp('(sum(s) / sum(d))', 1, 10))} AS trajectory FROM v GROUP BY person_id"""
+
+
+def _trajectory(careers: DataFrame) -> DataFrame:
     """K21 too: six roles at most, each discounted by 1.25 a step."""
     words = T.title_words(F.concat_ws(" ", "title", "company", "description"))
     weight = F.pow(F.lit(0.8), C("position"))
-    parts = f.careers.where("position < 6").select("person_id", (K.role_weight(words) * K.domain_weight(words, ["sales"]) * weight).alias("s"), weight.alias("d"))
+    parts = careers.where("position < 6").select("person_id", (K.role_weight(words) * K.domain_weight(words, ["sales"]) * weight).alias("s"), weight.alias("d"))
     return parts.groupBy("person_id").agg(N.fixed(N.clamp(F.sum("s") / F.sum("d"), 1, 10)).alias("trajectory"))
 
 
+@query("e08_career_relevance", _CAREER)
+def _(f: Frames) -> DataFrame:
+    """Descriptions of 80 characters, as the SQL of `careers` has; e08_career_relevance_all reads whole ones."""
+    return _trajectory(f.careers)
+
+
+@query("e08_career_relevance_all", _CAREER.replace("FROM careers", "FROM whole_careers"))
+def _(f: Frames) -> DataFrame:
+    return _trajectory(f.whole_careers)
+
+
 @query("k22_post_quality", """SELECT event_id, CASE WHEN cat IN ('hiring', 'evaluating_tools') AND c >= 0.5 THEN 'strong' WHEN (cat IN ('pain_signal', 'growth_signal') AND c >= 0.4) OR (cat IN ('hiring', 'evaluating_tools') AND c >= 0.25) THEN 'moderate'
  WHEN (cat = 'general' AND c >= 0.4) OR (c >= 0.3 AND cat <> 'none') THEN 'weak' ELSE 'none' END AS post_quality FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'hiring' WHEN 1 THEN 'evaluating_tools' WHEN 2 THEN 'pain_signal' WHEN 3 THEN 'growth_signal' WHEN 4 THEN 'general' ELSE 'none' END AS cat, least((event_id % 13) / 10.0::DOUBLE, 1) AS c FROM trace_events)""")
 def _(f: Frames) -> DataFrame:

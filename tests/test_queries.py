@@ -118,3 +118,14 @@ def test_streams_read_folders_of_unordered_files(spark, tmp_path):
     assert sorted(r.event_id for r in events.drain(events.once(stream), Scratch(spark, "t")).collect()) == want
     for name in ("i01_event_source", "i03_duplicate_suppression", "i04_session_fold", "i10_day_windows"):
         assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+def test_whole_texts_count(spark):
+    from briarlake.registry import Frames
+
+    frames = Frames(spark, SMALL)
+    assert frames.whole_careers.where("length(description) > 80").count() > 0
+    got = {r.doc_id: r.mode for r in catalog.QUERIES["m01_decomposition_mode_all"](spark, SMALL).collect()}
+    cut = {r.doc_id: r.mode for r in catalog.QUERIES["m01_decomposition_mode"](spark, SMALL).collect()}
+    long = [r.doc_id for r in frames.documents.select("doc_id", "text").collect() if len((r.text or "").split()) > 14]
+    assert all(got[k] == "dual_stream_intent" for k in long) and any(cut[k] != got[k] for k in long)
