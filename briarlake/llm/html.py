@@ -1,20 +1,33 @@
 """Main text of web pages by composite text density.
 
-The page is read into a tree. Parts that are never article text (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are
-set aside by element and by the words of class, id and role. For every other
-node the composite text density (Sun, Song, Liao: DOM based content extraction
-via text density, 2011) is computed: characters per tag, lowered by the share of
-link text and link tags. The densities of a node's children are summed; the
-lowest density on the path from the body to the node of greatest sum is the
-threshold, and under every node that reaches it the subtree of greatest sum is
-article text. An article element that holds such a subtree is taken whole.
-
-If nothing is left, the page is read again with only menus and footers set aside.
-
-Defined results: a null or empty page has an empty text; a page without mark-up
-is its own text; broken mark-up is read as a browser would close it; repeated
-rows each get their text; text is never cut.
+The page is read into a tree. Elements that never hold article text by their
+meaning (nav, footer, aside, dialog and the like, a header outside of an
+article, hidden parts, ARIA roles of these) are set aside. For every other node
+the composite text density (Sun, Song, Liao: DOM based content extraction via
+text density, 2011) is computed: characters per tag, lowered by the share of
+link text and link tags. The densities of a node's children are summed, the
+subtree of the greatest sum is the main text, and the least density on the path
+from the body to it is the threshold: a subtree beside it belongs to the text if
+its own density reaches the threshold and its sum is a fifth of the greatest; a
+part inside it that is mostly links falls below the threshold and goes. If the
+body itself has the greatest sum, its sparse containers go too. An article
+element around the chosen subtree, or the one that holds most of it, is taken
+alone.
+
+Density can't tell a reader's comment, an advert or a notice from article text.
+For these kinds alone the author's naming counts: an element whose class or id
+is such a name (`MARKS`, with no words but `PLAIN` ones beside) is left out,
+unless it holds over half of the page's text and an article, main or h1 element
+(of comments: main or h1) and so is a wrapper. A form is left out as well,
+unless it is such a wrapper or holds over half of the text and over 200
+characters for each of its controls.
+
+Defined results: a null or empty page has an empty text, and so has a page of
+menus, adverts, comments and forms only; a page without mark-up is its own text;
+broken mark-up is read about as a browser would close it; of equal sums the
+first node in page order wins; repeated rows each get their text; columns beside
+key, url and html are left out, whatever their names; text is never cut, and a
+page takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -29,30 +42,32 @@ from pyspark.sql import DataFrame
 
 from briarlake.llm.text import small_batches
 
-# Element names and words that mark parts of a page.
+# Element names, roles and names of parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title xmp noembed noframes canvas audio video".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
-ASIDE = frozenset("nav footer aside form menu dialog button select fieldset search head".split())
+ASIDE = frozenset("nav footer aside menu dialog button select search head noscript template canvas audio video".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+CONTROLS = frozenset("input select textarea button".split())
+CONTAINERS = frozenset("div section ul ol dl table center".split())
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promos promotion banner banners "
-    "comment comments commentlist disqus respond replies reply reader-comments "
-    "nav navbar navigation menu menus topbar breadcrumb breadcrumbs pagination pager toc sitemap skip "
-    "header masthead footer sidebar sidebars aside rail widget widgets related recommended recommendations trending popular "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "share sharing social newsletter subscribe subscription subscribing signup login search paywall".split()
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion "
+    "comment comments commentlist disqus respond replies "
+    "nav navbar navigation topnav menu topbar breadcrumb breadcrumbs pagination header masthead banner footer sidebar sidebars "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay share sharing newsletter subscribe signup login signin paywall".split()
 )
-#: Unmistakable also inside longer words.
-STEMS = re.compile(r"cookie|sidebar|navbar|topnav|sidenav|subnav|breadcrumb|newsletter|advert|sponsor|disqus|comments|commentlist|paywall")
-#: "with-sidebar" and the like describe the page, not the part.
-DESCRIBES = re.compile(r"(?:has|with|no|without|hide|show|is)[-_]")
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words that only place or frame a part.
+PLAIN = frozenset("left right top bottom main primary secondary site page global list section block box bar container wrapper wrap area panel slot unit inner outer user reader post article form 1 2 3 4".split())
 #: Inside an article these mark its own heading.
 HEADS = frozenset("header masthead banner".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+
+#: Characters a form must have for each of its controls to count as text.
+CHARS_PER_CONTROL = 200
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -60,58 +75,72 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_HIDING = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE | re.ASCII) for name in RAW}
 
 
 class Node:
-    """chars, tags, link_chars, link_tags: of the whole subtree. parts: texts, nodes and None for a line break."""
+    """chars, tags, link_chars, link_tags, controls: of the whole subtree. parts: texts and nodes."""
 
-    __slots__ = ("name", "parent", "parts", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("name", "parent", "parts", "off", "marked", "chars", "tags", "link_chars", "link_tags", "controls", "holds", "heads", "density", "total", "best")
 
-    def __init__(self, name: str, parent: "Node | None" = None, off: bool = False):
-        self.name, self.parent, self.off, self.parts = name, parent, off, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, name: str, parent: Node | None = None, off: bool = False, marked: str = ""):
+        self.name, self.parent, self.off, self.marked, self.parts = name, parent, off, marked, []
+        self.chars = self.tags = self.link_chars = self.link_tags = self.controls = 0
+        self.holds = self.heads = False
         self.density = self.total = 0.0
         self.best = self
 
 
-def _in_article(stack: list[Node]) -> bool:
-    return any(x.name in ("article", "main") for x in stack)
-
-
-def _set_aside(name: str, attributes: str, stack: list[Node], loose: bool) -> bool:
-    """Whether an element starts a part that is no article text. `loose`: by few elements only."""
-    if loose:
-        return name in ("nav", "footer", "menu", "button", "select")
-    if name in ASIDE:
-        return True
-    if name == "header" and not _in_article(stack):
-        return True
-    if not attributes or name in ("html", "body", "article", "main") and "hidden" not in attributes:
-        return False
+def _marks(attributes: str, in_article: bool) -> tuple[bool, str]:
+    """(off, marked) by an element's attributes: hidden or of a role that is no text; "part" or "comments" if named so."""
+    marked = ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDING.search(value):
+            return True, ""
         if key == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, ""
         if key in ("class", "id"):
             for token in value.split():
-                if DESCRIBES.match(token.lower()):
-                    continue
-                if STEMS.search(token.lower()):
-                    return True
-                words = [w.lower() for w in _WORDS.findall(token)]
-                marks = {token.lower(), *words[:1], *words[-1:]} & MARKED
-                if marks - HEADS or marks and not _in_article(stack):
-                    return True
-    return False
-
-
-def parse(page: str, loose: bool = False) -> Node:
+                words = {w.lower() for w in _WORDS.findall(token)}
+                named = words & MARKS
+                if named and words <= MARKS | PLAIN and not (in_article and named <= HEADS):
+                    marked = "comments" if named & COMMENTS else marked or "part"
+    return False, marked
+
+
+class _Open:
+    """The open elements, with the places of each name, so that no end tag needs a search."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((x[-1] for n in names if (x := self.places.get(n))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at this place and all in it."""
+        while len(self.stack) > place:
+            name = self.stack.pop().name
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+
+def parse(page: str) -> Node:
     """The tree of a page. An open paragraph ends where a block begins; an end tag closes what is open inside it."""
     root = Node("html")
-    stack, at, lower = [root], 0, None
+    opened, at = _Open(root), 0
+    stack = opened.stack
     while True:
         found = _TAG.search(page, at)
         if found is None:
@@ -127,27 +156,21 @@ def parse(page: str, loose: bool = False) -> Node:
         else:
             continue
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in BLOCK and name not in BLOCK:
-                    break  # an inline end tag doesn't close a block
+            place = opened.last(name)
+            if place and not (name not in BLOCK and opened.blocks and opened.blocks[-1] > place):  # an inline end tag doesn't close a block
+                opened.close(place)
             continue
         if name in ("html", "body"):
             if len(stack) == 1 and name == "body":
                 body = Node("body", stack[-1])
                 stack[-1].parts.append(body)
-                stack.append(body)
+                opened.push(body)
             continue
+        if name in CONTROLS:
+            stack[-1].controls += 1
         if name in RAW:
-            lower = lower or page.lower()
-            if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = lower.find(f"</{name}", at)
-                if end < 0:
-                    at = len(page)
-                else:
-                    at = page.find(">", end) + 1 or len(page)
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if name in VOID:
             if name == "br":
@@ -156,23 +179,20 @@ def parse(page: str, loose: bool = False) -> Node:
                 stack[-1].parts.append(Node("hr", stack[-1]))
             continue
         if name in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name in BLOCK:
-                    break
-            for k in range(len(stack) - 1, 0, -1) if name in CLOSES else ():
-                if stack[k].name in CLOSES[name]:
-                    del stack[k:]
-                    break
-                if stack[k].name in SCOPE[name]:
-                    break
-        off = _set_aside(name, attributes, stack, loose) if attributes or name in ASIDE or name == "header" else False
-        node = Node(name, stack[-1], off)
+            if (p := opened.last("p")) and opened.blocks[-1] == p:
+                opened.close(p)
+            if name in CLOSES and (place := opened.last(*CLOSES[name])) and place > opened.last(*SCOPE[name]):
+                first = opened.last(CLOSES[name][0])
+                opened.close(first if name == "tr" and first > opened.last("table") else place)
+        in_article = bool(opened.last("article", "main"))
+        off = name in ASIDE or name == "header" and not in_article
+        off_too, marked = _marks(attributes, in_article) if attributes else (False, "")
+        if name == "main" or name == "article" and not in_article:
+            marked = ""
+        node = Node(name, stack[-1], off or off_too, marked)
         stack[-1].parts.append(node)
         if not attributes.endswith("/") or name in BLOCK:
-            stack.append(node)
+            opened.push(node)
 
 
 def _order(root: Node) -> list[Node]:
@@ -185,13 +205,47 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _ink(text: str) -> int:
+    return 0 if text.isspace() else len(text) - text.count(" ")
+
+
+def set_marks_aside(root: Node) -> None:
+    """Named parts and forms of controls are off unless they wrap the text."""
+    nodes = _order(root)
+    page_chars = sum(_ink(x) for node in nodes for x in node.parts if isinstance(x, str))
+    for node in reversed(nodes):
+        for part in node.parts:
+            if isinstance(part, str):
+                node.chars += _ink(part)
+                continue
+            node.controls += part.controls
+            if not part.off:
+                node.chars += part.chars
+                node.heads |= part.heads or part.name in ("main", "h1")
+                node.holds |= part.holds or part.name in ("article", "main", "h1")
+        written = node.name == "form" and not node.marked and node.controls * CHARS_PER_CONTROL < node.chars
+        wraps = 2 * node.chars > page_chars and (written or (node.heads if node.marked == "comments" else node.holds))
+        if (node.marked or node.name == "form") and not wraps:
+            node.off = True
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, page_chars: int, page_link_chars: int) -> float:
+    """Composite text density. The logarithm's base is 2 at least, so that pages with hardly any link have no pole."""
+    if not chars:
+        return 0.0
+    tags, link_tags = max(tags, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + page_link_chars / max(page_chars, 1) * chars + math.e)
+    return chars / tags * math.log(max(chars / max(link_chars, 1) * tags / link_tags, 1.0)) / math.log(max(base, 2.0))
+
+
 def weigh(root: Node) -> list[Node]:
-    """Counts, composite text densities and the children's sums of all nodes, parents first."""
+    """Counts, densities, the children's sums and the best node of every subtree; nodes with parents first."""
     nodes = _order(root)
     for node in reversed(nodes):
+        node.chars = 0
         for part in node.parts:
             if isinstance(part, str):
-                node.chars += len(part) - part.count(" ") if not part.isspace() else 0
+                node.chars += _ink(part)
             elif not part.off:
                 node.chars += part.chars
                 node.tags += part.tags + 1
@@ -199,16 +253,8 @@ def weigh(root: Node) -> list[Node]:
                 node.link_tags += part.link_tags + (part.name == "a")
         if node.name == "a":
             node.link_chars = node.chars
-    chars, link_chars = max(root.chars, 1), root.link_chars
     for node in reversed(nodes):
-        c, lc = node.chars, node.link_chars
-        if c:
-            tags, link_tags = max(node.tags, 1), max(node.link_tags, 1)
-            plain = max(c - lc, 1)
-            base = math.log(c / plain * lc + link_chars / chars * c + math.e)
-            node.density = c / tags * math.log(max(c / max(lc, 1) * tags / link_tags, 1.0)) / math.log(base) if base > 1 else c / tags
-            if base <= math.e + 1e-9 and not lc:
-                node.density = max(node.density, c / tags)
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, root.chars, root.link_chars)
         inner = [x for x in node.parts if isinstance(x, Node) and not x.off]
         node.total = sum(x.density for x in inner) or node.density  # a leaf stands for itself
         for x in inner:
@@ -217,32 +263,58 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
-def _path(node: Node, above: Node) -> Iterator[Node]:
-    """From the node up to `above`."""
-    while True:
+def _path(node: Node) -> Iterator[Node]:
+    while node is not None:
         yield node
-        if node is above:
-            return
         node = node.parent
 
 
+def _article(node: Node) -> Node | None:
+    """The outermost article element around the node, or the one that holds over half of its text."""
+    around = [x for x in _path(node) if x.name == "article"]
+    if around:
+        return around[-1]
+    todo = [x for x in node.parts if isinstance(x, Node) and not x.off]
+    while todo:
+        x = todo.pop()
+        if 2 * x.chars > node.chars:  # at most one child holds over half
+            if x.name == "article":
+                return x
+            todo = [y for y in x.parts if isinstance(y, Node) and not y.off]
+    return None
+
+
 def choose(root: Node) -> set[int]:
-    """Ids of the nodes whose subtrees are article text."""
-    threshold = min(x.density for x in _path(root.best, root))
+    """Ids of the nodes whose subtrees are the main text; what they hold that is none of it is set off."""
+    best = root.best
+    threshold = min(x.density for x in _path(best))
+    article = _article(best)
     chosen: set[int] = set()
-    seen: set[int] = set()
-    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    if article is not None:
+        chosen.add(id(article))
+        inside = [article]
+    else:
+        inside, todo, seen = [], [root], set()
+        while todo:
+            node = todo.pop()
+            if node.density >= threshold and 5 * node.best.total >= best.total and node.chars and id(node.best) not in seen:
+                seen.add(id(node.best))
+                chosen.add(id(node.best))
+                inside.append(node.best)
+            if id(node) not in chosen:
+                todo += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.off]
+    todo = inside
     while todo:
-        node, article = todo.pop()
-        article = article or (node if node.name == "article" else None)
-        if node.density >= threshold and node.chars and id(node.best) not in seen:
-            seen.add(id(node.best))
-            holder = article
-            for x in _path(node.best, node) if article is None else ():
-                holder = x if x.name == "article" else holder
-            chosen.add(id(holder or node.best))
-        if id(node) not in chosen:
-            todo += [(x, article) for x in reversed(node.parts) if isinstance(x, Node) and not x.off]
+        node = todo.pop()
+        for x in node.parts:
+            if isinstance(x, Node) and not x.off:
+                sparse = x.density < threshold and x.name in CONTAINERS
+                linked = x.link_tags > 1 and 2 * x.link_chars > x.chars
+                loose = node.name in ("html", "body") and 5 * x.best.total < best.total
+                if sparse and (linked or loose):
+                    x.off = True
+                else:
+                    todo.append(x)
     return chosen
 
 
@@ -252,7 +324,7 @@ def _blocks(root: Node, chosen: set[int]) -> str:
 
     def close() -> None:
         if inline:
-            text = " ".join(unescape("".join(inline)).split())
+            text = " ".join("".join(inline).split())
             if text:
                 blocks.append(text)
             inline.clear()
@@ -264,7 +336,7 @@ def _blocks(root: Node, chosen: set[int]) -> str:
             close()
         elif isinstance(part, str):
             if on:
-                inline.append(part)
+                inline.append(unescape(part) if "&" in part else part)
         elif not part.off:
             on = on or id(part) in chosen
             if part.name in BLOCK:
@@ -283,12 +355,10 @@ def main_text(page: str | None) -> str:
     """The article text of one page: blocks in page order, one to a line."""
     if not page:
         return ""
-    for loose in (False, True):  # a form or a marked wrapper may hold the whole page: then few parts are set aside
-        root = parse(page, loose)
-        weigh(root)
-        if text := _blocks(root, choose(root)):
-            return text
-    return ""
+    root = parse(page)
+    set_marks_aside(root)
+    weigh(root)
+    return _blocks(root, choose(root))
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

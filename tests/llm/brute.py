@@ -110,3 +110,33 @@ def mix(rows, seed=7):
         for r, k in enumerate(own):
             copies[k] = min(2, math.floor((r + 1) * expected + start) - math.floor(r * expected + start))
     return copies, sizes, aims
+
+
+def densities(tree, page=None):
+    """[(density, sum of the children's densities)] in page order of a tree of (name, parts): composite text density, by recursion."""
+
+    def count(node):
+        name, parts = node
+        chars = tags = link_chars = link_tags = 0
+        for x in parts:
+            if isinstance(x, str):
+                chars += len(x.replace(" ", ""))
+            else:
+                c, t, lc, lt = count(x)
+                chars, tags, link_chars, link_tags = chars + c, tags + t + 1, link_chars + lc, link_tags + lt + (x[0] == "a")
+        return chars, tags, chars if name == "a" else link_chars, link_tags
+
+    page = page or count(tree)
+
+    def density(node):
+        c, t, lc, lt = count(node)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + page[2] / max(page[0], 1) * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(max(base, 2))
+
+    inner = [x for x in tree[1] if not isinstance(x, str)]
+    out = [(density(tree), sum(map(density, inner)) or density(tree))]
+    for x in inner:
+        out += densities(x, page)
+    return out

@@ -1,9 +1,11 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
-from briarlake.llm.html import extract_pages, main_text
+from briarlake.llm.html import extract_pages, main_text, parse, set_marks_aside, weigh
 from briarlake.llm.queries import op2_html_extraction
 from tests.llm import brute
 
@@ -41,14 +43,88 @@ def test_deep_and_long_pages():
 
 
 def test_table(spark):
-    pages = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "x"), (1, "u", f"<p>{LONG}</p>", "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "x"), (1, "u", f"<p>{LONG}</p>", "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")  # text: a clashing name
     assert sorted(extract_pages(pages).collect(), key=str) == sorted([(1, "u", LONG, len(LONG))] * 2 + [(None, None, "", 0)], key=str)
     assert extract_pages(pages.limit(0)).count() == 0
 
 
+def article_text(page):
+    article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
+    return "\n".join(b for b in blocks if b)
+
+
 def test_query_against_article_elements(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{brute.SMALL}/pages.parquet").collect()}
     for r in op2_html_extraction(spark, brute.SMALL).collect():
-        article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
-        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == article_text(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_density_decides_without_names(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    plain = [re.sub(r' (class|id)="[^"]*"', "", p) for p in pages]
+    assert sum(main_text(p) == article_text(p) for p in plain) >= 0.95 * len(pages)
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", p) for p in plain]
+    assert sum(main_text(b) == article_text(p) for b, p in zip(bare, plain, strict=True)) >= 0.85 * len(pages)
+
+
+def test_densities_against_recursion():
+    draw = random.Random(5)
+
+    def grow(depth):
+        parts = []
+        for _ in range(draw.randrange(4)):
+            if draw.random() < 0.5 or not depth:
+                parts.append("x" * draw.randrange(1, 60) + " y")
+            else:
+                parts.append((draw.choice(["div", "span", "a", "section", "b"]), grow(depth - 1)))
+        return parts
+
+    def write(node):
+        return f"<{node[0]}>" + "".join(x if isinstance(x, str) else write(x) for x in node[1]) + f"</{node[0]}>"
+
+    for _ in range(300):
+        tree = ("body", grow(5))
+        root = parse(write(tree))
+        set_marks_aside(root)
+        nodes = weigh(root)
+        want = brute.densities(tree)
+        assert [(n.density, n.total) for n in nodes[1:]] == pytest.approx(want)
+        top = max(x[1] for x in want)
+        assert root.best.total == pytest.approx(top)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='sidebar'>Side text here</div><div class=ad>Buy now cheap</div><div id=comments>First! great post</div>",
+        "<form><label>Name</label><input name=a><input type=password><button>Sign in</button></form>",
+        "<nav><a href=x>Home</a></nav><footer>c</footer>",
+    ],
+)
+def test_pages_without_an_article_are_empty(page):
+    assert main_text(page) == ""
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>" + "İstanbul İzmir " * 40 + f"</p><script>var a = 1</script><p>{LONG}</p>", ("İstanbul İzmir " * 40).strip() + "\n" + LONG),
+        (f"<article><p>{LONG}</p><p>is <math><mi>E</mi></math> and more</p></article>", f"{LONG}\nis E and more"),
+        (f"<article><p>{LONG}</p><section class='related-work'><p>Other work</p></section><section class='popular-science'>Science</section></article>", f"{LONG}\nOther work\nScience"),
+        (f"<form><input type=hidden><div class='comments-open'><div class='widget Blog'><h1>T</h1><p>{LONG}</p></div></div></form><div>credit</div>", f"T\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><section id=comments>" + f"<article><p>{LONG} {LONG}</p></article>" * 9 + "</section>", LONG),
+        (f"<div>{LONG} {LONG}</div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG}\n{LONG}\n{LONG}"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p><ul><li><a href=1>aa bb</a></li><li><a href=2>cc dd</a></li></ul></div>", f"{LONG}\n{LONG}"),
+        ("<p>&am<b></b>p; x</p>", "&amp; x"),
+    ],
+)
+def test_whole_articles(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<span>" * 20000 + "text" + "</b>" * 20000, "<b><div>" + "<span>" * 20000 + "text" + "</b>" * 20000, "<p><b>" * 20000 + "text"])
+def test_linear_time(page):
+    began = time.time()
+    assert main_text(page) == "text"
+    assert time.time() - began < 5
