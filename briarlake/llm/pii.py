@@ -1,17 +1,30 @@
 """Format-preserving pseudonyms for personal data by a keyed Feistel permutation.
 
-Values that pass their format's check (Luhn digit, calendar, octets, check sum,
-number ranges) are replaced by another value of the same format. The replacement
-is a keyed permutation of all values of the format, so equal values get equal
-pseudonyms in every document, different values never meet, and the owner of the
-key can restore them. No value is its own pseudonym.
+Values that pass their format's check (Luhn digit and issuer, calendar, octets,
+address ranges, check sum, numbering plans) are replaced by another value of the
+same format. The replacement is a keyed permutation of all values of the format,
+so equal values get equal pseudonyms in every document, different values never
+meet, and the owner of the key can restore them. No value is its own pseudonym.
 
 The permutation P of 0..n-1 is a balanced Feistel network on the next even number
 of bits, walked until the value is below n; the pseudonym of x is
 P^-1(P(x) + k mod n) with a keyed k between 1 and n - 1.
 
+All kinds are found in the text as it came, none within another: an address
+before a secret, then account number (IBAN), IPv6 address and other numbers.
+What is linked: e-mail local parts that differ in case only; a North American
+number with or without +1 or 1; a national number with or without brackets; an
+IPv6 address in short or full form; a card number in any grouping.
+
+Numbers of 16 digits are accounts whatever their check digit: account numbers of
+the corpora have none, and a miss would be a leak. The distance from the check
+digit stays. Other lengths of 13 to 19 digits need a valid check digit and an
+issuer's first digits.
+
 Defined results: a null text stays null; texts without such values come back as
-they are, byte for byte; values are found in whole texts; each occurrence counts.
+they are, byte for byte; values are found in whole texts; each occurrence counts;
+an IPv6 address in mixed case is restored in small letters; other columns pass
+through untouched, whatever their names; repeated rows each get their text.
 """
 
 from __future__ import annotations
@@ -24,16 +37,18 @@ from collections import Counter
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briarlake.llm.text import small_batches
+from briarlake.llm.text import fresh, named, small_batches
 
-#: Stand-in for tests; production passes its own from a secret store.
+#: For tests and test tables only; production sets KEY_SETTING from a secret store.
 KEY = b"briarlake demonstration key"
+KEY_SETTING = "spark.briarlake.pseudonym.key"
 KINDS = ("email", "account", "phone", "ssn", "ip", "day", "iban", "secret")
 ROUNDS = 8
 
@@ -92,6 +107,11 @@ def luhn(payload: str) -> int:
     return -total % 10
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key; that of the tests if it has none."""
+    return (spark.conf.get(KEY_SETTING, None) or KEY.decode()).encode()
+
+
 Move = Callable[[str, int, int], int]
 """(domain, size, value) to the value's pseudonym."""
 
@@ -100,26 +120,59 @@ def _number(move: Move, domain: str, digits: str) -> str:
     return str(move(f"{domain}{len(digits)}", 10 ** len(digits), int(digits))).zfill(len(digits))
 
 
-def _account(move: Move, value: str) -> str:
-    """Luhn-valid numbers become Luhn-valid ones; the distance from the check digit stays in the others."""
+#: First digits of issuers whose card numbers have 13, 14, 15 or 17 to 19 digits.
+_ISSUERS = {13: ("4",), 14: ("30", "36", "38", "39"), 15: ("34", "37"), 17: ("5", "6"), 18: ("5", "6"), 19: ("4", "5", "6")}
+
+
+def _account(move: Move, value: str) -> str | None:
+    """16 digits keep their distance from the check digit; other lengths keep two digits and are valid before and after."""
     digits = _digits(value)
     offset = int(digits[-1]) - luhn(digits[:-1])
-    payload = _number(move, "account", digits[:-1])
+    if len(digits) == 16:
+        payload = _number(move, "account", digits[:-1])
+    elif offset == 0 and digits.startswith(_ISSUERS[len(digits)]):
+        payload = digits[:2] + _number(move, f"account{digits[:2]}", digits[2:-1])
+    else:
+        return None
     return _refill(value, payload + str((luhn(payload) + offset) % 10))
 
 
-def _phone(move: Move, value: str) -> str:
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: First two digits of country codes of three digits.
+_THREE = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+
+
+def _north_american(move: Move, digits: str) -> str:
+    """Numbers whose area and exchange are 200 or more stay such, the others stay others, with or without a 0 in front."""
+    area, exchange, line = int(digits[:3]), int(digits[3:6]), int(digits[6:])
+    if area >= 200 and exchange >= 200:
+        moved, line = divmod(move("nanp", 800 * 800 * 10**4, ((area - 200) * 800 + exchange - 200) * 10**4 + line), 10**4)
+        return f"{moved // 800 + 200}{moved % 800 + 200}{line:04d}"
+    trunk = digits[0] == "0"
+    while True:
+        digits = _number(move, "unassigned", digits)
+        if (digits[0] in "01" or digits[3] in "01") and (digits[0] == "0") == trunk:
+            return digits
+
+
+def _phone(move: Move, value: str) -> str | None:
     """The country code after a + and the trunk 0 of a national number stay."""
-    bare = re.fullmatch(r"(1?)([2-9]\d\d)([2-9]\d\d)(\d{4})", value, re.ASCII)
-    if bare:  # within the North American numbering plan: area and exchange of 200 or more
-        moved, line = divmod(move("nanp", 800 * 800 * 10**4, ((int(bare[2]) - 200) * 800 + int(bare[3]) - 200) * 10**4 + int(bare[4])), 10**4)
-        area, exchange = divmod(moved, 800)
-        return f"{bare[1]}{area + 200}{exchange + 200}{line:04d}"
-    trunk = re.match(r"0(?=\d)", value) if _TRUNK.fullmatch(value) else None
-    code = trunk or re.match(r"\+\d{1,3}(?=\D)", value)
-    head = code[0] if code else ""
-    rest = value[len(head) :]
-    return head + _refill(rest, _number(move, "phone", _digits(rest)))
+    digits = _digits(value)
+    if value[0] == "+":
+        code = digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in _TWO else digits[:3] if digits[:2] in _THREE else ""
+        rest = digits[len(code) :]
+        if not code or not 8 <= len(digits) <= 15 or code == "1" and len(rest) != 10:
+            return None
+        return _refill(value, code + (_north_american(move, rest) if code == "1" else _number(move, f"phone{code}:", rest)))
+    if digits[0] == "0" and (value[0] == "(" or _TRUNK.fullmatch(value)):
+        return _refill(value, "0" + _number(move, "phone", digits[1:]))
+    if len(digits) == 10 or len(digits) == 11 and digits[0] == "1":
+        return _refill(value, digits[:-10] + _north_american(move, digits[-10:]))
+    while True:
+        digits = _number(move, "local", digits)
+        if digits[0] != "0" and (len(digits) != 11 or digits[0] != "1"):
+            return _refill(value, digits)
 
 
 #: Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
@@ -145,6 +198,44 @@ def _ip(move: Move, value: str) -> str | None:
     return ".".join(map(str, moved.to_bytes(4)))
 
 
+#: Ranges of IPv6 addresses that name a host: base and free bits.
+_V6 = ((0x2000 << 112, 125), (0xFC00 << 112, 121), (0xFE80 << 112, 118))
+
+
+def _ip6(move: Move, value: str) -> str | None:
+    """Addresses stay in their range, and keep being or not being the same in short and full form."""
+    upper, value = value.upper() == value != value.lower(), value.lower()
+    try:
+        number = int(IPv6Address(value))
+    except AddressValueError:
+        return None
+    found = next(((base, bits) for base, bits in _V6 if number >> bits == base >> bits), None)
+    if found is None:
+        return None
+    base, bits = found
+    forms = lambda n: (IPv6Address(n).compressed, IPv6Address(n).exploded)
+    own = forms(number)
+    if value in own:
+        plain = own[0] == own[1]
+        while True:
+            number = base | move(f"ip6:{bits}:{plain}", 1 << bits, number & ((1 << bits) - 1))
+            made = forms(number)
+            if (made[0] == made[1]) == plain:
+                value = made[own.index(value)]
+                break
+    else:  # another spelling: its digits after the first group, as long as it stays one
+        head, colon, tail = value.partition(":")
+        places = [k for k, c in enumerate(tail) if c in "0123456789abcdef"]
+        shape, digits = "".join("0" if c != ":" else c for c in tail), "".join(tail[k] for k in places)
+        while True:
+            digits = f"{move(f'ip6:{shape}', 1 << 4 * len(places), int(digits, 16)):0{len(places)}x}"
+            left = iter(digits)
+            value = head + colon + "".join(c if c == ":" else next(left) for c in shape)
+            if value not in forms(int(IPv6Address(value))) and (not upper or value.upper() != value):
+                break
+    return value.upper() if upper else value
+
+
 def _is_day(year: int, month: int, day: int) -> bool:
     try:
         date(year, month, day)
@@ -191,43 +282,54 @@ def _day(move: Move, value: str) -> str | None:
     return days[move(f"day{key}", len(days), place[value])]
 
 
+def _folded(c: str) -> str:
+    """The small letter of a letter that has exactly one small and one capital form; others stay."""
+    low = c.lower()
+    return low if len(low) == 1 and len(up := low.upper()) == 1 and up != low and up.lower() == low and c in (low, up) else c
+
+
 @lru_cache(1)
 def _alphabets() -> dict[tuple[str, int], str]:
-    """Letters and digits beyond ASCII by category and block of 256; what stands alone in its block is joined by category."""
+    """Letters and digits beyond ASCII by kind and block of 256, of pairs of cases the small ones; what stands alone in its block is joined by kind."""
     by: dict[tuple[str, int], list[str]] = {}
     for n in range(128, sys.maxunicode + 1):
-        if chr(n).isalnum():
-            by.setdefault((unicodedata.category(chr(n)), n >> 8), []).append(chr(n))
+        c = chr(n)
+        if c.isalnum() and _folded(c) == c:
+            by.setdefault((_kind(c), n >> 8), []).append(c)
     for kind, block in [x for x, found in by.items() if len(found) < 2]:
         by.setdefault((kind, -1), []).extend(by.pop((kind, block)))
     return {x: "".join(found) for x, found in by.items()}
 
 
+def _kind(c: str) -> str:
+    return "pair" if c.upper() != c and _folded(c.upper()) == c else unicodedata.category(c)
+
+
 @lru_cache(4096)
 def _alphabet(c: str) -> str:
-    """The characters among which a letter or digit moves; none for others."""
-    for known in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+    """The characters among which a letter or digit of folded case moves; none for others."""
+    for known in ("0123456789", "abcdefghijklmnopqrstuvwxyz"):
         if c in known:
             return known
-    kind = unicodedata.category(c)
-    return (_alphabets().get((kind, ord(c) >> 8)) or _alphabets()[kind, -1]) if c.isalnum() else ""
+    return (_alphabets().get((_kind(c), ord(c) >> 8)) or _alphabets()[_kind(c), -1]) if c.isalnum() else ""
 
 
 def _mixed(move: Move, domain: str, value: str) -> str | None:
     """Digits stay digits, small and capital letters stay such, in their script; all else stays. None without any."""
-    bases = [_alphabet(c) for c in value]
+    folded = [_folded(c) for c in value]
+    bases = [_alphabet(c) for c in folded]
     size = index = 0
-    for c, base in zip(value, bases, strict=True):
+    for c, base in zip(folded, bases, strict=True):
         if base:
             size, index = (size or 1) * len(base), index * len(base) + base.index(c)
-    if not size:
+    if size < 2:
         return None
     index = move(f"{domain}:{''.join(b[0] if b else c for b, c in zip(bases, value, strict=True))}", size, index)
     out = list(value)
     for k in range(len(value) - 1, -1, -1):
         if bases[k]:
             index, digit = divmod(index, len(bases[k]))
-            out[k] = bases[k][digit]
+            out[k] = bases[k][digit] if folded[k] == value[k] else bases[k][digit].upper()
     return "".join(out)
 
 
@@ -266,59 +368,69 @@ def _marks() -> str:
 
 
 _LOCAL = rf"\w{_marks()}.%+-"
-_EMAIL = re.compile(rf"(?<![{_LOCAL}])[{_LOCAL}]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}(?![A-Za-z0-9_-])")
-_TRUNK = re.compile(r"0\d(?:(?: ?[/-] ?|[ .])?\d){7,10}", re.ASCII)
+_EMAIL = re.compile(rf"(?<![{_LOCAL}])[{_LOCAL}]+@(?:[\w-]+\.)+[^\W\d_]{{2,}}(?![A-Za-z0-9_-])")
+_TRUNK = re.compile(r"0\d(?:(?:(?: ?[/-] ?| )?\d){7,10}|(?:\.?\d){7,10})", re.ASCII)
 _NUMBERS = re.compile(
     r"(?<![\w.-])(?:"
     r"(?P<day>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4}|\d\d?-\d\d?-\d{4})"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
     r"|(?P<account>\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{4,5})"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|(?:\+?\d{1,3}[ .-])?\d{3}(?P<u>[ .-])\d{3}(?P=u)\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}"
-    r"|(?a:1?[2-9]\d\d[2-9]\d{6}|0\d(?:(?: ?[/-] ?|[ .])?\d){7,10}(?![/@]|\d)))"
-    r")(?:(?![\w]|[.-]\d)|(?=[Tt]\d\d:?\d\d))"
+    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[2-9](?:(?:[ -]?\(?\d\)?){7,14}|(?:\.?\d){7,14})|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:1[ .-])?\d{3}(?P<u>[ .-])\d{3}(?P=u)\d{4}"
+    r"|1?[2-9]\d\d[2-9]\d{6}|0\d(?:(?:(?: ?[/-] ?| )?\d){7,10}|(?:\.?\d){7,10})(?![/@]|\d))"
+    r")(?:(?![\w]|[.-]\d)|(?=[Tt]\d\d:?\d\d))(?!(?::[0-9A-Fa-f]{1,4}){0,6}::|(?::[0-9A-Fa-f]{1,4}){7})",  # not an IPv6 address's first group
+    re.ASCII,
 )
 _MAYBE = re.compile(r"\d[\d().+/ -]{6}")
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])")
 _IBAN = re.compile(r"\b[A-Z]{2}\d\d[A-Z0-9]{11,30}\b")
 _SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)[\"']?\s*[:=]\s*[\"']?)\b([0-9a-f]{32,128}|[0-9A-F]{32,128})\b")
 _HEX = re.compile(r"[0-9a-fA-F]{32}")
-_BY_KIND = {"day": _day, "ssn": _ssn, "ip": _ip, "account": _account, "phone": _phone}
+_BY_KIND = {"email": _email, "secret": _secret, "iban": _iban, "ip6": _ip6, "day": _day, "ssn": _ssn, "ip": _ip, "account": _account, "phone": _phone}
+#: Pattern, group of the value or None if the group's name is the kind, kind, and what a text needs at least.
+_FINDERS = (
+    (_EMAIL, 0, "email", lambda text: "@" in text),
+    (_SECRET, 1, "secret", _HEX.search),
+    (_IBAN, 0, "iban", _IBAN.search),
+    (_IP6, 0, "ip6", lambda text: "::" in text or text.count(":") > 6),
+    (_NUMBERS, None, None, _MAYBE.search),
+)
 
 
 def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, Counter]:
     """The text with pseudonyms, and how many values of each kind were replaced. `back` restores them."""
-    counts: Counter = Counter()
 
     def move(domain: str, size: int, value: int) -> int:
         return _permutation(key, domain, size).move(value, back)
 
-    def replaced(kind: str, value: str, made: str | None) -> str:
-        if made is None:
-            return value
-        counts[kind] += 1
-        return made
-
-    if "@" in text:
-        text = _EMAIL.sub(lambda m: replaced("email", m[0], _email(move, m[0])), text)
-    if _HEX.search(text):
-        text = _SECRET.sub(lambda m: m[0][: m.start(1) - m.start()] + replaced("secret", m[1], _secret(move, m[1])), text)
-    if _IBAN.search(text):
-        text = _IBAN.sub(lambda m: replaced("iban", m[0], _iban(move, m[0])), text)
-    if _MAYBE.search(text):
-
-        def number(m: re.Match) -> str:
-            kind = next(k for k in _BY_KIND if m[k] is not None)
-            return replaced(kind, m[0], _BY_KIND[kind](move, m[0]))
-
-        text = _NUMBERS.sub(number, text)
-    return text, counts
+    spans: list[tuple[int, int, str, str]] = []
+    for pattern, group, kind, needed in _FINDERS:
+        if not needed(text):
+            continue
+        ends = [0, *(x for a, b, *_ in spans for x in (a, b)), len(text)]
+        for a, b in zip(ends[::2], ends[1::2], strict=True):  # the gaps between what is found
+            for m in pattern.finditer(text, a, b):
+                name = kind or next(k for k in ("day", "ssn", "ip", "account", "phone") if m[k] is not None)
+                place = group if group is not None else name
+                if m.end() == b < len(text) or 0 < a == m.start():
+                    continue  # touches another value: what it is depends on that
+                if (made := _BY_KIND[name](move, m[place])) is not None:
+                    spans.append((m.start(place), m.end(place), name, made))
+        spans.sort()
+    if not spans:
+        return text, Counter()
+    out, at = [], 0
+    for a, b, _, made in spans:
+        out += text[at:a], made
+        at = b
+    return "".join(out) + text[at:], Counter("ip" if x[2] == "ip6" else x[2] for x in spans)
 
 
 _KIND = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS]])
 
 
-def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", back: bool = False) -> DataFrame:
-    """`docs` with pseudonyms in the text column, and a struct `_found` of the counts by kind."""
+def replace(docs: DataFrame, key: bytes, text: str = "text", back: bool = False, found: str | None = None) -> DataFrame:
+    """`docs` with pseudonyms in the text column; with the struct column `found` of the counts by kind if named."""
 
     @F.arrow_udf(_KIND)
     def moved(texts: pa.Array) -> pa.Array:
@@ -327,12 +439,13 @@ def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", back: bool =
         return pa.StructArray.from_arrays(columns, names=["text", *[f"n_{k}" for k in KINDS]])
 
     small_batches(docs.sparkSession)
-    kept = docs.withColumn("_found", moved(F.col(text)))
-    return kept.withColumn(text, F.col("_found.text"))
+    made = fresh(docs, "_made")
+    columns = [F.col(made)["text"].alias(c) if c == text else named(c) for c in docs.columns if c != found]
+    return docs.withColumn(made, moved(named(text))).select(*columns, *([F.col(made).alias(found)] if found else []))
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_found and the counts by kind) for every row."""
-    found = replace(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), key)
+    found = replace(docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")), key, found="_found")
     counts = [F.col(f"_found.n_{k}").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", "text", sum((F.col(f"_found.n_{k}") for k in KINDS), F.lit(0).cast("long")).alias("n_found"), *counts)

@@ -64,7 +64,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(_table(spark, sf_dir, "documents"))
+    return pii.pseudonyms(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

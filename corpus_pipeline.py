@@ -22,7 +22,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts give way to pseudonyms; n_chars follows the text."""
-    moved = pii.replace(docs).drop("_found")
+    moved = pii.replace(docs, pii.session_key(spark))
     return moved.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else moved
 
 

@@ -1,6 +1,10 @@
+import random
+import re
+from ipaddress import IPv6Address
+
 import pytest
 
-from briarlake.llm.pii import KINDS, Permutation, luhn, pseudonymize, pseudonyms
+from briarlake.llm.pii import KEY, KINDS, Permutation, luhn, pseudonymize, pseudonyms, replace
 from briarlake.llm.queries import op10_pii_pseudonyms
 from tests.llm import brute
 
@@ -51,10 +55,10 @@ def test_clean_texts_stay(text):
 
 def test_table(spark):
     docs = spark.createDataFrame([(1, "a@b.org", 0), (1, "a@b.org", 0), (None, None, 0), (2, "", 0), (3, "x " * 200_000 + "10.0.0.1", 0)], "doc_id long, text string, n_ip int")
-    rows = pseudonyms(docs).collect()
+    rows = pseudonyms(docs, KEY).collect()
     assert len(rows) == 5 and sum(r.n_found for r in rows) == 3
     assert {r.text for r in rows if r.doc_id in (None, 2)} == {None, ""}
-    assert pseudonyms(docs.limit(0)).count() == 0
+    assert pseudonyms(docs.limit(0), KEY).count() == 0
 
 
 def test_query_can_be_undone(spark):
@@ -106,3 +110,85 @@ def test_days_before_a_time(text):
 def test_numbers_that_are_no_phones_stay():
     for text in ("0.123456789", "stamp 1704067200", "id 00 12", "ISBN 0-19-852663-6", "5432 of 1234567"):
         assert pseudonymize(text) == (text, {})
+
+
+def _digits(draw, n):
+    return "".join(draw.choice("0123456789") for _ in range(n))
+
+
+def _value(draw):
+    d = lambda n: _digits(draw, n)
+    h = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    checked = lambda x: x + str(luhn(x))
+    sign = draw.choice("./-")
+    return draw.choice([
+        lambda: draw.choice("abXYéÉя李") + "".join(draw.choice("abcXY019._-éЯ") for _ in range(draw.randrange(8))) + draw.choice(["@x.com", "@mail.example.org", "@bücher.de"]),
+        lambda: d(16), lambda: checked("4" + d(11)), lambda: checked("37" + d(12)), lambda: checked("6" + d(17)), lambda: "-".join(d(4) for _ in range(4)), lambda: d(draw.randrange(5, 20)),
+        lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"1-{d(3)}-{d(3)}-{d(4)}", lambda: d(10), lambda: f"0{d(2)} {d(4)} {d(4)}",
+        lambda: f"+{d(2)} " + " ".join(d(draw.randrange(1, 4)) for _ in range(draw.randrange(2, 6))), lambda: f"({d(3)}) {d(4)}{d(3)}", lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: ".".join(str(draw.randrange(300)) for _ in range(4)), lambda: f"{draw.randrange(1890, 2110)}-{draw.randrange(1, 14):02d}-{draw.randrange(1, 33):02d}",
+        lambda: f"{draw.randrange(1, 33)}{sign}{draw.randrange(1, 14)}{sign}{draw.randrange(1890, 2110)}",
+        lambda: "2001:" + ":".join(h(draw.randrange(1, 5)) for _ in range(7)), lambda: f"fe80::{h(3)}:{h(4)}", lambda: f"2001:0db8::{h(2)}", lambda: "2001:0db8:0000:0000:0000:0000:0000:" + h(4),
+        lambda: f'token = "{h(40)}"', lambda: "GB82WEST12345698765432", lambda: "DE89370400440532013000", lambda: draw.choice(["word", "7", "2020", "(x)", "a.b", "::", "T10:00"]),
+    ])()
+
+
+def test_ten_thousand_mixtures_come_back():
+    draw = random.Random(8)
+    for _ in range(10_000):
+        text = "".join(_value(draw) + draw.choice([" ", ", ", "\n", ". ", ";", "(", "x", "-", "@", ": "]) for _ in range(draw.randrange(1, 6)))
+        out, counts = pseudonymize(text)
+        assert pseudonymize(out, back=True) == (text, counts)
+
+
+def test_no_value_lies_within_another():
+    out, counts = pseudonymize("to 1234567890123@example.com, ok")
+    assert counts == {"email": 1} and pseudonymize(out, back=True)[0] == "to 1234567890123@example.com, ok"
+
+
+@pytest.mark.parametrize("text", ["1700000000000", "9780306406157", "411111111111112", "601111111111111710", "+289 123 4567", "+1 23 4567 8901", "std::string", "a::b", "10:30:59", "00:1b:44:11:3a:b7", "::1"])
+def test_numbers_that_fail_their_check_stay(text):
+    assert pseudonymize(f"n {text}, x") == (f"n {text}, x", {})
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        ["Bob@x.com", "bob@x.com", "BOB@x.com"],
+        ["émile@x.de", "ÉMILE@x.de"],
+        ["1-555-123-4567", "555-123-4567", "+1 555-123-4567", "(555) 123-4567", "+1 (555) 123-4567"],
+        ["443-555-5793", "4435555793", "14435555793"],
+        ["(030) 1234567", "030 1234567", "030/1234567"],
+        ["2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:DB8::1"],
+        ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+    ],
+)
+def test_spellings_stay_linked(values):
+    def bare(x):
+        x = pseudonymize(f"v {x} w")[0][2:-2].lower()
+        if "@" in x:
+            return x
+        return IPv6Address(x) if ":" in x else "".join(c for c in x if c.isdigit())[-10:].lstrip("0")
+
+    made = [bare(v) for v in values]
+    assert len(set(made)) == 1 and made[0] != bare(values[0] + "0")
+
+
+def test_nothing_personal_of_the_table_is_left(spark):
+    """A finder of its own: no address, number of 9 digits or more, or key of the texts stays in them."""
+    finder = re.compile(r"[\w.+-]+@[\w.-]+|(?:\d[ ()./-]{0,2}){9,}|\b[0-9a-f]{40}\b|\b\d+\.\d+\.\d+\.\d+\b")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{brute.SMALL}/documents.parquet").collect()}
+    out = {r.doc_id: r.text or "" for r in op10_pii_pseudonyms(spark, brute.SMALL).collect()}
+    seen = 0
+    for d, text in texts.items():
+        for m in finder.findall(text):
+            seen += 1
+            assert m.strip(" ().-/") not in out[d]
+    assert seen > 10
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.org", "f", "m", "d")], "doc_id long, text string, _found string, _made string, `a.b` string")
+    out = replace(docs, b"k")
+    assert out.columns == docs.columns and out.drop("text").collect() == docs.drop("text").collect()
+    assert replace(docs, b"k", found="counts").first().counts.n_email == 1
