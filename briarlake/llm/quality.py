@@ -3,13 +3,16 @@
 Every document is tried by four rules. Failures are counted by host (the
 `source` column), each host's failure rate of each rule is shrunk towards the
 rate of all hosts by a beta prior fitted to the hosts by the method of moments,
-and a host is rejected when a shrunk rate exceeds the limit. The verdict is
-joined back to the documents.
+and a host is rejected when the odds of a shrunk rate are several times those of
+the prior's mean and the rate is not small. A host is thus judged against the
+others: where all hosts are alike, none goes, and a few bad documents of a small
+host don't condemn it. The verdict is joined back to the documents.
 
 Defined results: a null or empty text has no words and fails `too_short`; a
 document of null source has no host and stands by its own rules; repeated rows
-count as often as they occur; columns other than text and source pass through
-untouched (clashing names are overwritten only in `with_metrics`).
+count as often as they occur; a rate at the limit (a tie) does not reject; an
+empty table has no hosts. `judge` and `host_verdicts` return the columns named
+there; `filter_documents` returns the columns of `docs`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from briarlake.llm.text import small_batches
+from briarlake.functions.numeric import fixed
+from briarlake.llm.text import fresh, named, small_batches
 from briarlake.scratch import Scratch
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -35,12 +39,13 @@ _NOT_COUNTED = bytes([*range(0x80, 0xC0), 0x20, *range(0x09, 0x0E)])
 
 @dataclass(frozen=True)
 class HostRules:
-    """A host is rejected when a shrunk failure rate exceeds `max_rate`.
+    """A host is rejected when a shrunk failure rate exceeds `min_rate` and its odds are over `odds` times the prior mean's.
 
     `max_strength` bounds the prior's weight in documents, for hosts that hardly differ.
     """
 
-    max_rate: float = 0.8
+    odds: float = 4.0
+    min_rate: float = 0.25
     max_strength: float = 1000.0
 
 
@@ -87,17 +92,18 @@ def _measured(texts: pa.Array) -> pa.Array:
 
 
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add METRICS of the whole text to every row."""
+    """Add METRICS of the whole text to every row; columns of these names are replaced."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in METRICS]
-    return docs.select(*kept, _measured(F.col(text).cast("binary")).alias("_m")).select(*kept, *[F.col(f"_m.{m}").alias(m) for m in METRICS])
+    made = fresh(docs, "_measured")
+    kept = [named(c) for c in docs.columns if c.lower() not in METRICS]
+    return docs.withColumn(made, _measured(named(text).cast("binary"))).select(*kept, *[F.col(made)[m].alias(m) for m in METRICS])
 
 
 #: Rule name and its failure, over METRICS. The first two fail the document itself.
 RULES = {
     "too_short": "n_words < 50",
     "repetitive": "100 * n_repeat_words > 50 * n_words",
-    "symbol_heavy": "10 * n_symbols > 10 * n_words",
+    "symbol_heavy": "n_symbols > n_words",
     "duplicate_lines": "10 * n_dup_lines > n_words",
 }
 BASE = ("too_short", "repetitive")
@@ -107,57 +113,65 @@ def base_failed() -> Column:
     return F.expr(" OR ".join(f"({RULES[r]})" for r in BASE))
 
 
-def host_verdicts(metrics: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
-    """One row per non-null host: documents, failures and shrunk rate of each rule, and `rejected`.
+def host_verdicts(metrics: DataFrame, rules: HostRules = HostRules(), host: str = "host") -> DataFrame:
+    """One row per non-null host: documents, failures and shrunk rate of each rule, host_odds and host_rejected.
 
     The prior of a rule has mean m = failures / documents over all hosts. With
     the variance v of the hosts' rates, weighted by documents, its strength is
-    m (1 - m) / v - 1, within 1 and `max_strength`.
+    m (1 - m) / v - 1, within 1 and `max_strength`. host_odds is the greatest
+    ratio, over the rules, of the shrunk rate's odds to those of m, counting
+    rates over `min_rate` only; 0 if there is none.
     """
-    hosts = metrics.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), *[F.sum(F.expr(f"CAST({x} AS INT)")).alias(f"{r}_failed") for r, x in RULES.items()])
-    rate = lambda r: F.col(f"{r}_failed") / F.col("n_docs")
-    mean = hosts.agg(*[F.try_divide(F.sum(f"{r}_failed"), F.sum("n_docs")).alias(f"{r}_mean") for r in RULES])
+    hosts = metrics.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("host_docs"), *[F.sum(F.expr(f"CAST({x} AS INT)")).alias(f"{r}_failed") for r, x in RULES.items()])
+    rate = lambda r: F.col(f"{r}_failed") / F.col("host_docs")
+    mean = hosts.agg(*[F.try_divide(F.sum(f"{r}_failed"), F.sum("host_docs")).alias(f"{r}_mean") for r in RULES])
     spread = hosts.crossJoin(F.broadcast(mean)).agg(
         *[F.max(f"{r}_mean").alias(f"{r}_mean") for r in RULES],
-        *[F.try_divide(F.sum(F.col("n_docs") * (rate(r) - F.col(f"{r}_mean")) * (rate(r) - F.col(f"{r}_mean"))), F.sum("n_docs")).alias(f"{r}_var") for r in RULES],
+        *[F.try_divide(F.sum(F.col("host_docs") * (rate(r) - F.col(f"{r}_mean")) * (rate(r) - F.col(f"{r}_mean"))), F.sum("host_docs")).alias(f"{r}_var") for r in RULES],
     )
     strength = lambda r: F.greatest(F.lit(1.0), F.least(F.lit(rules.max_strength), F.coalesce(F.try_divide(F.col(f"{r}_mean") * (1 - F.col(f"{r}_mean")), F.col(f"{r}_var")) - 1, F.lit(rules.max_strength))))
-    shrunk = {r: (F.col(f"{r}_failed") + F.col(f"{r}_mean") * strength(r)) / (F.col("n_docs") + strength(r)) for r in RULES}
-    judged = hosts.crossJoin(F.broadcast(spread)).select(host, "n_docs", *[f"{r}_failed" for r in RULES], *[v.alias(f"{r}_rate") for r, v in shrunk.items()])
-    over = F.greatest(*[F.col(f"{r}_rate") for r in RULES]) > rules.max_rate
-    return judged.withColumn("rejected", over)
+    shrunk = {r: (F.col(f"{r}_failed") + F.col(f"{r}_mean") * strength(r)) / (F.col("host_docs") + strength(r)) for r in RULES}
+    judged = hosts.crossJoin(F.broadcast(spread)).select(host, "host_docs", *[f"{r}_failed" for r in RULES], *[f"{r}_mean" for r in RULES], *[v.alias(f"{r}_rate") for r, v in shrunk.items()])
+    odds = lambda r: F.try_divide(F.col(f"{r}_rate") * (1 - F.col(f"{r}_mean")), (1 - F.col(f"{r}_rate")) * F.col(f"{r}_mean"))
+    most = F.greatest(*[F.when(F.col(f"{r}_rate") > rules.min_rate, odds(r)).otherwise(0.0) for r in RULES])
+    judged = judged.withColumn("host_odds", F.coalesce(most, F.lit(0.0))).drop(*[f"{r}_mean" for r in RULES])
+    return judged.withColumn("host_rejected", F.col("host_odds") > rules.odds)
 
 
-def judge(docs: DataFrame, scratch: Scratch, rules: HostRules = HostRules(), text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of every document with METRICS, base_failed, host_rejected and kept.
+def judge(docs: DataFrame, scratch: Scratch, rules: HostRules = HostRules(), text: str = "text", host: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, host, METRICS, base_failed, host_docs, the host's shrunk rates, host_odds, host_rejected and kept for every row.
 
     The metrics are written once, without the texts, and serve both the host
     rates and the result. Hosts are partially aggregated before the shuffle and
     their table is written: Spark broadcasts it only if it is small, else AQE
     splits the partition of a hot host.
     """
-    narrow = docs.select(*dict.fromkeys([*(keep or ["doc_id"]), host, text]))
-    metrics = scratch.keep(with_metrics(narrow, text).drop(*({text} - {*(keep or [])})))
-    verdicts = scratch.keep(host_verdicts(metrics, rules, host)).select(F.col(host).alias("_host"), F.col("rejected").alias("_rejected"))
-    joined = metrics.withColumn("base_failed", base_failed()).join(verdicts, F.col(host) == F.col("_host"), "left")
-    joined = joined.withColumn("host_rejected", F.coalesce("_rejected", F.lit(False))).drop("_host", "_rejected")
+    narrow = docs.select(named(doc_id).alias("doc_id"), named(host).cast("string").alias("host"), named(text).alias("_text"))
+    metrics = scratch.keep(with_metrics(narrow, "_text").drop("_text"))
+    verdicts = scratch.keep(host_verdicts(metrics, rules)).drop(*[f"{r}_failed" for r in RULES]).withColumnRenamed("host", "_host")
+    joined = metrics.withColumn("base_failed", base_failed()).join(verdicts, F.col("host") == F.col("_host"), "left").drop("_host")
+    joined = joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def digest(judged: DataFrame) -> DataFrame:
+    """The documents' verdicts with what speaks for them; rates to six decimals, null without a host."""
+    shown = [fixed(F.col(f"{r}_rate"), 6).alias(f"{r}_rate") for r in RULES]
+    return judged.select("doc_id", *METRICS, "base_failed", "kept", "host", "host_docs", *shown, "host_rejected")
+
+
 def filter_documents(docs: DataFrame, scratch: Scratch, rules: HostRules = HostRules(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows of `docs` that `judge` keeps, with their own columns.
 
     Texts are measured again instead of being shuffled: only rejected hosts, a
     written table, meet the documents.
     """
-    verdicts = judge(docs, scratch, rules, text, host, keep=[host]).where("host_rejected").select(F.col(host).alias("_host")).distinct()
-    bad = scratch.keep(verdicts)
-    small_batches(docs.sparkSession)
-    good = docs.withColumn("_m", _measured(F.col(text).cast("binary"))).select(*docs.columns, *[F.col(f"_m.{m}").alias(f"_q_{m}") for m in METRICS])
-    failed = " OR ".join(f"({RULES[r]})" for r in BASE)
-    for m in METRICS:
-        failed = failed.replace(m, f"_q_{m}")
-    return good.where(~F.expr(failed)).join(bad, F.col(host) == F.col("_host"), "left_anti").select(*docs.columns)
+    narrow = docs.select(named(host).cast("string").alias("host"), named(text).alias("_text"))
+    rejected = host_verdicts(scratch.keep(with_metrics(narrow, "_text").drop("_text")), rules).where("host_rejected")
+    row = F.struct(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("_row")
+    tried = with_metrics(docs.select(row, named(host).cast("string").alias("_host"), named(text).alias("_text")), "_text")
+    good = tried.where(~base_failed()).join(scratch.keep(rejected.select("host")), F.col("_host") == F.col("host"), "left_anti")
+    return good.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 #: The same in DuckDB; `documents` has doc_id, text and source.
@@ -183,7 +197,7 @@ WITH words AS (
   FROM words LEFT JOIN repeats USING (r) LEFT JOIN lines USING (r)
 ), tried AS (
   SELECT source, n_words < 50 AS too_short, 100 * n_repeat_words > 50 * n_words AS repetitive,
-         10 * n_symbols > 10 * n_words AS symbol_heavy, 10 * n_dup_lines > n_words AS duplicate_lines
+         n_symbols > n_words AS symbol_heavy, 10 * n_dup_lines > n_words AS duplicate_lines
   FROM base WHERE source IS NOT NULL
 ), hosts AS (
   SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS f
@@ -193,11 +207,17 @@ WITH words AS (
 ), priors AS (
   SELECT rule, m, greatest(1, least(1000, coalesce(m * (1 - m) / nullif(sum(n * (f / n - m) * (f / n - m)) / sum(n), 0) - 1, 1000))) AS s
   FROM hosts JOIN means USING (rule) GROUP BY rule, m
+), shrunk AS (
+  SELECT source, rule, n, m, (f + m * s) / (n + s) AS rate FROM hosts JOIN priors USING (rule)
 ), verdicts AS (
-  SELECT source, max((f + m * s) / (n + s)) > 0.8 AS rejected FROM hosts JOIN priors USING (rule) GROUP BY source
+  SELECT source, max(n)::BIGINT AS host_docs, max(CASE WHEN rate > 0.25 THEN coalesce(rate * (1 - m) / nullif((1 - rate) * m, 0), 0) ELSE 0 END) > 4 AS rejected,
+         max(floor(rate * 1e6 + 0.5) / 1e6) FILTER (rule = 'too_short') AS too_short_rate, max(floor(rate * 1e6 + 0.5) / 1e6) FILTER (rule = 'repetitive') AS repetitive_rate,
+         max(floor(rate * 1e6 + 0.5) / 1e6) FILTER (rule = 'symbol_heavy') AS symbol_heavy_rate, max(floor(rate * 1e6 + 0.5) / 1e6) FILTER (rule = 'duplicate_lines') AS duplicate_lines_rate
+  FROM shrunk GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(rejected, false) AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(rejected, false) AS kept,
+       source AS host, host_docs, too_short_rate, repetitive_rate, symbol_heavy_rate, duplicate_lines_rate, coalesce(rejected, false) AS host_rejected
 FROM base LEFT JOIN verdicts USING (source)
 """

@@ -17,8 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
-    return judged.select("doc_id", *quality.METRICS, "base_failed", "kept")
+    return quality.digest(quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark, "op1")))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

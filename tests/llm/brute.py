@@ -28,6 +28,27 @@ def base_failed(text):
     return n < 50 or 100 * repeat > 50 * n
 
 
+def host_verdicts(rows, odds=4.0, least=0.25, most=1000.0):
+    """host to (rates by rule, rejected) for (host, text): failure rates under a beta prior fitted by moments."""
+    tried = defaultdict(list)
+    for host, text in rows:
+        if host is not None:
+            n, _, symbols, lines, repeat = metrics(text)
+            tried[host].append((n < 50, 100 * repeat > 50 * n, symbols > n, 10 * lines > n))
+    out = {h: ([], False) for h in tried}
+    total = sum(map(len, tried.values()))
+    for rule in range(4):
+        failed = {h: sum(x[rule] for x in xs) for h, xs in tried.items()}
+        mean = sum(failed.values()) / total
+        variance = sum(len(tried[h]) * (failed[h] / len(tried[h]) - mean) ** 2 for h in tried) / total
+        strength = max(1.0, min(most, mean * (1 - mean) / variance - 1 if variance else most))
+        for h in tried:
+            rate = (failed[h] + mean * strength) / (len(tried[h]) + strength)
+            bad = rate > least and mean not in (0, 1) and rate / (1 - rate) > odds * mean / (1 - mean)
+            out[h] = ([*out[h][0], rate], out[h][1] or bad)
+    return out
+
+
 def fingerprint(text):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:

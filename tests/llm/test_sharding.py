@@ -43,15 +43,52 @@ def test_maps():
     assert abs(three.loads(sizes, 9)[8] - share) < 0.1 * share
 
 
-def test_versions_are_stored(spark, tmp_path):
-    docs = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(300)], "doc_id long, text string")
+def test_the_stored_map_is_edited(spark, tmp_path):
+    rows = [(k, "x" * (k % 50)) for k in range(300)]
     where = str(tmp_path / "map")
-    shard_documents(docs, Scratch(spark, "t"), versions=where).count()
-    assert {r.version: r["count"] for r in spark.read.parquet(where).groupBy("version").count().collect()} == {1: 4096, 2: 4096}
+
+    def run(rows, shards=8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return {r.doc_id: r for r in shard_documents(docs, Scratch(spark, "t"), shards, where).collect()}
+
+    stored = lambda: {r.version: r["count"] for r in spark.read.parquet(where).groupBy("version").count().collect()}
+    one = run(rows)
+    assert len(one) == 300 and stored() == {1: 4096, 2: 4096}
+    assert run(rows) == one and stored() == {1: 4096, 2: 4096}  # nothing to edit
+    # More records: few bytes move, and a document's slot never changes, whatever its text.
+    more = run([(d, t + "y") for d, t in rows] + [(k, "z" * (k % 90)) for k in range(300, 500)])
+    assert all(more[d].virtual_slot == one[d].virtual_slot for d in one) and max(stored()) == 3
+    moved = sum(more[d].size for d in one if more[d].shard != one[d].shard)
+    assert moved < 0.2 * sum(r.size for r in more.values())
+    check_law(more.values())
+    # A shard more takes records only into itself; then it goes again.
+    grown = run([(d, t + "y") for d, t in rows] + [(k, "z" * (k % 90)) for k in range(300, 500)], 9)
+    assert max(check_law(grown.values(), 9)) == 8 and stored()[4] == 4096
+    assert sum(r.size for d, r in grown.items() if r.shard != more[d].shard and r.shard != 8) < 0.05 * sum(r.size for r in grown.values())
+    assert max(r.shard for r in run(rows, 4).values()) == 3
+
+
+def test_slots_against_a_plain_version(spark):
+    rows = [(k, "é" * (k % 70)) for k in range(500)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        assert r.virtual_slot == spark.range(1).selectExpr(f"pmod(xxhash64({r.doc_id}L), 4096)").first()[0] if r.doc_id < 5 else True
+        sizes[r.virtual_slot] += r.size
+    fit = SlotMap.first(8).balanced(sizes, 8)
+    assert all(r.shard == fit.shards[r.virtual_slot] and r.map_version == 2 for r in got)
+    for shard in range(8):
+        own = sorted((r for r in got if r.shard == shard), key=lambda r: (r.virtual_slot, r.doc_id))
+        assert [r.slot for r in own] == list(range(len(own)))
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "x" * 3_000_000), (2, "y")], "doc_id long, text string")
+    assert sorted(r.size for r in shard_documents(docs, Scratch(spark, "t")).collect()) == [2, 3_000_001]
 
 
 def test_nulls_repeats_and_empty_table(spark):
-    docs = spark.createDataFrame([(None, None, 1), (None, "é", 1), (1, "a", 1), (1, "a", 1)], "doc_id long, text string, shard int")
+    docs = spark.createDataFrame([(None, None, 1, 1, 1, 1), (None, "é", 1, 1, 1, 1), (1, "a", 1, 1, 1, 1), (1, "a", 1, 1, 1, 1)], "doc_id long, text string, shard int, virtual_slot int, _part int, `a.b` int")
     rows = shard_documents(docs, Scratch(spark, "t")).collect()
     assert sorted(r.size for r in rows) == [1, 2, 2, 3]
     check_law(rows)
