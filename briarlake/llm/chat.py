@@ -9,7 +9,8 @@ and what remains is rendered.
 Defined results: turns stand in order of (turn, role, text), nulls first; rows
 that repeat all four columns count once; a null role or text is rendered as
 empty but differs from an empty one; rows of null conv_id belong to no
-conversation and are left out.
+conversation and are left out; conv_id may be of any type that can be ordered;
+other columns are left out, whatever their names; texts are never cut.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from briarlake.llm.text import small_batches
 from briarlake.scratch import Scratch
 
-
-
 def _coded(value: str | None) -> bytes:
     return b"-" if value is None else b"%d:%s" % (len(data := value.encode()), data)
 
@@ -35,6 +34,7 @@ def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     One turn is held back to know whether it is the last; nothing is gathered.
     """
+    kind = pa.int64()
     now = before = held = None
     digest, place = hashlib.blake2b(digest_size=16), 0
     out: list[tuple] = []
@@ -42,9 +42,10 @@ def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True)) or [()] * 4
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["conv_id", "place", "prefix", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["conv_id", "place", "prefix", "last"])
 
     for rows in batches:
+        kind = rows.column(0).type
         for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
             if row == before:
                 continue
@@ -65,8 +66,8 @@ def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, place, prefix, last): the rolling hash after each turn of each conversation."""
     small_batches(turns.sparkSession, 2000)
-    ordered = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_rolled, "conv_id long, place long, prefix binary, last boolean")
+    ordered = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.mapInArrow(_rolled, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, place long, prefix binary, last boolean")
 
 
 def maximal(turns: DataFrame, scratch: Scratch) -> DataFrame:

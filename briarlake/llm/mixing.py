@@ -5,11 +5,15 @@ source's target over its source's size. Within a source, documents stand in
 order of size and id; their expected copies are summed from the front, one
 random offset per source is added, and a document is taken once for each integer
 that its part of the sum crosses. In this order a source's taken words miss its
-target by less than its largest document.
+target by less than its largest document. Before a document stand `rank` equal
+expectations, so the prefix sum is rank times the source's expectation: nothing
+is lost to the rounding of a running sum.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 the last; a null doc_id stands first among equal sizes; repeated rows are
-separate documents; in a source without words nothing is taken.
+separate documents, in any order among equal sizes and ids; in a source without
+words nothing is taken; a null size counts as 0; columns of `docs` named like an
+added one are replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briarlake.llm.text import ranked
+from briarlake.llm.text import named, ranked
 from briarlake.scratch import Scratch
 
 
@@ -42,26 +46,21 @@ def offset(source: Column, seed: int) -> Column:
 def targets(sizes: DataFrame, mix: Mix, scratch: Scratch) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
-    A target is min(cap * source_size, level * weight). The level rises as what
-    exceeds a cap is shared again by weight, until no target is above its cap;
-    each step is one aggregate over the sources and one number.
+    A target is min(cap * source_size, level * weight). In order of cap over
+    weight, the sources before the level are at their caps; the level is what
+    they leave, over the weights of the rest, at the first source that this does
+    not lift above its cap. The sums come from a distributed prefix sum.
     """
     weights = F.array(*[F.lit(w) for w in mix.weights])
-    placed = ranked(sizes, [], [F.col("source").asc_nulls_last()], scratch, "_turn")
-    placed = placed.withColumn("_weight", F.element_at(weights, (F.col("_turn") % len(mix.weights) + 1).cast("int")))
-    placed = scratch.keep(placed.withColumn("_cap", F.col("source_size") * F.lit(mix.cap)))
-    total = placed.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    while True:
-        capped = F.col("_cap") <= F.lit(level) * F.col("_weight")
-        full, open_weight = placed.agg(F.sum(F.when(capped, F.col("_cap"))), F.sum(F.when(~capped, F.col("_weight")))).first()
-        if not open_weight:
-            break
-        higher = (mix.share * total - (full or 0.0)) / open_weight
-        if higher <= level:
-            break
-        level = higher
-    return placed.select("source", "source_size", F.least("_cap", F.lit(level) * F.col("_weight")).alias("target"))
+    placed = ranked(sizes, [], [F.col("source").asc_nulls_last()], scratch, "turn")
+    placed = placed.withColumn("weight", F.element_at(weights, (F.col("turn") % len(mix.weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(mix.cap))
+    placed = ranked(placed.withColumn("ratio", F.col("cap") / F.col("weight")), [], [F.col("ratio"), F.col("turn")], scratch, "place", ("cap", "weight"))
+    placed = scratch.keep(placed)
+    total, weight = placed.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(mix.share * (total or 0))) - F.col("cap_before")) / (F.lit(weight or 0) - F.col("weight_before"))
+    found = placed.where(level <= F.col("ratio")).agg(F.min_by(level, "place")).first()[0]
+    aim = F.col("cap") if found is None else F.least("cap", F.lit(found) * F.col("weight"))
+    return placed.select("source", "source_size", aim.alias("target"))
 
 
 def mix_documents(docs: DataFrame, scratch: Scratch, mix: Mix = Mix(), size: str = "size", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -70,15 +69,19 @@ def mix_documents(docs: DataFrame, scratch: Scratch, mix: Mix = Mix(), size: str
     The rank comes from a range partitioning by source, size and id, so a hot
     source spreads over many partitions; sources are partially aggregated.
     """
-    order = [F.col(size).asc_nulls_first(), F.col(doc_id).asc_nulls_first()]
-    placed = ranked(docs, [source], order, scratch, "_rank")
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
-    aims = scratch.keep(targets(scratch.keep(sizes), mix, scratch).withColumnRenamed("source", "_source"))
+    added = ("source_size", "target", "copies")
+    row = F.struct(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    words = F.coalesce(named(size).cast("long"), F.lit(0))
+    packed = docs.select(row, named(source).alias("source"), words.alias("size"), named(doc_id).alias("doc_id"))
+    placed = ranked(packed, ["source"], [F.col("size"), F.col("doc_id").asc_nulls_first()], scratch)
+    sizes = docs.select(named(source).alias("source"), words.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = scratch.keep(targets(scratch.keep(sizes), mix, scratch).withColumnRenamed("source", "aimed"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = offset(F.col(source), mix.seed)
+    start = offset(F.col("source"), mix.seed)
     upto = lambda n: F.floor(n * expected + start)
-    copies = F.least(upto(F.col("_rank") + 1) - upto(F.col("_rank")), F.ceil(F.lit(mix.cap))).cast("long")
-    return placed.join(aims, F.col(source).eqNullSafe(F.col("_source"))).withColumn("copies", copies).drop("_rank", "_source")
+    copies = F.least(upto(F.col("rank") + 1) - upto(F.col("rank")), F.ceil(F.lit(mix.cap))).cast("long")
+    own = [F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in added]
+    return placed.join(aims, F.col("source").eqNullSafe(F.col("aimed"))).select(*own, "source_size", "target", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

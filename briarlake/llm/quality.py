@@ -116,20 +116,23 @@ def base_failed() -> Column:
 def host_verdicts(metrics: DataFrame, rules: HostRules = HostRules(), host: str = "host") -> DataFrame:
     """One row per non-null host: documents, failures and shrunk rate of each rule, host_odds and host_rejected.
 
-    The prior of a rule has mean m = failures / documents over all hosts. With
-    the variance v of the hosts' rates, weighted by documents, its strength is
-    m (1 - m) / v - 1, within 1 and `max_strength`. host_odds is the greatest
+    The prior of a rule has mean m = failures / documents over all N documents
+    of H hosts. Of d = sum of n (rate - m)^2 / (m (1 - m)), H is what chance
+    alone gives; the hosts' own share is rho = (d - H) / (N - H), and the prior's
+    strength 1 / rho - 1, within 1 and `max_strength`. host_odds is the greatest
     ratio, over the rules, of the shrunk rate's odds to those of m, counting
     rates over `min_rate` only; 0 if there is none.
     """
     hosts = metrics.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("host_docs"), *[F.sum(F.expr(f"CAST({x} AS INT)")).alias(f"{r}_failed") for r, x in RULES.items()])
     rate = lambda r: F.col(f"{r}_failed") / F.col("host_docs")
     mean = hosts.agg(*[F.try_divide(F.sum(f"{r}_failed"), F.sum("host_docs")).alias(f"{r}_mean") for r in RULES])
+    own = lambda r: F.col("host_docs") * (rate(r) - F.col(f"{r}_mean")) * (rate(r) - F.col(f"{r}_mean"))
     spread = hosts.crossJoin(F.broadcast(mean)).agg(
-        *[F.max(f"{r}_mean").alias(f"{r}_mean") for r in RULES],
-        *[F.try_divide(F.sum(F.col("host_docs") * (rate(r) - F.col(f"{r}_mean")) * (rate(r) - F.col(f"{r}_mean"))), F.sum("host_docs")).alias(f"{r}_var") for r in RULES],
+        F.count("*").alias("_hosts"), F.sum("host_docs").alias("_docs"), *[F.max(f"{r}_mean").alias(f"{r}_mean") for r in RULES], *[F.sum(own(r)).alias(f"{r}_spread") for r in RULES]
     )
-    strength = lambda r: F.greatest(F.lit(1.0), F.least(F.lit(rules.max_strength), F.coalesce(F.try_divide(F.col(f"{r}_mean") * (1 - F.col(f"{r}_mean")), F.col(f"{r}_var")) - 1, F.lit(rules.max_strength))))
+    noise = lambda r: F.try_divide(F.col(f"{r}_spread"), F.col(f"{r}_mean") * (1 - F.col(f"{r}_mean")))
+    rho = lambda r: F.try_divide(noise(r) - F.col("_hosts"), F.col("_docs") - F.col("_hosts"))
+    strength = lambda r: F.when(rho(r) > 0, F.least(F.greatest(1 / rho(r) - 1, F.lit(1.0)), F.lit(rules.max_strength))).otherwise(rules.max_strength)
     shrunk = {r: (F.col(f"{r}_failed") + F.col(f"{r}_mean") * strength(r)) / (F.col("host_docs") + strength(r)) for r in RULES}
     judged = hosts.crossJoin(F.broadcast(spread)).select(host, "host_docs", *[f"{r}_failed" for r in RULES], *[f"{r}_mean" for r in RULES], *[v.alias(f"{r}_rate") for r, v in shrunk.items()])
     odds = lambda r: F.try_divide(F.col(f"{r}_rate") * (1 - F.col(f"{r}_mean")), (1 - F.col(f"{r}_rate")) * F.col(f"{r}_mean"))
@@ -204,9 +207,11 @@ WITH words AS (
   FROM (UNPIVOT tried ON too_short, repetitive, symbol_heavy, duplicate_lines INTO NAME rule VALUE failed) GROUP BY ALL
 ), means AS (
   SELECT rule, sum(f) / sum(n) AS m FROM hosts GROUP BY rule
-), priors AS (
-  SELECT rule, m, greatest(1, least(1000, coalesce(m * (1 - m) / nullif(sum(n * (f / n - m) * (f / n - m)) / sum(n), 0) - 1, 1000))) AS s
+), noises AS (
+  SELECT rule, m, (sum(n * (f / n - m) * (f / n - m)) / nullif(m * (1 - m), 0) - count(*)) / nullif(sum(n) - count(*), 0) AS rho
   FROM hosts JOIN means USING (rule) GROUP BY rule, m
+), priors AS (
+  SELECT rule, m, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 1000) ELSE 1000 END AS s FROM noises
 ), shrunk AS (
   SELECT source, rule, n, m, (f + m * s) / (n + s) AS rate FROM hosts JOIN priors USING (rule)
 ), verdicts AS (

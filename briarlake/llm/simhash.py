@@ -5,12 +5,16 @@ values have. Distinct fingerprints are dealt into buckets that share two of
 radius + 2 blocks of bits (any two within the radius share at least two), and
 within a bucket distances are counted in vertical bit planes, 64 candidates to a
 machine word, by carry-save counters; words whose lanes all exceed the radius
-are abandoned. Links become connected components.
+are abandoned. Links become connected components. Only buckets of over
+BUCKET_LIMIT fingerprints leave this method, as comparing them takes quadratic
+time: each of their fingerprints meets its neighbours of one bit, which is exact
+for radius 2 and linear.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
 other; equal fingerprints are one component; a null doc_id takes part but names
 no component unless it is alone (then component_id is null); repeated rows each
-get a row.
+get a row; texts are read whole, however long; other columns are left out or, in
+`filter_documents`, pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briarlake.llm.graph import components, local_roots
-from briarlake.llm.text import small_batches
+from briarlake.llm.text import fresh, named, small_batches
 from briarlake.scratch import Scratch
 
 BITS = 64
@@ -64,7 +68,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
     small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, F.col(text).cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(named(doc_id), named(text).cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -205,8 +209,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", t
     roots = scratch.keep(components(scratch.keep(link(distinct.select("fp"), scratch, radius)), scratch))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.keep(rooted)
-    named = scratch.keep(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_root"))
-    classes = scratch.keep(rooted.join(named, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"))
+    lowest = scratch.keep(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_root"))
+    classes = scratch.keep(rooted.join(lowest, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"))
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -218,12 +222,13 @@ def digest(found: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: that of the smallest doc_id. Documents of null doc_id stay.
 
-    If rows repeat a doc_id, one row of it stays. The join is a sort-merge join
-    at every size: what it costs then grows in proportion.
+    If rows repeat a doc_id, one row of it stays. The kept ids are a written
+    table: Spark broadcasts them only if they are small.
     """
+    chosen, own = fresh(docs, "_chosen"), named(doc_id)
     found = near_duplicates(docs, scratch, doc_id, text)
-    chosen = scratch.keep(found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", "_chosen"))
-    kept = docs.join(chosen.hint("merge"), F.col(doc_id) == F.col("_chosen"), "left_semi").select(*docs.columns)
-    if not chosen.where("count > 1").isEmpty():
+    ids = scratch.keep(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(chosen)).count())
+    kept = docs.join(ids.select(chosen), own == F.col(chosen), "left_semi")
+    if not ids.where("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    return kept.unionByName(docs.where(own.isNull()))

@@ -5,10 +5,16 @@ each pattern. Every capture is matched, as of its fetch time, with the entries
 that were active then: by exact URL, by host or parent domain, or by a path
 prefix.
 
+List entries and captures are brought to one form: small letters in scheme and
+host, hosts beyond ASCII in punycode, no final dot, user or port in a host, no
+empty path parts, no fragment.
+
 Defined results: a null or unparsable URL, or a null fetch time, matches
-nothing and is not blocked; repeated events count once; of an addition and a
-removal at the same time the removal holds; a second addition does not end the
-first; repeated captures each get a row.
+nothing and is not blocked; an entry without a host blocks nothing; repeated
+events count once, also when spelt differently; of an addition and a removal at
+the same time the removal holds; a second addition does not end the first;
+repeated captures each get a row; URLs are compared whole, however long; columns
+beside key, URL and fetch time are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,13 +22,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briarlake.llm.text import partitions
 from briarlake.scratch import Scratch
 
 
+_AUTHORITY = r"^(?i:https?)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)"
+
+
+def ascii_host(name: Column) -> Column:
+    """Small letters, no dots at the ends, punycode for labels beyond ASCII; null if nothing is left."""
+    plain = F.lower(F.regexp_replace(name, r"^[*.]+|\.+$", ""))
+    coded = F.when(plain.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain), plain)).otherwise(plain)
+    return F.nullif(coded, F.lit(""))
+
+
 def host(url: Column) -> Column:
-    """Lower-case host of an http(s) URL, without user, port and final dot; null if there is none."""
-    found = F.regexp_extract(url, r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
-    return F.nullif(F.lower(F.regexp_replace(found, r"\.+$", "")), F.lit(""))
+    """Host of an http(s) URL without user and port; null if there is none."""
+    return ascii_host(F.regexp_extract(url, _AUTHORITY, 1))
 
 
 def path(url: Column) -> Column:
@@ -31,6 +47,20 @@ def path(url: Column) -> Column:
     return F.when(found == "", F.lit("/")).otherwise(found)
 
 
+def canonical(url: Column) -> Column:
+    """The URL without fragment, with scheme, host and port in small letters and a path; null if it has no host."""
+    scheme, port, query = F.lower(F.regexp_extract(url, r"^(?i:https?)", 0)), F.regexp_extract(url, _AUTHORITY + r"(:\d+)?", 2), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    return F.concat(scheme, F.lit("://"), host(url), port, path(url), query)
+
+
+def entry_pattern(kind: Column, pattern: Column) -> Column:
+    """A list entry in the form of `lookups`; prefixes may have a scheme."""
+    bare = F.regexp_replace(pattern, r"^(?i:https?)://", "")
+    front = ascii_host(F.regexp_extract(bare, r"^[^/]*", 0))
+    steps = F.filter(F.split(F.regexp_replace(bare, r"^[^/]*", ""), "/"), lambda p: p != "")
+    return F.when(kind == "url", canonical(pattern)).when(kind == "domain", ascii_host(pattern)).when((kind == "prefix") & (F.size(steps) > 0), F.concat(front, F.lit("/"), F.array_join(steps, "/")))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """(kind, pattern, list_name, valid_from, valid_to) from dated events (kind, pattern, list_name, at, action).
 
@@ -38,7 +68,8 @@ def intervals(events: DataFrame) -> DataFrame:
     (the host and all below it) or prefix (host and path parts).
     """
     per = Window.partitionBy("kind", "pattern", "list_name").orderBy("at")
-    sided = events.where("kind IS NOT NULL AND pattern IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
+    sided = events.select("kind", entry_pattern(F.col("kind"), F.col("pattern")).alias("pattern"), "list_name", "at", "action")
+    sided = sided.where("kind IS NOT NULL AND pattern IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
     once = sided.groupBy("kind", "pattern", "list_name", "at").agg(F.max("action").alias("action"))  # remove > add
     turns = once.withColumn("_was", F.lag("action", 1, "remove").over(per)).where("action <> _was")
     return turns.withColumn("valid_to", F.lead("at").over(per)).where("action = 'add'").select("kind", "pattern", "list_name", F.col("at").alias("valid_from"), "valid_to")
@@ -54,7 +85,7 @@ def lookups(url: Column, labels: Column, depths: Column) -> Column:
     own, steps = F.split(host(url), r"\."), parts(url)
     domains = F.transform(F.filter(labels, lambda k: k <= F.size(own)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(own, -k, k), ".").alias("pattern")))
     prefixes = F.transform(F.filter(depths, lambda k: k <= F.size(steps)), lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host(url), F.lit("/"), F.array_join(F.slice(steps, 1, k), "/")).alias("pattern")))
-    exact = F.array(F.struct(F.lit("url").alias("kind"), url.alias("pattern")))
+    exact = F.array(F.struct(F.lit("url").alias("kind"), canonical(url).alias("pattern")))
     return F.when(host(url).isNotNull(), F.concat(exact, domains, prefixes))
 
 
@@ -68,7 +99,8 @@ def match_lists(captures: DataFrame, events: DataFrame, scratch: Scratch, key: s
     """
     valid = scratch.keep(intervals(events)).withColumnsRenamed({"kind": "_kind", "pattern": "_pattern"})
     own = captures.select(key, url, fetched)
-    seen = scratch.keep(own.where(F.col(url).isNotNull() & F.col(fetched).isNotNull()).select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).distinct())
+    seen = own.where(F.col(url).isNotNull() & F.col(fetched).isNotNull()).select(F.col(url).alias("_url"), F.col(fetched).alias("_at"))
+    seen = scratch.keep(seen.repartition(partitions(captures.sparkSession), "_url", "_at").distinct())  # AQE must not join them into one task: what follows multiplies rows
     in_list = lambda kind, n: F.filter(F.collect_set(F.when(F.col("_kind") == kind, n)), lambda k: k > 0)
     sizes = valid.agg(in_list("domain", F.size(F.split("_pattern", r"\."))).alias("_labels"), in_list("prefix", F.size(F.split("_pattern", "/")) - 1).alias("_depths"))
     asked = seen.crossJoin(F.broadcast(sizes)).select("_url", "_at", F.explode(lookups(F.col("_url"), F.col("_labels"), F.col("_depths"))).alias("_ask")).select("_url", "_at", "_ask.kind", "_ask.pattern")
@@ -84,7 +116,7 @@ def stand_in_fetch_time(key: Column) -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + F.pmod(key * 37, F.lit(730)) * 86400)
 
 
-def stand_in_events(pages: DataFrame, kinds: tuple[str, ...] = ("domain",)) -> DataFrame:
+def stand_in_events(pages: DataFrame) -> DataFrame:
     """The test tables have no block list: dated entries for the pages' own hosts, URLs and path prefixes, by the pattern's MD5.
 
     A third of the patterns are listed at some day; half of these are taken off
@@ -93,8 +125,8 @@ def stand_in_events(pages: DataFrame, kinds: tuple[str, ...] = ("domain",)) -> D
     """
     url = F.col("url")
     half = F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts(url), 1, F.greatest(F.lit(1), F.floor(F.size(parts(url)) / 2).cast("int"))), "/"))
-    made = {"domain": host(url), "url": F.when(host(url).isNotNull(), url), "prefix": F.when(F.size(parts(url)) > 0, half)}
-    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit({"domain": "hosts", "url": "urls", "prefix": "paths"}[k]).alias("list_name"), made[k].alias("pattern")) for k in kinds])
+    made = {("domain", "hosts"): host(url), ("url", "urls"): canonical(url), ("prefix", "paths"): F.when(F.size(parts(url)) > 0, half)}
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("list_name"), p.alias("pattern")) for (k, n), p in made.items()])
     found = pages.select(F.explode(listed).alias("p")).select("p.*").where("pattern IS NOT NULL").distinct()
     nibble = lambda k: F.conv(F.substring(F.md5("pattern"), k, 1), 16, 10).cast("int")
     day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
@@ -108,42 +140,17 @@ def stand_in_events(pages: DataFrame, kinds: tuple[str, ...] = ("domain",)) -> D
 
 #: The same in DuckDB for the stand-ins; `pages` has page_id and url.
 SQL = r"""
-WITH captures AS (
-  SELECT page_id, url, make_timestamp((1704067200 + ((page_id * 37) % 730) * 86400)::BIGINT * 1000000) AS fetch_ts,
-         lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host
-  FROM pages
-), hosts AS (
-  SELECT DISTINCT host AS pattern, md5(host) AS m FROM captures WHERE host <> ''
-), coded AS (
-  SELECT pattern, ('0x' || m[1])::INT AS n1, ('0x' || m[2])::INT * 16 + ('0x' || m[3])::INT AS f, ('0x' || m[4])::INT AS n4 FROM hosts
-), events AS (
-  SELECT pattern, f AS d, 'add' AS action, 'hosts' AS list_name FROM coded WHERE n1 < 5
-  UNION ALL SELECT pattern, f + 200, 'remove', 'hosts' FROM coded WHERE n1 < 5 AND n4 < 8
-  UNION ALL SELECT pattern, f + 300, 'add', 'hosts' FROM coded WHERE n1 < 5 AND n4 < 4
-  UNION ALL VALUES ('spam-farm.example.org', 0, 'add', 'farms'), ('example.net', 600, 'add', 'zones'), ('example.net', 630, 'remove', 'zones')
-), valid AS (
-  SELECT * FROM (SELECT *, lead(d) OVER (PARTITION BY list_name, pattern ORDER BY d) AS until FROM events) WHERE action = 'add'
-), hits AS (
-  SELECT c.page_id, count(*) AS n, min(v.list_name) AS first_list
-  FROM captures c JOIN valid v ON (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern))
-   AND c.fetch_ts >= make_timestamp((1704067200 + v.d * 86400)::BIGINT * 1000000) AND (v.until IS NULL OR c.fetch_ts < make_timestamp((1704067200 + v.until * 86400)::BIGINT * 1000000))
-  GROUP BY c.page_id
-)
-SELECT page_id, url, fetch_ts, coalesce(n, 0) AS n_entries, first_list, n IS NOT NULL AS blocked FROM captures LEFT JOIN hits USING (page_id)
-"""
-
-#: As SQL, with exact URLs and path prefixes listed too.
-SQL_ALL = r"""
 WITH parted AS (
   SELECT page_id, url, make_timestamp((1704067200 + ((page_id * 37) % 730) * 86400)::BIGINT * 1000000) AS fetch_ts,
          rtrim(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
-         list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> '') AS parts
+         list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> '') AS parts,
+         lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS canonical
   FROM pages
 ), captures AS (
   SELECT *, host || '/' || array_to_string(parts, '/') || '/' AS whole, host || '/' || array_to_string(parts[1:greatest(1, len(parts) // 2)], '/') AS half FROM parted
 ), patterns AS (
   SELECT 'domain' AS kind, 'hosts' AS list_name, host AS pattern FROM captures WHERE host <> ''
-  UNION SELECT 'url', 'urls', url FROM captures WHERE host <> ''
+  UNION SELECT 'url', 'urls', canonical FROM captures WHERE host <> ''
   UNION SELECT 'prefix', 'paths', half FROM captures WHERE host <> '' AND len(parts) > 0
 ), coded AS (
   SELECT *, ('0x' || md5(pattern)[1])::INT AS n1, ('0x' || md5(pattern)[2])::INT * 16 + ('0x' || md5(pattern)[3])::INT AS f, ('0x' || md5(pattern)[4])::INT AS n4 FROM patterns
@@ -156,7 +163,7 @@ WITH parted AS (
   SELECT * FROM (SELECT *, lead(d) OVER (PARTITION BY kind, list_name, pattern ORDER BY d) AS until FROM events) WHERE action = 'add'
 ), hits AS (
   SELECT c.page_id, count(*) AS n, min(v.list_name) AS first_list
-  FROM captures c JOIN valid v ON c.host <> '' AND ((v.kind = 'domain' AND (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern))) OR (v.kind = 'url' AND c.url = v.pattern) OR (v.kind = 'prefix' AND starts_with(c.whole, v.pattern || '/')))
+  FROM captures c JOIN valid v ON c.host <> '' AND ((v.kind = 'domain' AND (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern))) OR (v.kind = 'url' AND c.canonical = v.pattern) OR (v.kind = 'prefix' AND starts_with(c.whole, v.pattern || '/')))
    AND c.fetch_ts >= make_timestamp((1704067200 + v.d * 86400)::BIGINT * 1000000) AND (v.until IS NULL OR c.fetch_ts < make_timestamp((1704067200 + v.until * 86400)::BIGINT * 1000000))
   GROUP BY c.page_id
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briarlake.llm import mixing, pieces, pii, quality, simhash
-from briarlake.llm.text import word_count
+from briarlake.llm.text import named, word_count
 from briarlake.scratch import Scratch
 
 
@@ -28,8 +28,10 @@ def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mixing.emit(mixing.mix_documents(packed, Scratch(spark, "mix")), ["_row"]).select("_row.*")
+    row = F.struct(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    packed = docs.select(row, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    taken = mixing.emit(mixing.mix_documents(packed, Scratch(spark, "mix")), ["row"])
+    return taken.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

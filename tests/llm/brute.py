@@ -40,8 +40,9 @@ def host_verdicts(rows, odds=4.0, least=0.25, most=1000.0):
     for rule in range(4):
         failed = {h: sum(x[rule] for x in xs) for h, xs in tried.items()}
         mean = sum(failed.values()) / total
-        variance = sum(len(tried[h]) * (failed[h] / len(tried[h]) - mean) ** 2 for h in tried) / total
-        strength = max(1.0, min(most, mean * (1 - mean) / variance - 1 if variance else most))
+        spread = sum(len(tried[h]) * (failed[h] / len(tried[h]) - mean) ** 2 for h in tried)
+        rho = (spread / (mean * (1 - mean)) - len(tried)) / (total - len(tried)) if 0 < mean < 1 and total > len(tried) else 0
+        strength = max(1.0, min(most, 1 / rho - 1)) if rho > 0 else most
         for h in tried:
             rate = (failed[h] + mean * strength) / (len(tried[h]) + strength)
             bad = rate > least and mean not in (0, 1) and rate / (1 - rate) > odds * mean / (1 - mean)

@@ -48,3 +48,24 @@ def test_odd_vectors(spark):
 def test_query_against_all_pairs(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{brute.SMALL}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert found(op3_embedding_near_dedup(spark, brute.SMALL)) == brute.cosine_links(rows)
+
+
+def test_signs_and_tables_follow_the_data():
+    for largest in (0, 1, 600, 10_000, 10**6, 10**10):
+        tables, bits = Tables().sizes(largest)
+        assert 4 <= bits <= 20 and (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 0.001
+    assert Tables().sizes(10**6)[1] > Tables().sizes(1000)[1]
+
+
+def test_huge_parts_and_single_precision(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [1.0, -1.0], 0)]
+    assert found(near_duplicates(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t"))) == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+    rows = [(k, np.float32(v).tolist(), label) for k, v, label in clustered(3)]
+    single = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert found(near_duplicates(single, Scratch(spark, "t"))) == brute.cosine_links(rows)
+
+
+def test_clashing_names_and_long_vectors(spark):
+    rows = [(k, [float(x % 7 + k % 2 * x) for x in range(5000)], 0, 1, 2, 3) for k in range(4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, key int, cid int, vector int")
+    assert found(near_duplicates(frame, Scratch(spark, "t"))) == brute.cosine_links([r[:3] for r in rows])

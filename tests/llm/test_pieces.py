@@ -4,7 +4,7 @@ import struct
 import pytest
 import sentencepiece
 
-from briarlake.llm.pieces import MODEL, SPACE, Encoder, Pieces, decode_documents, encode_documents
+from briarlake.llm.pieces import LONG_UNIT, MODEL, SPACE, Encoder, Pieces, _Collision, decode_documents, encode_documents
 from briarlake.llm.queries import op5_sentencepiece
 from tests.llm import brute
 
@@ -83,3 +83,23 @@ def test_query_against_the_library(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{brute.SMALL}/documents.parquet").collect()}
     for r in op5_sentencepiece(spark, brute.SMALL).collect():
         assert r.ids == library.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) and r.restored
+
+
+def test_units_whose_hashes_collide_go_the_plain_way(pieces, monkeypatch):
+    texts = ["the nation of stations", "one two three", "the the"]
+    want = split(Encoder(pieces), texts)
+    whole, failed = type(pieces)._lattice, []
+
+    def lattice(self, units):
+        if any("nation" in u for u in units):
+            failed.append(len(units))
+            raise _Collision
+        return whole(self, units)
+
+    monkeypatch.setattr(type(pieces), "_lattice", lattice)
+    assert split(Encoder(pieces), texts) == want and 1 in failed
+
+
+def test_few_units_leave_the_lattice(pieces, spark):
+    units = {u for r in spark.read.parquet(f"{brute.SMALL}/documents.parquet").collect() for u in pieces.units(r.text)}
+    assert sum(len(u) > LONG_UNIT or SPACE * 2 in u for u in units) < 0.001 * len(units)

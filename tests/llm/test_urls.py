@@ -58,8 +58,16 @@ def test_every_kind_is_hit_in_the_query(spark):
     from briarlake.llm import queries
     from tests.llm import brute
 
-    got = sorted((r.page_id, r.n_entries, r.first_list, r.blocked) for r in queries.op7_url_filters_all_kinds(spark, brute.SMALL).collect())
+    got = sorted((r.page_id, r.n_entries, r.first_list, r.blocked) for r in queries.op7_url_filters(spark, brute.SMALL).collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{brute.SMALL}/pages.parquet'")
-    want = con.execute(f"SELECT page_id, n_entries, first_list, blocked FROM ({queries.ORACLE_SQL['op7_url_filters_all_kinds'].strip()})").fetchall()
+    want = con.execute(f"SELECT page_id, n_entries, first_list, blocked FROM ({queries.ORACLE_SQL['op7_url_filters'].strip()})").fetchall()
     assert got == sorted(want) and {"hosts", "urls", "paths"} <= {r[2] for r in got}
+
+
+def test_entries_and_captures_in_other_spellings(spark):
+    entries = [("domain", "B.com", 1), ("domain", "bücher.de", 2), ("domain", "*.wild.org.", 3), ("prefix", "A.com/x/", 4), ("prefix", "http://c.net//deep//er/", 5), ("url", "HTTP://One.net", 6), ("domain", "[2001:db8::1]", 7), ("prefix", "nohost", 8), ("domain", "", 9)]
+    events = [(k, p, f"l{n}", day(1), "add") for k, p, n in entries] + [("domain", "b.COM", "l1", day(1), "add")]
+    urls = ["http://www.b.com/", "http://xn--bcher-kva.de/", "http://BÜCHER.de:80/q", "http://x.wild.org", "https://a.com/x", "http://c.net/deep/er/end", "http://one.net/#frag", "http://[2001:DB8::1]:8080/p", "http://nohost.org/"]
+    got = match_lists(spark.createDataFrame([(k, u, day(2), "x") for k, u in enumerate(urls)], CAPTURES), spark.createDataFrame(events, EVENTS), Scratch(spark, "t")).collect()
+    assert {urls[r.page_id]: (r.n_entries, r.first_list) for r in got if r.blocked} == dict(zip(urls[:8], [(1, f"l{n}") for n in (1, 2, 2, 3, 4, 5, 6, 7)], strict=True))
