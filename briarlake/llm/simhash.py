@@ -222,13 +222,15 @@ def digest(found: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: that of the smallest doc_id. Documents of null doc_id stay.
 
-    If rows repeat a doc_id, one row of it stays. The kept ids are a written
-    table: Spark broadcasts them only if they are small.
+    If rows repeat a doc_id, one row of it stays. The ids that go are a written
+    table, smaller than that of those that stay: Spark broadcasts it if it is
+    small, and shuffles the texts only where it is not.
     """
-    chosen, own = fresh(docs, "_chosen"), named(doc_id)
-    found = near_duplicates(docs, scratch, doc_id, text)
-    ids = scratch.keep(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(chosen)).count())
-    kept = docs.join(ids.select(chosen), own == F.col(chosen), "left_semi")
-    if not ids.where("count > 1").isEmpty():
+    gone, own = fresh(docs, "_gone"), named(doc_id)
+    found = near_duplicates(docs, scratch, doc_id, text).where("doc_id IS NOT NULL")
+    ids = scratch.keep(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")))
+    dropped = scratch.keep(ids.where(~F.col("stays")).select(F.col("doc_id").alias(gone)))
+    kept = docs.where(own.isNotNull()).join(dropped, own == F.col(gone), "left_anti")
+    if not ids.where("stays AND n > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id])
     return kept.unionByName(docs.where(own.isNull()))
