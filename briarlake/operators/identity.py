@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briarlake.operators.graph import components
 from briarlake.scratch import Scratch
 
 
@@ -21,41 +24,55 @@ def without_known(leads: DataFrame, keys: DataFrame, known: DataFrame) -> DataFr
     return leads.join(hit, F.col("id") == F.col("_id"), "left_anti")
 
 
-def sequential_duplicates(leads: DataFrame, keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(id, duplicate) by walking leads in order of id: a lead is a duplicate if a kept lead before it has one of its keys.
+def sequential_duplicates(leads: DataFrame, keys: DataFrame, known: DataFrame | None = None, rounds: int = 8) -> DataFrame:
+    """(id, duplicate) as if walking leads in order of id: a lead is a duplicate if a kept lead before it has one of its keys.
 
-    Leads that share no key with another never meet; only connected groups need
-    an order. Groups are found by a few rounds of least-id propagation over
-    shared keys and each is walked by itself, so the walk is as large as the
-    largest group of leads tied by keys, not as the table. A lead with a `known`
-    key is a duplicate too; it is never kept, so its keys leave the walk first.
+    Decided in parallel: in each round, a lead that is first at all its keys
+    among the undecided is kept, and the others at a kept lead's keys are
+    duplicates. A round settles whole groups of copies, however large; only
+    chains of leads tied by ever other keys need several. What `rounds` leave is
+    split into connected components, each walked in order as a stream that holds
+    the kept keys only. A lead with a `known` key is a duplicate too; it is never
+    kept, so its keys leave first.
     """
     if known is not None:
-        fresh = without_known(leads, keys, known).select("id")
-        rest = sequential_duplicates(fresh, keys.join(fresh, "id", "left_semi"))
+        new = without_known(leads, keys, known).select("id")
+        rest = sequential_duplicates(new, keys.join(new, "id", "left_semi"), None, rounds)
         return leads.select("id").join(rest, "id", "left").select("id", F.coalesce("duplicate", F.lit(True)).alias("duplicate"))
-    shared = keys.groupBy("k").agg(F.count_distinct("id").alias("n")).where("n > 1").select(F.col("k").alias("_k"))
-    tied = keys.select("id", "k").distinct().join(shared, F.col("k") == F.col("_k"), "left_semi")
-    labels = tied.select("id").distinct().select("id", F.col("id").alias("label"))
-    scratch, before = Scratch(leads.sparkSession, "duplicates"), None
-    while True:
-        by_key = tied.join(labels, "id").groupBy("k").agg(F.min("label").alias("label"))
-        labels = tied.join(by_key, "k").groupBy("id").agg(F.min("label").alias("label"))
-        labels = scratch.keep(labels)
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
+    scratch = Scratch(leads.sparkSession, "duplicates")
+    open_, found = scratch.keep(keys.select("id", "k").distinct()), []
+    for _ in range(rounds):
+        if open_.isEmpty():
             break
-        before = now
+        first = open_.groupBy("k").agg(F.min("id").alias("first"))
+        kept = scratch.keep(open_.join(first, "k").groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("kept")).where("kept").select("id"))
+        gone = scratch.keep(open_.join(kept, "id", "left_semi").select("k").distinct())
+        hit = scratch.keep(open_.join(gone, "k", "left_semi").select("id").distinct())
+        found.append(hit.join(kept, "id", "left_anti").select("id"))
+        open_ = scratch.keep(open_.join(hit, "id", "left_anti"))
+    if not open_.isEmpty():
+        first = scratch.keep(open_.groupBy("k").agg(F.min("id").alias("a")))
+        roots = components(open_.join(first, "k").select("a", F.col("id").alias("b")), scratch)
+        tied = open_.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        tied = tied.groupBy("root", "id").agg(F.collect_set("k").alias("ks")).repartition("root").sortWithinPartitions("root", "id")
+        found.append(tied.mapInPandas(_walk, "id long"))
+    duplicates = leads.select("id").limit(0)
+    for part in found:
+        duplicates = duplicates.unionByName(part)
+    duplicates = scratch.keep(duplicates.select(F.col("id").alias("_id")))
+    return leads.select("id").join(duplicates, F.col("id") == F.col("_id"), "left").select("id", F.col("_id").isNotNull().alias("duplicate"))
+
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        held: set[str] = set()
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Duplicates among (root, id, ks) sorted by root and id."""
+    now, held = None, set()
+    for frame in frames:
         out = []
-        for lead, own in group.groupby("id", sort=True)["k"]:
-            duplicate = any(k in held for k in own)
-            if not duplicate:
+        for root, lead, own in zip(frame["root"], frame["id"], frame["ks"], strict=True):
+            if root != now:
+                now, held = root, set()
+            if held.isdisjoint(own):
                 held.update(own)
-            out.append((lead, duplicate))
-        return pd.DataFrame(out, columns=["id", "duplicate"])
-
-    walked = tied.join(labels, "id").groupBy("label").applyInPandas(walk, "id long, duplicate boolean").withColumnRenamed("id", "_id")
-    return leads.select("id").join(walked, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
+            else:
+                out.append(lead)
+        yield pd.DataFrame({"id": out}, dtype="int64")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
+from briarlake.operators.order import partitions
+from briarlake.scratch import Scratch
 
 
 def first_match(rows: DataFrame, key: str, probes: str, known: DataFrame, value: str) -> DataFrame:
@@ -45,28 +51,42 @@ def latest(cache: DataFrame, key: str, name: str) -> DataFrame:
     return cache.groupBy(key).agg(F.max_by("cache_id", F.struct("created_at", "cache_id")).alias(name))
 
 
-def skyline(rows: DataFrame, key: str, objectives: list[str]) -> DataFrame:
+def _front(points: np.ndarray) -> np.ndarray:
+    """The points that no other dominates; distinct points in, by falling sum out."""
+    points, k = points[np.argsort(-points.sum(axis=1), kind="stable")], 0
+    while k < len(points):
+        beaten = (points[k] >= points).all(axis=1) & (points[k] > points).any(axis=1)
+        k += 1 - int(beaten[:k].sum())
+        points = points[~beaten]
+    return points
+
+
+def skyline(rows: DataFrame, key: str, objectives: list[str], fan_in: int = 8) -> DataFrame:
     """Rows that no other dominates: as good in all objectives and better in one.
 
-    First each partition keeps only its local skyline candidates: rows not
-    dominated by the best row of the partition by sum of ranks; then equal
-    vectors collapse, and the few vectors left meet in a theta anti-join.
+    Each partition of the distinct vectors keeps its own front in Arrow batches;
+    fronts of `fan_in` partitions are merged at a time, until one is left. A
+    vector that is dominated leaves at the first level, so what moves is fronts.
+    Rows with a null objective are not compared and left out.
     """
-    vectors = rows.select(*objectives).where(" AND ".join(f"{o} IS NOT NULL" for o in objectives)).distinct()
-    leaders = [vectors.select(F.max_by(F.struct(*objectives), F.struct(o, *objectives)).alias("v")).select("v.*") for o in objectives]
-    best = leaders[0]
-    for other in leaders[1:]:
-        best = best.unionByName(other)
-    named = lambda frame: frame.select(*[F.col(o).alias(f"_{o}") for o in objectives])
-    as_good, better = F.lit(True), F.lit(False)
-    for o in objectives:
-        as_good, better = as_good & (F.col(f"_{o}") >= F.col(o)), better | (F.col(f"_{o}") > F.col(o))
-    kept = vectors.join(F.broadcast(named(best)), as_good & better, "left_anti")  # at most one row per objective is broadcast
-    front = kept.join(named(kept), as_good & better, "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = np.empty((0, len(objectives)))
+        for frame in frames:
+            front = _front(np.concatenate([front, frame.to_numpy(np.float64)]))
+        yield pd.DataFrame(front, columns=objectives)
+
+    asked = rows.select(*[F.col(o).cast("double").alias(o) for o in objectives]).where(" AND ".join(f"{o} IS NOT NULL" for o in objectives)).distinct()
+    schema, left = ", ".join(f"{o} double" for o in objectives), partitions(rows.sparkSession)
+    front = asked.mapInPandas(run, schema)
+    while left > 1:
+        left = -(-left // fan_in)
+        front = front.repartition(left).mapInPandas(run, schema)
     same = F.lit(True)
     for o in objectives:
         same = same & (F.col(o) == F.col(f"_{o}"))
-    return rows.join(named(front), same, "left_semi")
+    front = Scratch(rows.sparkSession, "front").keep(front.select(*[F.col(o).alias(f"_{o}") for o in objectives]))
+    return rows.join(front, same, "left_semi")
 
 
 def assessed(judgments: DataFrame, requirements: DataFrame) -> DataFrame:

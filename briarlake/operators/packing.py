@@ -5,28 +5,28 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briarlake.operators.order import folded
+
 
 def token_chunks(rows: DataFrame, group: str, order: str, text: str, budget: int, most: int | None = None) -> DataFrame:
     """(group, n_chunks, n_chars): blocks of a group in order fill chunks of `budget` tokens (four characters each), `most` blocks at most.
 
-    A block over the budget is cut to it. Only lengths are gathered by group,
-    since each chunk's start depends on those before.
+    A block over the budget is cut to it. Lengths, not texts, are shuffled.
     """
-    size = F.least(F.length(text), F.lit(budget * 4)).cast("long")
-    listed = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), size.alias("n")))).alias("_b"), F.sum(size).alias("n_chars"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("held"), zero.alias("blocks"), zero.alias("chunks"))
+    size = F.coalesce(F.least(F.length(text), F.lit(budget * 4)), F.lit(0)).cast("long")
 
-    def step(s: Column, b: Column) -> Column:
-        full = (s["chunks"] == 0) | (F.ceil((s["held"] + b["n"]) / 4) > budget)
-        if most is not None:
-            full = full | (s["blocks"] >= most)
-        return F.struct(F.when(full, b["n"]).otherwise(s["held"] + b["n"]).alias("held"), F.when(full, F.lit(1).cast("long")).otherwise(s["blocks"] + 1).alias("blocks"), F.when(full, s["chunks"] + 1).otherwise(s["chunks"]).alias("chunks"))
+    def step(state: tuple, n: int) -> tuple:
+        held, blocks, chunks, total = state
+        if not chunks or -(-(held + n) // 4) > budget or most is not None and blocks >= most:
+            return n, 1, chunks + 1, total + n
+        return held + n, blocks + 1, chunks, total + n
 
-    return listed.select(group, F.aggregate("_b", start, step)["chunks"].alias("n_chunks"), "n_chars")
+    kind = rows.schema[group].dataType.simpleString()
+    sized = rows.select(group, order, size.alias("n"))
+    return folded(sized, group, [order], ["n"], lambda: (0, 0, 0, 0), step, lambda s: s[2:], f"{group} {kind}, n_chunks long, n_chars long")
 
 
 def cutline(rows: DataFrame, target: int, most: int, swing: float = 0.39) -> DataFrame:
@@ -45,7 +45,7 @@ def rescued(qualified: DataFrame, accepted: DataFrame, target: int, share: float
     n = qualified.count()  # at most target
     url = F.coalesce("url", F.lit(""))
     ids, urls = qualified.select(F.col("id").alias("_i")), qualified.select(url.alias("_u")).distinct()
-    others = accepted.join(F.broadcast(ids), F.col("id") == F.col("_i"), "left_anti").join(F.broadcast(urls), url == F.col("_u"), "left_anti")
+    others = accepted.join(ids, F.col("id") == F.col("_i"), "left_anti").join(urls, url == F.col("_u"), "left_anti")
     extra = others.orderBy(F.col("rank").desc(), "id").limit(max(0, min(target - n, math.ceil(target * share))))
     return qualified.select("id", F.lit("qualified").alias("verdict")).unionByName(extra.select("id", F.lit("rescued").alias("verdict")))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
+from briarlake.operators.order import ranked
+from briarlake.scratch import Scratch
 
 # Fixed values.
 STAGES = ("SCRAPED", "ENRICHED", "SEQUENCE ACTIVE", "REPLIED", "MEETING BOOKED", "NEGOTIATING", "CONVERTED", "LOST", "NURTURE")
@@ -53,8 +55,9 @@ def serp_rows(pages: DataFrame, body: str) -> DataFrame:
 
 
 def chunked(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Numbers chunks of `size` rows; for bounded lists, as rows are numbered in one task."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    """Numbers chunks of `size` rows in order, by ranks over range partitions."""
+    placed = ranked(rows, [], [F.col(c) for c in order], Scratch(rows.sparkSession, "chunks"), "chunk")
+    return placed.withColumn("chunk", F.floor(F.col("chunk") / size))
 
 
 def resolve_headers(columns: list[str]) -> dict[str, str]:

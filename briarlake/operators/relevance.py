@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
 from briarlake.functions.numeric import fixed
+from briarlake.scratch import Scratch
 
 
 def fuse(observations: DataFrame) -> DataFrame:
@@ -25,9 +26,14 @@ def tokens(text: Column) -> Column:
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
-    """(term, df, tf): counted by document first, so a term's rows are combined before the shuffle."""
-    per = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    """(term, df, tf), a row being a document. One shuffle, of partly counted terms.
+
+    A row's words are sorted within the row, where the first of equal words
+    counts for df; no (document, term) pair is shuffled.
+    """
+    words = docs.select(F.array_sort(tokens(F.col("text"))).alias("w"))
+    marked = words.select(F.explode(F.transform("w", lambda x, k: F.struct(x.alias("term"), ((k == 0) | (F.get("w", k - 1) != x)).alias("first")))).alias("t"))
+    return marked.groupBy(F.col("t.term").alias("term")).agg(F.count_if("t.first").alias("df"), F.count("*").alias("tf"))
 
 
 def signal_frequency(docs: DataFrame, signals: list[str]) -> DataFrame:
@@ -38,23 +44,15 @@ def signal_frequency(docs: DataFrame, signals: list[str]) -> DataFrame:
     return counted.select(F.inline(pairs))
 
 
-def term_counts(text: Column, terms: list[str]) -> list[Column]:
-    words = tokens(text)
-
-    def count(term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == term))
-
-    return [count(t) for t in terms]
-
-
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, delta: float = 0.5) -> DataFrame:
     """(doc_id, score): BM25+ of a fixed query, times 1.5 and at most 10.
 
-    Statistics of the few query terms come from one aggregate over the
-    documents; scores need no shuffle. Documents are read twice, no term is
-    exploded.
+    Each text is split once, into a narrow written table of its length and the
+    counts of the few query terms; statistics and scores come from that table.
     """
-    counts = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("n"), *[c.alias(f"t{k}") for k, c in enumerate(term_counts(F.col("text"), terms))])
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    count = lambda t: F.size(F.filter("w", lambda x: x == t))
+    counts = Scratch(docs.sparkSession, "bm25").keep(words.select("doc_id", F.size("w").alias("n"), *[count(t).alias(f"t{k}") for k, t in enumerate(terms)]))
     stats = counts.agg(F.count("*").alias("n_docs"), (F.sum("n") / F.count("*")).alias("avg"), *[F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(terms))])
     total = F.lit(0.0)
     for k in range(len(terms)):

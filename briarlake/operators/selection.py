@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from briarlake.functions import text as T
 from briarlake.functions.numeric import clamp, fixed
 from briarlake.functions.scoring import arm_score, sigmoid
+from briarlake.scratch import Scratch
 
 
 def company_cap(rows: DataFrame, company: Column, score: str, most: int) -> DataFrame:
@@ -50,43 +51,52 @@ def criteria_hits(body: Column, spec: dict[str, list[str]]) -> Column:
     return hits
 
 
-def _greedy(group: pd.DataFrame, count: int, balance: float) -> pd.DataFrame:
-    pool = group.sort_values(["rank", "id"], ascending=[False, True]).reset_index(drop=True)
-    words = [set(w) for w in pool["_words"]]
-    firm, place, score = pool["_firm"].tolist(), pool["_place"].tolist(), pool["rank"].to_numpy() / 10
-    closest, left, chosen = np.zeros(len(pool)), np.ones(len(pool), bool), []
-    while left.any() and len(chosen) < count:
-        value = np.where(left, balance * score - (1 - balance) * closest, -np.inf)
-        pick = 0 if not chosen else int(value.argmax())
-        left[pick] = False
-        chosen.append(pick)
-        for k in np.flatnonzero(left):
-            same = firm[k] and firm[pick] and (firm[k] == firm[pick] or words[k] & words[pick])
-            near = 0.8 * bool(same) + 0.2 * bool(place[k] and place[k] == place[pick])
-            closest[k] = max(closest[k], near)
-    return pd.DataFrame({"id": pool["id"].to_numpy()[chosen], "position": np.arange(1, len(chosen) + 1)})
-
-
-def mmr(rows: DataFrame, count: int, pool: int, balance: float = 0.75) -> DataFrame:
-    """(id, position): greedy maximal marginal relevance among the `pool` best rows by rank.
-
-    The greedy walk needs its pool in one place; the top-k before it bounds that
-    place by a parameter.
+def mmr(rows: DataFrame, count: int, balance: float = 0.75) -> DataFrame:
+    """(id, position): greedy maximal marginal relevance over all rows, `count` passes over a narrow written table.
+
+    Exact, though most rows never enter the table: none below the rank of place
+    `count` by more than 10 (1 - balance) / balance can be chosen, as its lead
+    over a dissimilar row is worth no more; and of rows of one firm and place,
+    which are alike to all others, only the best `count` can.
     """
-    top = rows.orderBy(F.col("rank").desc(), "id").limit(pool)
-    seen = top.select("id", "rank", T.company_name(F.col("company")).alias("_firm"), T.distinctive_words(F.col("company")).alias("_words"), F.lower(T.text(F.col("location"))).alias("_place"))
-    return seen.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda g: _greedy(g, count, balance), "id long, position long")
+    scratch = Scratch(rows.sparkSession, "mmr")
+    firm, place = T.company_name(F.col("company")), F.lower(T.text(F.col("location")))
+    scored = scratch.keep(rows.select("id", "rank", "company", "location"))  # scores are long expressions: computed once
+    seen = scored.where("rank IS NOT NULL").select("id", "rank", firm.alias("firm"), T.distinctive_words(F.col("company")).alias("words"), place.alias("place"))
+    low = seen.select("id", "rank").orderBy(F.col("rank").desc(), "id").limit(count).agg(F.min("rank")).first()[0]
+    alike = Window.partitionBy("firm", "place").orderBy(F.col("rank").desc(), "id")
+    if low is not None and balance > 0:
+        seen = seen.where(F.col("rank") >= low - 10 * (1 - balance) / balance)
+    pool = scratch.keep(seen.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= count).drop("n"))
+    chosen: list = []
+
+    def near(pick) -> Column:
+        same = (F.col("firm") != "") & F.lit(pick.firm != "") & ((F.col("firm") == pick.firm) | F.arrays_overlap("words", F.array(*map(F.lit, pick.words)).cast("array<string>")))
+        return F.when(same, 0.8).otherwise(0.0) + F.when((F.col("place") != "") & (F.col("place") == pick.place), 0.2).otherwise(0.0)
+
+    while len(chosen) < count:
+        closest = F.greatest(F.lit(0.0), F.lit(0.0), *map(near, chosen))
+        value = F.lit(balance) * (F.col("rank") / 10) - F.lit(1 - balance) * closest
+        left = pool.where(~F.col("id").isin([c.id for c in chosen])) if chosen else pool
+        best = left.agg(F.max_by(F.struct("id", "firm", "words", "place"), F.struct(value, F.col("rank"), -F.col("id")))).first()[0]
+        if best is None:
+            break
+        chosen.append(best)
+    return rows.sparkSession.createDataFrame([(c.id, k + 1) for k, c in enumerate(chosen)], "id long, position long")
 
 
 def diversified(rows: DataFrame, limit: int, per_company: int, share: float = 0.3) -> DataFrame:
-    """(id, position): the first of the skyline are guaranteed, then company cap and marginal relevance."""
-    reserved = rows.where("skyline").orderBy("id").limit(math.ceil(limit * share)).select("id").withColumn("position", F.row_number().over(Window.orderBy("id")).cast("long"))
-    n_reserved = reserved.count()  # at most share * limit
-    spread = entropy_spread(rows.withColumn("_s", F.greatest("rank", F.lit(1.0))), "_s").withColumn("rank", sigmoid(F.col("normalized"))).drop("_s", "normalized")
+    """(id, position): the first rows of the skyline (`skyline` is true) are guaranteed, then entropy, company cap and marginal relevance.
+
+    The scored rows are written once and read by each step.
+    """
+    kept = Scratch(rows.sparkSession, "diversified").keep(rows.select("id", "company", "location", "rank", "skyline"))
+    reserved = [r.id for r in kept.where("skyline").orderBy("id").limit(math.ceil(limit * share)).select("id").collect()]  # share * limit at most
+    spread = entropy_spread(kept.withColumn("_s", F.greatest("rank", F.lit(1.0))), "_s").withColumn("rank", sigmoid(F.col("normalized"))).drop("_s", "normalized")
     capped = company_cap(spread, T.text(F.col("company")), "rank", per_company)
-    rest = capped.join(F.broadcast(reserved.select(F.col("id").alias("_r"))), F.col("id") == F.col("_r"), "left_anti")
-    found = mmr(rest, limit - n_reserved, pool=limit * 10)
-    return reserved.unionByName(found.withColumn("position", F.col("position") + n_reserved))
+    found = mmr(capped.where(~F.col("id").isin(reserved)) if reserved else capped, limit - len(reserved))
+    first = rows.sparkSession.createDataFrame([(x, k + 1) for k, x in enumerate(reserved)], "id long, position long")
+    return first.unionByName(found.withColumn("position", F.col("position") + len(reserved)))
 
 
 def beta_samples(arms: DataFrame) -> DataFrame:
@@ -129,13 +139,19 @@ def cover(tasks: list[dict], most: int) -> list[dict]:
     return sorted(chosen, key=tasks.index)
 
 
-def scheduled(tasks: DataFrame, arms: DataFrame, most: int, pool: int) -> DataFrame:
-    """(id, priority) of the tasks to run: the `pool` best by arm score go to the driver, which covers and guards."""
+def scheduled(tasks: DataFrame, arms: DataFrame, most: int) -> DataFrame:
+    """(id, priority) of the tasks to run, by set cover, person guard and arm score.
+
+    Tasks that cover the same requirements in the same lane are alike to the
+    greedy choice, so only the best `most` of each such class reach the driver:
+    2 to the number of requirements (nine at most) classes a lane.
+    """
     columns = {c: F.col(c) for c in ("outcome_runs", "qualified", "returned", "uniques", "rescued", "duplicates", "units", "latency_ms")}
     total = arms.agg(F.sum("outcome_runs").alias("_t"))
     known = arms.select(F.concat_ws("|", "family", "lane", "provider").alias("_arm"), *columns)
     joined = tasks.withColumn("_scope", F.concat_ws("|", "family", "lane", "preference")).join(known, F.col("_scope") == F.col("_arm"), "left").crossJoin(F.broadcast(total))
-    scored = joined.select("id", "lane", "priority", fixed(arm_score(columns, F.col("_t")), 6).alias("score"), F.array(F.concat(F.lit("r"), (F.col("id") % 5).cast("string"))).alias("covers"))
-    top = [r.asDict() for r in scored.orderBy(F.col("score").desc(), "priority", "id").limit(pool).collect()]
-    chosen = cover(top, most)
+    scored = joined.select("id", "lane", "priority", fixed(arm_score(columns, F.col("_t")), 6).alias("score"), F.array_sort(F.array_distinct("covers")).alias("covers"))
+    order = [F.col("score").desc(), F.col("priority").asc(), F.col("id").asc()]
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("lane", "covers").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    chosen = cover([r.asDict() for r in best.orderBy(*order).collect()], most)
     return tasks.sparkSession.createDataFrame([(t["id"], k + 1) for k, t in enumerate(chosen)], "id long, priority int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,8 +48,42 @@ def orphans_interrupted(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("status", F.when(F.col("status") == "running", "interrupted").otherwise(F.col("status")))
 
 
-def identities_moved(keys: DataFrame, loser: int, winner: int) -> DataFrame:
-    return keys.withColumn("id", F.when(F.col("id") == loser, winner).otherwise(F.col("id"))).distinct()
+def identities_moved(keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, k) with the keys of each pair's loser under its winner, distinct."""
+    moves = pairs.select(F.col("loser").alias("_loser"), F.col("winner").alias("_winner"))
+    return keys.join(moves, F.col("id") == F.col("_loser"), "left").select(F.coalesce("_winner", "id").alias("id"), "k").distinct()
+
+
+def mergeable(leads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(winner, loser) of the pairs that may merge: two stored leads, the winner at the expected revision, no other prospect holding its identity.
+
+    `pairs` has winner, loser, revision. A lead is merged once at a time: of the
+    pairs that share a lead the least (winner, loser) counts, if it is the least
+    of both its leads.
+    """
+    stored = leads.select("id", "revision", "identity")
+    holder = stored.where("identity IS NOT NULL").groupBy(F.col("identity").alias("_held")).agg(F.min("id").alias("_holder"))
+    known = pairs.where("winner <> loser").join(stored.select(F.col("id").alias("loser")), "loser", "left_semi").select("winner", "loser", F.col("revision").alias("_expected"))
+    checked = known.join(stored, F.col("winner") == F.col("id")).join(holder, F.col("identity") == F.col("_held"), "left")
+    allowed = checked.where((F.col("revision") == F.col("_expected")) & F.coalesce(F.col("_holder") == F.col("winner"), F.lit(True))).select("winner", "loser")
+    ends = allowed.select("winner", "loser", F.explode(F.array("winner", "loser")).alias("_end"))
+    least = ends.groupBy("_end").agg(F.min(F.struct("winner", "loser")).alias("_least"))
+    ok = ends.join(least, "_end").groupBy("winner", "loser").agg(F.bool_and(F.struct("winner", "loser") == F.col("_least")).alias("_ok"))
+    return ok.where("_ok").select("winner", "loser")
+
+
+def merged_leads(leads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Leads after merging the (winner, loser) of `mergeable`: winners keep filled fields and take the loser's for the rest, tags unite, losers go.
+
+    Leads have id, revision, company, email, tags. `merged_from` of a winner is
+    the row of the activity log: the loser, else null.
+    """
+    lost = leads.select(F.col("id").alias("_lost"), F.col("company").alias("_company"), F.col("email").alias("_email"), F.col("tags").alias("_tags"))
+    into = pairs.select(F.col("winner").alias("_winner"), F.col("loser").alias("_loser")).join(lost, F.col("_loser") == F.col("_lost"))
+    rest = leads.join(pairs.select(F.col("loser").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
+    joined = rest.join(into, F.col("id") == F.col("_winner"), "left")
+    won, filled = F.col("_winner").isNotNull(), lambda a, b: F.when(F.col("_winner").isNotNull(), F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))).otherwise(F.col(a))
+    return joined.select("id", F.when(won, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), filled("company", "_company").alias("company"), filled("email", "_email").alias("email"), F.when(won, F.array_union("tags", "_tags")).otherwise(F.col("tags")).alias("tags"), F.col("_loser").alias("merged_from"))
 
 
 # Message patterns of provider failures, first match wins.
@@ -72,11 +108,42 @@ def backoff_ms(kind: Column, attempt: Column, base: int = 750) -> Column:
     return F.when(kind == "transport_transient", max(base, 5000)).otherwise(base) * F.pow(F.lit(2.0), attempt - 1)
 
 
-def migrated(frame: DataFrame, steps: list, version: int) -> tuple[DataFrame, int]:
-    """Apply the forward-only steps (each DataFrame to DataFrame) after `version`."""
-    for step in steps[version:]:
-        frame = step(frame)
-    return frame, max(version, len(steps))
+class Migrations:
+    """Forward-only steps (each DataFrame to DataFrame) over a table of numbered versions.
+
+    Version n is the folder `version-n` and counts once Spark has finished it, so
+    a run applies all its steps or none. Before a run, the table as it is goes to
+    `snapshot-n`.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, steps: list[Callable[[DataFrame], DataFrame]]):
+        self.spark, self.path, self.steps = spark, path.rstrip("/"), steps
+
+    def _finished(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def version(self) -> int | None:
+        return next((n for n in range(len(self.steps), -1, -1) if self._finished(f"version-{n}")), None)
+
+    def create(self, frame: DataFrame) -> None:
+        frame.write.mode("overwrite").parquet(f"{self.path}/version-0")
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/version-{self.version()}")
+
+    def snapshot(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/snapshot-{version}")
+
+    def run(self) -> int:
+        """Apply the steps after the table's version; returns the version reached."""
+        at, frame = self.version(), self.table()
+        if at < len(self.steps):
+            frame.write.mode("overwrite").parquet(f"{self.path}/snapshot-{at}")
+            for step in self.steps[at:]:
+                frame = step(frame)
+            frame.write.mode("overwrite").parquet(f"{self.path}/version-{len(self.steps)}")
+        return len(self.steps)
 
 
 def with_column_if_missing(frame: DataFrame, name: str, kind: str, default: object = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from briarlake.operators.order import folded
+
 
 def zero_filled(rows: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:
     """(column, n) for every value of a fixed domain, also those without rows."""
@@ -39,22 +41,13 @@ def phase_timeline(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id", "phase").agg(F.count("*").alias("n_events"), span.alias("duration_ms"), folded_status(F.col("status"), F.col("event_id")).alias("status"))
 
 
-def capped_reservations(requests: DataFrame, group: list[str], order: str, units: str, limit: int) -> DataFrame:
-    """Grants requests of a group in order while they fit under the limit; a denied one takes nothing.
-
-    A group is folded in order, as each grant depends on those before it; its
-    requests are gathered in one array, so groups are budgets of one session or
-    month.
-    """
-    listed = requests.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(units).cast("long").alias("u")))).alias("_all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("granted"), F.lit(0).cast("long").alias("denied"))
+def capped_reservations(requests: DataFrame, group: str, order: str, units: str, limit: int) -> DataFrame:
+    """(group, used, granted, denied): requests of a group in order are granted while they fit under the limit; a denied one takes nothing."""
 
-    def step(state: Column, request: Column) -> Column:
-        fits = state["used"] + request["u"] <= limit
-        return F.struct(
-            F.when(fits, state["used"] + request["u"]).otherwise(state["used"]).alias("used"),
-            F.when(fits, state["granted"] + 1).otherwise(state["granted"]).alias("granted"),
-            F.when(fits, state["denied"]).otherwise(state["denied"] + 1).alias("denied"),
-        )
+    def step(state: tuple, units: int) -> tuple:
+        used, granted, denied = state
+        return (used + units, granted + 1, denied) if used + units <= limit else (used, granted, denied + 1)
 
-    return listed.select(*group, F.aggregate("_all", start, step).alias("_r")).select(*group, "_r.*")
+    kind = requests.schema[group].dataType.simpleString()
+    asked = requests.select(group, order, F.coalesce(F.col(units), F.lit(0)).cast("long").alias("units"))
+    return folded(asked, group, [order], ["units"], lambda: (0, 0, 0), step, lambda s: s, f"{group} {kind}, used long, granted long, denied long")

@@ -106,7 +106,7 @@ SELECT * FROM (VALUES ('person_role-1', 'person_role', 'hard', 'founder'), ('per
 """,
     "careers": f"""
 SELECT conv_id AS person_id, turn AS position, CASE (conv_id * 3 + turn * 5) % 12 {" ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TITLES))} END AS title,
-       'Company ' || conv_id % 20 AS company, substr(text, 1, 80) AS description
+       'Company ' || conv_id % 20 AS company, text AS description
 FROM {{conversations}}
 """,
     "judgments": f"""
@@ -123,6 +123,3 @@ SELECT c_custkey AS session_id, {pick("c_custkey", "'running'", "'interrupted'",
 FROM {{customer}}
 """,
 }
-
-#: The same with descriptions of any length.
-FRAMES["whole_careers"] = FRAMES["careers"].replace("substr(text, 1, 80) AS description", "text AS description")

@@ -160,6 +160,45 @@ def enforced_queries(raw: list[str], contract: Contract) -> list[dict]:
     return out
 
 
+# Fixed values of the search spec.
+MODES = ("person_first", "account_first", "signal_first", "local_business")
+LOCAL_HINTS = r"\b(local|near me|city|austin|dallas|houston|miami|chicago|new york|london|toronto|canada|usa|united states)\b"
+SIGNAL_HINTS = r"\b(hiring|funding|raised|growing|growth|automation|crm|new patients|booking|expanding)\b"
+
+
+def _number(value: object, default: int, low: int, high: int) -> int:
+    try:
+        return min(max(int(float(value)), low), high)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return default
+
+
+def normalized_spec(raw: object, brief: str, mode: str = "") -> dict:
+    """A search spec with known modes, tidy distinct lists and bounded numbers, whatever a model answered."""
+    part = lambda name: x if isinstance(x := source.get(name), dict) else {}
+    listed = lambda owner, name, most=30: distinct(x, most) if isinstance(x := owner.get(name), list) else []
+    source = raw if isinstance(raw, dict) else {}
+    person, company, signals, exclusions = part("person"), part("company"), part("signals"), part("exclusions")
+    staff = company.get("employeeRange") if isinstance(company.get("employeeRange"), dict) else {}
+    low, high = (_number(staff.get(k), 0, 0, 1_000_000) for k in ("min", "max"))
+    return {
+        "mode": mode or (tidy(source.get("mode")) if tidy(source.get("mode")) in MODES else MODES[0]),
+        "titles": listed(person, "includeTitles"), "excluded_titles": listed(person, "excludeTitles"), "seniorities": listed(person, "seniorities"), "places": listed(person, "locations"),
+        "industries": listed(company, "industries"), "keywords": listed(company, "keywords") or distinct([brief]), "employees": (low, high) if low or high else None,
+        "signals": listed(signals, "include"), "recency_days": _number(signals.get("recencyDays"), 30, 1, 365) if signals.get("recencyDays") else None,
+        "excluded_companies": listed(exclusions, "companies", 100), "excluded_domains": listed(exclusions, "domains", 100), "max_per_company": _number(source.get("maxPerCompany"), 2, 1, 5),
+    }
+
+
+def fallback_spec(brief: str, mode: str = "person_first") -> dict:
+    """The spec of a brief without a model: a place makes it local, else a signal word makes it signal-first."""
+    text = tidy(brief)
+    local, signal = re.search(LOCAL_HINTS, text.lower()), re.search(SIGNAL_HINTS, text.lower())
+    if mode == "person_first":
+        mode = "local_business" if local else "signal_first" if signal else mode
+    return normalized_spec({"mode": mode, "company": {"keywords": [text]}, "signals": {"include": [text], "recencyDays": 90} if signal else {}}, text)
+
+
 def fallback_plan(brief: str, titles: tuple[str, ...] = ("founder", "owner"), signal: str = "growth automation") -> list[dict]:
     text = tidy(brief)
     parts = (("person", "persona_title", " ".join(titles)), ("account", "company_type", "company founder owner"), ("signal", "growth_signal", signal), ("signal", "tooling_signal", "automation CRM"))

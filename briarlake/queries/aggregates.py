@@ -63,11 +63,25 @@ def _(f: Frames) -> DataFrame:
     return f.trace_events.where("provider IS NOT NULL").groupBy("provider", F.date_format("ts", "yyyy-MM").alias("period")).agg(F.count("*").alias("units"))
 
 
-@query("d10_capped_reservations")
+@query("d10_capped_reservations", """WITH RECURSIVE r AS MATERIALIZED (SELECT session_id, event_id % 4 + 1 AS u, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k FROM trace_events),
+ w AS (SELECT session_id, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS granted, 0::BIGINT AS denied FROM (SELECT DISTINCT session_id FROM trace_events) UNION ALL
+ SELECT w.session_id, w.k + 1, CASE WHEN used + u <= 12 THEN used + u ELSE used END, granted + (used + u <= 12)::BIGINT, denied + (used + u > 12)::BIGINT FROM w JOIN r ON r.session_id = w.session_id AND r.k = w.k + 1)
+ SELECT session_id, arg_max(used, k) AS used, arg_max(granted, k) AS granted, arg_max(denied, k) AS denied FROM w GROUP BY session_id""")
 def _(f: Frames) -> DataFrame:
-    """E14 and L8 too: requests of a session in order; one is granted if it still fits, else it takes nothing."""
+    """L8 too: requests of a session in order; one is granted if it still fits, else it takes nothing."""
     requests = f.trace_events.select("session_id", "event_id", (C("event_id") % 4 + 1).alias("units"))
-    return L.capped_reservations(requests, ["session_id"], "event_id", "units", 12)
+    return L.capped_reservations(requests, "session_id", "event_id", "units", 12)
+
+
+@query("e14_month_period_counters", """WITH RECURSIVE r AS MATERIALIZED (SELECT provider || '|' || strftime(ts, '%Y-%m') AS period, event_id % 4 + 1 AS u, row_number() OVER (PARTITION BY provider, strftime(ts, '%Y-%m') ORDER BY event_id) AS k FROM trace_events WHERE provider IS NOT NULL),
+ w AS (SELECT period, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS granted, 0::BIGINT AS denied FROM (SELECT DISTINCT period FROM r) UNION ALL
+ SELECT w.period, w.k + 1, CASE WHEN used + u <= 1000 THEN used + u ELSE used END, granted + (used + u <= 1000)::BIGINT, denied + (used + u > 1000)::BIGINT FROM w JOIN r ON r.period = w.period AND r.k = w.k + 1)
+ SELECT period, arg_max(used, k) AS used, arg_max(granted, k) AS granted, arg_max(denied, k) AS denied FROM w GROUP BY period""")
+def _(f: Frames) -> DataFrame:
+    """Units of a provider's calendar month against its limit."""
+    period = F.concat_ws("|", "provider", F.date_format("ts", "yyyy-MM"))
+    requests = f.trace_events.where("provider IS NOT NULL").select(period.alias("period"), "event_id", (C("event_id") % 4 + 1).alias("units"))
+    return L.capped_reservations(requests, "period", "event_id", "units", 1000)
 
 
 _PROVIDERS = ("llm", "tavily", "brightdata", "system", "cache")
@@ -151,12 +165,6 @@ def _(f: Frames) -> DataFrame:
     return V.signal_frequency(f.documents.select("text"), ["the", "ing", "ea", "zz"])
 
 
-@query("d22_dispositions", "SELECT CAST(count(*) FILTER (WHERE id % 3 = 0) AS BIGINT) AS created, CAST(count(*) FILTER (WHERE id % 3 = 1) AS BIGINT) AS updated, CAST(count(*) FILTER (WHERE id % 3 = 2) AS BIGINT) AS duplicates FROM leads")
-def _(f: Frames) -> DataFrame:
-    kind = F.when(C("id") % 3 == 0, "created").when(C("id") % 3 == 1, "updated").otherwise("duplicate")
-    return f.leads.agg(F.count_if(kind == "created").alias("created"), F.count_if(kind == "updated").alias("updated"), F.count_if(kind == "duplicate").alias("duplicates"))
-
-
 @query("d23_finalist_outcomes", "SELECT provider, CAST(count(*) FILTER (WHERE fit >= 7) AS BIGINT) AS qualified, CAST(count(*) FILTER (WHERE fit < 7 AND skyline) AS BIGINT) AS rescued, CAST(count(*) FILTER (WHERE fit >= 7 OR skyline) AS BIGINT) AS returned FROM candidates GROUP BY provider")
 def _(f: Frames) -> DataFrame:
     good = C("fit") >= 7
@@ -183,12 +191,12 @@ def _(f: Frames) -> DataFrame:
     return f.trace_events.where("provider IS NOT NULL").groupBy("provider").agg(F.count_if(C("status") == "success").alias("active"), F.count_if(C("status") == "error").alias("cooling"), F.count_if(C("status") == "skipped").alias("exhausted"))
 
 
-@query("d26_historical_yield")
+@query("d26_historical_yield", f"SELECT family || ':' || lane || ':' || provider AS key, {S.fixed('qualified / runs')} AS value FROM arms ORDER BY runs DESC, family, lane, provider LIMIT 30")
 def _(f: Frames) -> DataFrame:
-    """The 30 busiest arms as one map of scope to mean yield."""
+    """The 30 busiest arms as one map of scope to mean yield, shown by its entries."""
     top = f.arms.orderBy(C("runs").desc(), "family", "lane", "provider").limit(30)
     entry = F.struct(F.concat_ws(":", "family", "lane", "provider").alias("key"), fixed(F.try_divide(C("qualified"), C("runs"))).alias("value"))
-    return top.agg(F.map_from_entries(F.collect_list(entry)).alias("yields"))
+    return top.agg(F.map_from_entries(F.collect_list(entry)).alias("yields")).select(F.explode("yields").alias("key", "value"))
 
 
 @query("d27_pool_entropy", f"SELECT {S.fixed('-sum(p * log2(p))', 6)} AS entropy FROM (SELECT s / sum(s) OVER () AS p FROM (SELECT greatest(fit, 1) AS s FROM candidates))")

@@ -62,14 +62,14 @@ def _(f: Frames) -> DataFrame:
     return f.tasks.withColumn("scope", scope("family", "lane", "preference")).join(arms, C("scope") == C("arm"), "left").select("id", F.coalesce("outcome_runs", F.lit(0)).alias("outcome_runs"))
 
 
-_SIGNALS = "sig AS (SELECT DISTINCT company FROM leads WHERE coalesce(company, '') <> '' AND id % 3 = 0), cand AS (SELECT DISTINCT company FROM leads WHERE coalesce(company, '') <> '')"
+_SIGNALS = "sig AS (SELECT DISTINCT company FROM leads WHERE coalesce(company, '') <> ''), cand AS (SELECT DISTINCT company FROM leads WHERE coalesce(company, '') <> '')"
 
 
 @query("c06_fuzzy_companies", f"""WITH {_SIGNALS}, a AS (SELECT company, {S.company('company')} AS n, {S.distinctive('company')} AS t FROM cand), b AS (SELECT company, {S.company('company')} AS n, {S.distinctive('company')} AS t FROM sig)
   SELECT DISTINCT a.company AS candidate, b.company AS signal FROM a, b WHERE a.n <> '' AND b.n <> '' AND (a.n = b.n OR (length(replace(a.n, ' ', '')) >= 8 AND replace(a.n, ' ', '') = replace(b.n, ' ', '')) OR list_has_any(a.t, b.t))""")
 def _(f: Frames) -> DataFrame:
     named = f.leads.where("coalesce(company, '') <> ''")
-    return M.fuzzy_companies(named.select(C("company").alias("candidate")).distinct(), "candidate", named.where("id % 3 = 0").select(C("company").alias("signal")).distinct(), "signal")
+    return M.fuzzy_companies(named.select(C("company").alias("candidate")).distinct(), "candidate", named.select(C("company").alias("signal")).distinct(), "signal")
 
 
 @query("c07_url_or_username", f"""WITH byurl AS (SELECT {S.profile_url('url')} AS u, max(cache_id) AS c FROM cache WHERE url IS NOT NULL GROUP BY 1), byname AS (SELECT username, max(cache_id) AS c FROM cache GROUP BY 1)
@@ -136,7 +136,16 @@ def _(f: Frames) -> DataFrame:
     return f.leads.select("id", F.concat(F.lit("u"), (C("id") % 70).cast("string")).alias("k")).join(runs, C("k") == C("h"), "left").select("id", "run")
 
 
-@query("c16_keep_first_duplicates")
+def _walk_sql(stored: str, batch: str) -> str:
+    """Leads in order of id, each against the keys held so far; recursion, a step a lead."""
+    return f"""WITH RECURSIVE owned AS (SELECT id, list_distinct({S.keys('email', 'url', 'full_name', 'company', 'website')}) AS ks FROM leads), known AS (SELECT coalesce(flatten(list(ks)), []::VARCHAR[]) AS held FROM owned WHERE {stored}),
+ r AS MATERIALIZED (SELECT id, ks, row_number() OVER (ORDER BY id) AS n FROM owned WHERE {batch}),
+ w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS id, false AS duplicate, held FROM known UNION ALL
+ SELECT r.n, r.id, list_has_any(w.held, r.ks), CASE WHEN list_has_any(w.held, r.ks) THEN w.held ELSE list_concat(w.held, r.ks) END FROM w JOIN r ON r.n = w.n + 1)
+ SELECT id, duplicate FROM w WHERE n > 0"""
+
+
+@query("c16_keep_first_duplicates", _walk_sql("false", "true"))
 def _(f: Frames) -> DataFrame:
     """Exact sequential rule over e-mail, URL and name with company: only rows that are kept register their keys."""
     return I.sequential_duplicates(f.leads, _keys(f))
@@ -163,14 +172,7 @@ def _(f: Frames) -> DataFrame:
     return joined.select("id", F.when(C("sid").isNotNull(), "server").otherwise("local").alias("src"), F.coalesce("srev", "revision").alias("revision"))
 
 
-@query("c20_unseen_queries", "SELECT id, lower(query) AS q FROM tasks WHERE lower(query) NOT IN (SELECT lower(query) FROM tasks WHERE id % 7 = 0 AND id < 40)")
-def _(f: Frames) -> DataFrame:
-    """Five seen queries at most, as its SQL; in c20_unseen_queries_all the seen ones grow with the table."""
-    seen = f.tasks.where("id % 7 = 0 AND id < 40").select(F.lower("query").alias("seen"))
-    return f.tasks.select("id", F.lower("query").alias("q")).join(seen, C("q") == C("seen"), "left_anti")
-
-
-@query("c20_unseen_queries_all", "WITH t AS (SELECT id, lower(query || ' ' || id) AS q FROM tasks) SELECT id, q FROM t WHERE q NOT IN (SELECT q FROM t WHERE id % 2 = 0 AND q IS NOT NULL)")
+@query("c20_unseen_queries", "WITH t AS (SELECT id, lower(query || ' ' || id) AS q FROM tasks) SELECT id, q FROM t WHERE q NOT IN (SELECT q FROM t WHERE id % 2 = 0 AND q IS NOT NULL)")
 def _(f: Frames) -> DataFrame:
     """Half the tasks are seen, in capitals; the id makes each query its own, so rows stay at every size."""
     text = F.concat("query", F.lit(" "), C("id").cast("string"))
@@ -181,12 +183,12 @@ def _(f: Frames) -> DataFrame:
 @query("c22_first_alias_with_signals", f"""WITH {_SIGNALS}, alias AS (SELECT id, 1 AS pos, company AS name FROM leads UNION ALL SELECT id, 2, 'Northwind ' || location FROM leads UNION ALL SELECT id, 3, 'Beacon & Sons' FROM leads),
   hit AS (SELECT DISTINCT a.id, a.pos, a.name FROM alias a JOIN sig b ON {S.company('a.name')} = {S.company('b.company')} AND {S.company('a.name')} <> '') SELECT id, arg_min(name, pos) AS name FROM hit GROUP BY id""")
 def _(f: Frames) -> DataFrame:
-    signals = f.leads.where("coalesce(company, '') <> '' AND id % 3 = 0").select(T.company_name(C("company")).alias("norm")).distinct()
+    signals = f.leads.where("coalesce(company, '') <> ''").select(T.company_name(C("company")).alias("norm")).distinct()
     aliases = f.leads.select("id", F.posexplode(F.array("company", F.concat(F.lit("Northwind "), C("location")), F.lit("Beacon & Sons"))).alias("pos", "name")).withColumn("_n", T.company_name(C("name")))
     return aliases.join(signals.where("norm <> ''"), C("_n") == C("norm"), "left_semi").groupBy("id").agg(F.min_by("name", "pos").alias("name"))
 
 
-@query("c21_sequential_bulk_insert")
+@query("c21_sequential_bulk_insert", _walk_sql("id % 2 = 1", "id % 2 = 0"))
 def _(f: Frames) -> DataFrame:
     """A kept row's keys block later rows of the batch, as the stored leads' keys do: even ids come in, odd ones are stored."""
     keys = _keys(f)

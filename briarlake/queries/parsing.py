@@ -11,13 +11,7 @@ from briarlake.sources import parsers, ports
 C = F.col
 
 
-@query("a10_page_extracts", "SELECT DISTINCT url, html AS content FROM pages WHERE page_id % 3 = 0")
-def _(f: Frames) -> DataFrame:
-    """A third of the pages, as its SQL; a10_page_extracts_all asks for all."""
-    return ports.offline_pages(f.pages.where("page_id % 3 = 0"), "url", f.pages.where("page_id % 3 = 0")).distinct()
-
-
-@query("a10_page_extracts_all", "SELECT DISTINCT url, html AS content FROM pages WHERE url IS NOT NULL")
+@query("a10_page_extracts", "SELECT DISTINCT url, html AS content FROM pages WHERE url IS NOT NULL")
 def _(f: Frames) -> DataFrame:
     """A9, A13 and A37 offline: all distinct URLs answered from the pages table."""
     return ports.offline_pages(f.pages, "url", f.pages).distinct()

@@ -11,14 +11,7 @@ from briarlake.registry import Frames, query
 C = F.col
 
 
-@query("m01_decomposition_mode", rf"SELECT doc_id, CASE WHEN regexp_matches(lower(t), '{B.INTENT_WORDS}') OR len(list_filter(string_split(t, ' '), lambda w: w <> '')) > 14 THEN 'dual_stream_intent' ELSE 'single_stream_identity' END AS mode FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, 60 + (doc_id % 90)::INT), '\s+', ' ', 'g')) AS t FROM documents)")
-def _(f: Frames) -> DataFrame:
-    """The first characters of texts, as its SQL; m01_decomposition_mode_all reads whole texts."""
-    brief = F.substring("text", F.lit(1), (C("doc_id") % 90 + 60).cast("int"))
-    return f.documents.select("doc_id", B.mode_column(brief).alias("mode"))
-
-
-@query("m01_decomposition_mode_all", rf"SELECT doc_id, CASE WHEN regexp_matches(lower(t), '{B.INTENT_WORDS}') OR len(list_filter(string_split(t, ' '), lambda w: w <> '')) > 14 THEN 'dual_stream_intent' ELSE 'single_stream_identity' END AS mode FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")
+@query("m01_decomposition_mode", rf"SELECT doc_id, CASE WHEN regexp_matches(lower(t), '{B.INTENT_WORDS}') OR len(list_filter(string_split(t, ' '), lambda w: w <> '')) > 14 THEN 'dual_stream_intent' ELSE 'single_stream_identity' END AS mode FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")
 def _(f: Frames) -> DataFrame:
     return f.documents.select("doc_id", B.mode_column(C("text")).alias("mode"))
 

@@ -232,9 +232,20 @@ def _(f: Frames) -> DataFrame:
 @query("b13_provider_routing", """SELECT id, coalesce(preference = 'tavily' OR lane = 'person' OR preference = 'corroborate', false) AS run_primary, coalesce(preference = 'brightdata', false) OR results < 5 AS run_fallback,
   coalesce(preference IN ('corroborate', 'brightdata') OR lane IN ('account', 'signal'), false) AS run_secondary FROM tasks""")
 def _(f: Frames) -> DataFrame:
-    """B35 too: the lists of tasks by provider are filters on these columns."""
+    return routed(f.tasks)
+
+
+def routed(tasks: DataFrame) -> DataFrame:
     preferred, lane, no = C("preference"), C("lane"), F.lit(False)
-    return f.tasks.select("id", F.coalesce((preferred == "tavily") | (lane == "person") | (preferred == "corroborate"), no).alias("run_primary"), (F.coalesce(preferred == "brightdata", no) | (C("results") < 5)).alias("run_fallback"), F.coalesce(preferred.isin("corroborate", "brightdata") | lane.isin("account", "signal"), no).alias("run_secondary"))
+    return tasks.select("id", F.coalesce((preferred == "tavily") | (lane == "person") | (preferred == "corroborate"), no).alias("run_primary"), (F.coalesce(preferred == "brightdata", no) | (C("results") < 5)).alias("run_fallback"), F.coalesce(preferred.isin("corroborate", "brightdata") | lane.isin("account", "signal"), no).alias("run_secondary"))
+
+
+@query("b35_provider_task_lists", """SELECT 'primary' AS provider, id FROM tasks WHERE preference IN ('tavily', 'corroborate') OR lane = 'person'
+ UNION ALL SELECT 'secondary', id FROM tasks WHERE preference IN ('corroborate', 'brightdata') OR lane IN ('account', 'signal')""")
+def _(f: Frames) -> DataFrame:
+    """Each provider's list of tasks, by the routing predicates of B13."""
+    lists = F.array(F.when(C("run_primary"), "primary"), F.when(C("run_secondary"), "secondary"))
+    return routed(f.tasks).select(F.explode(F.array_compact(lists)).alias("provider"), "id")
 
 
 @query("b15_blocked_urls", f"SELECT seq, NOT regexp_matches({S.host('url')}, '{T.PUBLIC_HOST}') OR {S.under(S.host('url'), T.BLOCKED_DOMAINS)} AS blocked FROM observations")
@@ -351,14 +362,7 @@ def _(f: Frames) -> DataFrame:
     return f.leads.select("id", T.profile_text([("Name", C("full_name")), ("Title", C("title")), ("Company", C("company")), ("Location", C("location"))]).alias("profile"))
 
 
-@query("b32_evidence_record", "SELECT seq, url, provider, query, round, CAST(1 AS BIGINT) AS n_blocks FROM observations")
-def _(f: Frames) -> DataFrame:
-    """One block a record, as its SQL; b32_evidence_record_all has the snippets."""
-    record = F.struct("url", "provider", "query", "round", F.array(F.substring("content", 1, 100)).alias("blocks"))
-    return f.observations.select("seq", record.alias("e")).select("seq", "e.url", "e.provider", "e.query", "e.round", F.size("e.blocks").cast("long").alias("n_blocks"))
-
-
-@query("b32_evidence_record_all", rf"""WITH lines AS (SELECT seq, url, provider, query, round, list_filter(list_transform(string_split('LINK: x' || chr(10) || '[P 1] ' || content, chr(10)), lambda x: {S.collapse(r"regexp_replace(x, '^\[[^\]]+\]\s*', '')")}),
+@query("b32_evidence_record", rf"""WITH lines AS (SELECT seq, url, provider, query, round, list_filter(list_transform(string_split('LINK: x' || chr(10) || '[P 1] ' || content, chr(10)), lambda x: {S.collapse(r"regexp_replace(x, '^\[[^\]]+\]\s*', '')")}),
   lambda x: x <> '' AND NOT starts_with(x, 'LINK:') AND NOT starts_with(x, 'SOURCE_PROVIDER:'))[1:3] AS s FROM observations)
   SELECT seq, url, provider, query, round, array_to_string(list_transform(s, lambda x: CASE WHEN length(x) > 260 THEN trim(substr(x, 1, 257)) || '...' ELSE x END), '|') AS snippets FROM lines""")
 def _(f: Frames) -> DataFrame:

@@ -179,17 +179,27 @@ def _(f: Frames) -> DataFrame:
     return f.candidates.select("id", F.when(C("post_quality").isNull() | (C("post_quality") == "none"), base).otherwise(moved).alias("enriched"))
 
 
-@query("k15_mmr_selection")
+_SAME = f"c.firm <> '' AND p.firm <> '' AND (c.firm = p.firm OR list_has_any(c.words, p.words))"
+
+
+@query("k15_mmr_selection", f"""WITH RECURSIVE {RANKED_SQL}, c AS MATERIALIZED (SELECT id, rank, {S.company('company')} AS firm, {S.distinctive('company')} AS words, lower(coalesce(location, '')) AS place FROM ranked),
+ w AS (SELECT 0 AS position, []::BIGINT[] AS ids, []::STRUCT(firm VARCHAR, words VARCHAR[], place VARCHAR)[] AS picks UNION ALL
+ SELECT position + 1, list_append(any_value(ids), arg_max(id, (value, rank, -id))), list_append(any_value(picks), arg_max({{'firm': firm, 'words': words, 'place': place}}, (value, rank, -id))) FROM (SELECT w.*, c.*,
+  0.75::DOUBLE * (c.rank / 10) - 0.25::DOUBLE * coalesce(list_max(list_transform(w.picks, lambda p: CASE WHEN {_SAME} THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN c.place <> '' AND c.place = p.place THEN 0.2::DOUBLE ELSE 0 END)), 0) AS value
+  FROM w, c WHERE w.position < 12 AND NOT list_contains(w.ids, c.id)) GROUP BY position) SELECT ids[position] AS id, position::BIGINT AS position FROM w WHERE position > 0""")
 def _(f: Frames) -> DataFrame:
-    """F10 too: greedy marginal relevance over the best candidates by rank."""
-    return P.mmr(ranked(f), 12, pool=120)
+    """F10 too: greedy marginal relevance over all candidates by rank."""
+    return P.mmr(ranked(f), 12)
 
 
 _VECTOR = f"vec AS (SELECT id, {S.score_or('authority', 5)} AS a, {_COMPANY} AS b, {_POST} AS c, {_EV} AS d FROM candidates)"
 
 
-@query("k16_candidate_skyline", f"WITH {_VECTOR}, v AS (SELECT DISTINCT a, b, c, d FROM vec), front AS (SELECT * FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.d >= x.d AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.d > x.d))) SELECT id FROM vec JOIN front USING (a, b, c, d)")
-def _(f: Frames) -> DataFrame:
+FRONT_SQL = f"WITH {_VECTOR}, v AS (SELECT DISTINCT a, b, c, d FROM vec), front AS (SELECT * FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.d >= x.d AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.d > x.d))) SELECT id FROM vec JOIN front USING (a, b, c, d)"
+
+
+@query("k16_candidate_skyline", FRONT_SQL)
+def candidate_front(f: Frames) -> DataFrame:
     vectors = f.candidates.select("id", N.score_or(C("authority"), 5).alias("a"), company_intent().alias("b"), post_intent().alias("c"), K.evidence_score(C("quality")).alias("d"))
     return M.skyline(vectors, "id", ["a", "b", "c", "d"]).select("id")
 
@@ -218,7 +228,9 @@ def _(f: Frames) -> DataFrame:
 @query("k19_diversified_selection")
 def _(f: Frames) -> DataFrame:
     """Skyline share, entropy, company cap with sigmoid, then marginal relevance."""
-    return P.diversified(ranked(f), limit=20, per_company=2)
+    front = candidate_front(f).select(C("id").alias("_front"))
+    flagged = ranked(f).drop("skyline").join(front, C("id") == C("_front"), "left").withColumn("skyline", C("_front").isNotNull())
+    return P.diversified(flagged, limit=20, per_company=2)
 
 
 @query("k20_authority_check", f"""WITH w AS (SELECT id, title, headline, {S.words('seniority')} AS level, concat_ws(' ', nullif({S.words("concat_ws(' ', title, headline)")}, ''), nullif({S.words('seniority')}, '')) AS x, {S.words('company')} AS firm, company FROM leads),
@@ -249,15 +261,9 @@ def _trajectory(careers: DataFrame) -> DataFrame:
 
 @query("e08_career_relevance", _CAREER)
 def _(f: Frames) -> DataFrame:
-    """Descriptions of 80 characters, as the SQL of `careers` has; e08_career_relevance_all reads whole ones."""
     return _trajectory(f.careers)
 
 
-@query("e08_career_relevance_all", _CAREER.replace("FROM careers", "FROM whole_careers"))
-def _(f: Frames) -> DataFrame:
-    return _trajectory(f.whole_careers)
-
-
 @query("k22_post_quality", """SELECT event_id, CASE WHEN cat IN ('hiring', 'evaluating_tools') AND c >= 0.5 THEN 'strong' WHEN (cat IN ('pain_signal', 'growth_signal') AND c >= 0.4) OR (cat IN ('hiring', 'evaluating_tools') AND c >= 0.25) THEN 'moderate'
  WHEN (cat = 'general' AND c >= 0.4) OR (c >= 0.3 AND cat <> 'none') THEN 'weak' ELSE 'none' END AS post_quality FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'hiring' WHEN 1 THEN 'evaluating_tools' WHEN 2 THEN 'pain_signal' WHEN 3 THEN 'growth_signal' WHEN 4 THEN 'general' ELSE 'none' END AS cat, least((event_id % 13) / 10.0::DOUBLE, 1) AS c FROM trace_events)""")
 def _(f: Frames) -> DataFrame:
@@ -280,8 +286,8 @@ def _(f: Frames) -> DataFrame:
 
 @query("k26_scheduled_tasks")
 def _(f: Frames) -> DataFrame:
-    """F5 and F15 too: arms are scored in Spark, set cover and lane guard choose among a bounded list of tasks."""
-    return P.scheduled(f.tasks, f.arms, most=8, pool=64)
+    """F5 and F15 too: arms are scored in Spark, set cover and lane guard choose among the best of each class of tasks."""
+    return P.scheduled(f.tasks.withColumn("covers", F.array(F.concat(F.lit("r"), (C("id") % 5).cast("string")))), f.arms, most=8)
 
 
 @query("k27_collection_capacity", """SELECT id, CAST(batch AS BIGINT) AS batch_size, CAST(pool AS BIGINT) AS pool_target, CAST(need AS BIGINT) AS required_rounds, CAST(least(greatest(5, need + 1), CASE WHEN t <= 30 THEN 6 WHEN t <= 50 THEN 8 ELSE 10 END) AS BIGINT) AS max_rounds,

@@ -31,8 +31,8 @@ def _(f: Frames) -> DataFrame:
 def _(f: Frames) -> DataFrame:
     """The last state of each user."""
     stream, scratch = _stream(f)
-    states = E.drain(E.session_fold(stream.select("user_id", "event_id", "event_type")), scratch)
-    return states.groupBy("user_id").agg(F.max("n_events").alias("n_events"), F.max("last_event").alias("last_event"), F.min("status").alias("status"))
+    states = E.drain(E.session_fold(stream.select("user_id", "event_id", "event_type")), scratch, "update")
+    return states.groupBy("user_id").agg(F.max("n_events").alias("n_events"), F.max("last_event").alias("last_event"), F.max_by("status", "n_events").alias("status"))
 
 
 @query("i10_day_windows", "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, event_type, CAST(count(*) AS BIGINT) AS n, sum(CAST(value AS DECIMAL(18,4))) AS total FROM events GROUP BY 1, 2")

@@ -10,8 +10,9 @@ from briarlake.functions.numeric import fixed
 from briarlake.operators import packing as G
 from briarlake.operators import records as R
 from briarlake.operators import selection as P
+from briarlake.operators.order import folded
 from briarlake.queries import sql as S
-from briarlake.queries.scoring import RANKED_SQL, ranked
+from briarlake.queries.scoring import FRONT_SQL, RANKED_SQL, candidate_front, ranked
 from briarlake.registry import Frames, query
 
 C = F.col
@@ -30,19 +31,23 @@ def _(f: Frames) -> DataFrame:
 _BLOCKS = "b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, least(length(text), 1600) AS n FROM conversations)"
 
 
-@query("e04_token_budget_chunks", f"""WITH RECURSIVE {_BLOCKS}, walk AS (SELECT conv_id, k, n AS held, 1 AS chunk FROM b WHERE k = 1 UNION ALL
- SELECT b.conv_id, b.k, CASE WHEN ceil((w.held + b.n) / 4.0) > 400 THEN b.n ELSE w.held + b.n END, w.chunk + CASE WHEN ceil((w.held + b.n) / 4.0) > 400 THEN 1 ELSE 0 END FROM walk w JOIN b ON b.conv_id = w.conv_id AND b.k = w.k + 1)
- SELECT conv_id, CAST(max(chunk) AS BIGINT) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_chars FROM walk JOIN b USING (conv_id, k) GROUP BY conv_id""")
+def _chunks_sql(full: str) -> str:
+    return f"""WITH RECURSIVE {_BLOCKS}, walk AS (SELECT conv_id, k, n AS held, 1 AS chunk, 1 AS blocks FROM b WHERE k = 1 UNION ALL
+ SELECT b.conv_id, b.k, CASE WHEN {full} THEN b.n ELSE w.held + b.n END, w.chunk + CASE WHEN {full} THEN 1 ELSE 0 END, CASE WHEN {full} THEN 1 ELSE w.blocks + 1 END FROM walk w JOIN b ON b.conv_id = w.conv_id AND b.k = w.k + 1)
+ SELECT conv_id, CAST(max(chunk) AS BIGINT) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_chars FROM walk JOIN b USING (conv_id, k) GROUP BY conv_id"""
+
+
+@query("e04_token_budget_chunks", _chunks_sql("ceil((w.held + b.n) / 4.0) > 400"))
 def _(f: Frames) -> DataFrame:
     return G.token_chunks(f.conversations, "conv_id", "turn", "text", 400)
 
 
-@query("e05_fixed_batches", "SELECT id, (row_number() OVER (ORDER BY id) - 1) // 10 AS chunk FROM leads WHERE stage = 'LOST'")
+@query("e05_fixed_batches", "SELECT id, (row_number() OVER (ORDER BY id) - 1) // 10 AS chunk FROM leads")
 def _(f: Frames) -> DataFrame:
-    return R.chunked(f.leads.where("stage = 'LOST'").select("id"), ["id"], 10)
+    return R.chunked(f.leads.select("id"), ["id"], 10)
 
 
-@query("e06_prompt_packing")
+@query("e06_prompt_packing", _chunks_sql("(ceil((w.held + b.n) / 4.0) > 400 OR w.blocks >= 6)"))
 def _(f: Frames) -> DataFrame:
     """Batches of at most 6 turns and 400 tokens."""
     return G.token_chunks(f.conversations, "conv_id", "turn", "text", 400, most=6)
@@ -69,25 +74,14 @@ def _(f: Frames) -> DataFrame:
     return runs.groupBy("session_id").agg(F.max("streak").alias("longest_stall"))
 
 
-def _fused(events: DataFrame) -> DataFrame:
-    seen = F.sort_array(F.collect_list(F.struct("event_id", (C("event_id") % 10 + 1).cast("double").alias("s"))))
-    listed = events.groupBy("session_id").agg(seen.alias("all"))
-    fold = F.aggregate(F.slice("all", 2, F.size("all")), C("all")[0]["s"], lambda x, e: x + (e["s"] - x) * F.lit(1.0 / 3.0))
-    return listed.select("session_id", fixed(fold, 6).alias("fused"))
-
-
-@query("e13_sequential_fusion", f"""WITH RECURSIVE s AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k, (event_id % 10 + 1)::DOUBLE AS seen FROM trace_events WHERE event_id % 7 = 0),
+@query("e13_sequential_fusion", f"""WITH RECURSIVE s AS MATERIALIZED (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k, (event_id % 10 + 1)::DOUBLE AS seen FROM trace_events),
  w AS (SELECT session_id, k, seen AS x FROM s WHERE k = 1 UNION ALL SELECT s.session_id, s.k, w.x + (s.seen - w.x) * (1.0::DOUBLE / 3.0::DOUBLE) FROM w JOIN s ON s.session_id = w.session_id AND s.k = w.k + 1)
  SELECT session_id, {S.fixed('arg_max(x, k)', 6)} AS fused FROM w GROUP BY session_id""")
 def _(f: Frames) -> DataFrame:
-    """A seventh of the events, as its SQL; e13_sequential_fusion_all folds all."""
-    return _fused(f.trace_events.where("event_id % 7 = 0"))
-
-
-@query("e13_sequential_fusion_all")
-def _(f: Frames) -> DataFrame:
-    """Every event of a session; recursive SQL would scan them once a step."""
-    return _fused(f.trace_events)
+    """Every event of a session in order: the state moves a third of the way to what is seen."""
+    seen = f.trace_events.select("session_id", "event_id", (C("event_id") % 10 + 1).cast("double").alias("s"))
+    last = folded(seen, "session_id", ["event_id"], ["s"], lambda: None, lambda x, s: s if x is None else x + (s - x) * (1.0 / 3.0), lambda x: (x,), "session_id long, x double")
+    return last.select("session_id", fixed(C("x"), 6).alias("fused"))
 
 
 @query("e15_failure_breaker", "SELECT event_id, sum((status = 'error')::INT) OVER (PARTITION BY session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) >= 3 AS disabled FROM trace_events")
@@ -101,9 +95,9 @@ def _(f: Frames) -> DataFrame:
     return R.lead_page(f.leads, {}, "", [], limit=30, offset=60).select("id")
 
 
-@query("f02_client_pages", "SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS chunk FROM leads WHERE industry = 'FURNITURE'")
+@query("f02_client_pages", "SELECT id, (row_number() OVER (ORDER BY created_at NULLS LAST, id) - 1) // 100 AS chunk FROM leads")
 def _(f: Frames) -> DataFrame:
-    return R.chunked(f.leads.where("industry = 'FURNITURE'").select("id"), ["id"], 100)
+    return R.chunked(f.leads.select("id", "created_at"), ["created_at", "id"], 100).select("id", "chunk")
 
 
 @query("f03_recent_four", "SELECT id, created_at FROM leads ORDER BY created_at DESC NULLS LAST, id LIMIT 4")
@@ -125,12 +119,12 @@ def _(f: Frames) -> DataFrame:
     return G.evidence_sentences(f.documents.select("doc_id", "text"), ["erea", "tion", "haha"], 850)
 
 
-@query("f07_best_public_email", r"""WITH lines AS (SELECT id, unnest([coalesce(headline, ''), 'contact: ' || coalesce(email, ''), 'mailto:m' || id || '@corp.io', coalesce(email, '')]) AS line, unnest([0, 1, 2, 3]) AS k FROM leads WHERE id % 3 = 0 OR coalesce(email, '') <> ''),
+@query("f07_best_public_email", r"""WITH lines AS (SELECT id, unnest([coalesce(headline, ''), 'contact: ' || coalesce(email, ''), 'mailto:m' || id || '@corp.io', coalesce(email, '')]) AS line, unnest([0, 1, 2, 3]) AS k FROM leads),
  m AS (SELECT id, k, CASE WHEN contains(line, 'mailto:') THEN 3 WHEN regexp_matches(lower(line), '\b(email|contact|reach\s+me|reach\s+out)\b') THEN 2 ELSE 1 END AS p, lower(regexp_extract(line, '(?i)[a-z0-9._-]+@[a-z0-9-]+(\.[a-z0-9-]+)+')) AS mail FROM lines)
  SELECT id, arg_min(mail, (-p, k)) AS best_email FROM m WHERE mail <> '' AND split_part(mail, '@', 2) <> 'example.com' AND NOT regexp_matches(split_part(mail, '@', 1), '^no-?reply$') GROUP BY id""")
 def _(f: Frames) -> DataFrame:
     lines = F.array(T.text(C("headline")), F.concat(F.lit("contact: "), T.text(C("email"))), F.concat(F.lit("mailto:m"), C("id").cast("string"), F.lit("@corp.io")), T.text(C("email")))
-    return G.best_email(f.leads.where("id % 3 = 0 OR coalesce(email, '') <> ''").select("id", F.posexplode(lines).alias("k", "line")), "id")
+    return G.best_email(f.leads.select("id", F.posexplode(lines).alias("k", "line")), "id")
 
 
 @query("f08_best_company_site", f"SELECT location, arg_max(id, (length(coalesce(website, '')), -id)) AS best_id FROM leads WHERE coalesce(website, '') <> '' GROUP BY location")
@@ -138,9 +132,10 @@ def _(f: Frames) -> DataFrame:
     return f.leads.where("coalesce(website, '') <> ''").groupBy("location").agg(F.max_by("id", F.struct(F.length("website"), -C("id"))).alias("best_id"))
 
 
-@query("f11_pareto_reservation", "SELECT id FROM candidates WHERE skyline ORDER BY id LIMIT 6")
+@query("f11_pareto_reservation", f"{FRONT_SQL} ORDER BY id LIMIT 6")
 def _(f: Frames) -> DataFrame:
-    return f.candidates.where("skyline").orderBy("id").limit(6).select("id")
+    """The first 30 % of 20 places go to the skyline, in order of id."""
+    return candidate_front(f).orderBy("id").limit(6)
 
 
 @query("f12_safety_net", f"""WITH {RANKED_SQL}, q AS (SELECT * FROM ranked WHERE fit >= 12 ORDER BY id LIMIT 8), r AS (SELECT * FROM ranked WHERE id NOT IN (SELECT id FROM q) AND coalesce(url, '') NOT IN (SELECT coalesce(url, '') FROM q) ORDER BY rank DESC, id LIMIT 5)

@@ -10,6 +10,7 @@ from briarlake.operators import records as R
 from briarlake.operators import store as W
 from briarlake.queries import sql as S
 from briarlake.registry import Frames, query
+from briarlake.scratch import Scratch
 
 C = F.col
 _STORED = f"stored AS (SELECT id, revision, nullif({S.identity('url')}, '') AS identity, stage AS value FROM leads WHERE id % 3 <> 0)"
@@ -82,9 +83,39 @@ def _(f: Frames) -> DataFrame:
     return f.trace_events.select("event_id", kind.alias("failure"), W.backoff_ms(kind, C("event_id") % 3 + 1).alias("delay_ms"))
 
 
-@query("l12_identity_transfer", "SELECT DISTINCT CASE WHEN id = 6 THEN 5 ELSE id END AS id, lower(email) AS k FROM leads WHERE coalesce(email, '') <> ''")
+@query("d22_dispositions", f"""{_UPSERT} SELECT CAST(count(*) FILTER (WHERE disposition = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (WHERE disposition = 'updated') AS BIGINT) AS updated,
+ CAST(count(*) FILTER (WHERE disposition = 'duplicate') AS BIGINT) AS duplicates, CAST(count(*) FILTER (WHERE disposition = 'conflict') AS BIGINT) AS conflicts FROM j""")
 def _(f: Frames) -> DataFrame:
-    return W.identities_moved(f.leads.where("coalesce(email, '') <> ''").select("id", F.lower("email").alias("k")), 6, 5)
+    """What an upsert did with its batch."""
+    kind = C("disposition")
+    return upserted(f).agg(F.count_if(kind == "created").alias("created"), F.count_if(kind == "updated").alias("updated"), F.count_if(kind == "duplicate").alias("duplicates"), F.count_if(kind == "conflict").alias("conflicts"))
+
+
+#: Each lead of an id that ends in 5 asks to take in the next one; a seventh of them with a stale revision.
+_MERGE = f"""s AS (SELECT id, revision, nullif({S.identity('url')}, '') AS identity, company, email, stage FROM leads), h AS (SELECT identity, min(id) AS holder FROM s WHERE identity IS NOT NULL GROUP BY 1),
+ p AS (SELECT w.id AS winner, l.id AS loser FROM s w JOIN s l ON l.id = w.id + 1 LEFT JOIN h ON h.identity = w.identity WHERE w.id % 10 = 5 AND w.id % 7 <> 0 AND coalesce(h.holder = w.id, true))"""
+
+
+def merges(f: Frames) -> tuple[DataFrame, DataFrame]:
+    leads = f.leads.select("id", "revision", F.nullif(T.profile_identity(C("url")), F.lit("")).alias("identity"), "company", "email", F.array("stage").alias("tags"))
+    asked = f.leads.where("id % 10 = 5").select(C("id").alias("winner"), (C("id") + 1).alias("loser"), (C("revision") + F.when(C("id") % 7 == 0, 1).otherwise(0)).alias("revision"))
+    return leads, W.mergeable(leads, asked)
+
+
+@query("l02_merge_leads", f"""WITH {_MERGE} SELECT s.id, s.revision + CASE WHEN p.winner IS NULL THEN 0 ELSE 1 END AS revision, CASE WHEN p.winner IS NULL THEN s.company ELSE coalesce(nullif(s.company, ''), l.company) END AS company,
+ CASE WHEN p.winner IS NULL THEN s.email ELSE coalesce(nullif(s.email, ''), l.email) END AS email, CASE WHEN l.stage IS NULL OR l.stage = s.stage THEN s.stage ELSE s.stage || ',' || l.stage END AS tags, p.loser AS merged_from
+ FROM s LEFT JOIN p ON p.winner = s.id LEFT JOIN s l ON l.id = p.loser WHERE s.id NOT IN (SELECT loser FROM p)""")
+def _(f: Frames) -> DataFrame:
+    """The result table of a batch of merges, with revision guard; merged_from is the activity log's entry."""
+    leads, pairs = merges(f)
+    return W.merged_leads(leads, pairs).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("l12_identity_transfer", f"WITH {_MERGE} SELECT DISTINCT coalesce(p.winner, leads.id) AS id, lower(leads.email) AS k FROM leads LEFT JOIN p ON p.loser = leads.id WHERE coalesce(leads.email, '') <> ''")
+def _(f: Frames) -> DataFrame:
+    """The identities of merged leads go to their winners."""
+    keys = f.leads.where("coalesce(email, '') <> ''").select("id", F.lower("email").alias("k"))
+    return W.identities_moved(keys, merges(f)[1])
 
 
 @query("i07_orphan_sweep", "SELECT session_id, CASE WHEN status = 'running' THEN 'interrupted' ELSE status END AS status FROM sessions")
@@ -92,8 +123,37 @@ def _(f: Frames) -> DataFrame:
     return W.orphans_interrupted(f.sessions).select("session_id", "status")
 
 
-@query("a06_additive_columns", "SELECT id, stage, 0 AS score_version FROM leads WHERE id < 50")
+@query("a06_additive_columns", "SELECT id, stage, 0 AS score_version FROM leads")
+def _(f: Frames) -> DataFrame:
+    """The table's columns are looked at; only the missing one is added."""
+    leads = f.leads.select("id", "stage")
+    return W.with_column_if_missing(W.with_column_if_missing(leads, "score_version", "int", 0), "stage", "string")
+
+
+#: Forward steps: a column, a backfill from another, a default for odd values, a promoted column, a dropped one.
+_STEPS = [
+    lambda d: W.with_column_if_missing(d, "score_version", "int", 0),
+    lambda d: d.withColumn("contact", F.lower(F.trim(C("email")))),
+    lambda d: d.withColumn("review_status", R.in_domain(C("review_status"), R.REVIEW_STATUSES, "UNREVIEWED")),
+    lambda d: d.withColumn("score", F.coalesce("qualification", "predictive", "composite")),
+    lambda d: d.drop("email", "qualification", "predictive", "composite"),
+]
+
+
+def _migrated(f: Frames) -> W.Migrations:
+    store = W.Migrations(f.spark, f"{Scratch(f.spark, 'migrations').base}/leads", _STEPS)
+    store.create(f.leads.select("id", "stage", "email", "review_status", "qualification", "predictive", "composite"))
+    store.run()
+    store.run()  # nothing is left to do
+    return store
+
+
+@query("a07_migration_runner", f"SELECT id, stage, CASE WHEN review_status IN ({S.quoted(R.REVIEW_STATUSES)}) THEN review_status ELSE 'UNREVIEWED' END AS review_status, 0 AS score_version, lower(trim(email)) AS contact, coalesce(qualification, predictive, composite) AS score FROM leads")
+def _(f: Frames) -> DataFrame:
+    return _migrated(f).table()
+
+
+@query("a08_migration_snapshot", "SELECT id, stage, email, review_status, qualification, predictive, composite FROM leads")
 def _(f: Frames) -> DataFrame:
-    """A7 too: two forward steps, the second a no-op."""
-    steps = [lambda d: W.with_column_if_missing(d, "score_version", "int", 0), lambda d: W.with_column_if_missing(d, "stage", "string")]
-    return W.migrated(f.leads.where("id < 50").select("id", "stage"), steps, 0)[0]
+    """The table as it was before the run."""
+    return _migrated(f).snapshot(0)

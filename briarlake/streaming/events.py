@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from briarlake.scratch import Scratch
 
@@ -29,10 +25,11 @@ def drain(stream: DataFrame, scratch: Scratch, mode: str = "append") -> DataFram
     target, state = f"{scratch.base}/stream", f"{scratch.base}/state"
     if mode == "append":
         query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", target).trigger(availableNow=True).start()
-    else:
+    else:  # in update mode each micro-batch has a folder of its own, which a repeated one replaces
+        folder = "/epoch={}" if mode == "update" else ""
 
         def replace(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(target)
+            batch.write.mode("overwrite").parquet(target + folder.format(epoch))
 
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(replace).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -50,13 +47,14 @@ def day_counts(stream: DataFrame) -> DataFrame:
 
 
 def session_fold(stream: DataFrame) -> DataFrame:
-    """Running state per user: events seen, last event, status; one row per user and micro-batch."""
+    """Running state per user: events seen, last event, status; built-in state, so only changed users are written each micro-batch."""
+    status = F.when(F.bool_or(F.col("event_type") == "error"), "error").otherwise("running")
+    return stream.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"), status.alias("status"))
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, failed = state.get if state.exists else (0, -1, False)
-        for frame in frames:
-            n, last, failed = n + len(frame), max(last, int(frame["event_id"].max())), failed or bool((frame["event_type"] == "error").any())
-        state.update((n, last, failed))
-        yield pd.DataFrame({"user_id": [key[0]], "n_events": [n], "last_event": [last], "status": ["error" if failed else "running"]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(fold, "user_id long, n_events long, last_event long, status string", "n long, last long, failed boolean", "append", GroupStateTimeout.NoTimeout)
+def deltas(stream: DataFrame, scratch: Scratch) -> list[int]:
+    """Rows of each micro-batch of what is there now: what a live view is sent per tick."""
+    sent: dict[int, int] = {}
+    query = stream.writeStream.option("checkpointLocation", f"{scratch.base}/state").foreachBatch(lambda batch, epoch: sent.__setitem__(epoch, batch.count())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [n for _, n in sorted(sent.items()) if n]

@@ -69,13 +69,13 @@ def test_fusion_folds_every_event(spark):
     for r in Frames(spark, SMALL).trace_events.select("session_id", "event_id").orderBy("event_id").collect():
         seen = r.event_id % 10 + 1.0
         want[r.session_id] = want[r.session_id] + (seen - want[r.session_id]) * (1.0 / 3.0) if r.session_id in want else seen
-    got = {r.session_id: r.fused for r in catalog.QUERIES["e13_sequential_fusion_all"](spark, SMALL).collect()}
+    got = {r.session_id: r.fused for r in catalog.QUERIES["e13_sequential_fusion"](spark, SMALL).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-6 for k in want)
 
 
 def test_every_url_is_asked_for(spark):
     urls = spark.read.parquet(f"{SMALL}/pages.parquet").where("url IS NOT NULL").select("url").distinct()
-    assert {r.url for r in catalog.QUERIES["a10_page_extracts_all"](spark, SMALL).select("url").collect()} == {r.url for r in urls.collect()}
+    assert {r.url for r in catalog.QUERIES["a10_page_extracts"](spark, SMALL).select("url").collect()} == {r.url for r in urls.collect()}
 
 
 def test_bulk_insert_against_a_loop_over_stored_keys(spark):
@@ -124,8 +124,6 @@ def test_whole_texts_count(spark):
     from briarlake.registry import Frames
 
     frames = Frames(spark, SMALL)
-    assert frames.whole_careers.where("length(description) > 80").count() > 0
-    got = {r.doc_id: r.mode for r in catalog.QUERIES["m01_decomposition_mode_all"](spark, SMALL).collect()}
-    cut = {r.doc_id: r.mode for r in catalog.QUERIES["m01_decomposition_mode"](spark, SMALL).collect()}
-    long = [r.doc_id for r in frames.documents.select("doc_id", "text").collect() if len((r.text or "").split()) > 14]
-    assert all(got[k] == "dual_stream_intent" for k in long) and any(cut[k] != got[k] for k in long)
+    assert frames.careers.where("length(description) > 80").count() > 0
+    got = {r.doc_id: r.mode for r in catalog.QUERIES["m01_decomposition_mode"](spark, SMALL).collect()}
+    assert all(got[r.doc_id] == "dual_stream_intent" for r in frames.documents.select("doc_id", "text").collect() if len((r.text or "").split()) > 14)
