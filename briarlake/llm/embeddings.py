@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briarlake.llm.graph import components, local_roots
+from briarlake.operators.graph import components, local_roots
 from briarlake.llm.text import named
 from briarlake.scratch import Scratch
 

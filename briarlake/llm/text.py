@@ -1,11 +1,10 @@
-"""What the text operators share: words, Arrow batches, distributed ranks."""
+"""What the text operators share: words, column names, Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briarlake.scratch import Scratch
 
 #: A word is a run of code points other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,37 +32,3 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds at once when rows are whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ranked(df: DataFrame, group: list[str], order: list[Column], scratch: Scratch, name: str = "rank", sums: tuple[str, ...] = ()) -> DataFrame:
-    """Add the 0-based position within `group` in `order`, without gathering a group in one task.
-
-    Of each column in `sums`, `<column>_before` is added: its sum over the rows
-    of the group that stand before. Rows are range-partitioned by group and
-    order, so one hot group spreads over many partitions. What lies before a row
-    in its sorted partition and the totals of its group in earlier partitions (a
-    table of at most partitions plus groups rows) add up. `df` must not have
-    columns that begin with _run_.
-    """
-    keys = [F.col(c).asc_nulls_last() for c in group] + order
-    place = F.monotonically_increasing_id()
-    dealt = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    dealt = scratch.keep(dealt.withColumn("_run_part", F.shiftright(place, 33)).withColumn("_run_place", place.bitwiseAND((1 << 33) - 1)))
-    if sums:
-        here = Window.partitionBy("_run_part", *group).orderBy("_run_place").rowsBetween(Window.unboundedPreceding, -1)
-        dealt = dealt.select("*", *[F.coalesce(F.sum(c).over(here), F.lit(0)).alias(f"{c}_before") for c in sums])
-    runs = dealt.groupBy("_run_part", *group).agg(F.count("*").alias("_run_n"), F.min("_run_place").alias("_run_first"), *[F.sum(c).alias(f"_run_sum_{c}") for c in sums])
-    before = Window.partitionBy(*group).orderBy("_run_part").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    runs = scratch.keep(runs.select(F.col("_run_part").alias("_run_p"), *[F.col(c).alias(f"_run_g_{c}") for c in group], (total("_run_n") - F.col("_run_first")).alias("_run_shift"), *[total(f"_run_sum_{c}").alias(f"_run_sum_{c}") for c in sums]))
-    same = F.col("_run_part") == F.col("_run_p")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_run_g_{c}"))
-    out = dealt.join(runs, same).withColumn(name, (F.col("_run_place") + F.col("_run_shift")).cast("long"))
-    for c in sums:
-        out = out.withColumn(f"{c}_before", F.col(f"{c}_before") + F.col(f"_run_sum_{c}"))
-    return out.drop(*[c for c in out.columns if c.startswith("_run_")])
