@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 
 import numpy as np
@@ -69,15 +70,13 @@ def mmr(rows: DataFrame, count: int, balance: float = 0.75) -> DataFrame:
         seen = seen.where(F.col("rank") >= low - 10 * (1 - balance) / balance)
     pool = scratch.keep(seen.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= count).drop("n"))
     chosen: list = []
-
-    def near(pick) -> Column:
-        same = (F.col("firm") != "") & F.lit(pick.firm != "") & ((F.col("firm") == pick.firm) | F.arrays_overlap("words", F.array(*map(F.lit, pick.words)).cast("array<string>")))
-        return F.when(same, 0.8).otherwise(0.0) + F.when((F.col("place") != "") & (F.col("place") == pick.place), 0.2).otherwise(0.0)
-
-    while len(chosen) < count:
-        closest = F.greatest(F.lit(0.0), F.lit(0.0), *map(near, chosen))
+    alike_to = lambda p: F.when((F.col("firm") != "") & (p["firm"] != "") & ((F.col("firm") == p["firm"]) | F.arrays_overlap("words", p["words"])), 0.8).otherwise(0.0)
+    near_to = lambda p: F.when((F.col("place") != "") & (F.col("place") == p["place"]), 0.2).otherwise(0.0)
+    while len(chosen) < count:  # what is chosen is one literal, so every pass runs the same compiled code
+        picks = F.from_json(F.lit(json.dumps([c.asDict() for c in chosen])), "array<struct<id: bigint, firm: string, words: array<string>, place: string>>")
+        closest = F.aggregate(picks, F.lit(0.0), lambda most, p: F.greatest(most, alike_to(p) + near_to(p)))
         value = F.lit(balance) * (F.col("rank") / 10) - F.lit(1 - balance) * closest
-        left = pool.where(~F.col("id").isin([c.id for c in chosen])) if chosen else pool
+        left = pool.where(~F.exists(picks, lambda p: p["id"] == F.col("id")))
         best = left.agg(F.max_by(F.struct("id", "firm", "words", "place"), F.struct(value, F.col("rank"), -F.col("id")))).first()[0]
         if best is None:
             break
