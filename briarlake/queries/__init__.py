@@ -1,3 +1,3 @@
 """Queries over the driver tables; importing this package registers them."""
 
-from briarlake.queries import aggregates, joins, parsing, planning, rows, scalars, scoring, streams, windows, writes  # noqa: F401
+from briarlake.queries import aggregates, joins, parsing, planning, rows, scalars, scoring, sets, streams, windows, writes  # noqa: F401
