@@ -14,7 +14,7 @@ from tests.llm import brute
 FOLDER = Path(quality.__file__).parent
 #: Every name that the operators give to a column.
 GIVEN = re.compile(r'(?:alias|withColumn|fresh|withColumnRenamed)\((?:[^()]*, )?"(_?[a-z][a-z_0-9]*)"')
-NAMES = sorted(({w for f in [*FOLDER.glob("*.py"), FOLDER.parent / "operators" / "order.py"] for w in GIVEN.findall(f.read_text())} | {"ids", "fp", "prefix"}) - {"doc_id", "text", "source", "lang", "n_chars", "size", "page_id", "url", "html", "fetch_ts", "vec_id", "embedding", "label", "conv_id", "turn", "role"})
+NAMES = sorted(({w for f in [*FOLDER.glob("*.py"), FOLDER.parent / "operators" / "order.py"] for w in GIVEN.findall(f.read_text())} | {"ids", "fp", "prefix", "rank"}) - {"doc_id", "text", "source", "lang", "n_chars", "size", "page_id", "url", "html", "fetch_ts", "vec_id", "embedding", "label", "conv_id", "turn", "role"})
 
 
 def clashing(frame):
