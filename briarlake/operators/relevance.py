@@ -31,7 +31,7 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     A row's words are sorted within the row, where the first of equal words
     counts for df; no (document, term) pair is shuffled.
     """
-    words = docs.select(F.array_sort(tokens(F.col("text"))).alias("w"))
+    words = docs.select(F.sort_array(tokens(F.col("text"))).alias("w"))
     marked = words.select(F.explode(F.transform("w", lambda x, k: F.struct(x.alias("term"), ((k == 0) | (F.get("w", k - 1) != x)).alias("first")))).alias("t"))
     return marked.groupBy(F.col("t.term").alias("term")).agg(F.count_if("t.first").alias("df"), F.count("*").alias("tf"))
 
