@@ -85,7 +85,7 @@ def test_company_cap(spark):
 
 def test_mmr_prefers_another_company(spark):
     rows = spark.createDataFrame([(1, "Acme Robotics", "x", 9.0), (2, "Acme Robotics", "x", 8.9), (3, "Beacon", "y", 8.0)], "id long, company string, location string, rank double")
-    assert [r.id for r in selection.mmr(rows, 2, 10).orderBy("position").collect()] == [1, 3]
+    assert [r.id for r in selection.mmr(rows, 2).orderBy("position").collect()] == [1, 3]
 
 
 def test_entropy_leaves_a_pool_of_one(spark):
@@ -117,7 +117,7 @@ def test_packing(spark):
 
 def test_reservations(spark):
     rows = spark.createDataFrame([(1, 1, 3), (1, 2, 9), (1, 3, 2), (1, 4, 1)], "s long, o long, u long")
-    assert tuple(telemetry.capped_reservations(rows, ["s"], "o", "u", 6).first())[1:] == (6, 3, 1)
+    assert tuple(telemetry.capped_reservations(rows, "s", "o", "u", 6).first())[1:] == (6, 3, 1)
 
 
 def test_upsert_dispositions(spark):
