@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the whole test tables, with production parameters."""
+"""The queries of the operators over the whole test tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briarlake.llm import chat, embeddings, html, mixing, pieces, pii, quality, sharding, simhash, urls
+from briarlake.llm import chat, codes, embeddings, html, mixing, negatives, pieces, pii, quality, sharding, simhash, urls, warc
 from briarlake.llm.text import word_count
 from briarlake.scratch import Scratch
 
@@ -60,9 +60,24 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), Scratch(spark, "op11"), F.col("vec_id") % 50 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op12")
+    return codes.digest(*codes.compressed(_table(spark, sf_dir, "embeddings"), scratch), scratch)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"), Scratch(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_html_extraction, op3_embedding_near_dedup, op4_mixing, op5_sentencepiece, op6_sharding, op7_url_filters, op8_chat_formatting, op9_simhash_near_dedup, op10_pii_pseudonyms)
+    for f in (op1_quality_rules, op2_html_extraction, op3_embedding_near_dedup, op4_mixing, op5_sentencepiece, op6_sharding, op7_url_filters, op8_chat_formatting, op9_simhash_near_dedup, op10_pii_pseudonyms, op11_hard_negatives, op12_vector_codes, op13_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op7_url_filters": urls.SQL, "op8_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op7_url_filters": urls.SQL, "op8_chat_formatting": chat.SQL, "op11_hard_negatives": negatives.SQL, "op12_vector_codes": codes.SQL, "op13_warc": warc.SQL}
