@@ -211,6 +211,12 @@ def arm_score(arm: dict[str, Column], total_runs: Column, exploration: float = 1
     return F.when(F.coalesce(arm["outcome_runs"], F.lit(0)) == 0, cold).otherwise(F.try_divide(reward, arm["outcome_runs"]) + bonus)
 
 
+def fused_arm_score(arm: dict[str, Column], total_runs: Column, draw: Column, first_draw: Column, exploration: float = 1.25) -> Column:
+    """The score with Thompson sampling: .65 of mean and bonus and .35 of ten times a draw of the arm's posterior; an arm without outcomes explores by a draw of Beta(1.5, 1)."""
+    cold = F.sqrt(F.ln((total_runs + 2).cast("double"))) * exploration
+    return F.when(F.coalesce(arm["outcome_runs"], F.lit(0)) == 0, cold * (first_draw * 0.3 + 0.85)).otherwise(arm_score(arm, total_runs, exploration) * 0.65 + draw * 10 * 0.35)
+
+
 def capacity(target: Column) -> dict[str, Column]:
     """Pool, batch, rounds and ceilings of a collection run for 1 to 200 prospects."""
     t = F.least(F.greatest(F.floor(target), F.lit(1)), F.lit(200))

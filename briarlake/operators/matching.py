@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
-from briarlake.operators.order import partitions
 from briarlake.scratch import Scratch
 
 
@@ -61,31 +61,136 @@ def _front(points: np.ndarray) -> np.ndarray:
     return points
 
 
-def skyline(rows: DataFrame, key: str, objectives: list[str], fan_in: int = 8) -> DataFrame:
+def _undominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The points that none of `by` dominates."""
+    for k in range(0, len(by), 128):
+        part = by[k : k + 128, None, :]
+        points = points[~((part >= points).all(axis=2) & (part > points).any(axis=2)).any(axis=0)]
+    return points
+
+
+class _Cells:
+    """A complete tree of median cuts of a sample: 2^depth cells of about equal size, whatever the distribution."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.dims, self.cuts = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
+        parts = {0: sample}
+        for node in range(len(self.dims)):
+            own = parts.pop(node)
+            if len(own):
+                kinds = np.array([len(np.unique(own[:, d])) for d in range(own.shape[1])])
+                turn = np.roll(np.arange(own.shape[1]), -int(np.log2(node + 1)))  # dimensions take turns, but for those of few values
+                dim = turn[2 * kinds[turn] >= kinds.max()][0]
+                self.dims[node], self.cuts[node] = dim, np.sort(own[:, dim])[(len(own) - 1) // 2]
+            right = own[:, self.dims[node]] > self.cuts[node]
+            parts[2 * node + 1], parts[2 * node + 2] = own[~right], own[right]
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[np.arange(len(points)), self.dims[node]] > self.cuts[node])
+        return node - len(self.dims)
+
+
+def _points(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+
+
+def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 2048, most_cells: int = 4096, strong: int = 1024, sample: int = 65536) -> DataFrame:
     """Rows that no other dominates: as good in all objectives and better in one.
 
-    Each partition of the distinct vectors keeps its own front in Arrow batches;
-    fronts of `fan_in` partitions are merged at a time, until one is left. A
-    vector that is dominated leaves at the first level, so what moves is fronts.
-    Rows with a null objective are not compared and left out.
+    The `strong` distinct vectors of the greatest sums leave few of most tables.
+    What they leave is cut into cells of about `cell` vectors, by medians of a
+    sample; a cell keeps its own front, in a task of its own. A cell can beat
+    another only if its best corner is as good as the other's worst, which holds
+    for few neighbours along a front, and one whose worst corner beats the other's
+    best drops it whole. Each cell then meets the fronts of those neighbours as a
+    stream. So a front of any size is spread over its cells and no task compares
+    all pairs; the driver sees `strong` vectors, the sample, and the corners of
+    `most_cells` cells.
+
+    Rows with a null objective are not compared and left out; NaN is neither
+    better nor worse than anything.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        front = np.empty((0, len(objectives)))
-        for frame in frames:
-            front = _front(np.concatenate([front, frame.to_numpy(np.float64)]))
-        yield pd.DataFrame(front, columns=objectives)
-
-    asked = rows.select(*[F.col(o).cast("double").alias(o) for o in objectives]).where(" AND ".join(f"{o} IS NOT NULL" for o in objectives)).distinct()
-    schema, left = ", ".join(f"{o} double" for o in objectives), partitions(rows.sparkSession)
-    front = asked.mapInPandas(run, schema)
-    while left > 1:
-        left = -(-left // fan_in)
-        front = front.repartition(left).mapInPandas(run, schema)
+    scratch, schema = Scratch(rows.sparkSession, "front"), ", ".join(f"{o} double" for o in objectives)
+    asked = scratch.keep(rows.select(*[F.col(o).cast("double").alias(o) for o in objectives]).where(" AND ".join(f"{o} IS NOT NULL" for o in objectives)).distinct())
+    odd = " OR ".join(f"isnan({o})" for o in objectives)
+    total = sum((F.col(o) for o in objectives[1:]), F.col(objectives[0]))
+    matrix = lambda found: np.array([list(r) for r in found], np.float64).reshape(-1, len(objectives))
+    best = _front(matrix(asked.where(f"NOT ({odd})").orderBy(total.desc()).limit(strong).collect()))
+
+    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch(_undominated(_points(batch, objectives), best))
+
+    def _batch(points: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, more.values()), *(pa.array(points[:, d]) for d in range(len(objectives)))], names=[*more, *objectives])
+
+    left = scratch.keep(asked.where(f"NOT ({odd})").mapInArrow(strongest, schema))
+    n = left.count()
+    depth = min(int(math.log2(most_cells)), max(0, math.ceil(math.log2(max(n, 1) / cell))))
+    cells = _Cells(matrix(left.where(F.rand(7) < 2 * sample / max(n, 1)).limit(sample).collect()) if depth else np.empty((0, len(objectives))), depth)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _points(batch, objectives)
+            yield _batch(points, cell=cells.of(points))
+
+    def by_cell(name: str, finish: Callable[[int, np.ndarray], np.ndarray], filters: bool = False):
+        """Over rows sorted by `name`: the points of each cell, or what of them the filters after them leave."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, points = None, [], None
+            for batch in batches:
+                at, all_points = batch.column(name).to_numpy(), _points(batch, objectives)
+                against = batch.column("against").to_numpy() if filters else np.zeros(len(at), np.int64)
+                cuts = np.flatnonzero((at[1:] != at[:-1]) | (against[1:] != against[:-1])) + 1
+                for s, e in zip(np.r_[0, cuts][: len(at)], np.r_[cuts, len(at)], strict=False):
+                    if at[s] != now:
+                        if now is not None:
+                            out = finish(now, np.concatenate(held) if points is None else points)
+                            yield _batch(out, cell=np.full(len(out), now))
+                        now, held, points = at[s], [], None
+                    if against[s]:
+                        points = _undominated(np.concatenate(held) if points is None else points, all_points[s:e])
+                    else:
+                        held.append(all_points[s:e])
+            if now is not None:
+                out = finish(now, np.concatenate(held) if points is None else points)
+                yield _batch(out, cell=np.full(len(out), now))
+
+        return run
+
+    spread = left.mapInArrow(placed, f"cell long, {schema}").repartition("cell").sortWithinPartitions("cell")
+    fronts = scratch.keep(spread.mapInArrow(by_cell("cell", lambda _, points: _front(points)), f"cell long, {schema}"))
+    front = fronts
+    if depth:
+        corners = fronts.groupBy("cell").agg(*[F.min(o).alias(f"low{k}") for k, o in enumerate(objectives)], *[F.max(o).alias(f"high{k}") for k, o in enumerate(objectives)]).orderBy("cell").collect()
+        names = np.array([r.cell for r in corners])
+        low, high = (np.array([[r[f"{c}{k}"] for k in range(len(objectives))] for r in corners]) for c in ("low", "high"))
+        meets: dict[int, list[int]] = {int(c): [] for c in names}
+        for k in range(len(names)):
+            beaten = ((low >= high[k]).all(axis=1) & (low > high[k]).any(axis=1)).any()
+            if not beaten:
+                for j in np.flatnonzero((high >= low[k]).all(axis=1)):
+                    meets[int(names[j])].append(int(names[k]))
+
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, points = batch.column("cell").to_numpy(), _points(batch, objectives)
+                for own in np.unique(at):
+                    mine = points[at == own]
+                    for to in meets[int(own)]:
+                        yield _batch(mine, cell=np.full(len(mine), to), against=np.full(len(mine), int(to != own)))
+
+        dealt = fronts.mapInArrow(sent, f"cell long, against long, {schema}").repartition("cell").sortWithinPartitions("cell", "against")
+        front = dealt.mapInArrow(by_cell("cell", lambda _, points: points, filters=True), f"cell long, {schema}")
     same = F.lit(True)
     for o in objectives:
         same = same & (F.col(o) == F.col(f"_{o}"))
-    front = Scratch(rows.sparkSession, "front").keep(front.select(*[F.col(o).alias(f"_{o}") for o in objectives]))
+    found = front.select(*objectives).unionByName(asked.where(odd))
+    front = scratch.keep(found.select(*[F.col(o).alias(f"_{o}") for o in objectives]))
     return rows.join(front, same, "left_semi")
 
 

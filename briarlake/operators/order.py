@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +47,47 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], scratch: Scratc
     return out.drop(*[c for c in out.columns if c.startswith("_run_")])
 
 
+def affine_last(rows: DataFrame, group: str, order: list[str], value: str, gain: float, scratch: Scratch) -> DataFrame:
+    """(group, last) of each group: where x ends that starts at the first value and then, row by row, moves by `gain` of the way to the value.
+
+    Each step is a map x -> a x + b, and so are steps one after the other. Rows
+    are range-partitioned by group and order, so a hot group spreads over many
+    partitions; each run of a group in a partition gives one map, and the maps of
+    a group, at most one a partition, are joined in order.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, now = TaskContext.get().partitionId(), None
+        for frame in frames:
+            keys, values = frame[group].to_numpy(), frame[value].to_numpy(np.float64)
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            out = []
+            for s, e in zip(np.r_[0, cuts][: len(keys)], np.r_[cuts, len(keys)], strict=False):
+                weights = (1.0 - gain) ** np.arange(e - s - 1, -1, -1)
+                a, b = (1.0 - gain) ** (e - s), float(weights @ values[s:e]) * gain
+                if now is not None and keys[s] == now[1]:
+                    now = (part, now[1], now[2] * a, now[3] * a + b, now[4])
+                else:
+                    out += [now] if now is not None else []
+                    now = (part, keys[s], a, b, values[s])
+            yield pd.DataFrame(out, columns=["part", group, "a", "b", "first"])
+        if now is not None:
+            yield pd.DataFrame([now], columns=["part", group, "a", "b", "first"])
+
+    kind = rows.schema[group].dataType.simpleString()
+    dealt = rows.where(F.col(group).isNotNull()).select(group, *dict.fromkeys([*order, value])).repartitionByRange(partitions(rows.sparkSession), group, *order).sortWithinPartitions(group, *order)
+    runs = scratch.keep(dealt.mapInPandas(run, f"part int, {group} {kind}, a double, b double, first double"))
+    maps = runs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("part", "a", "b", "first"))).alias("_maps"))
+    return maps.select(group, F.aggregate("_maps", F.get("_maps", F.lit(0))["first"], lambda x, m: x * m["a"] + m["b"]).alias("last"))
+
+
 def folded(rows: DataFrame, group: str, order: list[str], values: list[str], start: Callable[[], object], step: Callable, finish: Callable[[object], tuple], schema: str) -> DataFrame:
     """(group, *finish(state)) for each group: `step(state, *values)` over its rows in order.
 
     The rows of a group stream through one task in Arrow batches, sorted by
     Spark, which spills; only the state is held, so a group may be of any size.
-    Order-dependent folds can't be split further. `schema` has the group first.
+    Folds whose steps don't join can't be split further; `ranked` and
+    `affine_last` split those that do. `schema` has the group first.
     """
     names = [group, *values]
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from briarlake.operators.order import folded
+from briarlake.scratch import Scratch
+
+
+# Parts of the URLs of posts.
+POSTS = ("linkedin.com/posts", "linkedin.com/feed/update", "linkedin.com/activity", "linkedin.com/pulse")
 
 
 def token_chunks(rows: DataFrame, group: str, order: str, text: str, budget: int, most: int | None = None) -> DataFrame:
@@ -40,14 +45,44 @@ def cutline(rows: DataFrame, target: int, most: int, swing: float = 0.39) -> Dat
     return joined.orderBy(F.col("in_bubble").desc(), F.col("rank").desc(), "id").limit(most).select("id", "in_bubble")
 
 
-def rescued(qualified: DataFrame, accepted: DataFrame, target: int, share: float) -> DataFrame:
-    """(id, verdict): the qualified, and the best others of other URLs up to the target or `share` of it."""
-    n = qualified.count()  # at most target
-    url = F.coalesce("url", F.lit(""))
-    ids, urls = qualified.select(F.col("id").alias("_i")), qualified.select(url.alias("_u")).distinct()
-    others = accepted.join(ids, F.col("id") == F.col("_i"), "left_anti").join(urls, url == F.col("_u"), "left_anti")
-    extra = others.orderBy(F.col("rank").desc(), "id").limit(max(0, min(target - n, math.ceil(target * share))))
-    return qualified.select("id", F.lit("qualified").alias("verdict")).unionByName(extra.select("id", F.lit("rescued").alias("verdict")))
+def rescued(rows: DataFrame, group: str, target: int, share: float) -> DataFrame:
+    """(group, id, verdict): all rows that are `qualified`, and in groups with fewer than `target` of them the best others of other URLs, up to the target or `share` of it.
+
+    The scored rows are written once. Counts and URLs of the qualified come from
+    partial aggregates, and the rank filter has a group limit before its shuffle.
+    """
+    scratch = Scratch(rows.sparkSession, "rescued")
+    kept = scratch.keep(rows.select(group, "id", "qualified", "rank", F.coalesce("url", F.lit("")).alias("url")))
+    good = kept.where("qualified")
+    urls = scratch.keep(good.select(F.col(group).alias("_g"), F.col("url").alias("_u")).distinct())
+    counts = scratch.keep(good.groupBy(F.col(group).alias("_c")).agg(F.count("*").alias("_n")))
+    others = kept.where("NOT qualified").join(urls, F.col(group).eqNullSafe(F.col("_g")) & (F.col("url") == F.col("_u")), "left_anti")
+    most = math.ceil(target * share)
+    order = Window.partitionBy(group).orderBy(F.col("rank").desc(), "id")
+    best = others.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).join(counts, F.col(group).eqNullSafe(F.col("_c")), "left")
+    extra = best.where(F.col("_k") <= target - F.coalesce("_n", F.lit(0)))
+    return good.select(group, "id", F.lit("qualified").alias("verdict")).unionByName(extra.select(group, "id", F.lit("rescued").alias("verdict")))
+
+
+def post_snippets(results: DataFrame, search: str, most: int = 5, others: int = 3, chars: int = 1000) -> DataFrame:
+    """(search, n_snippets, first_url, context) from (search, seq, url, title, content): of a search the first posts, else its first results.
+
+    The rank filter has a group limit before its shuffle, so a hot search sends few rows.
+    """
+    lower = F.lower(F.coalesce("url", F.lit("")))
+    post = F.lit(False)
+    for part in POSTS:
+        post = post | lower.contains(part)
+    order = Window.partitionBy(search).orderBy(F.col("_post").desc(), "seq")
+    first = results.withColumn("_post", post).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    title = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?i)\s*[-|]\s*linkedin.*$", ""))
+    line = F.array_join(F.filter(F.array(title, F.trim(F.coalesce("content", F.lit("")))), lambda x: x != ""), " - ")
+    found = first.where(F.col("_post") | (F.col("_n") <= others)).withColumn("_line", line)
+    grouped = found.groupBy(search).agg(F.max("_post").alias("_any"), F.array_sort(F.collect_list(F.struct("_n", "_post", "url", "_line"))).alias("_r"))
+    taken = F.filter("_r", lambda r: r["_post"] | ~F.col("_any"))
+    lines = F.filter(F.transform(taken, lambda r: r["_line"]), lambda x: x != "")
+    context = F.substring(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("[Post snippet]: "), x)), "\n"), 1, chars)
+    return grouped.select(search, F.size(lines).cast("long").alias("n_snippets"), F.get(taken, F.lit(0))["url"].alias("first_url"), context.alias("context"))
 
 
 def best_email(lines: DataFrame, key: str) -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import json
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
 from briarlake.functions.numeric import clamp, fixed
-from briarlake.functions.scoring import arm_score, sigmoid
+from briarlake.functions.sampling import POSTERIOR, beta_sql
+from briarlake.functions.scoring import arm_score, fused_arm_score, sigmoid
 from briarlake.scratch import Scratch
 
 
@@ -52,24 +51,62 @@ def criteria_hits(body: Column, spec: dict[str, list[str]]) -> Column:
     return hits
 
 
-def mmr(rows: DataFrame, count: int, balance: float = 0.75) -> DataFrame:
-    """(id, position): greedy maximal marginal relevance over all rows, `count` passes over a narrow written table.
+def mmr(rows: DataFrame, count: int, balance: float = 0.75, most: int = 4096) -> DataFrame:
+    """(id, position): greedy maximal marginal relevance over all rows, as a rule in one job.
 
-    Exact, though most rows never enter the table: none below the rank of place
-    `count` by more than 10 (1 - balance) / balance can be chosen, as its lead
-    over a dissimilar row is worth no more; and of rows of one firm and place,
-    which are alike to all others, only the best `count` can.
+    Of rows of one firm and place, which are alike to all others, only the best
+    `count` can be chosen; the `most` best of these by rank come to the driver and
+    all picks are made there, lazily: a heap holds each class of like rows by the
+    value it had when it was last looked at, which can only fall. No row that
+    stayed behind is worth more than its rank alone, so a pick above that bound is
+    exact; should one fall to it, the picks from there on each take a pass over all.
     """
-    scratch = Scratch(rows.sparkSession, "mmr")
     firm, place = T.company_name(F.col("company")), F.lower(T.text(F.col("location")))
-    scored = scratch.keep(rows.select("id", "rank", "company", "location"))  # scores are long expressions: computed once
-    seen = scored.where("rank IS NOT NULL").select("id", "rank", firm.alias("firm"), T.distinctive_words(F.col("company")).alias("words"), place.alias("place"))
-    low = seen.select("id", "rank").orderBy(F.col("rank").desc(), "id").limit(count).agg(F.min("rank")).first()[0]
+    scratch = Scratch(rows.sparkSession, "mmr")
+    scored = scratch.keep(rows.where("rank IS NOT NULL").select("id", "rank", "company", "location"))  # scores are long expressions: computed once
+    seen = scored.select("id", "rank", firm.alias("firm"), T.distinctive_words(F.col("company")).alias("words"), place.alias("place"))
     alike = Window.partitionBy("firm", "place").orderBy(F.col("rank").desc(), "id")
-    if low is not None and balance > 0:
-        seen = seen.where(F.col("rank") >= low - 10 * (1 - balance) / balance)
-    pool = scratch.keep(seen.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= count).drop("n"))
-    chosen: list = []
+    pool = seen.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= count).drop("n")
+    top = pool.orderBy(F.col("rank").desc(), "id").limit(most + 1).collect()
+    bound = balance * (top[most - 1]["rank"] / 10) if len(top) > most else -math.inf
+    chosen = _greedy(top[:most], count, balance, bound)
+    if len(chosen) < count and len(top) > most:
+        chosen = _by_passes(scratch.keep(pool), chosen, count, balance)
+    return rows.sparkSession.createDataFrame([(c["id"], k + 1) for k, c in enumerate(chosen)], "id long, position long")
+
+
+def _likeness(a: Row, b: Row) -> float:
+    same = a["firm"] and b["firm"] and (a["firm"] == b["firm"] or not set(a["words"]).isdisjoint(b["words"]))
+    return (0.8 if same else 0.0) + (0.2 if a["place"] and a["place"] == b["place"] else 0.0)
+
+
+def _greedy(rows: list[Row], count: int, balance: float, bound: float) -> list[Row]:
+    """The picks whose value is above `bound`, at most `count`."""
+    classes: dict[tuple, list[Row]] = {}
+    for r in rows:  # by falling rank, then id
+        classes.setdefault((r["firm"], tuple(r["words"]), r["place"]), []).append(r)
+    worth = lambda r, closest: balance * (r["rank"] / 10) - (1 - balance) * closest
+    heap = [(-worth(own[0], 0.0), -own[0]["rank"], own[0]["id"], 0, 0.0, key) for key, own in classes.items()]
+    heapq.heapify(heap)
+    chosen: list[Row] = []
+    while heap and len(chosen) < count:
+        value, _, _, known, closest, key = heapq.heappop(heap)
+        best = classes[key][0]
+        if known < len(chosen):
+            closest = max(closest, *(_likeness(best, p) for p in chosen[known:]))
+            heapq.heappush(heap, (-worth(best, closest), -best["rank"], best["id"], len(chosen), closest, key))
+            continue
+        if -value <= bound:
+            break
+        chosen.append(classes[key].pop(0))
+        if classes[key]:
+            after = classes[key][0]
+            heapq.heappush(heap, (-worth(after, closest), -after["rank"], after["id"], known, closest, key))
+    return chosen
+
+
+def _by_passes(pool: DataFrame, chosen: list[Row], count: int, balance: float) -> list[Row]:
+    """The picks after those that are made, each by a pass over the pool."""
     alike_to = lambda p: F.when((F.col("firm") != "") & (p["firm"] != "") & ((F.col("firm") == p["firm"]) | F.arrays_overlap("words", p["words"])), 0.8).otherwise(0.0)
     near_to = lambda p: F.when((F.col("place") != "") & (F.col("place") == p["place"]), 0.2).otherwise(0.0)
     while len(chosen) < count:  # what is chosen is one literal, so every pass runs the same compiled code
@@ -81,7 +118,7 @@ def mmr(rows: DataFrame, count: int, balance: float = 0.75) -> DataFrame:
         if best is None:
             break
         chosen.append(best)
-    return rows.sparkSession.createDataFrame([(c.id, k + 1) for k, c in enumerate(chosen)], "id long, position long")
+    return chosen
 
 
 def diversified(rows: DataFrame, limit: int, per_company: int, share: float = 0.3) -> DataFrame:
@@ -98,21 +135,19 @@ def diversified(rows: DataFrame, limit: int, per_company: int, share: float = 0.
     return first.unionByName(found.withColumn("position", F.col("position") + len(reserved)))
 
 
+ARM = ("outcome_runs", "qualified", "returned", "uniques", "rescued", "duplicates", "units", "latency_ms")
+
+
 def beta_samples(arms: DataFrame) -> DataFrame:
-    """(family, lane, provider, sample): one Beta draw by Gamma variates, seeded by the arm's scope."""
-
-    @F.pandas_udf("double")
-    def draw(scope: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
-        out = []
-        for s, a, b in zip(scope, alpha, beta, strict=True):
-            rng = np.random.default_rng(int.from_bytes(hashlib.sha256(s.encode()).digest()[:8]))
-            x, y = rng.standard_gamma(max(a, 0.001)), rng.standard_gamma(max(b, 0.001))
-            out.append(x / (x + y) if x + y > 0 else 0.5)
-        return pd.Series(out, dtype="float64")
-
-    alpha = F.col("qualified") * 2.5 + F.col("returned") * 2.0 + F.col("uniques") * 0.04 + 1
-    beta = F.col("rescued") * 1.25 + F.col("duplicates") * 0.08 + F.col("units") * 0.12 + F.col("latency_ms") / 1000 * 0.002 + 1
-    return arms.select("family", "lane", "provider", draw(F.concat_ws("|", "family", "lane", "provider"), alpha, beta).alias("sample"))
+    """Adds `sample`, a Beta draw of each arm's posterior, and `first_sample`, one of Beta(1.5, 1), both seeded by the arm's scope."""
+    scoped = arms.withColumns({"_scope": F.concat_ws("|", "family", "lane", "provider"), "_alpha": F.expr(POSTERIOR[0]), "_beta": F.expr(POSTERIOR[1])})
+    return scoped.withColumns({"sample": F.expr(beta_sql("_scope", "_alpha", "_beta")), "first_sample": F.expr(beta_sql("_scope", "1.5D", "1.0D"))}).drop("_scope", "_alpha", "_beta")
+
+
+def scored_arms(arms: DataFrame, total: Column) -> DataFrame:
+    """Adds `score` by mean reward and exploration, and `fused` with Thompson sampling."""
+    columns = {c: F.col(c) for c in ARM}
+    return beta_samples(arms).withColumns({"score": arm_score(columns, total), "fused": fused_arm_score(columns, total, F.col("sample"), F.col("first_sample"))})
 
 
 def cover(tasks: list[dict], most: int) -> list[dict]:

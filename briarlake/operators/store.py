@@ -1,4 +1,4 @@
-"""Writes as pure transforms: optimistic upserts, merges, audits, sessions."""
+"""Writes as pure transforms: merges, audits, sessions; `upserts` has the bulk upsert, `versions` the store."""
 
 from __future__ import annotations
 
@@ -8,30 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(id, revision, value, disposition) of every incoming row and every stored row that none replaces.
-
-    Rows have id, revision, identity, value. An incoming row whose identity
-    another stored lead holds is a duplicate, one of an old revision a conflict;
-    the rest create or update and raise the revision. Of incoming rows of one id
-    the last by `seq` counts; of equal identities within the batch the first.
-    """
-    last = incoming.groupBy("id").agg(F.max_by(F.struct("revision", "identity", "value", "seq"), "seq").alias("_r")).select("id", "_r.*")
-    # A key's first holder in the batch, from a partial aggregate: a hot identity is no window partition.
-    first = last.where("identity IS NOT NULL").groupBy(F.col("identity").alias("_fi")).agg(F.min(F.struct("seq", "id")).alias("_f")).select("_fi", F.col("_f.id").alias("_first"))
-    old = stored.select(F.col("id").alias("_id"), F.col("revision").alias("_revision"), F.col("value").alias("_value"))
-    holder = stored.where("identity IS NOT NULL").groupBy(F.col("identity").alias("_hi")).agg(F.min("id").alias("_holder"))
-    joined = last.join(old, F.col("id") == F.col("_id"), "left").join(holder, F.col("identity") == F.col("_hi"), "left").join(first, F.col("identity") == F.col("_fi"), "left")
-    taken = (F.col("_holder").isNotNull() & (F.col("_holder") != F.col("id"))) | (F.col("_holder").isNull() & F.col("_first").isNotNull() & (F.col("_first") != F.col("id")))
-    stale = F.col("_id").isNotNull() & (F.col("revision") != F.col("_revision"))
-    kind = F.when(F.coalesce(taken, F.lit(False)), "duplicate").when(stale, "conflict").when(F.col("_id").isNull(), "created").otherwise("updated")
-    done = joined.withColumn("disposition", kind)
-    written = F.col("disposition").isin("created", "updated")
-    out = done.select("id", F.when(written, F.coalesce("_revision", F.lit(0)) + 1).otherwise(F.coalesce("_revision", F.lit(0))).alias("revision"), F.when(written, F.col("value")).otherwise(F.col("_value")).alias("value"), "disposition")
-    rest = stored.join(last.select(F.col("id").alias("_in")), F.col("id") == F.col("_in"), "left_anti").select("id", "revision", "value", F.lit("kept").alias("disposition"))
-    return out.unionByName(rest)
-
-
 def stage_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, from_stage, to_stage) where the stage differs."""
     new = after.select(F.col("id").alias("_id"), F.col("stage").alias("to_stage"))
@@ -48,6 +24,19 @@ def orphans_interrupted(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("status", F.when(F.col("status") == "running", "interrupted").otherwise(F.col("status")))
 
 
+def replaced(leads: DataFrame) -> dict[str, DataFrame]:
+    """The tables after the whole store is replaced by `leads` (id, revision, identity and more): leads, identities and conflicts.
+
+    A revision that is no positive number becomes 1. An identity belongs to the
+    first lead by id; each other lead of it is a conflict.
+    """
+    owners = leads.where("identity IS NOT NULL").groupBy("identity").agg(F.min("id").alias("lead_id"))
+    meant = owners.select(F.col("identity").alias("_identity"), F.col("lead_id").alias("canonical_id"))
+    conflicts = leads.join(meant, (F.col("identity") == F.col("_identity")) & (F.col("id") != F.col("canonical_id"))).select("identity", "canonical_id", F.col("id").alias("duplicate_id"))
+    revision = F.when(F.col("revision") > 0, F.col("revision")).otherwise(1)
+    return {"leads": leads.withColumn("revision", revision), "identities": owners, "conflicts": conflicts}
+
+
 def identities_moved(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, k) with the keys of each pair's loser under its winner, distinct."""
     moves = pairs.select(F.col("loser").alias("_loser"), F.col("winner").alias("_winner"))

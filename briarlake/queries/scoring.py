@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from briarlake.functions import numeric as N
 from briarlake.functions import scoring as K
 from briarlake.functions import text as T
+from briarlake.functions.sampling import POSTERIOR, beta_sql
 from briarlake.operators import matching as M
 from briarlake.operators import relevance as V
 from briarlake.operators import selection as P
@@ -182,11 +183,16 @@ def _(f: Frames) -> DataFrame:
 _SAME = f"c.firm <> '' AND p.firm <> '' AND (c.firm = p.firm OR list_has_any(c.words, p.words))"
 
 
-@query("k15_mmr_selection", f"""WITH RECURSIVE {RANKED_SQL}, c AS MATERIALIZED (SELECT id, rank, {S.company('company')} AS firm, {S.distinctive('company')} AS words, lower(coalesce(location, '')) AS place FROM ranked),
+def _mmr_sql(base: str, count: str) -> str:
+    """c and w: greedy picks from `base` (id, rank, company, location), a step each; w.ids[n] is pick n."""
+    return f"""c AS MATERIALIZED (SELECT id, rank, {S.company('company')} AS firm, {S.distinctive('company')} AS words, lower(coalesce(location, '')) AS place FROM {base}),
  w AS (SELECT 0 AS position, []::BIGINT[] AS ids, []::STRUCT(firm VARCHAR, words VARCHAR[], place VARCHAR)[] AS picks UNION ALL
  SELECT position + 1, list_append(any_value(ids), arg_max(id, (value, rank, -id))), list_append(any_value(picks), arg_max({{'firm': firm, 'words': words, 'place': place}}, (value, rank, -id))) FROM (SELECT w.*, c.*,
   0.75::DOUBLE * (c.rank / 10) - 0.25::DOUBLE * coalesce(list_max(list_transform(w.picks, lambda p: CASE WHEN {_SAME} THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN c.place <> '' AND c.place = p.place THEN 0.2::DOUBLE ELSE 0 END)), 0) AS value
-  FROM w, c WHERE w.position < 12 AND NOT list_contains(w.ids, c.id)) GROUP BY position) SELECT ids[position] AS id, position::BIGINT AS position FROM w WHERE position > 0""")
+  FROM w, c WHERE w.position < {count} AND NOT list_contains(w.ids, c.id)) GROUP BY position)"""
+
+
+@query("k15_mmr_selection", f"WITH RECURSIVE {RANKED_SQL}, {_mmr_sql('ranked', '12')} SELECT ids[position] AS id, position::BIGINT AS position FROM w WHERE position > 0")
 def _(f: Frames) -> DataFrame:
     """F10 too: greedy marginal relevance over all candidates by rank."""
     return P.mmr(ranked(f), 12)
@@ -195,7 +201,8 @@ def _(f: Frames) -> DataFrame:
 _VECTOR = f"vec AS (SELECT id, {S.score_or('authority', 5)} AS a, {_COMPANY} AS b, {_POST} AS c, {_EV} AS d FROM candidates)"
 
 
-FRONT_SQL = f"WITH {_VECTOR}, v AS (SELECT DISTINCT a, b, c, d FROM vec), front AS (SELECT * FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.d >= x.d AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.d > x.d))) SELECT id FROM vec JOIN front USING (a, b, c, d)"
+_FRONT = f"{_VECTOR}, v AS (SELECT DISTINCT a, b, c, d FROM vec), front AS (SELECT * FROM v x WHERE NOT EXISTS (SELECT 1 FROM v y WHERE y.a >= x.a AND y.b >= x.b AND y.c >= x.c AND y.d >= x.d AND (y.a > x.a OR y.b > x.b OR y.c > x.c OR y.d > x.d))), front_ids AS (SELECT id FROM vec JOIN front USING (a, b, c, d))"
+FRONT_SQL = f"WITH {_FRONT} SELECT id FROM front_ids"
 
 
 @query("k16_candidate_skyline", FRONT_SQL)
@@ -225,7 +232,11 @@ def _(f: Frames) -> DataFrame:
     return f.leads.select("id", hits.cast("long").alias("n_criteria"), N.clamp(N.fixed(hits / float(len(_SPEC)) * 8 + 2), 1, 10).alias("coverage"), N.clamp(N.fixed(F.least(C("id") % 3 + 1, F.lit(3)) * 2.5 + 2 + F.least(C("id") % 5 + 1, F.lit(4)) * 0.75), 1, 10).alias("corroboration"))
 
 
-@query("k19_diversified_selection")
+@query("k19_diversified_selection", f"""WITH RECURSIVE {RANKED_SQL}, {_FRONT}, reserved AS (SELECT id, row_number() OVER (ORDER BY id) AS position FROM front_ids QUALIFY position <= 6),
+ {_POOL.replace('SELECT id, greatest(fit, 1.0::DOUBLE) AS s FROM candidates', 'SELECT id, company, location, greatest(rank, 1.0::DOUBLE) AS s FROM ranked')},
+ scaled AS (SELECT id, company, location, {sigmoid_sql(S.fixed(S.clamp('(mean + (s - mean) * factor)', 1, 10)))} AS rank FROM pool, spread),
+ capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(lower(trim(coalesce(company, ''))), ''), 'unknown:' || id) ORDER BY rank DESC, id) AS n FROM scaled) WHERE n <= 2 AND id NOT IN (SELECT id FROM reserved)),
+ {_mmr_sql('capped', '20 - (SELECT count(*) FROM reserved)')} SELECT id, position::BIGINT AS position FROM reserved UNION ALL SELECT ids[position], position + (SELECT count(*) FROM reserved) FROM w WHERE position > 0""")
 def _(f: Frames) -> DataFrame:
     """Skyline share, entropy, company cap with sigmoid, then marginal relevance."""
     front = candidate_front(f).select(C("id").alias("_front"))
@@ -271,17 +282,34 @@ def _(f: Frames) -> DataFrame:
     return f.trace_events.select("event_id", K.post_quality(F.get(names, (C("event_id") % 6).cast("int")), (C("event_id") % 13) / 10.0).alias("post_quality"))
 
 
-@query("k24_arm_score", f"""WITH n AS (SELECT sum(outcome_runs) AS t FROM arms) SELECT family, lane, provider, {S.fixed("CASE WHEN outcome_runs = 0 THEN sqrt(ln((t + 2)::DOUBLE)) * 1.25::DOUBLE * 1.15::DOUBLE ELSE (qualified * 2.5::DOUBLE + returned * 2 + uniques * 0.04::DOUBLE - rescued * 1.25::DOUBLE - duplicates * 0.08::DOUBLE - units * 0.12::DOUBLE - latency_ms / 1000 * 0.002::DOUBLE) / outcome_runs + sqrt(ln((t + 1)::DOUBLE) / outcome_runs) * 1.25::DOUBLE END", 6)} AS score FROM arms, n""")
+_REWARD = "(qualified * 2.5::DOUBLE + returned * 2 + uniques * 0.04::DOUBLE - rescued * 1.25::DOUBLE - duplicates * 0.08::DOUBLE - units * 0.12::DOUBLE - latency_ms / 1000 * 0.002::DOUBLE) / nullif(outcome_runs, 0) + sqrt(ln((t + 1)::DOUBLE) / nullif(outcome_runs, 0)) * 1.25::DOUBLE"
+_COLD = "sqrt(ln((t + 2)::DOUBLE)) * 1.25::DOUBLE"
+_ARM_KEY = "concat_ws('|', family, lane, provider)"
+#: Every eleventh arm has no outcome yet.
+_ARMS = "armed AS (SELECT * REPLACE (CASE WHEN units % 11 = 0 THEN 0 ELSE outcome_runs END AS outcome_runs) FROM arms), n AS (SELECT sum(outcome_runs) AS t FROM armed)"
+
+
+def armed(f: Frames) -> DataFrame:
+    arms = f.arms.withColumn("outcome_runs", F.when(C("units") % 11 == 0, 0).otherwise(C("outcome_runs")))
+    return arms.crossJoin(F.broadcast(arms.agg(F.sum("outcome_runs").alias("t"))))
+
+
+def _drawn_sql(base: str) -> str:
+    posterior = f"SELECT *, {_ARM_KEY} AS scope, {POSTERIOR[0]} AS alpha, {POSTERIOR[1]} AS beta FROM {base}"
+    return f"drawn AS (SELECT *, {beta_sql('scope', 'alpha', 'beta', duckdb=True)} AS draw, {beta_sql('scope', '1.5::DOUBLE', '1.0::DOUBLE', duckdb=True)} AS first_draw FROM ({posterior}))"
+
+
+@query("k24_arm_score", f"""WITH {_ARMS}, {_drawn_sql('armed')} SELECT family, lane, provider, {S.fixed(f"CASE WHEN outcome_runs = 0 THEN {_COLD} * 1.15::DOUBLE ELSE {_REWARD} END", 6)} AS score,
+ {S.fixed(f"CASE WHEN outcome_runs = 0 THEN {_COLD} * (first_draw * 0.3::DOUBLE + 0.85::DOUBLE) ELSE ({_REWARD}) * 0.65::DOUBLE + draw * 10 * 0.35::DOUBLE END", 6)} AS fused FROM drawn, n""")
 def _(f: Frames) -> DataFrame:
-    total = f.arms.agg(F.sum("outcome_runs").alias("t"))
-    columns = {c: C(c) for c in ("outcome_runs", "qualified", "returned", "uniques", "rescued", "duplicates", "units", "latency_ms")}
-    return f.arms.crossJoin(F.broadcast(total)).select("family", "lane", "provider", N.fixed(K.arm_score(columns, C("t")), 6).alias("score"))
+    """Without draws, and fused with a draw of the arm's posterior; cold arms too."""
+    return P.scored_arms(armed(f), C("t")).select("family", "lane", "provider", N.fixed(C("score"), 6).alias("score"), N.fixed(C("fused"), 6).alias("fused"))
 
 
-@query("k25_beta_samples")
+@query("k25_beta_samples", f"WITH {_drawn_sql('arms')} SELECT family, lane, provider, {S.fixed('draw', 9)} AS sample FROM drawn")
 def _(f: Frames) -> DataFrame:
     """A Beta draw per arm, seeded by its scope: the same in every run."""
-    return P.beta_samples(f.arms)
+    return P.beta_samples(f.arms).select("family", "lane", "provider", N.fixed(C("sample"), 9).alias("sample"))
 
 
 @query("k26_scheduled_tasks")

@@ -10,10 +10,12 @@ from briarlake.functions.numeric import fixed
 from briarlake.operators import packing as G
 from briarlake.operators import records as R
 from briarlake.operators import selection as P
-from briarlake.operators.order import folded
+from briarlake.operators.order import affine_last
+from briarlake.operators.order import ranked as ranked_rows
 from briarlake.queries import sql as S
 from briarlake.queries.scoring import FRONT_SQL, RANKED_SQL, candidate_front, ranked
 from briarlake.registry import Frames, query
+from briarlake.scratch import Scratch
 
 C = F.col
 
@@ -61,16 +63,17 @@ def _(f: Frames) -> DataFrame:
 
 @query("e09_event_sequence", "SELECT event_id, session_id || '-' || row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS sequence_id FROM trace_events")
 def _(f: Frames) -> DataFrame:
-    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    return f.trace_events.select("event_id", F.concat_ws("-", "session_id", F.row_number().over(order)).alias("sequence_id"))
+    places = ranked_rows(f.trace_events.select("session_id", "ts", "event_id"), ["session_id"], [C("ts"), C("event_id")], Scratch(f.spark, "sequence"))
+    return places.select("event_id", F.concat_ws("-", "session_id", C("rank") + 1).alias("sequence_id"))
 
 
 @query("e11_stall_streak", """WITH r AS (SELECT session_id, event_id, CASE WHEN status = 'success' THEN 1 ELSE 0 END AS gain FROM trace_events), i AS (SELECT *, sum(gain) OVER (PARTITION BY session_id ORDER BY event_id) AS island FROM r)
  SELECT session_id, CAST(max(streak) AS BIGINT) AS longest_stall FROM (SELECT session_id, count(*) FILTER (WHERE gain = 0) AS streak FROM i GROUP BY session_id, island) GROUP BY session_id""")
 def _(f: Frames) -> DataFrame:
-    gain = F.when(C("status") == "success", 1).otherwise(0)
-    island = F.sum("gain").over(Window.partitionBy("session_id").orderBy("event_id"))
-    runs = f.trace_events.select("session_id", "event_id", gain.alias("gain")).withColumn("island", island).groupBy("session_id", "island").agg(F.count_if(C("gain") == 0).alias("streak"))
+    """An event belongs to the island of the gains up to it; the gains come from prefix sums, so a hot session is no window."""
+    events = f.trace_events.select("session_id", "event_id", F.when(C("status") == "success", 1).otherwise(0).alias("gain"))
+    placed = ranked_rows(events, ["session_id"], [C("event_id")], Scratch(f.spark, "stall"), sums=("gain",))
+    runs = placed.groupBy("session_id", (C("gain_before") + C("gain")).alias("island")).agg(F.count_if(C("gain") == 0).alias("streak"))
     return runs.groupBy("session_id").agg(F.max("streak").alias("longest_stall"))
 
 
@@ -80,14 +83,15 @@ def _(f: Frames) -> DataFrame:
 def _(f: Frames) -> DataFrame:
     """Every event of a session in order: the state moves a third of the way to what is seen."""
     seen = f.trace_events.select("session_id", "event_id", (C("event_id") % 10 + 1).cast("double").alias("s"))
-    last = folded(seen, "session_id", ["event_id"], ["s"], lambda: None, lambda x, s: s if x is None else x + (s - x) * (1.0 / 3.0), lambda x: (x,), "session_id long, x double")
-    return last.select("session_id", fixed(C("x"), 6).alias("fused"))
+    last = affine_last(seen, "session_id", ["event_id"], "s", 1.0 / 3.0, Scratch(f.spark, "fusion"))
+    return last.select("session_id", fixed(C("last"), 6).alias("fused"))
 
 
 @query("e15_failure_breaker", "SELECT event_id, sum((status = 'error')::INT) OVER (PARTITION BY session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) >= 3 AS disabled FROM trace_events")
 def _(f: Frames) -> DataFrame:
-    order = Window.partitionBy("session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return f.trace_events.select("event_id", (F.sum((C("status") == "error").cast("int")).over(order) >= 3).alias("disabled"))
+    events = f.trace_events.select("session_id", "event_id", F.when(C("status") == "error", 1).otherwise(0).alias("failed"))
+    placed = ranked_rows(events, ["session_id"], [C("event_id")], Scratch(f.spark, "breaker"), sums=("failed",))
+    return placed.select("event_id", (C("failed_before") + C("failed") >= 3).alias("disabled"))
 
 
 @query("f01_newest_page", "SELECT id FROM leads ORDER BY created_at DESC NULLS LAST, updated_at DESC NULLS LAST, id LIMIT 30 OFFSET 60")
@@ -138,10 +142,11 @@ def _(f: Frames) -> DataFrame:
     return candidate_front(f).orderBy("id").limit(6)
 
 
-@query("f12_safety_net", f"""WITH {RANKED_SQL}, q AS (SELECT * FROM ranked WHERE fit >= 12 ORDER BY id LIMIT 8), r AS (SELECT * FROM ranked WHERE id NOT IN (SELECT id FROM q) AND coalesce(url, '') NOT IN (SELECT coalesce(url, '') FROM q) ORDER BY rank DESC, id LIMIT 5)
- SELECT id, 'qualified' AS verdict FROM q UNION ALL SELECT id, 'rescued' FROM r""")
+@query("f12_safety_net", f"""WITH {RANKED_SQL}, r AS (SELECT *, coalesce(fit >= 12, false) AS good, coalesce(url, '') AS u FROM ranked), q AS (SELECT location, count(*) AS n FROM r WHERE good GROUP BY 1), o AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY rank DESC, id) AS k FROM r WHERE NOT good AND NOT EXISTS (SELECT 1 FROM r g WHERE g.good AND g.location = r.location AND g.u = r.u))
+ SELECT location, id, 'qualified' AS verdict FROM r WHERE good UNION ALL SELECT o.location, id, 'rescued' FROM o LEFT JOIN q ON q.location = o.location WHERE k <= least(10, 20 - coalesce(n, 0))""")
 def _(f: Frames) -> DataFrame:
-    return G.rescued(ranked(f).where("fit >= 12").orderBy("id").limit(8), ranked(f), target=20, share=0.25)
+    """Each location is a session that asks for 20: all that qualify, and up to half of the target from the best others."""
+    return G.rescued(ranked(f).withColumn("qualified", F.coalesce(C("fit") >= 12, F.lit(False))), "location", target=20, share=0.5)
 
 
 @query("f13_newest_n", "SELECT log_id FROM search_logs ORDER BY logged_at DESC, log_id DESC LIMIT 30")
@@ -176,8 +181,16 @@ def _(f: Frames) -> DataFrame:
     return f.leads.where(F.length(F.trim(T.text(C("company")))) >= 2).select(F.trim("company").alias("company")).distinct()
 
 
-@query("h21_post_snippets", """WITH r AS (SELECT query, seq, url, title, content, row_number() OVER (PARTITION BY query ORDER BY seq) AS n FROM observations) SELECT query, CAST(count(*) AS BIGINT) AS n_snippets, min(seq) AS first_seq FROM r WHERE n <= 3 GROUP BY query""")
+#: A search has up to nine results; every second search of a source finds posts among them.
+_SEARCH = "query || '/' || CAST(floor(seq / 9.0) AS BIGINT)"
+_POST_URL = "CASE WHEN CAST(floor(seq / 9.0) AS BIGINT) % 2 = 0 AND seq % 3 > 0 THEN 'https://www.LinkedIn.com/posts/p' || seq ELSE url END"
+_IS_POST = "(" + " OR ".join(f"contains(lower(coalesce(url, '')), '{p}')" for p in G.POSTS) + ")"
+
+
+@query("h21_post_snippets", rf"""WITH r AS (SELECT {_SEARCH} AS search, seq, {_POST_URL} AS url, CASE WHEN seq % 5 = 0 THEN title || ' | LinkedIn' ELSE title END AS title, content FROM observations), p AS (SELECT *, {_IS_POST} AS post FROM r),
+ n AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY post DESC, seq) AS n, bool_or(post) OVER (PARTITION BY search) AS any_post FROM p), t AS (SELECT *, trim(regexp_replace(coalesce(title, ''), '\s*[-|]\s*linkedin.*$', '', 'i')) AS head, trim(coalesce(content, '')) AS body FROM n WHERE n <= CASE WHEN any_post THEN 5 ELSE 3 END AND (post OR NOT any_post)),
+ l AS (SELECT *, CASE WHEN head <> '' AND body <> '' THEN head || ' - ' || body ELSE head || body END AS line FROM t)
+ SELECT search, CAST(count(*) FILTER (WHERE line <> '') AS BIGINT) AS n_snippets, arg_min(coalesce(url, '?'), n) AS first_url, substr(coalesce(string_agg('[Post snippet]: ' || line, chr(10) ORDER BY n) FILTER (WHERE line <> ''), ''), 1, 1000) AS context FROM l GROUP BY search""")
 def _(f: Frames) -> DataFrame:
-    """No post URL among the test rows: the first three of each query stand in, as the rule says."""
-    first = f.observations.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("seq"))).where("n <= 3")
-    return first.groupBy("query").agg(F.count("*").alias("n_snippets"), F.min("seq").alias("first_seq"))
+    results = f.observations.select(F.expr(_SEARCH).alias("search"), "seq", F.expr(_POST_URL).alias("url"), F.when(C("seq") % 5 == 0, F.concat("title", F.lit(" | LinkedIn"))).otherwise(C("title")).alias("title"), "content")
+    return G.post_snippets(results, "search").withColumn("first_url", F.coalesce("first_url", F.lit("?")))

@@ -8,44 +8,105 @@ from pyspark.sql import functions as F
 from briarlake.functions import text as T
 from briarlake.operators import records as R
 from briarlake.operators import store as W
+from briarlake.operators import upserts as U
+from briarlake.operators.versions import Tables, VersionedStore
 from briarlake.queries import sql as S
 from briarlake.registry import Frames, query
 from briarlake.scratch import Scratch
 
 C = F.col
-_STORED = f"stored AS (SELECT id, revision, nullif({S.identity('url')}, '') AS identity, stage AS value FROM leads WHERE id % 3 <> 0)"
-_INCOMING = f"incoming AS (SELECT id, CASE WHEN id % 7 = 0 THEN revision + 1 ELSE revision END AS revision, nullif({S.identity('url')}, '') AS identity, 'NURTURE' AS value, id AS seq FROM leads WHERE id % 2 = 0)"
-_UPSERT = f"""WITH {_STORED}, {_INCOMING}, h AS (SELECT identity, min(id) AS holder FROM stored WHERE identity IS NOT NULL GROUP BY 1), f AS (SELECT identity, arg_min(id, (seq, id)) AS first FROM incoming WHERE identity IS NOT NULL GROUP BY 1),
- j AS (SELECT i.*, s.id AS sid, s.revision AS srev, s.value AS sval, CASE WHEN (holder IS NOT NULL AND holder <> i.id) OR (holder IS NULL AND first IS NOT NULL AND first <> i.id) THEN 'duplicate' WHEN s.id IS NOT NULL AND i.revision <> s.revision THEN 'conflict' WHEN s.id IS NULL THEN 'created' ELSE 'updated' END AS disposition
-  FROM incoming i LEFT JOIN stored s ON s.id = i.id LEFT JOIN h ON h.identity = i.identity LEFT JOIN f ON f.identity = i.identity)"""
+_IDENTITY = f"nullif({S.identity('url')}, '')"
+_STORED = f"stored AS (SELECT id, revision, {_IDENTITY} AS identity, stage AS value FROM leads WHERE id % 3 <> 0)"
+#: Even ids come in, a seventh of them stale; later each tenth moves to a shared identity or to none, and each fifth comes again without asking for a revision.
+_INCOMING = f"""incoming AS (SELECT 2 * id AS seq, id, CASE WHEN id % 7 = 0 THEN revision + 1 ELSE revision END AS revision, {_IDENTITY} AS identity, 'NURTURE' AS value FROM leads WHERE id % 2 = 0
+ UNION ALL SELECT 2 * id + 41, id, NULL, CASE WHEN id % 4 <> 0 THEN 'linkedin:moved-' || id % 50 END, 'REPLIED' FROM leads WHERE id % 10 = 0 UNION ALL SELECT 2 * id + 103, id, NULL, {_IDENTITY}, 'LOST' FROM leads WHERE id % 5 = 1)"""
 
 
-def upserted(f: Frames) -> DataFrame:
+def _upsert_sql(missing: str = "false") -> str:
+    """The batch row by row: `s` is the store, a list of leads with the identity that each holds."""
+    return f"""WITH RECURSIVE {_STORED}, {_INCOMING}, h AS (SELECT identity, min(id) AS holder FROM stored WHERE identity IS NOT NULL GROUP BY 1), r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM incoming),
+ w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS id, '' AS disposition, NULL::BIGINT AS holder, list({{'id': id, 'rev': revision, 'key': CASE WHEN holder = id THEN stored.identity END}}) AS s FROM stored LEFT JOIN h ON h.identity = stored.identity UNION ALL
+ SELECT n, seq, id, disposition, CASE WHEN disposition = 'duplicate' THEN owner END, CASE WHEN disposition IN ('created', 'updated') THEN list_append(list_filter(s, lambda x: x.id <> id), {{'id': id, 'rev': coalesce(cur.rev, 0) + 1, 'key': identity}}) ELSE s END FROM
+ (SELECT *, CASE WHEN {missing} AND cur IS NULL THEN 'missing' WHEN owner IS NOT NULL AND owner <> id THEN 'duplicate' WHEN cur IS NOT NULL AND revision IS NOT NULL AND revision <> cur.rev THEN 'conflict' WHEN cur IS NULL THEN 'created' ELSE 'updated' END AS disposition FROM
+ (SELECT r.*, w.s, list_filter(w.s, lambda x: x.id = r.id)[1] AS cur, list_filter(w.s, lambda x: x.key = r.identity)[1].id AS owner FROM w JOIN r ON r.n = w.n + 1)))"""
+
+
+def _batch(f: Frames) -> tuple[DataFrame, DataFrame]:
+    """What is stored and what comes in."""
     rows = f.leads.select("id", "revision", F.nullif(T.profile_identity(C("url")), F.lit("")).alias("identity"), C("stage").alias("value"))
-    incoming = rows.where("id % 2 = 0").select("id", F.when(C("id") % 7 == 0, C("revision") + 1).otherwise(C("revision")).alias("revision"), "identity", F.lit("NURTURE").alias("value"), C("id").alias("seq"))
-    return W.upsert(rows.where("id % 3 <> 0"), incoming)
+    row = lambda seq, revision, identity, value: [seq.alias("seq"), "id", revision.cast("long").alias("revision"), identity.alias("identity"), F.lit(value).alias("value")]
+    expected = F.when(C("id") % 7 == 0, C("revision") + 1).otherwise(C("revision"))
+    moved = F.when(C("id") % 4 != 0, F.concat(F.lit("linkedin:moved-"), (C("id") % 50).cast("string")))
+    first = rows.where("id % 2 = 0").select(*row(C("id") * 2, expected, C("identity"), "NURTURE"))
+    second = rows.where("id % 10 = 0").select(*row(C("id") * 2 + 41, F.lit(None), moved, "REPLIED"))
+    third = rows.where("id % 5 = 1").select(*row(C("id") * 2 + 103, F.lit(None), C("identity"), "LOST"))
+    return rows.where("id % 3 <> 0"), first.unionByName(second).unionByName(third)
+
+
+def upserted(f: Frames, **how: bool) -> DataFrame:
+    return U.bulk_upsert(*_batch(f), Scratch(f.spark, "upsert"), **how)[0]
 
 
-@query("l01_optimistic_upsert", f"""{_UPSERT} SELECT id, CASE WHEN disposition IN ('created', 'updated') THEN coalesce(srev, 0) + 1 ELSE coalesce(srev, 0) END AS revision, CASE WHEN disposition IN ('created', 'updated') THEN value ELSE sval END AS value, disposition FROM j
- UNION ALL SELECT id, revision, value, 'kept' FROM stored WHERE id NOT IN (SELECT id FROM incoming)""")
+@query("l01_optimistic_upsert", f"{_upsert_sql()} SELECT seq, id, disposition, holder FROM w WHERE n > 0")
 def _(f: Frames) -> DataFrame:
-    """A18, A19 and A36 too: the result table of an upsert with identity guard and revisions, whole batch at once."""
+    """What becomes of each row of a batch that is taken row by row: revisions, identity guard, release of identities."""
     return upserted(f)
 
 
-@query("a20_replace_all", f"SELECT id, CAST(row_number() OVER (PARTITION BY {S.dedupe('full_name')} ORDER BY id) AS BIGINT) = 1 AS owns_name FROM leads WHERE id % 2 = 1")
+@query("a18_existing_only", f"{_upsert_sql('true')} SELECT seq, id, disposition, holder FROM w WHERE n > 0")
+def _(f: Frames) -> DataFrame:
+    """A36 too: the batch where every lead must be stored already."""
+    return upserted(f, require_existing=True)
+
+
+@query("a19_bulk_upsert", f"""{_upsert_sql()}, done AS (SELECT id, count(*) AS n, arg_max(seq, seq) AS seq FROM w WHERE disposition IN ('created', 'updated') GROUP BY id), new AS (SELECT done.id, done.n, incoming.identity, incoming.value FROM done JOIN incoming ON incoming.seq = done.seq)
+ SELECT coalesce(s.id, new.id) AS id, coalesce(s.revision, 0) + coalesce(new.n, 0) AS revision, CASE WHEN new.id IS NULL THEN s.identity ELSE new.identity END AS identity, coalesce(new.value, s.value) AS value FROM stored s FULL JOIN new ON new.id = s.id""")
+def _(f: Frames) -> DataFrame:
+    """The table after the batch, committed as a new version and read back."""
+    scratch = Scratch(f.spark, "bulk")
+    store = VersionedStore(f.spark, f"{scratch.base}/store")
+    stored, incoming = _batch(f)
+    store.commit({"leads": stored})
+
+    def written(tables: Tables) -> Tables:
+        leads = U.bulk_upsert(tables["leads"], incoming, scratch)[1]
+        return {"leads": U.written_leads(tables["leads"], incoming, leads, ["value"])}
+
+    store.update(written)
+    return store.read("leads")
+
+
+@query("a20_replace_all", f"WITH o AS (SELECT id, revision, stage, {_IDENTITY} AS identity FROM leads) SELECT id, CASE WHEN revision > 0 THEN revision ELSE 1 END AS revision, stage, CASE WHEN identity IS NOT NULL THEN min(id) OVER (PARTITION BY identity) END AS owner, coalesce(id <> CASE WHEN identity IS NOT NULL THEN min(id) OVER (PARTITION BY identity) END, false) AS in_conflict FROM o")
 def _(f: Frames) -> DataFrame:
-    """The new rows alone, with identities owned anew."""
-    new = f.leads.where("id % 2 = 1").select("id", T.dedupe_value(C("full_name")).alias("k"))
-    owner = new.groupBy(C("k").alias("_k")).agg(F.min("id").alias("owner"))
-    return new.join(owner, C("k") == C("_k")).select("id", (C("id") == C("owner")).alias("owns_name"))
+    """All leads replace what was stored: three tables in one commit, read back."""
+    leads = f.leads.select("id", "revision", "stage", F.nullif(T.profile_identity(C("url")), F.lit("")).alias("identity"))
+    store = VersionedStore(f.spark, f"{Scratch(f.spark, 'replace').base}/store")
+    store.commit(W.replaced(leads.where("id % 2 = 0")))
+    store.update(lambda _: W.replaced(leads))
+    owners = store.read("identities").select(C("identity").alias("k"), C("lead_id").alias("owner"))
+    conflicts = store.read("conflicts").select(C("duplicate_id").alias("d"))
+    joined = store.read("leads").join(owners, C("identity") == C("k"), "left").join(conflicts, C("id") == C("d"), "left")
+    return joined.select("id", "revision", "stage", "owner", C("d").isNotNull().alias("in_conflict"))
 
 
-@query("a23_checkpoint_round_trip", "SELECT session_id, status, CAST(json_extract_string(checkpoint_json, '$.round') AS BIGINT) AS round FROM sessions")
+_ROUND = "CAST(json_extract_string(checkpoint_json, '$.round') AS BIGINT)"
+
+
+@query("a23_checkpoint_round_trip", f"SELECT session_id, CASE WHEN status = 'running' THEN 'interrupted' ELSE status END AS status, {_ROUND} + CASE WHEN status = 'running' THEN 1 ELSE 0 END AS round, {_ROUND} AS round_before FROM sessions")
 def _(f: Frames) -> DataFrame:
-    saved = f.sessions.select("session_id", F.to_json(F.struct("status", "checkpoint_json")).alias("snapshot"))
-    back = F.from_json("snapshot", "status string, checkpoint_json string")
-    return saved.select("session_id", back["status"].alias("status"), F.from_json(back["checkpoint_json"], "round long")["round"].alias("round"))
+    """Checkpoints are stored, running sessions advance a round and are stored again; both versions are read back."""
+    round_ = F.get_json_object("checkpoint_json", "$.round").cast("long")
+    store = VersionedStore(f.spark, f"{Scratch(f.spark, 'checkpoints').base}/store")
+    first = store.commit({"sessions": f.sessions.select("session_id", "status", "checkpoint_json")})
+
+    def advanced(tables: Tables) -> Tables:
+        running = C("status") == "running"
+        checkpoint = F.when(running & round_.isNotNull(), F.to_json(F.struct((round_ + 1).alias("round")))).otherwise(C("checkpoint_json"))
+        return {"sessions": tables["sessions"].select("session_id", F.when(running, "interrupted").otherwise(C("status")).alias("status"), checkpoint.alias("checkpoint_json"))}
+
+    second = store.update(advanced)
+    before = store.read("sessions", first).select(C("session_id").alias("sid"), round_.alias("round_before"))
+    return store.read("sessions", second).join(before, C("session_id") == C("sid")).select("session_id", "status", round_.alias("round"), "round_before")
 
 
 @query("l03_stage_audit", "SELECT id, stage AS from_stage, 'LOST' AS to_stage FROM leads WHERE id % 5 = 0 AND stage <> 'LOST'")
@@ -56,8 +117,12 @@ def _(f: Frames) -> DataFrame:
 
 @query("l04_session_upsert", "SELECT session_id, CASE WHEN session_id % 4 = 1 THEN 'running' ELSE status END AS status, CASE WHEN session_id % 8 = 1 THEN 'new' ELSE checkpoint_json END AS checkpoint_json FROM sessions")
 def _(f: Frames) -> DataFrame:
+    """Stored sessions meet a batch of updates in a new version, which is read back."""
     updates = f.sessions.where("session_id % 4 = 1").select("session_id", F.lit("running").alias("status"), F.when(C("session_id") % 8 == 1, "new").alias("checkpoint_json"))
-    return W.merged_sessions(f.sessions, updates)
+    store = VersionedStore(f.spark, f"{Scratch(f.spark, 'sessions').base}/store")
+    store.commit({"sessions": f.sessions})
+    store.update(lambda tables: {"sessions": W.merged_sessions(tables["sessions"], updates)})
+    return store.read("sessions")
 
 
 _MESSAGES = ("HTTP 401 from target", "Quota used up", "zone x not found", "status 400: bad", "socket hang up", "request timed out", "captcha shown", "odd failure")
@@ -83,8 +148,8 @@ def _(f: Frames) -> DataFrame:
     return f.trace_events.select("event_id", kind.alias("failure"), W.backoff_ms(kind, C("event_id") % 3 + 1).alias("delay_ms"))
 
 
-@query("d22_dispositions", f"""{_UPSERT} SELECT CAST(count(*) FILTER (WHERE disposition = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (WHERE disposition = 'updated') AS BIGINT) AS updated,
- CAST(count(*) FILTER (WHERE disposition = 'duplicate') AS BIGINT) AS duplicates, CAST(count(*) FILTER (WHERE disposition = 'conflict') AS BIGINT) AS conflicts FROM j""")
+@query("d22_dispositions", f"""{_upsert_sql()} SELECT CAST(count(*) FILTER (WHERE disposition = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (WHERE disposition = 'updated') AS BIGINT) AS updated,
+ CAST(count(*) FILTER (WHERE disposition = 'duplicate') AS BIGINT) AS duplicates, CAST(count(*) FILTER (WHERE disposition = 'conflict') AS BIGINT) AS conflicts FROM w WHERE n > 0""")
 def _(f: Frames) -> DataFrame:
     """What an upsert did with its batch."""
     kind = C("disposition")

@@ -1,4 +1,4 @@
-"""Structured Streaming over the event feed: deltas, duplicate suppression, session state, windows."""
+"""Structured Streaming over the event feed: deltas, duplicate suppression, windows; `sessions` has the state of sessions and the live feed."""
 
 from __future__ import annotations
 
@@ -46,12 +46,6 @@ def day_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")).select(F.col("w.start").alias("day"), "event_type", "n", "total")
 
 
-def session_fold(stream: DataFrame) -> DataFrame:
-    """Running state per user: events seen, last event, status; built-in state, so only changed users are written each micro-batch."""
-    status = F.when(F.bool_or(F.col("event_type") == "error"), "error").otherwise("running")
-    return stream.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"), status.alias("status"))
-
-
 def deltas(stream: DataFrame, scratch: Scratch) -> list[int]:
     """Rows of each micro-batch of what is there now: what a live view is sent per tick."""
     sent: dict[int, int] = {}

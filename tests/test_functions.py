@@ -120,13 +120,6 @@ def test_reservations(spark):
     assert tuple(telemetry.capped_reservations(rows, "s", "o", "u", 6).first())[1:] == (6, 3, 1)
 
 
-def test_upsert_dispositions(spark):
-    stored = spark.createDataFrame([(1, 2, "k1", "a"), (2, 5, "k2", "b")], "id long, revision long, identity string, value string")
-    incoming = spark.createDataFrame([(1, 2, "k1", "new", 1), (2, 4, "k2", "old", 2), (3, 0, "k1", "dup", 3), (4, 0, "k9", "made", 4), (5, 0, "k9", "later", 5)], "id long, revision long, identity string, value string, seq long")
-    got = {r.id: (r.revision, r.value, r.disposition) for r in store.upsert(stored, incoming).collect()}
-    assert got == {1: (3, "new", "updated"), 2: (5, "b", "conflict"), 3: (0, None, "duplicate"), 4: (1, "made", "created"), 5: (0, None, "duplicate")}
-
-
 def test_failures(spark):
     texts = {"HTTP 403": "provider_auth", "quota": "provider_quota", "read ECONNRESET": "transport_transient", "status: 503": "target_transient", "what": "unknown"}
     for text, want in texts.items():

@@ -213,3 +213,59 @@ def test_diversified_selection_of_the_table(spark):
     rows = catalog.QUERIES["k19_diversified_selection"](spark, SMALL).orderBy("position").collect()
     front = sorted(r.id for r in catalog.QUERIES["k16_candidate_skyline"](spark, SMALL).collect())[:6]
     assert [r.id for r in rows][: len(front)] == front and [r.position for r in rows] == list(range(1, 21)) and len({r.id for r in rows}) == 20
+
+
+def test_a_skyline_without_dominance_is_no_single_task(spark):
+    """All points are on the front; repeats, one cell and many, NaN."""
+    draw = np.random.default_rng(3)
+    a = draw.random((20_000, 3))
+    points = np.c_[a, 3 - a.sum(axis=1)]
+    rows = [(k, *map(float, p)) for k, p in enumerate(points)] + [(50_000 + k, *map(float, points[k])) for k in range(5)] + [(60_000, float("nan"), 9.0, 9.0, 9.0), (60_001, None, 9.0, 9.0, 9.0)]
+    got = {r.id for r in matching.skyline(spark.createDataFrame(rows, "id long, a double, b double, c double, d double"), "id", list("abcd"), cell=1024, strong=64).collect()}
+    assert got == {r[0] for r in rows} - {60_001}
+
+
+@pytest.mark.parametrize("cell", [4, 50, 10_000])
+def test_skylines_of_any_cell_size(spark, cell):
+    draw = random.Random(cell)
+    rows = [(k, float(draw.randrange(12)), float(draw.randrange(12)) - (k % 3) * 2, float(draw.randrange(4)), 1.0) for k in range(600)]
+    got = {r.id for r in matching.skyline(spark.createDataFrame(rows, "id long, a double, b double, c double, d double"), "id", list("abcd"), cell=cell, strong=3).collect()}
+    beats = lambda x, y: all(p >= q for p, q in zip(x[1:], y[1:])) and x[1:] != y[1:]
+    assert got == {y[0] for y in rows if not any(beats(x, y) for x in rows)}
+
+
+def test_an_affine_fold_of_a_hot_group_is_split(spark):
+    draw = random.Random(6)
+    rows = [(1, k, float(draw.randrange(10))) for k in range(5000)] + [(2, 0, 4.0)] + [(3, k, float(k)) for k in range(9)]
+    want = {}
+    for g, _, v in rows:
+        want[g] = want[g] + (v - want[g]) / 3 if g in want else v
+    got = {r.g: r.last for r in order.affine_last(spark.createDataFrame(rows, "g long, o long, v double").repartition(5), "g", ["o"], "v", 1 / 3, Scratch(spark, "t")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def test_marginal_relevance_past_its_bound_takes_passes(spark):
+    rows = [(k, 9.0 - (k % 50) / 100, "Beacon" if k % 2 else f"Beacon {k}", "Oslo") for k in range(300)] + [(900, 6.6, "Quartz Systems", "Rome"), (901, 5.0, "Other Things", "Rome")]
+    frame = spark.createDataFrame(rows, "id long, rank double, company string, location string")
+    whole = [r.id for r in selection.mmr(frame, 6).orderBy("position").collect()]
+    assert 900 in whole
+    for most in (1, 7, 40, 301):
+        assert [r.id for r in selection.mmr(frame, 6, most=most).orderBy("position").collect()] == whole
+
+
+def test_draws_have_their_distribution(spark):
+    from briarlake.functions.sampling import beta_sql, gamma_sql
+    from pyspark.sql import functions as F
+
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("key"), F.lit(2.5).alias("a"), F.lit(0.6).alias("b"))
+    found = keys.select(F.expr(gamma_sql("key", "x", "a")).alias("g"), F.expr(gamma_sql("key", "y", "b")).alias("h"), F.expr(beta_sql("key", "a", "b")).alias("p")).collect()
+    for name, mean, var in (("g", 2.5, 2.5), ("h", 0.6, 0.6), ("p", 2.5 / 3.1, 2.5 * 0.6 / (3.1**2 * 4.1))):
+        values = np.array([r[name] for r in found])
+        assert abs(values.mean() - mean) < 5 * (var / 4000) ** 0.5 and abs(values.var() / var - 1) < 0.2 and (values > 0).all()
+
+
+def test_rescues_by_group(spark):
+    rows = [("a", k, k < 3, float(k), f"u{k}") for k in range(8)] + [("b", k, True, 1.0, None) for k in range(9)] + [("c", 1, False, 2.0, "x"), ("c", 2, False, 2.0, None), (None, 5, False, 1.0, "u")]
+    got = packing.rescued(spark.createDataFrame(rows, "g string, id long, qualified boolean, rank double, url string"), "g", 5, 0.3).collect()
+    want = {("a", k, "qualified") for k in range(3)} | {("a", 7, "rescued"), ("a", 6, "rescued")} | {("b", k, "qualified") for k in range(9)} | {("c", 1, "rescued"), ("c", 2, "rescued"), (None, 5, "rescued")}
+    assert {(r.g, r.id, r.verdict) for r in got} == want
