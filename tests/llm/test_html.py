@@ -123,6 +123,70 @@ def test_whole_articles(page, text):
     assert main_text(page) == text
 
 
+ARTICLE = f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>"
+TEXT = f"T\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>t</title><meta charset=utf-8><body>{ARTICLE}</body></html>", TEXT),
+        (f"<html><head><title>t</title>{ARTICLE}", TEXT),
+        (f"<head><title>t</title>{LONG}", LONG),
+        (f"<head><noscript><link rel=x></noscript><meta name=y>\n{ARTICLE}", TEXT),
+        (f"<body><select><option>EN<option>DE</select>{ARTICLE}", TEXT),
+        (f"<body><select><optgroup><option>EN<optgroup><option>DE{ARTICLE}", TEXT),
+        (f"<body><noscript><p>Enable JS</noscript>{ARTICLE}", TEXT),
+        (f"<body><button><p>x</button>{ARTICLE}", TEXT),
+        (f"<body><button>x<button>y</button>{ARTICLE}", TEXT),
+    ],
+)
+def test_omitted_end_tags_lose_no_page(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body>{ARTICLE}<article><h1>U</h1><p>{LONG}</p></article>", f"{TEXT}\nU\n{LONG}"),
+        (f"<body><div class=post>{f'<p>{LONG}</p>' * 4}</div><div class=post><p>Short one here.</p></div>", "\n".join([LONG] * 4) + "\nShort one here."),
+        (f"<body><h1>Head</h1><div><p>{LONG}</p><p>{LONG}</p></div><div><a href=x>l</a> <a href=y>m</a></div>", f"Head\n{LONG}\n{LONG}"),
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><h1>After</h1>", f"{LONG}\n{LONG}"),
+        (f"<body>{ARTICLE[:-10]}<div class='advertisement-label'>Advertisement</div><div class='cookie-banner-text'>We use cookies</div><div class='share-buttons'>Share</div><div class='related-posts'>Read this too</div></article>", TEXT),
+        (f"<body>{ARTICLE}<div>© 2024 Me</div>", TEXT),
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div>Copyright 2024 by me</div>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_all_articles_and_headlines_and_no_labels(page, text):
+    assert main_text(page) == text
+
+
+OPTIONAL = re.compile(r"</(?:p|li|dd|dt|tr|td|th|tbody|thead|option|optgroup|head|body|html)>\s*(?=<(?!/?(?:b|i|a|em|span|br|script|!)\b)|$)", re.IGNORECASE)
+
+
+def test_pages_without_optional_end_tags_give_the_same_text(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").where("html IS NOT NULL").collect()]
+    draw, changed = random.Random(8), 0
+    for page in pages:
+        bare = OPTIONAL.sub(lambda m: "" if draw.random() < 0.7 else m[0], page)
+        changed += bare != page
+        assert main_text(bare) == main_text(page)
+    assert changed > 0.9 * len(pages)
+
+
+def test_density_changes_the_shipped_result(spark, monkeypatch):
+    """Lists of links in plain divs, without a name or an article element: only densities tell them from text."""
+    from briarlake.llm import html as module
+
+    menu = "<div>" + "".join(f"<div><a href=/{k}>Link number {k}</a></div>" for k in range(12)) + "</div>"
+    pages = [re.search(r"<article>(.*?)</article>", r.html, re.S) for r in spark.read.parquet(f"{brute.SMALL}/pages.parquet").select("html").where("html IS NOT NULL").collect()]
+    bodies = [f"<body>{menu}<div>{m[1]}</div>{menu}</body>" for m in pages if m]
+    shipped = [main_text(b) for b in bodies]
+    assert sum("Link number" not in x and len(x) > 0 for x in shipped) >= 0.95 * len(bodies)
+    monkeypatch.setattr(module, "choose", lambda root: {id(root)})
+    assert all("Link number" in main_text(b) for b in bodies)
+
+
 @pytest.mark.parametrize("page", ["<span>" * 20000 + "text" + "</b>" * 20000, "<b><div>" + "<span>" * 20000 + "text" + "</b>" * 20000, "<p><b>" * 20000 + "text"])
 def test_linear_time(page):
     began = time.time()
