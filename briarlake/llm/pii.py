@@ -13,13 +13,18 @@ P^-1(P(x) + k mod n) with a keyed k between 1 and n - 1.
 All kinds are found in the text as it came, none within another: an address
 before a secret, then account number (IBAN), IPv6 address and other numbers.
 What is linked: e-mail local parts that differ in case only; a North American
-number with or without +1 or 1; a national number with or without brackets; an
-IPv6 address in short or full form; a card number in any grouping.
+number with or without +1 or 1; a national number with or without brackets; a
+number with or without (0) after its country code; an IPv6 address in short or
+full form; a card number in any grouping; an IBAN in one piece or in groups.
+
+Numbers beside each other stay apart: a phone number after a + or a trunk 0 has
+the digits of its country's plan at most, and whole groups. Where a plan leaves the
+length open (Germany's 8 to 11), a group that fits counts as part of the number.
 
 Numbers of 16 digits are accounts whatever their check digit: account numbers of
 the corpora have none, and a miss would be a leak. The distance from the check
 digit stays. Other lengths of 13 to 19 digits need a valid check digit and an
-issuer's first digits.
+issuer's first digits; what has their shape but is none is left whole.
 
 Defined results: a null text stays null; texts without such values come back as
 they are, byte for byte; values are found in whole texts; each occurrence counts;
@@ -156,16 +161,80 @@ def _north_american(move: Move, digits: str) -> str:
             return digits
 
 
+#: Fewest and most digits of a number after its country code, by the countries' plans; 7 and 12 for others.
+_PLANS = {
+    "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (8, 11), "40": (9, 9), "41": (9, 9), "43": (8, 12), "44": (9, 10), "45": (8, 8), "46": (8, 9), "47": (8, 8), "48": (9, 9), "49": (8, 11),
+    "52": (10, 10), "54": (10, 11), "55": (10, 11), "57": (8, 10), "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "98": (10, 10),
+    "351": (9, 9), "352": (8, 9), "353": (8, 9), "358": (8, 10), "359": (8, 9), "370": (8, 8), "371": (8, 8), "372": (7, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9), "852": (8, 8), "886": (8, 9), "966": (8, 9), "971": (8, 9), "972": (8, 9),
+}
+#: Of a national number, with its trunk 0; of one written in pairs throughout.
+_NATIONAL, _PAIRS = (9, 11), 10
+_GROUP = re.compile(r"( ?/ ?| - | ?\(|[ .-]?)(\d+)(\)?)", re.ASCII)
+_AFTER = re.compile(r"(?![\w/@]|[.-]\d)(?!(?::[0-9A-Fa-f]{1,4}){0,6}::|(?::[0-9A-Fa-f]{1,4}){7})", re.ASCII)
+
+
+def _code(digits: str) -> str:
+    """The country code in front of digits; none if there is none."""
+    return digits[:1] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in _TWO else digits[:3] if digits[:2] in _THREE else ""
+
+
+def _phone_end(text: str, start: int, limit: int) -> int | None:
+    """Where the number that begins at `start`, with + or a trunk 0, ends; None if none does.
+
+    A number is made of whole groups and of no more digits than its plan has, so
+    what stands beside it is left to itself. Past the fewest digits a group of
+    one or two belongs to it only if the group before is as long. Of the ends
+    that remain the last counts. Only lengths, the code and the 0 decide, which
+    pseudonyms keep.
+    """
+    groups, at = [], start
+    if text[start] == "+":
+        head = re.compile(r"\+(\d+)").match(text, start, limit)
+        code = _code(head[1]) if head else ""
+        if not code or code == "1":
+            return None
+        least, most = _PLANS.get(code, (7, 12))
+        at = start + 1 + len(code)
+        trunk = re.compile(r" ?\(0\)").match(text, at, limit)
+        at = trunk.end() if trunk else at
+    else:
+        least, most = _NATIONAL
+    used, pairs, ends, slash = 0, True, [], 0
+    while (m := _GROUP.match(text, at, limit)) and m.end() > at:
+        mark, digits = m[1].strip(), m[2]
+        if mark == "(" and len(groups) > 0 or (mark == "(") != bool(m[3]) or m[1] == "" and groups and not m[3] and text[at - 1] != ")":
+            break
+        slash += mark == "/" or m[1] == " - "
+        if slash > 1 or slash and len(groups) > 1 and (mark == "/" or m[1] == " - "):
+            break
+        if used >= least and len(digits) < 3 and groups and len(digits) != groups[-1]:
+            break
+        used += len(digits)
+        if used > most:
+            break
+        groups.append(len(digits))
+        pairs = pairs and len(digits) == 2
+        at = m.end()
+        if used >= least and _AFTER.match(text, at) and (text[start] == "+" or not pairs or used == _PAIRS):
+            ends.append(at)
+        if pairs and text[start] != "+" and used >= _PAIRS:
+            break
+    return ends[-1] if ends else None
+
+
 def _phone(move: Move, value: str) -> str | None:
-    """The country code after a + and the trunk 0 of a national number stay."""
+    """The country code after a + and the trunk 0 of a national number stay, and so does a (0) after the code."""
     digits = _digits(value)
     if value[0] == "+":
-        code = digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in _TWO else digits[:3] if digits[:2] in _THREE else ""
+        code = _code(digits)
         rest = digits[len(code) :]
         if not code or not 8 <= len(digits) <= 15 or code == "1" and len(rest) != 10:
             return None
+        trunk = re.match(rf"\+{code} ?\(0\)", value)
+        if trunk:
+            return trunk[0] + _refill(value[trunk.end() :], _number(move, f"phone{code}:", rest[1:]))
         return _refill(value, code + (_north_american(move, rest) if code == "1" else _number(move, f"phone{code}:", rest)))
-    if digits[0] == "0" and (value[0] == "(" or _TRUNK.fullmatch(value)):
+    if digits[0] == "0" and (value[0] == "(" or _phone_end(value, 0, len(value)) == len(value)):
         return _refill(value, "0" + _number(move, "phone", digits[1:]))
     if len(digits) == 10 or len(digits) == 11 and digits[0] == "1":
         return _refill(value, digits[:-10] + _north_american(move, digits[-10:]))
@@ -340,7 +409,19 @@ def _email(move: Move, value: str) -> str | None:
     return moved and f"{moved}@{domain}"
 
 
+#: Letters and digits of an IBAN by country.
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+    "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
 def _iban(move: Move, value: str) -> str | None:
+    """In one piece or in printed groups of four, with the same pseudonym."""
+    if " " in value:
+        plain = _iban(move, value.replace(" ", ""))
+        return plain and " ".join(plain[k : k + 4] for k in range(0, len(plain), 4))
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
     if number(value[4:] + value[:4]) % 97 != 1:
         return None
@@ -348,6 +429,13 @@ def _iban(move: Move, value: str) -> str | None:
     return f"{value[:2]}{98 - number(moved + value[:2] + '00') % 97:02d}{moved}"
 
 
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the grouped IBAN ends that begins at `start`: after as many signs as its country's have."""
+    length = _IBAN_LENGTHS.get(text[start : start + 2], 0)
+    last = start + length + (length - 1) // 4
+    return last if length and last <= end and (last == len(text) or not text[last].isalnum()) else None
+
+
 def _secret(move: Move, value: str) -> str:
     """Hexadecimal keys, in capitals if they have no small letter."""
     moved = f"{move(f'secret{len(value)}', 1 << 4 * len(value), int(value, 16)):0{len(value)}x}"
@@ -369,21 +457,21 @@ def _marks() -> str:
 
 _LOCAL = rf"\w{_marks()}.%+-"
 _EMAIL = re.compile(rf"(?<![{_LOCAL}])[{_LOCAL}]+@(?:[\w-]+\.)+[^\W\d_]{{2,}}(?![A-Za-z0-9_-])")
-_TRUNK = re.compile(r"0\d(?:(?:(?: ?[/-] ?| )?\d){7,10}|(?:\.?\d){7,10})", re.ASCII)
 _NUMBERS = re.compile(
-    r"(?<![\w.-])(?:"
+    r"(?<![\w.-])(?:(?:"
     r"(?P<day>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4}|\d\d?-\d\d?-\d{4})"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
     r"|(?P<account>\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{4,5})"
-    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+[2-9](?:(?:[ -]?\(?\d\)?){7,14}|(?:\.?\d){7,14})|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:1[ .-])?\d{3}(?P<u>[ .-])\d{3}(?P=u)\d{4}"
-    r"|1?[2-9]\d\d[2-9]\d{6}|0\d(?:(?:(?: ?[/-] ?| )?\d){7,10}|(?:\.?\d){7,10})(?![/@]|\d))"
-    r")(?:(?![\w]|[.-]\d)|(?=[Tt]\d\d:?\d\d))(?!(?::[0-9A-Fa-f]{1,4}){0,6}::|(?::[0-9A-Fa-f]{1,4}){7})",  # not an IPv6 address's first group
+    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:1[ .-])?\d{3}(?P<u>[ .-])\d{3}(?P=u)\d{4}"
+    r"|1?[2-9]\d\d[2-9]\d{6})"
+    r")(?:(?![\w]|[.-]\d)|(?=[Tt]\d\d:?\d\d))(?!(?::[0-9A-Fa-f]{1,4}){0,6}::|(?::[0-9A-Fa-f]{1,4}){7})"  # not an IPv6 address's first group
+    r"|(?P<run>\+[2-9]\d|0\d))",
     re.ASCII,
 )
 _MAYBE = re.compile(r"\d[\d().+/ -]{6}")
 _IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:])")
-_IBAN = re.compile(r"\b[A-Z]{2}\d\d[A-Z0-9]{11,30}\b")
+_IBAN = re.compile(r"\b[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}\b|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3}\b)?)")
 _SECRET = re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)[\"']?\s*[:=]\s*[\"']?)\b([0-9a-f]{32,128}|[0-9A-F]{32,128})\b")
 _HEX = re.compile(r"[0-9a-fA-F]{32}")
 _BY_KIND = {"email": _email, "secret": _secret, "iban": _iban, "ip6": _ip6, "day": _day, "ssn": _ssn, "ip": _ip, "account": _account, "phone": _phone}
@@ -409,13 +497,22 @@ def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
             continue
         ends = [0, *(x for a, b, *_ in spans for x in (a, b)), len(text)]
         for a, b in zip(ends[::2], ends[1::2], strict=True):  # the gaps between what is found
-            for m in pattern.finditer(text, a, b):
-                name = kind or next(k for k in ("day", "ssn", "ip", "account", "phone") if m[k] is not None)
-                place = group if group is not None else name
-                if m.end() == b < len(text) or 0 < a == m.start():
+            at = a
+            while m := pattern.search(text, at, b):
+                name = kind or next(k for k in ("day", "ssn", "ip", "account", "phone", "run") if m[k] is not None)
+                first, last = m.span(group if group is not None else name)
+                at = m.end()
+                if name == "run":
+                    end = _phone_end(text, first, b)
+                    if end is None:
+                        continue
+                    name, last, at = "phone", end, end
+                elif name == "iban" and " " in m[0]:
+                    last = at = _iban_end(text, first, m.end()) or m.end()
+                if at == b < len(text) or 0 < a == m.start():
                     continue  # touches another value: what it is depends on that
-                if (made := _BY_KIND[name](move, m[place])) is not None:
-                    spans.append((m.start(place), m.end(place), name, made))
+                if (made := _BY_KIND[name](move, text[first:last])) is not None:
+                    spans.append((first, last, name, made))
         spans.sort()
     if not spans:
         return text, Counter()
