@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
+from briarlake.operators.order import partitions
+from briarlake.operators.records import every_pair
 from briarlake.scratch import Scratch
 
 
@@ -24,8 +26,10 @@ def first_match(rows: DataFrame, key: str, probes: str, known: DataFrame, value:
 def fuzzy_companies(left: DataFrame, left_name: str, right: DataFrame, right_name: str) -> DataFrame:
     """Pairs of equal normal names, equal compact names of eight letters or more, or a shared distinctive word.
 
-    Three equi-joins instead of comparing all pairs.
+    Equi-joins on these keys instead of comparing all pairs. Both sides are
+    written tables, so AQE can split the partition of a word that many share.
     """
+    scratch = Scratch(left.sparkSession, "companies")
 
     def keyed(names: DataFrame, name: str) -> DataFrame:
         norm = T.company_name(F.col(name))
@@ -36,7 +40,7 @@ def fuzzy_companies(left: DataFrame, left_name: str, right: DataFrame, right_nam
         )
         return names.where(norm != "").select(name, F.explode(keys).alias("_k"))
 
-    a, b = keyed(left, left_name), keyed(right, right_name).withColumnRenamed("_k", "_j")
+    a, b = scratch.keep(keyed(left, left_name)), scratch.keep(keyed(right, right_name).withColumnRenamed("_k", "_j"))
     return a.join(b, F.col("_k") == F.col("_j")).select(left_name, right_name).distinct()
 
 
@@ -197,6 +201,6 @@ def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 2048,
 def assessed(judgments: DataFrame, requirements: DataFrame) -> DataFrame:
     """(candidate_id, requirement_id, status) for every candidate and requirement; what is missing or odd is unknown."""
     first = judgments.groupBy(F.col("candidate_id").alias("_c"), F.col("requirement_id").alias("_r")).agg(F.min(F.struct("line_no", "status")).alias("_s")).select("_c", "_r", F.col("_s.status").alias("status"))
-    asked = judgments.select("candidate_id").distinct().crossJoin(F.broadcast(requirements))
+    asked = every_pair(judgments.select("candidate_id").distinct(), "candidate_id", requirements, partitions(judgments.sparkSession))
     joined = asked.join(first, (F.col("candidate_id") == F.col("_c")) & (F.col("requirement_id") == F.col("_r")), "left")
     return joined.select("candidate_id", "requirement_id", F.when(F.col("status").isin("pass", "fail"), F.col("status")).otherwise("unknown").alias("status"))

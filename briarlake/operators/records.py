@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
-from briarlake.operators.order import ranked
+from briarlake.operators.order import partitions, ranked
 from briarlake.scratch import Scratch
 
 # Fixed values.
@@ -122,22 +122,80 @@ def without_excluded(leads: DataFrame, columns: list[str], excluded: DataFrame,
     return leads.join(hit, F.col(key) == F.col("_id"), "left_anti")
 
 
-def requirement_matches(leads: DataFrame, requirements: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, requirement_id, matched): any of the requirement's terms in the lead's text.
+def every_pair(left: DataFrame, key: str, right: DataFrame, salts: int) -> DataFrame:
+    """Each row of `left` with each of `right`, as an equi-join over `salts` parts of the left rows: no nested loop, no hot part."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, F.col("_salt") == F.col("_part")).drop("_salt", "_part")
+
+
+def substring_hits(rows: DataFrame, key: str, body: Column, terms: DataFrame, term: str) -> DataFrame:
+    """(key, term) for each distinct term that the text contains, through an index of the terms' first three characters.
+
+    Texts give their distinct runs of that length, which meet the terms by
+    equality; what meets is checked in full. Terms of one or two characters are
+    indexed whole, an empty one is in every text.
+    """
+    known = terms.select(F.col(term).alias("_term")).where("_term IS NOT NULL").distinct().withColumn("_gram", F.substring("_term", 1, 3))
+    lengths = [r[0] for r in known.select(F.length("_gram")).distinct().collect()]  # 0 to 3
+    texts = rows.select(F.col(key).alias("_key"), body.alias("_body"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("_body") - (n - 1)), lambda k: F.substr(F.col("_body"), k, F.lit(n))) if n else F.array(F.lit(""))
+    grams = F.flatten(F.array(*[F.when(F.length("_body") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in lengths])) if lengths else F.array().cast("array<string>")
+    met = texts.select("_key", F.explode(F.array_distinct(grams)).alias("_run")).join(known, F.col("_run") == F.col("_gram")).select(F.col("_key").alias("_met"), "_term")
+    return met.join(texts, F.col("_met") == F.col("_key")).where(F.col("_body").contains(F.col("_term"))).select(F.col("_met").alias(key), F.col("_term").alias(term))
 
-    Requirements are a compiled brief of at most a few dozen terms.
+
+def whole_term_hits(rows: DataFrame, key: str, field: Column, terms: DataFrame, term: str, scope: str | None = None) -> DataFrame:
+    """(key, term, and scope if given) for each distinct term that stands in the text as whole words; both reduced to letters and digits.
+
+    `field` is the text, or with `scope` an array of (scope, text) of which a
+    term sees its own. Texts give their runs of as many words as terms have,
+    which meet the terms by equality.
     """
-    body = F.lower(F.concat_ws(" ", *columns))
-    pairs = leads.select("id", body.alias("_body")).crossJoin(F.broadcast(requirements))
-    return pairs.groupBy("id", "requirement_id").agg(F.bool_or(F.col("_body").contains(F.col("term"))).alias("matched"))
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(T.text(c)), "[^a-z0-9]+", " "))
+    columns = [term] + ([scope] if scope else [])
+    known = terms.select(*columns).distinct().withColumn("_words", norm(F.col(term))).where("_words <> ''")
+    sizes = [r[0] for r in known.select(F.size(F.split("_words", " "))).distinct().collect()]  # of the terms' lengths in words
+    parts = F.array(F.struct(F.lit(None).cast("string").alias("scope"), field.alias("text"))) if scope is None else field
+    texts = rows.select(F.col(key).alias("_key"), F.explode(parts).alias("_p")).select("_key", F.col("_p.scope").alias("_scope"), F.split(norm(F.col("_p.text")), " ").alias("_w"))
+    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda k: F.array_join(F.slice("_w", k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    grams = F.flatten(F.array(*map(runs, sizes))) if sizes else F.array().cast("array<string>")
+    exploded = texts.select("_key", "_scope", F.explode(F.array_distinct(grams)).alias("_run"))
+    same = F.col("_run") == F.col("_words")
+    if scope:
+        same = same & (F.col("_scope") == F.col(scope))
+    return exploded.join(known, same).select(F.col("_key").alias(key), *columns).distinct()
+
+
+def requirement_hits(leads: DataFrame, requirements: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, requirement_id): any of the requirement's terms in the lead's text; distinct."""
+    found = substring_hits(leads, "id", F.lower(F.concat_ws(" ", *columns)), requirements, "term")
+    asked = requirements.select("requirement_id", F.col("term").alias("_asked"))
+    return found.join(asked, F.col("term") == F.col("_asked")).select("id", "requirement_id").distinct()
+
+
+def _with_misses(leads: DataFrame, kinds: DataFrame, hits: DataFrame) -> DataFrame:
+    salts = partitions(leads.sparkSession)
+    hit = hits.select(F.col("id").alias("_id"), F.col("requirement_id").alias("_r"), F.lit(True).alias("_hit"))
+    pairs = every_pair(leads.select("id"), "id", kinds, salts)
+    joined = pairs.join(hit, (F.col("id") == F.col("_id")) & (F.col("requirement_id") == F.col("_r")), "left")
+    return joined.select("id", *kinds.columns, F.col("_hit").isNotNull().alias("matched"))
+
+
+def requirement_matches(leads: DataFrame, requirements: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, requirement_id, matched) for every lead and requirement: any of the requirement's terms in the lead's text."""
+    return _with_misses(leads, requirements.select("requirement_id").distinct(), requirement_hits(leads, requirements, columns))
 
 
 def strict_matches(leads: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Whole-term matches in the fields of each requirement's scope; a signal never matches."""
-    scope, firm = F.col("scope"), F.concat_ws(" ", "company", "industry", "headline")
-    field = F.when(scope == "person_role", F.concat_ws(" ", "title", "headline")).when(scope == "person_location", F.col("location")).when(scope.isin("company_type", "company_industry"), firm)
-    pairs = leads.crossJoin(F.broadcast(requirements))
-    return pairs.groupBy("id", "requirement_id", "importance", "scope").agg(F.bool_or(T.whole_term(field, F.col("term"))).alias("matched"))
+    """(id, requirement_id, importance, scope, matched): whole-term matches in the fields of each requirement's scope; a signal never matches."""
+    firm = F.concat_ws(" ", "company", "industry", "headline")
+    text = lambda scope, c: F.struct(F.lit(scope).alias("scope"), c.alias("text"))
+    fields = F.array(text("person_role", F.concat_ws(" ", "title", "headline")), text("person_location", F.col("location")), text("company_type", firm), text("company_industry", firm))
+    found = whole_term_hits(leads, "id", fields, requirements, "term", "scope")
+    asked = requirements.select("requirement_id", F.col("term").alias("_asked"), F.col("scope").alias("_in"))
+    hits = found.join(asked, (F.col("term") == F.col("_asked")) & (F.col("scope") == F.col("_in"))).select("id", "requirement_id").distinct()
+    return _with_misses(leads, requirements.select("requirement_id", "importance", "scope").distinct(), hits)
 
 
 def inferred_quality(raw: Column, content: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
 from briarlake.functions.numeric import fixed
+from briarlake.operators.order import ranked
 from briarlake.scratch import Scratch
 
 
@@ -66,8 +67,7 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, de
 def tfidf(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
     """(doc_id, n_signals, score): sum of count ln(N / (1 + df)) by category weight, over 10 and at most 1.
 
-    Document frequencies cover the whole corpus. (The reference grows them page
-    by page, so its scores depend on the order of arrival.)
+    Document frequencies cover the whole corpus; `tfidf_in_order` has them as of each page.
     """
     low, names = F.lower("text"), list(terms)
     counts = docs.select("doc_id", *[T.overlapping_count(low, t).alias(f"t{k}") for k, t in enumerate(names)])
@@ -79,11 +79,28 @@ def tfidf(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
     return counts.crossJoin(F.broadcast(stats)).select("doc_id", found.cast("long").alias("n_signals"), F.least(F.lit(1.0), fixed(total / 10, 4)).alias("score"))
 
 
+def tfidf_in_order(docs: DataFrame, terms: dict[str, float], order: str = "doc_id") -> DataFrame:
+    """(doc_id, n_signals, score) as `tfidf`, but N and df count the pages up to and with each page, in order of `order`.
+
+    They are prefix sums over range partitions, so the corpus is no single window.
+    """
+    low, names = F.lower("text"), list(terms)
+    counts = docs.select("doc_id", *([order] if order != "doc_id" else []), *[T.overlapping_count(low, t).alias(f"t{k}") for k, t in enumerate(names)])
+    hits = counts.withColumns({f"h{k}": (F.coalesce(F.col(f"t{k}"), F.lit(0)) > 0).cast("long") for k in range(len(names))})
+    placed = ranked(hits, [], [F.col(order).asc_nulls_last()], Scratch(docs.sparkSession, "arrivals"), "place", tuple(f"h{k}" for k in range(len(names))))
+    total, found = F.lit(0.0), F.lit(0)
+    for k, t in enumerate(names):
+        df = F.col(f"h{k}_before") + F.col(f"h{k}")
+        total = total + F.greatest(F.lit(0.0), F.col(f"t{k}") * F.ln((F.col("place") + 1) / (df + 1))) * terms[t]
+        found = found + F.col(f"h{k}")
+    return placed.select("doc_id", found.cast("long").alias("n_signals"), F.least(F.lit(1.0), fixed(total / 10, 4)).alias("score"))
+
+
 def verdicts(judgments: DataFrame, requirements: DataFrame) -> DataFrame:
     """(candidate_id, verdict): a failed hard profile requirement fails, all passed qualify, else unknown."""
     from briarlake.operators.matching import assessed
 
     kinds = requirements.select(F.col("requirement_id").alias("r"), ((F.col("importance") == "hard") & (F.col("scope") != "signal")).alias("profile")).distinct()
-    rated = assessed(judgments, requirements.select("requirement_id").distinct()).join(F.broadcast(kinds), F.col("requirement_id") == F.col("r"))
+    rated = assessed(judgments, requirements.select("requirement_id").distinct()).join(kinds, F.col("requirement_id") == F.col("r"))
     failed, passed = F.bool_or(F.col("profile") & (F.col("status") == "fail")), F.bool_and(~F.col("profile") | (F.col("status") == "pass"))
     return rated.groupBy("candidate_id").agg(F.when(failed, "hard_fail").when(passed, "qualified").otherwise("unknown").alias("verdict"))

@@ -75,21 +75,45 @@ def merged_leads(leads: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("id", F.when(won, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), filled("company", "_company").alias("company"), filled("email", "_email").alias("email"), F.when(won, F.array_union("tags", "_tags")).otherwise(F.col("tags")).alias("tags"), F.col("_loser").alias("merged_from"))
 
 
-# Message patterns of provider failures, first match wins.
+# Message patterns of provider failures, first match wins: reason, whether a retry may help, status codes, pattern.
 FAILURES = (
-    ("provider_auth", r"\b(401|403)\b|unauthorized|forbidden|invalid token|api[_ -]?token"),
-    ("provider_quota", r"quota|credit|usage limit|limit exceeded|billing|payment"),
-    ("provider_config", r"tool .*unavailable|missing tool|invalid configuration|missing config|zone .*not found|required zone|not configured"),
-    ("request_invalid", r"\b400\b|parameter validation failed|request validation failed|must be a valid uri|array must contain at most"),
-    ("transport_transient", r"connection closed|sse stream disconnected|stdio|process exited|terminated|econnreset|socket hang up"),
-    ("target_transient", r"\b(502|503|504)\b|timed out|fetch failed|empty response|empty body|returned no content"),
-    ("target_blocked", r"captcha|login wall|blocked|privacy checkpoint|sign in to view|authwall"),
+    ("provider_auth", False, (401, 403), r"unauthorized|forbidden|invalid token|api[_ -]?token"),
+    ("provider_quota", False, (), r"quota|credit|usage limit|limit exceeded|billing|payment"),
+    ("provider_config", False, (), r"tool .*unavailable|missing tool|invalid configuration|missing config|zone .*not found|required zone|not configured"),
+    ("request_invalid", False, (400,), r"mcp error -32602|parameter validation failed|request validation failed|must be a valid uri|string\.uri|array must contain at most"),
+    ("transport_transient", True, (), r"connection closed|sse stream disconnected|stdio|process exited|terminated|econnreset|socket hang up|mcp error -32000"),
+    ("target_transient", False, (), r"minimum of \d+\s*seconds?|recently failed and cannot be attempted|cannot be attempted at this time|repeat.{0,20}rejected|failed.{0,20}rejected"),
+    ("target_transient", False, (), r"unexpected non-json response"),
+    ("target_transient", True, (502, 503, 504), r"timed out|fetch failed|empty response|empty body|returned no content"),
+    ("target_blocked", False, (), r"captcha|login wall|blocked|privacy checkpoint|sign in to view|authwall"),
 )
+_STATUS = (r"(?i)\b(?:http|status)\s*:?\s*(\d{3})\b", r"\b(4\d{2}|5\d{2})\b")
+
+
+def _failure(message: Column, value: Callable[[str, bool], Column], default: Column) -> Column:
+    lower = F.lower(message)
+    told = F.nullif(F.regexp_extract(message, _STATUS[0], 1), F.lit(""))
+    status = F.coalesce(told, F.regexp_extract(message, _STATUS[1], 1))
+    return F.coalesce(*[F.when(status.isin(*map(str, codes)) | lower.rlike(p) if codes else lower.rlike(p), value(name, again)) for name, again, codes, p in FAILURES], default)
 
 
 def failure_class(message: Column) -> Column:
+    return _failure(message, lambda name, _: F.lit(name), F.lit("unknown"))
+
+
+def retryable(message: Column) -> Column:
+    """Lockouts and challenge pages are transient, but a retry within their 15 seconds only prolongs them."""
+    return _failure(message, lambda _, again: F.lit(again), F.lit(False))
+
+
+def disables_provider(kind: Column) -> Column:
+    return kind.isin("provider_auth", "provider_quota", "provider_config")
+
+
+def empty_body(message: Column) -> Column:
+    """An answer without a body, which is worth one more try after a pause; one with a snippet is a challenge page."""
     lower = F.lower(message)
-    return F.coalesce(*[F.when(lower.rlike(p), F.lit(name)) for name, p in FAILURES], F.lit("unknown"))
+    return (failure_class(message) == "target_transient") & lower.contains("unexpected non-json response") & ~lower.contains("response snippet")
 
 
 def backoff_ms(kind: Column, attempt: Column, base: int = 750) -> Column:

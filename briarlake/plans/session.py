@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
@@ -12,6 +14,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from briarlake.operators.versions import Tables, VersionedStore
 from briarlake.scratch import shared_dir
 
 
@@ -57,35 +60,62 @@ def exit_reason(p: Progress, limits: Limits, began: float, cancelled: Callable[[
 
 
 class Session:
-    """Accepted leads are a written table per round and the progress a JSON line beside it; `run` resumes from both."""
+    """A round's accepted leads and the progress are one commit of a versioned store; `run` resumes from the last.
+
+    `cancel`, from any thread, ends the jobs of a running round by their tag; what
+    that round had written has no manifest, so the last commit is the state.
+    """
 
     def __init__(self, spark: SparkSession, name: str, ports: Ports, limits: Limits):
         self.spark, self.ports, self.limits = spark, ports, limits
-        self.base = f"{shared_dir(spark)}/session-{name}"
+        self.store = VersionedStore(spark, f"{shared_dir(spark)}/session-{name}")
+        self.tag, self._cancelled = f"session-{uuid.uuid4().hex}", threading.Event()
 
     def _saved(self) -> Progress:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/progress")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if not self.store.latest():
             return Progress()
-        rows = self.spark.read.text(f"{self.base}/progress").collect()  # one short line per round
-        return max((Progress(**json.loads(r.value)) for r in rows), key=lambda p: p.round)
+        return Progress(**json.loads(self.store.read("progress").first().value))
 
     def accepted(self, p: Progress) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.base}/accepted-{p.round}") if p.round else None
+        return self.store.read("accepted", p.round) if p.round else None
+
+    def cancel(self) -> None:
+        """End the running round, and take no other."""
+        self._cancelled.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def _round(self, p: Progress) -> Progress:
+        before = self.accepted(p)
+        new = self.ports.verify(self.ports.retrieve(p.round + 1)).dropDuplicates(["id"])
+        if before is not None:
+            new = before.unionByName(new.join(before.select(F.col("id").alias("_seen")), F.col("id") == F.col("_seen"), "left_anti"))
+        after: list[Progress] = []
+
+        def progress(written: Tables) -> DataFrame:
+            count = written["accepted"].count()
+            gain = count - p.accepted
+            after.append(Progress(p.round + 1, count, 0 if gain else p.stalled + 1, "", [*p.gains, gain]))
+            return self.spark.createDataFrame([(json.dumps(asdict(after[0])),)], "value string").coalesce(1)
+
+        self.store.commit({"accepted": new, "progress": progress}, p.round)
+        return after[0]
 
     def run(self, cancelled: Callable[[], bool] = lambda: False) -> tuple[DataFrame | None, Progress]:
         p, began = self._saved(), time.monotonic()
-        while not (stop := exit_reason(p, self.limits, began, cancelled)):
-            before = self.accepted(p)
-            new = self.ports.verify(self.ports.retrieve(p.round + 1)).dropDuplicates(["id"])
-            if before is not None:
-                new = before.unionByName(new.join(before.select(F.col("id").alias("_seen")), F.col("id") == F.col("_seen"), "left_anti"))
-            new.write.mode("overwrite").parquet(f"{self.base}/accepted-{p.round + 1}")
-            count = self.spark.read.parquet(f"{self.base}/accepted-{p.round + 1}").count()
-            gain = count - p.accepted
-            p = Progress(p.round + 1, count, 0 if gain else p.stalled + 1, "", [*p.gains, gain])
-            self.spark.createDataFrame([(json.dumps(asdict(p)),)], "value string").coalesce(1).write.mode("append").text(f"{self.base}/progress")
+        ended = lambda: self._cancelled.is_set() or cancelled()
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
+        context.setInterruptOnCancel(True)
+        try:
+            while not (stop := exit_reason(p, self.limits, began, ended)):
+                try:
+                    p = self._round(p)
+                except Exception:
+                    if not self._cancelled.is_set():
+                        raise
+        finally:
+            context.removeJobTag(self.tag)
+            context.setInterruptOnCancel(False)
         p.stop = stop
         return self.accepted(p), p
 

@@ -125,11 +125,12 @@ _TEXT = "lower(concat_ws(' ', full_name, title, headline, company, location, ind
   SELECT requirement_id, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS passed, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS failed, {S.fixed('count(*) FILTER (WHERE ok)::DOUBLE / count(*)')} AS pass_rate, importance = 'hard' AND {S.fixed('count(*) FILTER (WHERE ok)::DOUBLE / count(*)')} < 0.25 AS missing_hard FROM m GROUP BY requirement_id, importance""")
 def _(f: Frames) -> DataFrame:
     """B19 gives the matches; viable leads pass all hard requirements."""
-    found = R.requirement_matches(f.leads, f.requirements, ["full_name", "title", "headline", "company", "location", "industry"])
-    kinds = f.requirements.select(C("requirement_id").alias("r"), "importance").distinct()
-    rate = fixed(F.count_if("matched").cast("double") / F.count("*"))
-    out = found.join(F.broadcast(kinds), C("requirement_id") == C("r")).groupBy("requirement_id", "importance")
-    return out.agg(F.count_if("matched").alias("passed"), F.count_if(~C("matched")).alias("failed"), rate.alias("pass_rate"), ((C("importance") == "hard") & (rate < 0.25)).alias("missing_hard")).drop("importance")
+    hits = R.requirement_hits(f.leads, f.requirements, ["full_name", "title", "headline", "company", "location", "industry"])
+    passed = hits.groupBy(C("requirement_id").alias("r")).agg(F.count("*").alias("_passed"))
+    kinds = f.requirements.select("requirement_id", "importance").distinct().join(passed, C("requirement_id") == C("r"), "left").crossJoin(f.leads.agg(F.count("*").alias("_all")))
+    n = F.coalesce("_passed", F.lit(0))
+    rate = fixed(n.cast("double") / C("_all"))
+    return kinds.select("requirement_id", n.alias("passed"), (C("_all") - n).alias("failed"), rate.alias("pass_rate"), ((C("importance") == "hard") & (rate < 0.25)).alias("missing_hard"))
 
 
 @query("d17_round_summary", "SELECT round, CAST(count(*) AS BIGINT) AS n_raw, CAST(count(DISTINCT query) AS BIGINT) AS n_queries, CAST(count(*) FILTER (WHERE lane = 'signal') AS BIGINT) AS n_signals FROM observations GROUP BY round")

@@ -278,7 +278,8 @@ def _(f: Frames) -> DataFrame:
 
 @query("b20_whole_terms", "SELECT l.id, r.requirement_id, r.term FROM leads l CROSS JOIN requirements r WHERE contains(' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || r.term || ' ')")
 def _(f: Frames) -> DataFrame:
-    return f.leads.join(F.broadcast(f.requirements), T.whole_term(C("title"), C("term"))).select("id", "requirement_id", "term")
+    hits = R.whole_term_hits(f.leads, "id", C("title"), f.requirements, "term").withColumnRenamed("term", "_term")
+    return hits.join(f.requirements, C("_term") == C("term")).select("id", "requirement_id", "term")
 
 
 _STRICT = """strict AS (SELECT l.id, r.requirement_id, r.importance, r.scope, bool_or(contains(' ' || trim(regexp_replace(lower(coalesce(CASE r.scope WHEN 'person_role' THEN title || ' ' || coalesce(headline, '') WHEN 'person_location' THEN location

@@ -151,6 +151,14 @@ def _(f: Frames) -> DataFrame:
     return V.tfidf(f.documents.select("doc_id", "text"), _TERMS)
 
 
+@query("k11_tfidf_in_order", f"""WITH t AS (SELECT doc_id, {', '.join(f"len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, {len(t)}) = '{t}')) AS t{k}" for k, t in enumerate(_TERMS))} FROM (SELECT doc_id, lower(text) AS text FROM documents)),
+ s AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n, {', '.join(f'count(*) FILTER (WHERE t{k} > 0) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS d{k}' for k in range(4))} FROM t)
+ SELECT doc_id, CAST({' + '.join(f'(t{k} > 0)::INT' for k in range(4))} AS BIGINT) AS n_signals, least(1.0::DOUBLE, {S.fixed('(0.0::DOUBLE + ' + ' + '.join(f'greatest(0.0::DOUBLE, t{k} * ln(n / (d{k} + 1.0::DOUBLE))) * {w}::DOUBLE' for k, w in enumerate(_TERMS.values())) + ') / 10', 4)}) AS score FROM s""")
+def _(f: Frames) -> DataFrame:
+    """K11 page by page: frequencies grow with the order of arrival."""
+    return V.tfidf_in_order(f.documents.select("doc_id", "text"), _TERMS)
+
+
 _BM25 = ["the", "erea", "and", "tion", "zzz"]
 
 

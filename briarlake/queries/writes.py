@@ -125,15 +125,20 @@ def _(f: Frames) -> DataFrame:
     return store.read("sessions")
 
 
-_MESSAGES = ("HTTP 401 from target", "Quota used up", "zone x not found", "status 400: bad", "socket hang up", "request timed out", "captcha shown", "odd failure")
+_MESSAGES = (
+    "HTTP 401 from target", "Quota used up", "zone x not found", "status 400: bad", "socket hang up", "request timed out", "captcha shown", "odd failure", "MCP error -32602: bad arguments", "mcp error -32000: gone", "Unexpected non-JSON response for search.",
+    "Unexpected non-JSON response for search. Response snippet: <html>", "This query recently failed and cannot be attempted at this time. Try after a minimum of 15 seconds.", "repeat_query_rejected", "HTTP 502 Bad Gateway", "status: 429 after a 401", "answer 403", "fetch failed with 404", "SSE stream disconnected",
+)
 
 
 def messages() -> F.Column:
     return F.get(F.array(*map(F.lit, _MESSAGES)), (C("event_id") % len(_MESSAGES)).cast("int"))
 
 
-_MESSAGE_SQL = f"lower(CASE event_id % {len(_MESSAGES)} {' '.join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MESSAGES))} END)"
-_CLASS_SQL = f"CASE {' '.join(f"WHEN regexp_matches({_MESSAGE_SQL}, '{p}') THEN '{n}'" for n, p in W.FAILURES)} ELSE 'unknown' END"
+_MESSAGE_SQL = f"CASE event_id % {len(_MESSAGES)} {' '.join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MESSAGES))} END || CASE WHEN event_id % 3 = 0 THEN ' (' || operation || ')' ELSE '' END"
+_MATCHES = [f"({f'status IN ({S.quoted(tuple(map(str, codes)))}) OR ' if codes else ''}regexp_matches(lower(message), '{p}'))" for _, _, codes, p in W.FAILURES]
+_KIND = f"CASE {' '.join(f"WHEN {m} THEN '{f[0]}'" for m, f in zip(_MATCHES, W.FAILURES))} ELSE 'unknown' END"
+_AGAIN = f"CASE {' '.join(f'WHEN {m} THEN {str(f[1]).lower()}' for m, f in zip(_MATCHES, W.FAILURES))} ELSE false END"
 
 
 @query("l05_key_states", "SELECT provider, session_id, CASE WHEN count(*) FILTER (WHERE status = 'error') >= 3 THEN 'cooldown' WHEN count(*) FILTER (WHERE status = 'skipped') > 2 THEN 'exhausted' ELSE 'active' END AS state FROM trace_events WHERE provider IS NOT NULL GROUP BY provider, session_id")
@@ -142,10 +147,15 @@ def _(f: Frames) -> DataFrame:
     return f.trace_events.where("provider IS NOT NULL").groupBy("provider", "session_id").agg(state.alias("state"))
 
 
-@query("l06_failure_classes", f"SELECT event_id, {_CLASS_SQL} AS failure, CASE WHEN {_CLASS_SQL} = 'transport_transient' THEN 5000.0::DOUBLE ELSE 750 END * power(2.0::DOUBLE, event_id % 3) AS delay_ms FROM trace_events")
+@query("l06_failure_classes", rf"""WITH m AS (SELECT event_id, {_MESSAGE_SQL} AS message FROM trace_events), s AS (SELECT *, coalesce(nullif(regexp_extract(message, '(?i)\b(?:http|status)\s*:?\s*(\d{{3}})\b', 1), ''), regexp_extract(message, '\b(4\d{{2}}|5\d{{2}})\b', 1)) AS status FROM m),
+ k AS (SELECT *, {_KIND} AS failure, {_AGAIN} AS retryable FROM s) SELECT event_id, failure, retryable, failure IN ('provider_auth', 'provider_quota', 'provider_config') AS disables, failure = 'target_transient' AND contains(lower(message), 'unexpected non-json response') AND NOT contains(lower(message), 'response snippet') AS empty_body,
+ CASE WHEN failure = 'transport_transient' THEN 5000.0::DOUBLE ELSE 750 END * power(2.0::DOUBLE, event_id % 3) AS delay_ms FROM k""")
 def _(f: Frames) -> DataFrame:
-    kind = W.failure_class(messages())
-    return f.trace_events.select("event_id", kind.alias("failure"), W.backoff_ms(kind, C("event_id") % 3 + 1).alias("delay_ms"))
+    """L11 too: reason, whether to retry, whether the provider is done for, whether only the body was empty."""
+    message = F.concat(messages(), F.when(C("event_id") % 3 == 0, F.concat(F.lit(" ("), C("operation"), F.lit(")"))).otherwise(""))
+    kind = W.failure_class(C("message"))
+    told = f.trace_events.select("event_id", message.alias("message"))
+    return told.select("event_id", kind.alias("failure"), W.retryable(C("message")).alias("retryable"), W.disables_provider(kind).alias("disables"), W.empty_body(C("message")).alias("empty_body"), W.backoff_ms(kind, C("event_id") % 3 + 1).alias("delay_ms"))
 
 
 @query("d22_dispositions", f"""{_upsert_sql()} SELECT CAST(count(*) FILTER (WHERE disposition = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (WHERE disposition = 'updated') AS BIGINT) AS updated,

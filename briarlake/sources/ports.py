@@ -18,8 +18,8 @@ from briarlake.functions import scoring as K
 from briarlake.functions import text as T
 from briarlake.sources import parsers
 
-#: Messages of a body that came back empty; only these are worth another try.
-EMPTY_BODY = re.compile(r"empty (?:response|body)|returned no content", re.IGNORECASE)
+#: Messages of a body that came back empty; only these are worth another try. With a snippet it is a challenge page.
+EMPTY_BODY = re.compile(r"^(?!.*response snippet).*unexpected non-json response", re.IGNORECASE | re.DOTALL)
 
 Fetch = Callable[[list[str]], list[str | None]]
 

@@ -159,11 +159,15 @@ def test_scraping_recovers_empty_bodies(spark, tmp_path):
             open(seen, "a").close()
             if "bad" in u:
                 raise OSError("blocked by captcha")
+            if "hiccup" in u and first:
+                raise OSError("Unexpected non-JSON response for search.")
+            if "challenge" in u:
+                raise OSError("Unexpected non-JSON response for search. Response snippet: <html>")
             out.append("" if "slow" in u and first else None if "never" in u else f"page {u}")
         return out
 
-    got = {r.url: r.content for r in ports.scraped(spark.createDataFrame([(u,) for u in ("a", "slow", "never", "bad", "a")], "url string").coalesce(1), "url", fetch).collect()}
-    assert got == {"a": "page a", "slow": "page slow", "never": None, "bad": None}
+    got = {r.url: r.content for r in ports.scraped(spark.createDataFrame([(u,) for u in ("a", "slow", "never", "bad", "a", "hiccup", "challenge")], "url string").coalesce(1), "url", fetch).collect()}
+    assert got == {"a": "page a", "slow": "page slow", "never": None, "bad": None, "hiccup": "page hiccup", "challenge": None}
 
 
 def test_model_ports_parse_and_fall_back(spark):

@@ -1,8 +1,12 @@
 """Session loop, providers and driver-side helpers."""
 
+import threading
+import time
 import uuid
 
 import pytest
+from pyspark import InheritableThread
+from pyspark.sql import functions as F
 
 from briarlake.plans import session as S
 
@@ -42,6 +46,35 @@ def test_cancel_and_timeout(spark):
     assert run(spark, [2], seconds=-1)[1].stop == "timeout"
 
 
+def test_cancelling_ends_a_running_round_and_leaves_the_last(spark):
+    """The second round would take minutes; it ends within seconds, and another session goes on from the first."""
+    name, began = uuid.uuid4().hex, threading.Event()
+
+    def retrieve(round_):
+        if round_ < 2:
+            return spark.range(0, 8)
+        began.set()
+        slow = F.udf(lambda x: time.sleep(0.5) or x, "long")
+        return spark.range(100, 2000, 1, 8).select(slow("id").alias("id"))
+
+    session = S.Session(spark, name, S.Ports(retrieve, lambda frame: frame), S.Limits(5000))
+    out = []
+    worker = InheritableThread(target=lambda: out.append(session.run()), session=spark)
+    worker.start()
+    assert began.wait(60)
+    while not spark.sparkContext.statusTracker().getActiveJobsIds():
+        time.sleep(0.2)
+    time.sleep(1)
+    stopped = time.monotonic()
+    session.cancel()
+    worker.join(30)
+    assert not worker.is_alive() and time.monotonic() - stopped < 20
+    leads, p = out[0]
+    assert (p.stop, p.round, leads.count()) == ("cancelled", 1, 8) and session.store.versions() == [1]
+    again = S.Session(spark, name, S.Ports(lambda round_: spark.range(50, 60), lambda frame: frame), S.Limits(10))
+    assert again.run()[1].round == 2 and again.store.read("accepted").count() == 18
+
+
 def test_providers():
     def bad(_):
         raise OSError
