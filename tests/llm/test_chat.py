@@ -1,5 +1,6 @@
 from briarlake.llm.chat import format_chats
 from briarlake.scratch import Scratch
+from tests.llm import brute
 
 SCHEMA = "conv_id long, turn long, role string, text string, rendered string"
 
@@ -37,3 +38,13 @@ def test_long_conversation(spark):
     rows = conversation(1, *[f"t{k}" for k in range(3000)]) + conversation(2, *[f"t{k}" for k in range(2999)])
     got = formatted(spark, rows)
     assert sorted(got) == [1] and got[1].n_turns == 3000 and got[1].rendered.count("<|im_start|>") == 3000
+
+
+def test_logged_snapshots_collapse(spark):
+    from briarlake.llm.queries import op8_chat_formatting, op8_chat_snapshots
+
+    whole = {r.rendered: r.n_same for r in op8_chat_formatting(spark, brute.SMALL).collect()}
+    rows = op8_chat_snapshots(spark, brute.SMALL).collect()
+    logged = spark.read.parquet(f"{brute.SMALL}/conversations.parquet").groupBy("conv_id").count().count() * 6
+    assert {r.rendered for r in rows} == set(whole) and len(rows) == len(whole) < logged
+    assert all(r.n_same % whole[r.rendered] == 0 for r in rows) and any(r.n_same > whole[r.rendered] for r in rows)

@@ -73,3 +73,15 @@ def test_clashing_names_and_very_long_text(spark):
     left = quality.filter_documents(docs, Scratch(spark, "t"))
     assert left.columns == docs.columns and [tuple(r[3:]) for r in left.collect()] == [(1, 2, 3, 4)]
     assert {r.doc_id: r.kept for r in quality.judge(docs, Scratch(spark, "t")).collect()} == {1: False, 2: True}
+
+
+def test_stub_sections_are_rejected_as_hosts(spark):
+    from briarlake.llm.queries import op1_quality_rules_of_sections
+
+    rows = op1_quality_rules_of_sections(spark, brute.SMALL).collect()
+    rejected = {r.host for r in rows if r.host_rejected}
+    assert rejected and all(h.endswith("/stubs") for h in rejected)
+    assert any(not r.kept and not r.base_failed for r in rows)  # the verdict takes effect beyond the base rules
+    texts = {r.doc_id: (r.source, r.text) for r in spark.read.parquet(f"{brute.SMALL}/documents.parquet").collect()}
+    hosts = brute.host_verdicts([(None if s is None else s + ("/stubs" if len(t) < 400 else "/pages"), t) for s, t in texts.values()])
+    assert rejected == {h for h, (_, bad) in hosts.items() if bad}
