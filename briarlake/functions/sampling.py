@@ -32,21 +32,31 @@ def gamma_sql(key: str, name: str, alpha: str, duckdb: bool = False) -> str:
     """Gamma(alpha, 1) for alpha > 0: below 1 by a draw of alpha + 1 and a power of a uniform."""
     u = lambda part: uniform_sql(key, f"'#{name}.' || CAST(k AS STRING) || '{part}'", duckdb)
     d = f"({alpha} + CASE WHEN {alpha} < 1 THEN {_double(2 / 3)} ELSE {_double(-1 / 3)} END)"
-    z = f"(sqrt({_double(-2.0)} * ln({u('a')})) * cos({_double(6.283185307179586)} * {u('b')}))"
-    root = f"({z} / sqrt({d} * 9) + 1)"
+    normal = f"sqrt({_double(-2.0)} * ln({u('a')})) * cos({_double(6.283185307179586)} * {u('b')})"
+    root = f"(t.z / sqrt({d} * 9) + 1)"
     v = f"({root} * {root} * {root})"
     log_v = f"ln(CASE WHEN {root} > 0 THEN {v} ELSE {_double(1.0)} END)"
-    accepted = f"{root} > 0 AND ln({u('c')}) < {_double(0.5)} * {z} * {z} + {d} * ({_double(1.0)} - {v} + {log_v})"
-    tried = f"CASE WHEN {accepted} THEN {d} * {v} END"
+    tried = f"CASE WHEN {root} > 0 AND ln(t.u) < {_double(0.5)} * t.z * t.z + {d} * ({_double(1.0)} - {v} + {log_v}) THEN {d} * {v} END"
     if duckdb:
-        first = f"list_filter(list_transform(range({TRIES}), lambda k: {tried}), lambda x: x IS NOT NULL)[1]"
+        drawn = f"list_transform(range({TRIES}), lambda k: {{'z': {normal}, 'u': {u('c')}}})"
+        first = f"list_filter(list_transform({drawn}, lambda t: {tried}), lambda x: x IS NOT NULL)[1]"
     else:
-        first = f"get(filter(transform(sequence(0, {TRIES - 1}), k -> {tried}), x -> x IS NOT NULL), 0)"
+        drawn = f"transform(sequence(0, {TRIES - 1}), k -> named_struct('z', {normal}, 'u', {u('c')}))"
+        first = f"get(filter(transform({drawn}, t -> {tried}), x -> x IS NOT NULL), 0)"
     low = uniform_sql(key, f"'#{name}.low'", duckdb)
     return f"(coalesce({first}, {d}) * CASE WHEN {alpha} < 1 THEN power({low}, {_double(1.0)} / {alpha}) ELSE {_double(1.0)} END)"
 
 
-def beta_sql(key: str, alpha: str, beta: str, duckdb: bool = False) -> str:
-    """Beta(alpha, beta) from two gamma draws; parameters are 0.001 at least."""
-    x, y = (gamma_sql(key, n, p, duckdb) for n, p in (("x", f"greatest({alpha}, {_double(0.001)})"), ("y", f"greatest({beta}, {_double(0.001)})")))
+def ratio_sql(x: str, y: str) -> str:
+    """What two gamma draws make a Beta draw."""
     return f"(CASE WHEN {x} + {y} > 0 THEN {x} / ({x} + {y}) ELSE {_double(0.5)} END)"
+
+
+def least_sql(parameter: str) -> str:
+    """A Beta parameter is 0.001 at least."""
+    return f"greatest({parameter}, {_double(0.001)})"
+
+
+def beta_sql(key: str, alpha: str, beta: str, duckdb: bool = False) -> str:
+    """Beta(alpha, beta) from two gamma draws."""
+    return ratio_sql(gamma_sql(key, "x", least_sql(alpha), duckdb), gamma_sql(key, "y", least_sql(beta), duckdb))

@@ -66,11 +66,17 @@ def _front(points: np.ndarray) -> np.ndarray:
 
 
 def _undominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The points that none of `by` dominates."""
+    """The points that none of `by` dominates; those whose corners rule it out are not compared."""
+    if not len(points) or not len(by):
+        return points
+    by = by[(by >= points.min(axis=0)).all(axis=1)]
+    beaten = np.zeros(len(points), bool)
     for k in range(0, len(by), 128):
-        part = by[k : k + 128, None, :]
-        points = points[~((part >= points).all(axis=2) & (part > points).any(axis=2)).any(axis=0)]
-    return points
+        part = by[k : k + 128]
+        some = np.flatnonzero(~beaten & (points <= part.max(axis=0)).all(axis=1))
+        own, against = points[some], part[:, None, :]
+        beaten[some] = ((against >= own).all(axis=2) & (against > own).any(axis=2)).any(axis=0)
+    return points[~beaten]
 
 
 class _Cells:
@@ -101,7 +107,7 @@ def _points(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(n).to_numpy() for n in names], axis=1)
 
 
-def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 2048, most_cells: int = 4096, strong: int = 1024, sample: int = 65536) -> DataFrame:
+def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 1024, most_cells: int = 4096, strong: int = 1024, sample: int = 65536) -> DataFrame:
     """Rows that no other dominates: as good in all objectives and better in one.
 
     The `strong` distinct vectors of the greatest sums leave few of most tables.
@@ -174,6 +180,7 @@ def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 2048,
         names = np.array([r.cell for r in corners])
         low, high = (np.array([[r[f"{c}{k}"] for k in range(len(objectives))] for r in corners]) for c in ("low", "high"))
         meets: dict[int, list[int]] = {int(c): [] for c in names}
+        worst = dict(zip(map(int, names), low, strict=True))
         for k in range(len(names)):
             beaten = ((low >= high[k]).all(axis=1) & (low > high[k]).any(axis=1)).any()
             if not beaten:
@@ -186,7 +193,9 @@ def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 2048,
                 for own in np.unique(at):
                     mine = points[at == own]
                     for to in meets[int(own)]:
-                        yield _batch(mine, cell=np.full(len(mine), to), against=np.full(len(mine), int(to != own)))
+                        able = mine if to == own else mine[(mine >= worst[to]).all(axis=1)]
+                        if len(able):
+                            yield _batch(able, cell=np.full(len(able), to), against=np.full(len(able), int(to != own)))
 
         dealt = fronts.mapInArrow(sent, f"cell long, against long, {schema}").repartition("cell").sortWithinPartitions("cell", "against")
         front = dealt.mapInArrow(by_cell("cell", lambda _, points: points, filters=True), f"cell long, {schema}")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briarlake.functions.text import sentences
 from briarlake.operators.order import folded
 from briarlake.scratch import Scratch
 
@@ -95,33 +95,32 @@ def best_email(lines: DataFrame, key: str) -> DataFrame:
 
 
 def evidence_sentences(docs: DataFrame, terms: list[str], budget: int) -> DataFrame:
-    """(doc_id, n_chosen, n_chars, n_covered): per document the best sentence for each term, then the densest, within the budget."""
-    from briarlake.functions.text import sentences
-
-    @F.pandas_udf("n_chosen long, n_chars long, n_covered long")
-    def choose(found: pd.Series) -> pd.DataFrame:
-        out = []
-        for lines in found:
-            scored = [(sum(t in s.lower() for t in terms), -k, s) for k, s in enumerate(lines)]
-            left, chosen, covered = budget, set(), set()
-
-            def take(item: tuple) -> None:
-                nonlocal left
-                size = min(len(item[2]), 280, left)
-                if left >= 60 and size >= 24 and item[1] not in chosen:
-                    chosen.add(item[1])
-                    left -= size + 1
-                    covered.update(t for t in terms if t in item[2].lower())
-
-            for t in terms:
-                best = max((i for i in scored if t in i[2].lower() and i[1] not in chosen), default=None)
-                if best:
-                    take(best)
-            for item in sorted(scored, reverse=True):
-                if left < 60:
-                    break
-                take(item)
-            out.append((len(chosen), budget - left, len(covered)))
-        return pd.DataFrame(out, columns=["n_chosen", "n_chars", "n_covered"])
-
-    return docs.select("doc_id", choose(sentences(F.col("text"))).alias("_c")).select("doc_id", "_c.*")
+    """(doc_id, n_chosen, n_chars, n_covered): per document the best sentence for each term, then the densest, within the budget.
+
+    Sentences are ranked once by how many terms they hold; choices fold over that
+    order in column expressions. A sentence counts 280 characters at most and is
+    passed over below 24, the choice ends when fewer than 60 are left.
+    """
+    has = lambda s: F.array(*[F.lower(s).contains(t) for t in terms])
+    scratch = Scratch(docs.sparkSession, "evidence")
+    split = docs.select("doc_id", F.transform(sentences(F.col("text")), lambda s, k: F.struct(k.alias("k"), F.length(s).alias("n"), has(s).alias("has"))).alias("_found"))
+    split = scratch.keep(split)  # texts are read and split once
+    ranked = F.array_sort(F.transform("_found", lambda x: F.struct((-F.size(F.filter(x["has"], lambda h: h))).alias("rank"), x["k"].alias("k"), x["n"].alias("n"), x["has"].alias("has"))))
+
+    def taken(state: Column, item: Column) -> Column:
+        size = F.least(item["n"], F.lit(280), state["left"])
+        fits = (state["left"] >= 60) & (size >= 24) & ~F.array_contains(state["chosen"], item["k"])
+        return F.struct(
+            F.when(fits, state["left"] - size - 1).otherwise(state["left"]).alias("left"), F.when(fits, F.array_append(state["chosen"], item["k"])).otherwise(state["chosen"]).alias("chosen"),
+            F.when(fits, F.zip_with(state["covered"], item["has"], lambda a, b: a | b)).otherwise(state["covered"]).alias("covered"),
+        )
+
+    none = F.struct(F.lit(budget).alias("left"), F.array().cast("array<int>").alias("chosen"), F.array(*[F.lit(False) for _ in terms]).alias("covered"))
+    found = scratch.keep(split.select("doc_id", ranked.alias("_items"))).withColumn("_s", none)
+    new_of = lambda j: lambda x: x["has"][j] & ~F.array_contains(F.col("_s.chosen"), x["k"])
+    for j in range(len(terms)):
+        best = F.slice(F.filter("_items", new_of(j)), 1, 1)
+        found = found.select("doc_id", "_items", F.aggregate(best, F.col("_s"), taken).alias("_s"))
+    done = found.select("doc_id", F.aggregate("_items", F.col("_s"), taken).alias("_s"))
+    covered = F.size(F.filter("_s.covered", lambda x: x))
+    return done.select("doc_id", F.size("_s.chosen").cast("long").alias("n_chosen"), (F.lit(budget) - F.col("_s.left")).cast("long").alias("n_chars"), covered.cast("long").alias("n_covered"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from briarlake.functions import text as T
 from briarlake.functions.numeric import clamp, fixed
-from briarlake.functions.sampling import POSTERIOR, beta_sql
+from briarlake.functions.sampling import POSTERIOR, gamma_sql, least_sql, ratio_sql
 from briarlake.functions.scoring import arm_score, fused_arm_score, sigmoid
 from briarlake.scratch import Scratch
 
@@ -140,8 +140,9 @@ ARM = ("outcome_runs", "qualified", "returned", "uniques", "rescued", "duplicate
 
 def beta_samples(arms: DataFrame) -> DataFrame:
     """Adds `sample`, a Beta draw of each arm's posterior, and `first_sample`, one of Beta(1.5, 1), both seeded by the arm's scope."""
-    scoped = arms.withColumns({"_scope": F.concat_ws("|", "family", "lane", "provider"), "_alpha": F.expr(POSTERIOR[0]), "_beta": F.expr(POSTERIOR[1])})
-    return scoped.withColumns({"sample": F.expr(beta_sql("_scope", "_alpha", "_beta")), "first_sample": F.expr(beta_sql("_scope", "1.5D", "1.0D"))}).drop("_scope", "_alpha", "_beta")
+    scoped = arms.withColumns({"_scope": F.concat_ws("|", "family", "lane", "provider"), "_a": F.expr(least_sql(POSTERIOR[0])), "_b": F.expr(least_sql(POSTERIOR[1]))})
+    drawn = scoped.withColumns({"_x": F.expr(gamma_sql("_scope", "x", "_a")), "_y": F.expr(gamma_sql("_scope", "y", "_b")), "_fx": F.expr(gamma_sql("_scope", "x", "1.5D")), "_fy": F.expr(gamma_sql("_scope", "y", "1.0D"))})
+    return drawn.withColumns({"sample": F.expr(ratio_sql("_x", "_y")), "first_sample": F.expr(ratio_sql("_fx", "_fy"))}).drop("_scope", "_a", "_b", "_x", "_y", "_fx", "_fy")
 
 
 def scored_arms(arms: DataFrame, total: Column) -> DataFrame:
@@ -173,19 +174,25 @@ def cover(tasks: list[dict], most: int) -> list[dict]:
     return sorted(chosen, key=tasks.index)
 
 
-def scheduled(tasks: DataFrame, arms: DataFrame, most: int) -> DataFrame:
-    """(id, priority) of the tasks to run, by set cover, person guard and arm score.
+def scheduled(tasks: DataFrame, arms: DataFrame, most: int = 3, least_outcomes: int = 8, enabled: bool = True, sampling: bool = True) -> DataFrame:
+    """(id, priority) of the tasks to run, by set cover, person guard and arm score, with draws if `sampling`.
 
-    Tasks that cover the same requirements in the same lane are alike to the
-    greedy choice, so only the best `most` of each such class reach the driver:
-    2 to the number of requirements (nine at most) classes a lane.
+    All tasks run with their own priorities unless there are more than `most`
+    (1 to 8) and the arms have `least_outcomes` behind them. Tasks that cover the
+    same requirements in the same lane are alike to the greedy choice, so only the
+    best of each such class reach the driver, as many as there are requirements
+    and places: 2 to the number of requirements (nine at most) classes a lane.
     """
-    columns = {c: F.col(c) for c in ("outcome_runs", "qualified", "returned", "uniques", "rescued", "duplicates", "units", "latency_ms")}
-    total = arms.agg(F.sum("outcome_runs").alias("_t"))
-    known = arms.select(F.concat_ws("|", "family", "lane", "provider").alias("_arm"), *columns)
-    joined = tasks.withColumn("_scope", F.concat_ws("|", "family", "lane", "preference")).join(known, F.col("_scope") == F.col("_arm"), "left").crossJoin(F.broadcast(total))
-    scored = joined.select("id", "lane", "priority", fixed(arm_score(columns, F.col("_t")), 6).alias("score"), F.array_sort(F.array_distinct("covers")).alias("covers"))
+    most = min(max(most, 1), 8)
+    known = arms.select(F.concat_ws("|", "family", "lane", "provider").alias("_arm"), *ARM)
+    total = arms.agg(F.coalesce(F.sum("outcome_runs"), F.lit(0))).first()[0]
+    if not enabled or total < max(least_outcomes, 1) or len(tasks.select("id").limit(most + 1).collect()) <= most:
+        return tasks.select("id", F.col("priority").cast("int").alias("priority"))
+    joined = tasks.select("id", "family", "lane", F.col("preference").alias("provider"), "priority", F.array_sort(F.array_distinct("covers")).alias("covers"))
+    joined = joined.join(known, F.concat_ws("|", "family", "lane", "provider") == F.col("_arm"), "left").fillna(0, list(ARM))
+    scored = scored_arms(joined, F.lit(total)).select("id", "lane", "priority", "covers", fixed(F.col("fused" if sampling else "score"), 6).alias("score"))
+    kept = Scratch(tasks.sparkSession, "scheduled").keep(scored)
     order = [F.col("score").desc(), F.col("priority").asc(), F.col("id").asc()]
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("lane", "covers").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    best = kept.withColumn("_n", F.row_number().over(Window.partitionBy("lane", "covers").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
     chosen = cover([r.asDict() for r in best.orderBy(*order).collect()], most)
     return tasks.sparkSession.createDataFrame([(t["id"], k + 1) for k, t in enumerate(chosen)], "id long, priority int")

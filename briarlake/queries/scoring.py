@@ -320,10 +320,22 @@ def _(f: Frames) -> DataFrame:
     return P.beta_samples(f.arms).select("family", "lane", "provider", N.fixed(C("sample"), 9).alias("sample"))
 
 
-@query("k26_scheduled_tasks")
+#: Which of seven requirements a task covers: none to several.
+_COVERS = [f"CASE WHEN {test} THEN 'r{k}' END" for k, test in enumerate(("id % 5 = 0", "id % 7 = 3", "id % 11 = 5", "id % 3 = 1 AND id % 4 = 2", "id % 13 = 7", "id % 17 = 4", "id % 19 IN (2, 3)"))]
+_TASK_ARM = "coalesce(a.{0}, 0) AS {0}"
+_BY_SCORE = "ORDER BY score DESC, priority, id"
+
+
+@query("k26_scheduled_tasks", f"""WITH RECURSIVE n AS (SELECT sum(outcome_runs) AS t FROM arms), j AS (SELECT t.id, t.lane, t.priority, t.family, t.preference AS provider, {', '.join(_TASK_ARM.format(c) for c in P.ARM)} FROM tasks t LEFT JOIN arms a ON concat_ws('|', t.family, t.lane, t.preference) = concat_ws('|', a.family, a.lane, a.provider)), {_drawn_sql('j')},
+ s AS MATERIALIZED (SELECT id, lane, priority, list_filter([{', '.join(_COVERS)}], lambda x: x IS NOT NULL) AS covers, {S.fixed(f"CASE WHEN outcome_runs = 0 THEN {_COLD} * (first_draw * 0.3::DOUBLE + 0.85::DOUBLE) ELSE ({_REWARD}) * 0.65::DOUBLE + draw * 10 * 0.35::DOUBLE END", 6)} AS score FROM drawn, n),
+ w AS (SELECT 0 AS step, (SELECT list(DISTINCT c) FROM (SELECT unnest(covers) AS c FROM s)) AS open, []::BIGINT[] AS ids UNION ALL SELECT step + 1, list_filter(open, lambda x: NOT list_contains(best.covers, x)), list_append(ids, best.id) FROM
+ (SELECT step, any_value(open) AS open, any_value(ids) AS ids, arg_max({{'id': id, 'covers': covers}}, (gain, score, -priority, -id)) AS best, max(gain) AS most FROM (SELECT w.*, s.*, len(list_intersect(s.covers, w.open)) AS gain FROM w, s WHERE NOT list_contains(w.ids, s.id)) GROUP BY step) WHERE most > 0),
+ c AS (SELECT unnest(ids) AS id FROM (SELECT ids FROM w ORDER BY step DESC LIMIT 1)), g AS (SELECT id FROM s WHERE lane = 'person' AND NOT EXISTS (SELECT 1 FROM s x JOIN c ON c.id = x.id WHERE x.lane = 'person') {_BY_SCORE} LIMIT 1), b AS (SELECT id FROM c UNION SELECT id FROM g),
+ r AS (SELECT id FROM (SELECT id, row_number() OVER ({_BY_SCORE}) AS k FROM s WHERE id NOT IN (SELECT id FROM b)) WHERE k <= 8 - (SELECT count(*) FROM b)) SELECT id, CAST(row_number() OVER ({_BY_SCORE}) AS INT) AS priority FROM s WHERE id IN (SELECT id FROM b UNION SELECT id FROM r)""")
 def _(f: Frames) -> DataFrame:
     """F5 and F15 too: arms are scored in Spark, set cover and lane guard choose among the best of each class of tasks."""
-    return P.scheduled(f.tasks.withColumn("covers", F.array(F.concat(F.lit("r"), (C("id") % 5).cast("string")))), f.arms, most=8)
+    covers = F.expr(f"filter(array({', '.join(_COVERS)}), x -> x IS NOT NULL)")
+    return P.scheduled(f.tasks.withColumn("covers", covers), f.arms, most=8)
 
 
 @query("k27_collection_capacity", """SELECT id, CAST(batch AS BIGINT) AS batch_size, CAST(pool AS BIGINT) AS pool_target, CAST(need AS BIGINT) AS required_rounds, CAST(least(greatest(5, need + 1), CASE WHEN t <= 30 THEN 6 WHEN t <= 50 THEN 8 ELSE 10 END) AS BIGINT) AS max_rounds,

@@ -117,10 +117,25 @@ def _(f: Frames) -> DataFrame:
     return f.observations.select("seq", score.cast("long").alias("score")).orderBy(C("score").desc(), "seq").limit(80)
 
 
-@query("f06_evidence_sentences")
+_TERMS = ["erea", "tion", "haha"]
+_TAKEN = """CASE WHEN a.left >= 60 AND least(x.n, 280, a.left) >= 24 AND NOT list_contains(a.chosen, x.k)
+ THEN {'k': a.k, 'n': a.n, 'has': a.has, 'left': a.left - least(x.n, 280, a.left) - 1, 'chosen': list_append(a.chosen, x.k), 'covered': list_transform(list_zip(a.covered, x.has), lambda z: z[1] OR z[2])} ELSE a END"""
+_NONE = f"{{'k': 0::BIGINT, 'n': 0::BIGINT, 'has': []::BOOLEAN[], 'left': 850::BIGINT, 'chosen': []::BIGINT[], 'covered': [{', '.join('false' for _ in _TERMS)}]}}"
+
+
+def _after_term(j: int) -> str:
+    best = f"list_filter(items, lambda x: x.has[{j + 1}] AND NOT list_contains(s.chosen, x.k))[1:1]"
+    return f"t{j + 1} AS (SELECT doc_id, items, list_reduce({best}, lambda a, x: {_TAKEN}, s) AS s FROM t{j})"
+
+
+@query("f06_evidence_sentences", rf"""WITH u AS (SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS k FROM (SELECT doc_id, string_split_regex(replace(text, chr(13), ''), '\n+|[.!?;]+\s+') AS p FROM documents)), c AS (SELECT doc_id, substr(trim(regexp_replace(s, '\s+', ' ', 'g')), 1, 520) AS s, k FROM u),
+ d AS (SELECT doc_id, s, min(k) AS k, [{', '.join(f"contains(lower(s), '{t}')" for t in _TERMS)}] AS has FROM c WHERE s <> '' GROUP BY doc_id, s),
+ t0 AS (SELECT doc_id, list({{'k': k, 'n': length(s)::BIGINT, 'has': has, 'left': 0::BIGINT, 'chosen': []::BIGINT[], 'covered': has}} ORDER BY -len(list_filter(has, lambda x: x)), k) AS items, {_NONE} AS s FROM d GROUP BY doc_id),
+ {', '.join(_after_term(j) for j in range(len(_TERMS)))}, e AS (SELECT doc_id, list_reduce(items, lambda a, x: {_TAKEN}, s) AS s FROM t{len(_TERMS)})
+ SELECT doc_id, coalesce(len(s.chosen), 0)::BIGINT AS n_chosen, coalesce(850 - s.left, 0)::BIGINT AS n_chars, coalesce(len(list_filter(s.covered, lambda x: x)), 0)::BIGINT AS n_covered FROM documents LEFT JOIN e USING (doc_id)""")
 def _(f: Frames) -> DataFrame:
     """The best sentence per hard term, then the densest, within 850 characters."""
-    return G.evidence_sentences(f.documents.select("doc_id", "text"), ["erea", "tion", "haha"], 850)
+    return G.evidence_sentences(f.documents.select("doc_id", "text"), _TERMS, 850)
 
 
 @query("f07_best_public_email", r"""WITH lines AS (SELECT id, unnest([coalesce(headline, ''), 'contact: ' || coalesce(email, ''), 'mailto:m' || id || '@corp.io', coalesce(email, '')]) AS line, unnest([0, 1, 2, 3]) AS k FROM leads),

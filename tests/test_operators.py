@@ -1,6 +1,7 @@
 """Core operators against plain versions on small tables."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -86,6 +87,38 @@ def test_scheduler_covers_with_any_task(spark):
     assert {r.id for r in selection.scheduled(frame, arms, 3).collect()} == {0, 1, 500}
 
 
+ARM_COLUMNS = "family string, lane string, provider string, outcome_runs long, qualified long, returned long, uniques long, rescued long, duplicates long, units long, latency_ms long"
+TASKS = [(1, "persona_title", "person", "tavily", 1, []), (2, "local_market", "account", "brightdata", 2, []), (3, "growth_signal", "signal", "corroborate", 3, []), (4, "tooling_signal", "signal", "brightdata", 4, [])]
+
+
+def schedule(spark, tasks, arms, **how):
+    frame = spark.createDataFrame(tasks, "id long, family string, lane string, preference string, priority int, covers array<string>")
+    rows = [(f, lane, p, *(a.get(c, 0) for c in selection.ARM)) for (f, lane, p), a in arms.items()]
+    return [r.id for r in selection.scheduled(frame, spark.createDataFrame(rows, ARM_COLUMNS), 2, 4, **how).orderBy("priority").collect()]
+
+
+def test_the_scheduler_waits_for_outcomes(spark):
+    person = ("persona_title", "person", "tavily")
+    assert schedule(spark, TASKS, {person: {"uniques": 100}}) == [1, 2, 3, 4]
+    assert schedule(spark, TASKS, {person: {"outcome_runs": 9}}, enabled=False) == [1, 2, 3, 4]
+    assert schedule(spark, TASKS[:2], {person: {"outcome_runs": 9}}) == [1, 2]
+
+
+def test_the_scheduler_drops_weak_arms_and_guards_the_person_lane(spark):
+    keys = [t[1:4] for t in TASKS]
+    weak = dict(zip(keys, ({"outcome_runs": 8, "qualified": 6, "returned": 5}, {"outcome_runs": 8, "units": 8}, {"outcome_runs": 1, "qualified": 1, "returned": 1}, {"outcome_runs": 8, "rescued": 5, "units": 8})))
+    assert schedule(spark, TASKS, weak, sampling=False) == [3, 1] and set(schedule(spark, TASKS, weak)) == {1, 3}
+    signals = dict(zip(keys, ({"outcome_runs": 10}, {"outcome_runs": 10, "qualified": 5}, {"outcome_runs": 10, "qualified": 8}, {"outcome_runs": 10, "qualified": 7})))
+    assert 1 in schedule(spark, TASKS, signals, sampling=False)
+
+
+def test_the_scheduler_never_prunes_coverage(spark):
+    keys = [t[1:4] for t in TASKS]
+    asked = [(*t[:5], [f"hard-{t[0]}"] if t[0] < 4 else []) for t in TASKS]
+    arms = dict(zip(keys, [{"outcome_runs": 10}] * 3 + [{"outcome_runs": 10, "qualified": 10}]))
+    assert set(schedule(spark, asked, arms)) == {1, 2, 3}
+
+
 def test_folds_of_a_hot_group(spark):
     rows = [(1, k, (k * 7) % 5) for k in range(25_000)] + [(2, 0, 9), (None, 0, 1)]
     frame = spark.createDataFrame(rows, "g long, o long, u long")
@@ -213,6 +246,34 @@ def test_evidence_sentences_against_a_loop(spark):
     assert got[0].n_covered == 2 and got[0].n_chars <= budget and got[1].n_chosen == 0 and got[2].n_chosen == 0 and got[3].n_covered == 1  # the first long sentence takes all
 
 
+def chosen_sentences(text, terms, budget):
+    lines = list(dict.fromkeys(x for x in (" ".join(p.split())[:520] for p in re.split(r"\n+|[.!?;]+\s+", text.replace("\r", ""))) if x))
+    scored = sorted((-sum(t in s.lower() for t in terms), k) for k, s in enumerate(lines))
+    left, chosen = budget, []
+
+    def take(k):
+        nonlocal left
+        size = min(len(lines[k]), 280, left)
+        if left >= 60 and size >= 24 and k not in chosen:
+            chosen.append(k)
+            left -= size + 1
+
+    for t in terms:
+        best = next((k for _, k in scored if t in lines[k].lower() and k not in chosen), None)
+        if best is not None:
+            take(best)
+    for _, k in scored:
+        take(k)
+    return len(chosen), budget - left, sum(any(t in lines[k].lower() for k in chosen) for t in terms)
+
+
+def test_evidence_of_whole_documents_against_a_loop(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    terms = ["erea", "tion", "haha", "zzz"]
+    got = {r.doc_id: (r.n_chosen, r.n_chars, r.n_covered) for r in packing.evidence_sentences(docs, terms, 700).collect()}
+    assert got == {r.doc_id: chosen_sentences(r.text or "", terms, 700) for r in docs.collect()}
+
+
 def test_diversified_selection_of_the_table(spark):
     rows = catalog.QUERIES["k19_diversified_selection"](spark, SMALL).orderBy("position").collect()
     front = sorted(r.id for r in catalog.QUERIES["k16_candidate_skyline"](spark, SMALL).collect())[:6]
@@ -268,6 +329,25 @@ def test_draws_have_their_distribution(spark):
         assert abs(values.mean() - mean) < 5 * (var / 4000) ** 0.5 and abs(values.var() / var - 1) < 0.2 and (values > 0).all()
 
 
+def test_terms_by_index_against_every_pair(spark):
+    from briarlake.operators import records
+    from pyspark.sql import functions as F
+
+    draw = random.Random(9)
+    texts = [(k, "".join(draw.choice("ab c-") for _ in range(draw.randrange(12)))) for k in range(80)] + [(100, None), (101, ""), (102, "Senior A-B c")]
+    terms = ["", "a", "ab", "abc", "a b", "b c a", "-", "A-B", "zz", None]
+    rows, asked = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(t,) for t in [*terms, "ab"]], "term string")
+    got = {tuple(r) for r in records.substring_hits(rows, "id", F.col("t"), asked, "term").collect()}
+    assert got == {(k, t) for k, x in texts if x is not None for t in terms if t is not None and t in x}
+    norm = lambda x: " ".join("".join(c if c.isalnum() else " " for c in (x or "").lower()).split())
+    got = [tuple(r) for r in records.whole_term_hits(rows, "id", F.col("t"), asked, "term").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, t) for k, x in texts for t in terms if norm(t) and f" {norm(t)} " in f" {norm(x)} "}
+    pairs = records.every_pair(rows, "id", asked.distinct(), 3)
+    assert pairs.count() == len(texts) * len(terms)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_rescues_by_group(spark):
     rows = [("a", k, k < 3, float(k), f"u{k}") for k in range(8)] + [("b", k, True, 1.0, None) for k in range(9)] + [("c", 1, False, 2.0, "x"), ("c", 2, False, 2.0, None), (None, 5, False, 1.0, "u")]
     got = packing.rescued(spark.createDataFrame(rows, "g string, id long, qualified boolean, rank double, url string"), "g", 5, 0.3).collect()
