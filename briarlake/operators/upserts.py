@@ -18,7 +18,7 @@ class RolledBack(Exception):
     """A row of an all-or-nothing batch was stale or asked for a lead that is not stored."""
 
 
-def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, require_existing: bool = False, atomic: bool = False, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, require_existing: bool = False, atomic: bool = False, rounds: int = 12, few: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(seq, id, disposition, holder) of every incoming row, and (id, revision, identity, seq) of every lead after the batch.
 
     Rows have id, revision and identity; incoming ones `seq`, by which they are
@@ -38,8 +38,9 @@ def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, requir
     rows whose identity is held by a lead without open rows before them
     (duplicates), rows older than their lead (never written, so they hold up
     nobody), and runs of updates that ask for no revision and keep the identity.
-    What `rounds` leave, chains tied by ever other ids and identities, is split
-    into connected components, each walked as a sorted stream.
+    Once no more than `few` rows are left, one task walks them. What `rounds` leave
+    beyond that, chains tied by ever other ids and identities, is split into
+    connected components, each walked as a sorted stream.
     """
     kinds = {c: incoming.schema[c].dataType.simpleString() for c in _ROW}
     open_ = scratch.keep(incoming.select(*_ROW))
@@ -48,15 +49,17 @@ def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, requir
     held = F.when(F.col("_holder") == F.col("id"), F.col("identity"))
     leads = scratch.keep(leads.select("id", "revision", held.alias("identity"), F.lit(None).cast(kinds["seq"]).alias("seq")))
     done: list[DataFrame] = []
+    n = open_.count()
     for _ in range(rounds):
-        if open_.isEmpty():
+        if n <= few:
             break
         found = scratch.keep(_decided(open_, leads, scratch, require_existing))
         done.append(found)
         leads = scratch.keep(_after(leads, found))
         open_ = scratch.keep(open_.join(found.select(F.col("seq").alias("_seq")), F.col("seq") == F.col("_seq"), "left_anti"))
-    if not open_.isEmpty():
-        found = scratch.keep(_walked(open_, leads, scratch, require_existing, kinds))
+        n = open_.count()
+    if n:
+        found = scratch.keep(_walked(open_, leads, scratch, require_existing, kinds, n > few))
         done.append(found)
         leads = scratch.keep(_after(leads, found))
     result = done[0] if done else _decided(open_, leads, scratch, require_existing)
@@ -71,14 +74,14 @@ def _decided(open_: DataFrame, leads: DataFrame, scratch: Scratch, require_exist
     """(seq, id, identity, disposition, holder) of the rows that can be decided now."""
     now = leads.select(F.col("id").alias("_id"), F.col("revision").alias("_revision"), F.col("identity").alias("_own"))
     holders = leads.where("identity IS NOT NULL").select(F.col("identity").alias("_claimed"), F.col("id").alias("_holder"))
-    rows = scratch.keep(open_.join(now, F.col("id") == F.col("_id"), "left"))
+    rows = open_.join(now, F.col("id") == F.col("_id"), "left")
     rows = rows.join(holders, F.col("identity") == F.col("_claimed"), "left").drop("_claimed")
     exists = F.col("_id").isNotNull()
     rows = rows.withColumn("_old", F.coalesce(exists & (F.col("revision") < F.col("_revision")), F.lit(False)) | (~exists if require_existing else F.lit(False)))
     rows = scratch.keep(rows.withColumn("_stays", exists & F.col("revision").isNull() & F.col("identity").eqNullSafe(F.col("_own"))))
     live = rows.where("NOT _old")
     by_id = scratch.keep(live.groupBy(F.col("id").alias("_row_id")).agg(F.min("seq").alias("_first"), F.min(F.when(~F.col("_stays"), F.col("seq"))).alias("_run_end")))
-    claims = scratch.keep(live.where("identity IS NOT NULL").groupBy(F.col("identity").alias("_name")).agg(F.min("seq").alias("_claim")))
+    claims = live.where("identity IS NOT NULL").groupBy(F.col("identity").alias("_name")).agg(F.min("seq").alias("_claim"))
     of_holder = by_id.select(F.col("_row_id").alias("_by"), F.col("_first").alias("_moves"))
     rows = rows.join(by_id, F.col("id") == F.col("_row_id"), "left").join(claims, F.col("identity") == F.col("_name"), "left").join(of_holder, F.col("_holder") == F.col("_by"), "left")
     before = lambda c: F.col(c).isNull() | (F.col("seq") < F.col(c))
@@ -104,8 +107,8 @@ def _after(leads: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("id", "_new").alias("id"), pick(revision.cast(leads.schema["revision"].dataType), "revision"), pick(F.col("_last.identity"), "identity"), pick(F.col("_seq"), "seq"))
 
 
-def _walked(open_: DataFrame, leads: DataFrame, scratch: Scratch, require_existing: bool, kinds: dict[str, str]) -> DataFrame:
-    """As `_decided`, of all rows: components of ids and identities, each walked in order; only the state of its leads is held.
+def _walked(open_: DataFrame, leads: DataFrame, scratch: Scratch, require_existing: bool, kinds: dict[str, str], many: bool) -> DataFrame:
+    """As `_decided`, of all rows, walked in order: components of ids and identities apart if there are `many`; only the state of their leads is held.
 
     Ids and identities are nodes by hash: two that collide share a walk, which
     changes nothing.
@@ -114,9 +117,16 @@ def _walked(open_: DataFrame, leads: DataFrame, scratch: Scratch, require_existi
     met = leads.join(open_.select(F.col("id").alias("_o")).distinct(), F.col("id") == F.col("_o"), "left_semi")
     met = met.unionByName(leads.join(open_.select(F.col("identity").alias("_o")).distinct(), F.col("identity") == F.col("_o"), "left_semi")).distinct()
     known = met.select(F.lit(None).cast(kinds["seq"]).alias("seq"), "id", "revision", "identity")
-    rows = scratch.keep(known.unionByName(open_).withColumn("node", row).withColumn("other", F.coalesce(lead, row)))
+    rows = known.unionByName(open_).withColumn("node", row).withColumn("other", F.coalesce(lead, row))
+    if not many:
+        return _walk(rows.withColumn("root", F.lit(0).cast("long")), require_existing, kinds)
+    rows = scratch.keep(rows)
     roots = scratch.keep(components(rows.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "_node").distinct())
-    tied = rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    return _walk(rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")), require_existing, kinds)
+
+
+def _walk(tied: DataFrame, require_existing: bool, kinds: dict[str, str]) -> DataFrame:
+    """Rows with a root, those of a root in order of seq; rows without seq are the leads as they stand."""
     ordered = tied.select("root", *_ROW).repartition("root").sortWithinPartitions("root", F.col("seq").asc_nulls_first())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
