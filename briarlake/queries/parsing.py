@@ -17,12 +17,19 @@ def _(f: Frames) -> DataFrame:
     return ports.offline_pages(f.pages, "url", f.pages).distinct()
 
 
-@query("a12_markdown_results", "SELECT seq, 'Result ' || seq AS title, 'https://r' || seq || '.org/x' AS url, 'snippet of ' || seq AS content FROM observations")
+_TITLE = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\[\]]', ' ', 'g'), '\s+', ' ', 'g'))"
+_LINES = "list_filter(list_transform(string_split(array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), chr(10)), chr(10)), lambda x: trim(x)), lambda x: NOT starts_with(x, '![') AND NOT starts_with(x, '---') AND NOT starts_with(x, '***'))"
+
+
+@query("a12_markdown_results", rf"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, trim(regexp_replace(array_to_string({_LINES}, ' '), '\s+', ' ', 'g')) AS content FROM pages)
+ SELECT page_id, title, url, coalesce(nullif(content, ''), title) AS content FROM p WHERE length(title) > 1 AND regexp_matches(url, '^https?://[^\s)]+$')""")
 def _(f: Frames) -> DataFrame:
-    n = C("seq").cast("string")
-    text = F.concat(F.lit("## [Skip](https://www.bing.com/x)\nnoise\n### [Result "), n, F.lit("](https://r"), n, F.lit(".org/x)\n\nsnippet of "), n, F.lit("\n---\n"))
-    found = f.observations.select("seq", text.alias("body"))
-    return found.lateralJoin(parsers.MarkdownResults(C("body").outer())).select("seq", "title", "url", "content")
+    """Each page as its own result in a list of results, between an advert, a picture and a link of the engine's own: title, address and all paragraphs come from the page."""
+    title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"[\[\]]", " "), r"\s+", " "))
+    head = F.concat(F.lit("# Results\n[advert](https://www.bing.com/aclk)\n### ["), title, F.lit("]("), C("url"), F.lit(")\n\n![picture](http://pictures.example/x.png)\n"))
+    shown = F.concat(head, F.array_join(F.expr("regexp_extract_all(html, '<p>([^<]*)</p>', 1)"), "\n"), F.lit("\n---\n## [More](https://www.msn.com/more)\nnoise at the end"))
+    found = f.pages.where(C("url").rlike(r"^https?://[^\s)]+$")).select("page_id", F.explode(parsers.linked_results(shown)).alias("r"))
+    return found.select("page_id", "r.title", "r.url", "r.content")
 
 
 @query("h18_profile_parser", "SELECT id, CASE WHEN id % 4 = 0 THEN 'bad' ELSE 'good' END AS quality, CASE WHEN id % 4 > 0 THEN 'Jane Roe' END AS name, CASE WHEN id % 4 > 0 THEN 'Firm ' || id END AS company FROM leads")

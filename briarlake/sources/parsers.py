@@ -43,12 +43,17 @@ def markdown_results(text: str | None) -> list[tuple[str, str, str]]:
     return [(t, u, re.sub(r"\s+", " ", " ".join(s)).strip() or t) for t, u, s in out]
 
 
-@F.udtf(returnType=Y.StructType([Y.StructField(n, Y.StringType()) for n in ("title", "url", "content")]))
-class MarkdownResults:
-    """Table function over one text."""
+_RESULT = Y.ArrayType(Y.StructType([Y.StructField(n, Y.StringType()) for n in ("title", "url", "content")]))
 
-    def eval(self, text: str):
-        yield from markdown_results(text)
+
+@F.pandas_udf(_RESULT)
+def _results(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [dict(zip(("title", "url", "content"), r, strict=True)) for r in markdown_results(t)])
+
+
+def linked_results(text: Column) -> Column:
+    """The linked results of a text, in Arrow batches: an array of (title, url, content)."""
+    return _results(text)
 
 
 def json_in_text(text: str | None, required: tuple[str, ...] = ()) -> str | None:
