@@ -107,45 +107,22 @@ def _points(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(n).to_numpy() for n in names], axis=1)
 
 
-def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 1024, most_cells: int = 4096, strong: int = 1024, sample: int = 65536) -> DataFrame:
-    """Rows that no other dominates: as good in all objectives and better in one.
+def _made(objectives: list[str], points: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, more.values()), *(pa.array(points[:, d]) for d in range(len(objectives)))], names=[*more, *objectives])
 
-    The `strong` distinct vectors of the greatest sums leave few of most tables.
-    What they leave is cut into cells of about `cell` vectors, by medians of a
-    sample; a cell keeps its own front, in a task of its own. A cell can beat
-    another only if its best corner is as good as the other's worst, which holds
-    for few neighbours along a front, and one whose worst corner beats the other's
-    best drops it whole. Each cell then meets the fronts of those neighbours as a
-    stream. So a front of any size is spread over its cells and no task compares
-    all pairs; the driver sees `strong` vectors, the sample, and the corners of
-    `most_cells` cells.
 
-    Rows with a null objective are not compared and left out; NaN is neither
-    better nor worse than anything.
-    """
-    scratch, schema = Scratch(rows.sparkSession, "front"), ", ".join(f"{o} double" for o in objectives)
-    asked = scratch.keep(rows.select(*[F.col(o).cast("double").alias(o) for o in objectives]).where(" AND ".join(f"{o} IS NOT NULL" for o in objectives)).distinct())
-    odd = " OR ".join(f"isnan({o})" for o in objectives)
-    total = sum((F.col(o) for o in objectives[1:]), F.col(objectives[0]))
-    matrix = lambda found: np.array([list(r) for r in found], np.float64).reshape(-1, len(objectives))
-    best = _front(matrix(asked.where(f"NOT ({odd})").orderBy(total.desc()).limit(strong).collect()))
-
-    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _batch(_undominated(_points(batch, objectives), best))
-
-    def _batch(points: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, more.values()), *(pa.array(points[:, d]) for d in range(len(objectives)))], names=[*more, *objectives])
-
-    left = scratch.keep(asked.where(f"NOT ({odd})").mapInArrow(strongest, schema))
+def _front_by_cells(points: DataFrame, objectives: list[str], schema: str, scratch: Scratch, cell: int, most_cells: int, sample: int) -> DataFrame:
+    """The front of distinct points, cut into cells; more columns may stand beside the objectives."""
+    left = scratch.keep(points)
     n = left.count()
     depth = min(int(math.log2(most_cells)), max(0, math.ceil(math.log2(max(n, 1) / cell))))
-    cells = _Cells(matrix(left.where(F.rand(7) < 2 * sample / max(n, 1)).limit(sample).collect()) if depth else np.empty((0, len(objectives))), depth)
+    drawn = left.where(F.rand(7) < 2 * sample / max(n, 1)).limit(sample).collect() if depth else []
+    cells = _Cells(np.array([list(r) for r in drawn], np.float64).reshape(-1, len(objectives)), depth)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _points(batch, objectives)
-            yield _batch(points, cell=cells.of(points))
+            yield _made(objectives, points, cell=cells.of(points))
 
     def by_cell(name: str, finish: Callable[[int, np.ndarray], np.ndarray], filters: bool = False):
         """Over rows sorted by `name`: the points of each cell, or what of them the filters after them leave."""
@@ -160,7 +137,7 @@ def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 1024,
                     if at[s] != now:
                         if now is not None:
                             out = finish(now, np.concatenate(held) if points is None else points)
-                            yield _batch(out, cell=np.full(len(out), now))
+                            yield _made(objectives, out, cell=np.full(len(out), now))
                         now, held, points = at[s], [], None
                     if against[s]:
                         points = _undominated(np.concatenate(held) if points is None else points, all_points[s:e])
@@ -168,37 +145,71 @@ def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 1024,
                         held.append(all_points[s:e])
             if now is not None:
                 out = finish(now, np.concatenate(held) if points is None else points)
-                yield _batch(out, cell=np.full(len(out), now))
+                yield _made(objectives, out, cell=np.full(len(out), now))
 
         return run
 
     spread = left.mapInArrow(placed, f"cell long, {schema}").repartition("cell").sortWithinPartitions("cell")
     fronts = scratch.keep(spread.mapInArrow(by_cell("cell", lambda _, points: _front(points)), f"cell long, {schema}"))
-    front = fronts
-    if depth:
-        corners = fronts.groupBy("cell").agg(*[F.min(o).alias(f"low{k}") for k, o in enumerate(objectives)], *[F.max(o).alias(f"high{k}") for k, o in enumerate(objectives)]).orderBy("cell").collect()
-        names = np.array([r.cell for r in corners])
-        low, high = (np.array([[r[f"{c}{k}"] for k in range(len(objectives))] for r in corners]) for c in ("low", "high"))
-        meets: dict[int, list[int]] = {int(c): [] for c in names}
-        worst = dict(zip(map(int, names), low, strict=True))
-        for k in range(len(names)):
-            beaten = ((low >= high[k]).all(axis=1) & (low > high[k]).any(axis=1)).any()
-            if not beaten:
-                for j in np.flatnonzero((high >= low[k]).all(axis=1)):
-                    meets[int(names[j])].append(int(names[k]))
-
-        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, points = batch.column("cell").to_numpy(), _points(batch, objectives)
-                for own in np.unique(at):
-                    mine = points[at == own]
-                    for to in meets[int(own)]:
-                        able = mine if to == own else mine[(mine >= worst[to]).all(axis=1)]
-                        if len(able):
-                            yield _batch(able, cell=np.full(len(able), to), against=np.full(len(able), int(to != own)))
-
-        dealt = fronts.mapInArrow(sent, f"cell long, against long, {schema}").repartition("cell").sortWithinPartitions("cell", "against")
-        front = dealt.mapInArrow(by_cell("cell", lambda _, points: points, filters=True), f"cell long, {schema}")
+    if not depth:
+        return fronts
+    corners = fronts.groupBy("cell").agg(*[F.min(o).alias(f"low{k}") for k, o in enumerate(objectives)], *[F.max(o).alias(f"high{k}") for k, o in enumerate(objectives)]).orderBy("cell").collect()
+    names = np.array([r.cell for r in corners])
+    low, high = (np.array([[r[f"{c}{k}"] for k in range(len(objectives))] for r in corners]) for c in ("low", "high"))
+    meets: dict[int, list[int]] = {int(c): [] for c in names}
+    worst = dict(zip(map(int, names), low, strict=True))
+    for k in range(len(names)):
+        beaten = ((low >= high[k]).all(axis=1) & (low > high[k]).any(axis=1)).any()
+        if not beaten:
+            for j in np.flatnonzero((high >= low[k]).all(axis=1)):
+                meets[int(names[j])].append(int(names[k]))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, points = batch.column("cell").to_numpy(), _points(batch, objectives)
+            for own in np.unique(at):
+                mine = points[at == own]
+                for to in meets[int(own)]:
+                    able = mine if to == own else mine[(mine >= worst[to]).all(axis=1)]
+                    if len(able):
+                        yield _made(objectives, able, cell=np.full(len(able), to), against=np.full(len(able), int(to != own)))
+
+    dealt = fronts.mapInArrow(sent, f"cell long, against long, {schema}").repartition("cell").sortWithinPartitions("cell", "against")
+    return dealt.mapInArrow(by_cell("cell", lambda _, points: points, filters=True), f"cell long, {schema}")
+
+
+def skyline(rows: DataFrame, key: str, objectives: list[str], cell: int = 1024, most_cells: int = 4096, strong: int = 1024, sample: int = 65536) -> DataFrame:
+    """Rows that no other dominates: as good in all objectives and better in one.
+
+    The `strong` distinct vectors of the greatest sums leave few of most tables.
+    What they leave is cut into cells of about `cell` vectors, by medians of a
+    sample; a cell keeps its own front, in a task of its own. A cell can beat
+    another only if its best corner is as good as the other's worst, which holds
+    for few neighbours along a front, and one whose worst corner beats the other's
+    best drops it whole. Each cell then meets the fronts of those neighbours as a
+    stream. So a front of any size is spread over its cells and no task compares
+    all pairs; the driver sees `strong` vectors, the sample, and the corners of
+    `most_cells` cells.
+
+    Rows with a null objective are not compared and left out; NaN is neither
+    better nor worse than anything.
+    """
+    scratch, schema = Scratch(rows.sparkSession, "front"), ", ".join(f"{o} double" for o in objectives)
+    asked = scratch.keep(rows.select(*[F.col(o).cast("double").alias(o) for o in objectives]).where(" AND ".join(f"{o} IS NOT NULL" for o in objectives)).distinct())
+    odd = " OR ".join(f"isnan({o})" for o in objectives)
+    total = sum((F.col(o) for o in objectives[1:]), F.col(objectives[0]))
+    matrix = lambda found: np.array([list(r) for r in found], np.float64).reshape(-1, len(objectives))
+    top = matrix(asked.where(f"NOT ({odd})").orderBy(total.desc()).limit(strong + 1).collect())
+    best = _front(top[:strong])
+
+    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _made(objectives, _undominated(_points(batch, objectives), best))
+
+    if len(top) <= strong:  # these are all
+        front = rows.sparkSession.createDataFrame(best.tolist(), schema)
+    else:
+        front = _front_by_cells(asked.where(f"NOT ({odd})").mapInArrow(strongest, schema), objectives, schema, scratch, cell, most_cells, sample)
     same = F.lit(True)
     for o in objectives:
         same = same & (F.col(o) == F.col(f"_{o}"))

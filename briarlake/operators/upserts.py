@@ -18,7 +18,7 @@ class RolledBack(Exception):
     """A row of an all-or-nothing batch was stale or asked for a lead that is not stored."""
 
 
-def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, require_existing: bool = False, atomic: bool = False, rounds: int = 12, few: int = 1000) -> tuple[DataFrame, DataFrame]:
+def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, require_existing: bool = False, atomic: bool = False, rounds: int = 12, few: int = 16384) -> tuple[DataFrame, DataFrame]:
     """(seq, id, disposition, holder) of every incoming row, and (id, revision, identity, seq) of every lead after the batch.
 
     Rows have id, revision and identity; incoming ones `seq`, by which they are
