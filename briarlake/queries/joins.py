@@ -10,6 +10,7 @@ from briarlake.operators import identity as I
 from briarlake.operators import matching as M
 from briarlake.queries import sql as S
 from briarlake.registry import Frames, query
+from briarlake.scratch import Scratch
 
 C = F.col
 _KEYS = f"keys AS (SELECT id, created_at, unnest({S.keys('email', 'url', 'full_name', 'company', 'website')}) AS k FROM leads)"
@@ -120,7 +121,8 @@ def objectives(f: Frames) -> DataFrame:
 @query("c11_pareto_skyline", f"WITH {_SUPPLIERS} SELECT id FROM objectives a WHERE NOT EXISTS (SELECT 1 FROM objectives b WHERE {' AND '.join(f'b.{o} >= a.{o}' for o in _OBJECTIVES)} AND ({' OR '.join(f'b.{o} > a.{o}' for o in _OBJECTIVES)}))")
 def _(f: Frames) -> DataFrame:
     """K16 too."""
-    return M.skyline(objectives(f), "id", _OBJECTIVES).select("id")
+    suppliers = Scratch(f.spark, "suppliers").keep(objectives(f))  # read twice
+    return M.skyline(suppliers, "id", _OBJECTIVES).select("id")
 
 
 @query("c12_judged_requirements", """WITH asked AS (SELECT DISTINCT requirement_id FROM requirements), j AS (SELECT candidate_id, requirement_id, arg_min(status, (line_no, status)) AS status FROM judgments GROUP BY ALL)
