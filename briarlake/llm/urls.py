@@ -6,8 +6,11 @@ that were active then: by exact URL, by host or parent domain, or by a path
 prefix.
 
 List entries and captures are brought to one form: small letters in scheme and
-host, hosts beyond ASCII in punycode, no final dot, user or port in a host, no
-empty path parts, no fragment.
+host, hosts beyond ASCII in punycode, no final dot or user in a host, no port that
+its scheme implies, dot segments resolved, escapes of letters, digits and -._~
+decoded and other escapes in capitals, no fragment. A URL that begins with // has
+a host but no scheme: domains and prefixes match it, exact URLs only if spelt so.
+Prefixes ignore ports and empty path parts.
 
 Defined results: a null or unparsable URL, or a null fetch time, matches
 nothing and is not blocked; an entry without a host blocks nothing; repeated
@@ -26,7 +29,7 @@ from briarlake.operators.order import partitions
 from briarlake.scratch import Scratch
 
 
-_AUTHORITY = r"^(?i:https?)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)"
+_AUTHORITY = r"^(?:(?i:https?):)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)"
 
 
 def ascii_host(name: Column) -> Column:
@@ -41,24 +44,39 @@ def host(url: Column) -> Column:
     return ascii_host(F.regexp_extract(url, _AUTHORITY, 1))
 
 
+def decoded(text: Column) -> Column:
+    """Escapes of letters, digits and -._~ become those characters, hex digits of other escapes capitals."""
+
+    def piece(part: Column) -> Column:
+        code, rest = F.conv(F.substring(part, 1, 2), 16, 10).cast("int"), F.substring(part, 3, 1 << 30)
+        return F.when(~part.rlike(r"^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), part)).when(F.char(code).rlike(r"^[A-Za-z0-9._~-]$"), F.concat(F.char(code), rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(part, 1, 2)), rest))
+
+    parts = F.split(text, "%")
+    return F.when(F.contains(text, F.lit("%")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))).otherwise(text)
+
+
 def path(url: Column) -> Column:
-    """Path of the URL without query and fragment, "/" at least."""
-    found = F.regexp_extract(url, r"^(?i:https?)://[^/?#]+([^?#]*)", 1)
-    return F.when(found == "", F.lit("/")).otherwise(found)
+    """Path of the URL without query and fragment, dot segments resolved, "/" at least."""
+    found = decoded(F.regexp_extract(url, r"^(?:(?i:https?):)?//[^/?#]+([^?#]*)", 1))
+    steps = F.split(found, "/")
+    step = lambda made, s: F.when(s == ".", made).when(s == "..", F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0)))).otherwise(F.concat(made, F.array(s)))
+    plain = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"), step)
+    plain = F.when(found.rlike(r"/\.{1,2}$"), F.concat(plain, F.array(F.lit("")))).otherwise(plain)
+    return F.when(found == "", F.lit("/")).when(found.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(plain, "/"))).otherwise(found)
 
 
 def canonical(url: Column) -> Column:
-    """The URL without fragment, with scheme, host and port in small letters and a path; null if it has no host."""
-    scheme, port, query = F.lower(F.regexp_extract(url, r"^(?i:https?)", 0)), F.regexp_extract(url, _AUTHORITY + r"(:\d+)?", 2), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
-    return F.concat(scheme, F.lit("://"), host(url), port, path(url), query)
+    """The URL in the one form; null if it has no host."""
+    scheme, port, query = F.lower(F.regexp_extract(url, r"^(?i:https?:)?", 0)), F.regexp_extract(url, _AUTHORITY + r"(:\d+)?", 2), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    told = F.when(F.concat(scheme, port).isin("http::80", "https::443"), F.lit("")).otherwise(port)
+    return F.concat(scheme, F.lit("//"), host(url), told, path(url), decoded(query))
 
 
 def entry_pattern(kind: Column, pattern: Column) -> Column:
     """A list entry in the form of `lookups`; prefixes may have a scheme."""
-    bare = F.regexp_replace(pattern, r"^(?i:https?)://", "")
-    front = ascii_host(F.regexp_extract(bare, r"^[^/]*", 0))
-    steps = F.filter(F.split(F.regexp_replace(bare, r"^[^/]*", ""), "/"), lambda p: p != "")
-    return F.when(kind == "url", canonical(pattern)).when(kind == "domain", ascii_host(pattern)).when((kind == "prefix") & (F.size(steps) > 0), F.concat(front, F.lit("/"), F.array_join(steps, "/")))
+    whole = F.concat(F.lit("//"), F.regexp_replace(pattern, r"^(?:(?i:https?):)?//", ""))
+    steps = parts(whole)
+    return F.when(kind == "url", canonical(pattern)).when(kind == "domain", ascii_host(pattern)).when((kind == "prefix") & (F.size(steps) > 0), F.concat(host(whole), F.lit("/"), F.array_join(steps, "/")))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -140,12 +158,21 @@ def stand_in_events(pages: DataFrame) -> DataFrame:
 
 #: The same in DuckDB for the stand-ins; `pages` has page_id and url.
 SQL = r"""
-WITH parted AS (
+WITH split AS (
   SELECT page_id, url, make_timestamp((1704067200 + ((page_id * 37) % 730) * 86400)::BIGINT * 1000000) AS fetch_ts,
-         rtrim(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
-         list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> '') AS parts,
-         lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS canonical
+         rtrim(lower(regexp_extract(url, '^(?:[hH][tT]{2}[pP][sS]?:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
+         lower(regexp_extract(url, '^([hH][tT]{2}[pP][sS]?:)?//', 1)) AS scheme, regexp_extract(url, '^(?:[hH][tT]{2}[pP][sS]?:)?//(?:[^/?#@]*@)?[^/?#:@]+(:\d+)', 1) AS port,
+         list_transform(['/' || regexp_extract(url, '^(?:[hH][tT]{2}[pP][sS]?:)?//[^/?#]+/?([^?#]*)', 1), regexp_extract(url, '^[^?#]*(\?[^#]*)', 1)], lambda t:
+           array_to_string(list_transform(string_split(t, '%'), lambda p, k: CASE WHEN k = 1 THEN p WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN '%' || p
+             WHEN regexp_matches(chr(('0x' || p[1:2])::INT), '^[A-Za-z0-9._~-]$') THEN chr(('0x' || p[1:2])::INT) || p[3:] ELSE '%' || upper(p[1:2]) || p[3:] END), '')) AS told
   FROM pages
+), resolved AS (
+  SELECT *, list_reduce(list_transform(string_split(told[1], '/'), lambda p: [p]), lambda made, p: CASE p[1] WHEN '.' THEN made WHEN '..' THEN made[1:greatest(1, len(made) - 1)] ELSE made || p END)
+    || CASE WHEN regexp_matches(told[1], '/\.{1,2}$') THEN [''] ELSE [] END AS steps FROM split
+), parted AS (
+  SELECT page_id, url, fetch_ts, host, list_filter(steps, lambda p: p <> '') AS parts,
+         scheme || '//' || host || CASE WHEN scheme || port IN ('http::80', 'https::443') THEN '' ELSE port END || array_to_string(steps, '/') || told[2] AS canonical
+  FROM resolved
 ), captures AS (
   SELECT *, host || '/' || array_to_string(parts, '/') || '/' AS whole, host || '/' || array_to_string(parts[1:greatest(1, len(parts) // 2)], '/') AS half FROM parted
 ), patterns AS (

@@ -71,3 +71,28 @@ def test_entries_and_captures_in_other_spellings(spark):
     urls = ["http://www.b.com/", "http://xn--bcher-kva.de/", "http://BÜCHER.de:80/q", "http://x.wild.org", "https://a.com/x", "http://c.net/deep/er/end", "http://one.net/#frag", "http://[2001:DB8::1]:8080/p", "http://nohost.org/"]
     got = match_lists(spark.createDataFrame([(k, u, day(2), "x") for k, u in enumerate(urls)], CAPTURES), spark.createDataFrame(events, EVENTS), Scratch(spark, "t")).collect()
     assert {urls[r.page_id]: (r.n_entries, r.first_list) for r in got if r.blocked} == dict(zip(urls[:8], [(1, f"l{n}") for n in (1, 2, 2, 3, 4, 5, 6, 7)], strict=True))
+
+
+def test_ports_dots_and_escapes(spark):
+    entries = [("url", "http://a.com/x", 1), ("prefix", "a.com:80/y/", 2), ("url", "https://b.com/%7eu/%c3%a9?q=%41", 3), ("prefix", "b.com/d/../e", 4), ("url", "//c.com/x", 5), ("domain", "d.com", 6), ("url", "http://e.com/a/", 7), ("url", "http://f.com:443/", 8)]
+    urls = {
+        "http://a.com:80/x": 1, "http://A.com/%78": 1, "http://a.com/z/../x": 1, "http://a.com/./x": 1, "http://a.com/%2e%2E/../x": 1, "//a.com/y/k": 2, "http://a.com/x/../y": 2, "http://a.com:8080/y/1": 2,
+        "https://b.com:443/~u/%C3%A9?q=A#f": 3, "//u@b.com/e/": 4, "//c.com/q/../x": 5, "//www.d.com": 6, "http://e.com/a/b/..": 7, "http://e.com/a/.": 7, "http://f.com:443/": 8,
+    }
+    free = ["http://a.com:443/x", "https://a.com:80/x", "http://a.com/%2Fx", "http://a.com/x/", "http://a.com/x%", "http://a.com/x/..", "http://a.com/..x", "http://c.com/x", "http://f.com/", "//", "/a.com/x"]
+    captures = [*urls, *free]
+    got = match_lists(spark.createDataFrame([(k, u, day(2), "x") for k, u in enumerate(captures)], CAPTURES), spark.createDataFrame([(k, p, f"l{n}", day(1), "add") for k, p, n in entries], EVENTS), Scratch(spark, "t")).collect()
+    assert {captures[r.page_id]: (r.n_entries, r.first_list) for r in got if r.blocked} == {u: (1, f"l{n}") for u, n in urls.items()}
+
+
+def test_sql_brings_urls_to_the_same_form(spark, tmp_path):
+    import duckdb
+
+    from briarlake.llm import queries
+
+    odd = ["http://a.com:80/x/../y//z", "HTTPS://A.com:443/%7e%41/%2f?b=%63%2F", "//b.com/a/./b/..", "https://c.com/../..", "http://c.com?x", "http://c.com:8080/%zz%", None, "none", "http://d.com/" + "p/../" * 50 + "q"]
+    spark.createDataFrame([(k, odd[k % len(odd)] and odd[k % len(odd)] + "x" * (k // len(odd)), "") for k in range(300)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.n_entries, r.first_list, r.blocked) for r in queries.op7_url_filters(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT page_id, n_entries, first_list, blocked FROM ({queries.ORACLE_SQL['op7_url_filters'].strip()})").fetchall()) and sum(r[3] for r in got) > 30
