@@ -26,13 +26,15 @@ def _(f: Frames) -> DataFrame:
     return B.retrieval_tasks(f.tasks)
 
 
-@query("m09_plan_rows", r"SELECT id, CASE WHEN id % 2 = 0 THEN 'plain ' || id ELSE 'find ' || id END AS query FROM tasks WHERE id % 5 <> 4")
+@query("m09_plan_rows", "SELECT id, shape, query FROM tasks, (VALUES ('text'), ('object')) s(shape) WHERE query IS NOT NULL")
 def _(f: Frames) -> DataFrame:
-    """Strings and objects become rows; items without a query go."""
-    item = F.when(C("id") % 5 == 4, F.lit('{"query": 7}')).when(C("id") % 2 == 0, F.concat(F.lit('"plain '), C("id").cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('{"query":"find '), C("id").cast("string"), F.lit('","lane":"person"}')))
-    parsed = F.parse_json(item)
+    """Each task's query as a string, in an object, as a number and missing: strings and objects become rows, items without a query go."""
+    quoted = F.to_json(F.array("query"))
+    shapes = {"text": F.substring(quoted, F.lit(2), F.length(quoted) - 2), "object": F.to_json(F.struct("query", "lane")), "number": F.to_json(F.struct(C("id").alias("query"), "lane")), "missing": F.to_json(F.struct("lane"))}
+    told = f.tasks.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("shape"), t.alias("item")) for n, t in shapes.items()])).alias("s"))
+    parsed = F.parse_json("s.item")
     text = F.coalesce(F.when(F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string")), F.when(F.schema_of_variant(F.try_variant_get(parsed, "$.query", "variant")) == "STRING", F.try_variant_get(parsed, "$.query", "string")))
-    return f.tasks.select("id", text.alias("query")).where("query IS NOT NULL")
+    return told.select("id", "s.shape", text.alias("query")).where("query IS NOT NULL")
 
 
 @query("m10_spec_from_contract", "SELECT scope, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM requirements GROUP BY scope")

@@ -117,17 +117,18 @@ _TEXT_FIELDS = ("quality", "name", "headline", "company", "location")
 
 @F.pandas_udf(Y.StructType([*[Y.StructField(n, Y.StringType()) for n in _TEXT_FIELDS], Y.StructField("n_experience", Y.LongType())]))
 def _profiles(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([profile(t) for t in texts], columns=[*_TEXT_FIELDS, "n_experience"])
+    return pd.DataFrame([profile(t) for t in texts], columns=[*_TEXT_FIELDS, "n_experience"], dtype=object)  # strings of pandas may come in chunks, which no struct takes
 
 
 def parsed_profile(text: Column) -> Column:
     return _profiles(text)
 
 
-@F.pandas_udf(Y.StringType())
-def _json(texts: pd.Series) -> pd.Series:
-    return texts.map(json_in_text)
+def extracted_json(text: Column, required: tuple[str, ...] = ()) -> Column:
+    """The JSON with the required keys that a text holds, in Arrow batches; null if there is none."""
 
+    @F.pandas_udf(Y.StringType())
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json_in_text(t, required))
 
-def extracted_json(text: Column) -> Column:
-    return _json(text)
+    return found(text)
