@@ -32,6 +32,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -407,14 +408,19 @@ class Encoder:
         return np.concatenate([np.empty(0, np.int32), *(p[1] for p in parts)]), np.concatenate([np.empty(0, np.int64), *(p[2] for p in parts)])
 
 
-def restored(pieces: Pieces, texts: list[str | None], ids: np.ndarray, sizes: np.ndarray) -> list[bool]:
-    """Whether decoding the ids of each text gives its bytes; all ids are decoded at once."""
+def spelt(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, list[int]]:
+    """The bytes of all texts one after another and where each ends, from 0; `sizes` counts the ids of each."""
     width = pieces.surface_width[ids]
     ends = np.r_[0, np.cumsum(width)]
-    spelt = pieces.surface_bytes[np.arange(ends[-1]) + np.repeat(pieces.surface_start[ids] - ends[1:] + width, width)].tobytes()
-    bounds = ends[np.r_[0, np.cumsum(sizes)]].tolist()
+    text = pieces.surface_bytes[np.arange(ends[-1]) + np.repeat(pieces.surface_start[ids] - ends[1:] + width, width)].tobytes()
+    return text, ends[np.r_[0, np.cumsum(sizes)]].tolist()
+
+
+def restored(pieces: Pieces, texts: list[str | None], ids: np.ndarray, sizes: np.ndarray) -> list[bool]:
+    """Whether decoding the ids of each text gives its bytes; all ids are decoded at once."""
+    text, bounds = spelt(pieces, ids, sizes)
     skip = int(pieces.prefix)
-    return [t is None or spelt[a + (skip if t else 0) : b] == t.encode() for t, a, b in zip(texts, bounds, bounds[1:], strict=False)]
+    return [t is None or text[a + (skip if t else 0) : b] == t.encode() for t, a, b in zip(texts, bounds, bounds[1:], strict=False)]
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -442,12 +448,19 @@ def encode_documents(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id"
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(doc_id, text) for every row; null ids give a null text."""
+    """(doc_id, text) for every row; null ids give a null text, a null among a row's ids spells nothing."""
+    small_batches(encoded.sparkSession, 1200)
     shared = encoded.sparkSession.sparkContext.broadcast(Pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared.value
         for batch in batches:
-            texts = [None if x is None else shared.value.decode(x) for x in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            flat, rows = lists.flatten(), pc.list_parent_indices(lists)
+            rows, flat = rows.filter(flat.is_valid()).to_numpy(), flat.drop_null().to_numpy()
+            text, bounds = spelt(pieces, flat, np.bincount(rows, minlength=len(lists)))
+            starts = [a + (pieces.prefix and text[a : min(a + 1, b)] == b" ") for a, b in zip(bounds, bounds[1:], strict=False)]
+            texts = [text[a:b].decode("utf-8", "replace") if given else None for a, b, given in zip(starts, bounds[1:], lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema[doc_id].dataType.simpleString()

@@ -103,3 +103,12 @@ def test_units_whose_hashes_collide_go_the_plain_way(pieces, monkeypatch):
 def test_few_units_leave_the_lattice(pieces, spark):
     units = {u for r in spark.read.parquet(f"{brute.SMALL}/documents.parquet").collect() for u in pieces.units(r.text)}
     assert sum(len(u) > LONG_UNIT or SPACE * 2 in u for u in units) < 0.001 * len(units)
+
+
+def test_decoding_in_batches(spark):
+    pieces = Pieces(MODEL)
+    some = [len(pieces.ids) // 2, 7, len(pieces.ids) - 1]
+    rows = [(1, some), (2, None), (3, []), (4, [some[0], None, some[2]]), (5, [None]), (6, some[:1] * 5000), (None, some)]
+    got = {r.doc_id: r.text for r in decode_documents(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()}
+    assert got == {k: None if ids is None else pieces.decode([x for x in ids if x is not None]) for k, ids in rows}
+    assert decode_documents(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
