@@ -68,6 +68,7 @@ def _(f: Frames) -> DataFrame:
         "bare": F.concat(text, F.lit(" {x [y] "), made, text),
         "broken": F.concat(text, F.lit(" "), F.expr("left(made, length(made) - 1)")),
     }
-    told = f.documents.withColumn("made", made).select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("shape"), t.alias("told")) for n, t in shapes.items()])).alias("s"))
-    read = told.select("doc_id", "s.shape", F.from_json(parsers.extracted_json(C("s.told"), ("n", "head")), "n long, head string").alias("j"))
+    shaped = f.documents.withColumn("made", made).withColumn("shape", F.explode(F.array(*map(F.lit, shapes))))  # names, not texts: one text at a time is held
+    told = F.coalesce(*[F.when(C("shape") == n, t) for n, t in shapes.items()])
+    read = shaped.select("doc_id", "shape", F.from_json(parsers.extracted_json(told, ("n", "head")), "n long, head string").alias("j"))
     return read.select("doc_id", "shape", "j.n", "j.head")
