@@ -55,8 +55,8 @@ def serp_rows(pages: DataFrame, body: str) -> DataFrame:
 
 
 def chunked(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Numbers chunks of `size` rows in order, by ranks over range partitions."""
-    placed = ranked(rows, [], [F.col(c) for c in order], Scratch(rows.sparkSession, "chunks"), "chunk")
+    """Numbers chunks of `size` rows in order, nulls last, by ranks over range partitions."""
+    placed = ranked(rows, [], [F.col(c).asc_nulls_last() for c in order], Scratch(rows.sparkSession, "chunks"), "chunk")
     return placed.withColumn("chunk", F.floor(F.col("chunk") / size))
 
 

@@ -127,3 +127,11 @@ def test_whole_texts_count(spark):
     assert frames.careers.where("length(description) > 80").count() > 0
     got = {r.doc_id: r.mode for r in catalog.QUERIES["m01_decomposition_mode"](spark, SMALL).collect()}
     assert all(got[r.doc_id] == "dual_stream_intent" for r in frames.documents.select("doc_id", "text").collect() if len((r.text or "").split()) > 14)
+
+
+def test_rows_without_a_date_come_last_in_chunks(spark):
+    """sf0.001 has no lead without orders, so no null to place."""
+    from briarlake.operators import records
+
+    rows = spark.createDataFrame([(1, None), (2, 7), (3, 5), (4, None)], "id long, at long")
+    assert {r.id: r.chunk for r in records.chunked(rows, ["at", "id"], 2).collect()} == {3: 0, 2: 0, 1: 1, 4: 1}
