@@ -157,3 +157,7 @@ def test_ports_survive_failures(spark):
 
     got = dict(map(tuple, ports.scraped(spark.createDataFrame([("a",), ("bad",), ("b",), ("a",)], "u string"), "u", fetch).collect()))
     assert got == {"a": "A", "bad": None, "b": "B"}
+
+
+def test_a_heading_that_begins_with_a_bullet():
+    assert [parsers.clean_line(x) for x in ("# +1 (168) 555", "- # x", "## - *Jane* [Roe](http://x)", "+ a  b")] == ["1 (168) 555", "# x", "Jane Roe", "a b"]
