@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briarlake.functions.numeric import clamp, fixed, score_or, to_ten, whole
@@ -36,6 +34,8 @@ WEAK = (
     ("representative", r"\brepresentative\b"),
     ("consultant", r"\bconsultant\b"),
 )
+#: Weak labels that a word of QUALIFIED lifts.
+QUALIFIABLE = ("consultant", "specialist")
 SENIORITY = r"\b(c suite|csuite|executive|founder|owner|partner|vp|vice president|head|director)\b"
 WEAK_WANTED = r"\b(interns?|students?|assistants?|coordinators?|associates?|specialists?|representatives?|consultants?)\b"
 QUALIFIED = r"\b(principal|senior|managing|strategy|technical|security|healthcare|medical|financial|lead|chief)\b"
@@ -135,39 +135,49 @@ def post_quality(category: Column, confidence: Column) -> Column:
 def authority_labels(words: Column) -> Column:
     """Distinct authority labels of title_words; principal engineers and the like are none."""
     marks = [F.when(words.rlike(p) & (~words.rlike(PRINCIPAL_EXCEPT) if label == "principal" else F.lit(True)), F.lit(label)) for label, p in AUTHORITY]
-    return F.array_distinct(F.array_compact(F.array(*marks)))
+    return _labels(marks)
+
+
+def has_authority(words: Column) -> Column:
+    """Whether `authority_labels` finds any, by one pattern for all labels without an exception."""
+    every = "|".join(p for label, p in AUTHORITY if label != "principal")
+    return words.rlike(every) | words.rlike(dict(AUTHORITY)["principal"]) & ~words.rlike(PRINCIPAL_EXCEPT)
+
+
+def _labels(marks: list[Column]) -> Column:
+    """Distinct marks that are not null, without a lambda: a lambda is interpreted, and then each mark works its words out anew."""
+    return F.array_except(F.array(*marks), F.array(F.lit(None).cast("string")))
 
 
 def weak_labels(words: Column) -> Column:
     qualified = words.rlike(QUALIFIED)
-    marks = [F.when(words.rlike(p) & (~qualified if label in ("consultant", "specialist") else F.lit(True)), F.lit(label)) for label, p in WEAK]
-    return F.array_compact(F.array(*marks))
+    marks = [F.when(words.rlike(p) & (~qualified if label in QUALIFIABLE else F.lit(True)), F.lit(label)) for label, p in WEAK]
+    return _labels(marks)
 
 
-@dataclass(frozen=True)
-class Authority:
-    """Columns of a decision-maker check."""
+def has_weak(words: Column) -> Column:
+    """Whether `weak_labels` finds any."""
+    always, unless = ("|".join(p for label, p in WEAK if (label in QUALIFIABLE) == q) for q in (False, True))
+    return words.rlike(always) | words.rlike(unless) & ~words.rlike(QUALIFIED)
 
-    title_matched: Column
-    company_matched: Column
-    ignored_title: Column
-    confidence: Column
 
+def verify_authority(rows: DataFrame, brief: Column, title: Column, headline: Column, seniority: Column, company: Column, evidence: Column, roles: Column, trajectory: Column) -> DataFrame:
+    """`rows` with title_matched, company_matched, ignored_title and confidence: authority from title, headline, seniority and evidence; a serial career adds a half.
 
-def verify_authority(brief: Column, title: Column, headline: Column, seniority: Column, company: Column, evidence: Column, roles: Column, trajectory: Column) -> Authority:
-    """Authority from title, headline, seniority and evidence; a serial career adds a half."""
-    level = title_words(seniority)
-    words = F.concat_ws(" ", F.nullif(title_words(F.concat_ws(" ", title, headline)), F.lit("")), F.nullif(level, F.lit("")), F.nullif(title_words(evidence), F.lit("")))
-    matched = (F.size(authority_labels(words)) > 0) | level.rlike(SENIORITY)
+    Words come first, what they match second, so each is worked out once a row.
+    """
+    told = F.concat_ws(" ", F.nullif(title_words(F.concat_ws(" ", title, headline)), F.lit("")), F.nullif(F.col("_level"), F.lit("")), F.nullif(title_words(evidence), F.lit("")))
+    staged = rows.withColumns({"_level": title_words(seniority), "_firm": title_words(company)}).withColumn("_words", told)
+    words, firm = F.col("_words"), F.col("_firm")
     overruled = words.rlike(STUDENT_BODY) | words.rlike(ASSISTANT_TO)
-    ignored = ~title_words(brief).rlike(WEAK_WANTED) & (F.size(weak_labels(words)) > 0) & (~matched | overruled)
-    firm = title_words(company)
-    at_company = (F.coalesce(company, F.lit("")) != "") & words.contains(firm)
+    staged = staged.withColumns({"title_matched": has_authority(words) | F.col("_level").rlike(SENIORITY), "company_matched": (F.coalesce(company, F.lit("")) != "") & words.contains(firm)})
+    staged = staged.withColumn("ignored_title", ~title_words(brief).rlike(WEAK_WANTED) & has_weak(words) & (~F.col("title_matched") | overruled))
     context = (F.coalesce(title, F.lit("")) != "") | (F.coalesce(headline, F.lit("")) != "")
     linked = F.coalesce(evidence, F.lit("")).contains("LINK:")
-    base = F.when(ignored, 2.0).when(matched & at_company & linked, 9.0).when(matched, 7.0).when(context, 5.0).otherwise(4.0)
+    matched, ignored = F.col("title_matched"), F.col("ignored_title")
+    base = F.when(ignored, 2.0).when(matched & F.col("company_matched") & linked, 9.0).when(matched, 7.0).when(context, 5.0).otherwise(4.0)
     boosted = F.when((roles >= 2) & (trajectory >= 7.5) & ~ignored, F.least(F.lit(10.0), base + 0.5)).otherwise(base)
-    return Authority(matched, at_company, ignored, boosted)
+    return staged.withColumn("confidence", boosted).drop("_level", "_firm", "_words")
 
 
 def role_weight(words: Column) -> Column:

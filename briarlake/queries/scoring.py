@@ -258,8 +258,8 @@ def _(f: Frames) -> DataFrame:
  SELECT id, matched AS title_matched, ignored AS ignored_title, coalesce(company, '') <> '' AND contains(x, firm) AS company_matched, CASE WHEN ignored THEN 2.0::DOUBLE WHEN matched THEN 7 WHEN title <> '' OR coalesce(headline, '') <> '' THEN 5 ELSE 4 END AS confidence FROM i""")
 def _(f: Frames) -> DataFrame:
     """H9 gives the labels."""
-    a = K.verify_authority(F.lit("find decision makers"), C("title"), C("headline"), C("seniority"), C("company"), F.lit(""), F.lit(0), F.lit(0.0))
-    return f.leads.select("id", a.title_matched.alias("title_matched"), a.ignored_title.alias("ignored_title"), a.company_matched.alias("company_matched"), a.confidence.alias("confidence"))
+    checked = K.verify_authority(f.leads, F.lit("find decision makers"), C("title"), C("headline"), C("seniority"), C("company"), F.lit(""), F.lit(0), F.lit(0.0))
+    return checked.select("id", "title_matched", "ignored_title", "company_matched", "confidence")
 
 
 _ROLE = f"""CASE WHEN list_has_any(l, ['founder', 'owner', 'c-suite']) THEN 10.0::DOUBLE WHEN list_has_any(l, ['president']) THEN 9 WHEN list_has_any(l, ['vp', 'head', 'managing director']) THEN 8 WHEN list_has_any(l, ['director']) THEN 7

@@ -161,3 +161,16 @@ def test_ports_survive_failures(spark):
 
 def test_a_heading_that_begins_with_a_bullet():
     assert [parsers.clean_line(x) for x in ("# +1 (168) 555", "- # x", "## - *Jane* [Roe](http://x)", "+ a  b")] == ["1 (168) 555", "# x", "Jane Roe", "a b"]
+
+
+def test_authority_is_matched_once_a_row(spark):
+    """A lambda is interpreted: the words of a title were worked out again for each of twenty patterns."""
+    titles = ["principal engineer", "managing principal", "chief happy people officer", "assistant to the ceo", "security specialist", "specialist", "student club lead", "owner of x", ""]
+    rows = spark.createDataFrame([(t,) for t in titles], "t string")
+    none = F.lit("")
+    checked = K.verify_authority(rows, F.lit("founders"), F.col("t"), none, none, none, none, F.lit(0), F.lit(0.0)).withColumn("n", F.size(K.authority_labels(F.col("t")))).withColumn("w", F.size(K.weak_labels(F.col("t"))))
+    assert "lambda" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    told = {r.t: r for r in checked.collect()}
+    assert all(r.title_matched == (r.n > 0) for r in told.values())
+    assert {t for t in titles if told[t].ignored_title} == {"assistant to the ceo", "specialist", "student club lead"}
+    assert told[""].confidence == 4.0 and told["specialist"].confidence == 2.0 and told["owner of x"].confidence == 7.0
