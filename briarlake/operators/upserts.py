@@ -45,7 +45,7 @@ def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, requir
     kinds = {c: incoming.schema[c].dataType.simpleString() for c in _ROW}
     open_ = scratch.keep(incoming.select(*_ROW))
     first = stored.where("identity IS NOT NULL").groupBy(F.col("identity").alias("_i")).agg(F.min("id").alias("_holder"))
-    leads = stored.select("id", "revision", "identity").join(first, F.col("identity") == F.col("_i"), "left")
+    leads = stored.select("id", "revision", "identity").join(_shuffled(first), F.col("identity") == F.col("_i"), "left")
     held = F.when(F.col("_holder") == F.col("id"), F.col("identity"))
     leads = scratch.keep(leads.select("id", "revision", held.alias("identity"), F.lit(None).cast(kinds["seq"]).alias("seq")))
     done: list[DataFrame] = []
@@ -56,7 +56,7 @@ def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, requir
         found = scratch.keep(_decided(open_, leads, scratch, require_existing))
         done.append(found)
         leads = scratch.keep(_after(leads, found))
-        open_ = scratch.keep(open_.join(found.select(F.col("seq").alias("_seq")), F.col("seq") == F.col("_seq"), "left_anti"))
+        open_ = scratch.keep(open_.join(_shuffled(found.select(F.col("seq").alias("_seq"))), F.col("seq") == F.col("_seq"), "left_anti"))
         n = open_.count()
     if n:
         found = scratch.keep(_walked(open_, leads, scratch, require_existing, kinds, n > few))
@@ -70,12 +70,17 @@ def bulk_upsert(stored: DataFrame, incoming: DataFrame, scratch: Scratch, requir
     return result.drop("identity"), leads
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """The side of a join that is not broadcast, however small its files are: each broadcast passes through the driver, and every round has several."""
+    return side.hint("merge")
+
+
 def _decided(open_: DataFrame, leads: DataFrame, scratch: Scratch, require_existing: bool) -> DataFrame:
     """(seq, id, identity, disposition, holder) of the rows that can be decided now."""
     now = leads.select(F.col("id").alias("_id"), F.col("revision").alias("_revision"), F.col("identity").alias("_own"))
     holders = leads.where("identity IS NOT NULL").select(F.col("identity").alias("_claimed"), F.col("id").alias("_holder"))
-    rows = open_.join(now, F.col("id") == F.col("_id"), "left")
-    rows = rows.join(holders, F.col("identity") == F.col("_claimed"), "left").drop("_claimed")
+    rows = open_.join(_shuffled(now), F.col("id") == F.col("_id"), "left")
+    rows = rows.join(_shuffled(holders), F.col("identity") == F.col("_claimed"), "left").drop("_claimed")
     exists = F.col("_id").isNotNull()
     rows = rows.withColumn("_old", F.coalesce(exists & (F.col("revision") < F.col("_revision")), F.lit(False)) | (~exists if require_existing else F.lit(False)))
     rows = scratch.keep(rows.withColumn("_stays", exists & F.col("revision").isNull() & F.col("identity").eqNullSafe(F.col("_own"))))
@@ -83,7 +88,7 @@ def _decided(open_: DataFrame, leads: DataFrame, scratch: Scratch, require_exist
     by_id = scratch.keep(live.groupBy(F.col("id").alias("_row_id")).agg(F.min("seq").alias("_first"), F.min(F.when(~F.col("_stays"), F.col("seq"))).alias("_run_end")))
     claims = live.where("identity IS NOT NULL").groupBy(F.col("identity").alias("_name")).agg(F.min("seq").alias("_claim"))
     of_holder = by_id.select(F.col("_row_id").alias("_by"), F.col("_first").alias("_moves"))
-    rows = rows.join(by_id, F.col("id") == F.col("_row_id"), "left").join(claims, F.col("identity") == F.col("_name"), "left").join(of_holder, F.col("_holder") == F.col("_by"), "left")
+    rows = rows.join(_shuffled(by_id), F.col("id") == F.col("_row_id"), "left").join(_shuffled(claims), F.col("identity") == F.col("_name"), "left").join(_shuffled(of_holder), F.col("_holder") == F.col("_by"), "left")
     before = lambda c: F.col(c).isNull() | (F.col("seq") < F.col(c))
     others = F.coalesce(F.col("_holder") != F.col("id"), F.lit(False))
     known = F.col("identity").isNull() | F.when(F.col("_holder").isNotNull(), before("_moves")).otherwise(before("_claim"))  # what holds the identity at this row
@@ -101,7 +106,7 @@ def _after(leads: DataFrame, found: DataFrame) -> DataFrame:
     """The leads after the written rows, of which those of one lead are one run or a single row."""
     new = found.where("disposition IN ('created', 'updated')").groupBy(F.col("id").alias("_new")).agg(F.count("*").alias("_n"), F.max("seq").alias("_seq"), F.max_by(F.struct("identity"), "seq").alias("_last"))
     wrote = F.col("_new").isNotNull()
-    joined = leads.join(new, F.col("id") == F.col("_new"), "full_outer")
+    joined = leads.join(_shuffled(new), F.col("id") == F.col("_new"), "full_outer")
     pick = lambda a, b: F.when(wrote, a).otherwise(F.col(b)).alias(b)
     revision = F.coalesce("revision", F.lit(0)) + F.col("_n")
     return joined.select(F.coalesce("id", "_new").alias("id"), pick(revision.cast(leads.schema["revision"].dataType), "revision"), pick(F.col("_last.identity"), "identity"), pick(F.col("_seq"), "seq"))
@@ -114,15 +119,15 @@ def _walked(open_: DataFrame, leads: DataFrame, scratch: Scratch, require_existi
     changes nothing.
     """
     row, lead = F.xxhash64(F.lit("id"), F.col("id")), F.xxhash64(F.lit("identity"), F.col("identity"))
-    met = leads.join(open_.select(F.col("id").alias("_o")).distinct(), F.col("id") == F.col("_o"), "left_semi")
-    met = met.unionByName(leads.join(open_.select(F.col("identity").alias("_o")).distinct(), F.col("identity") == F.col("_o"), "left_semi")).distinct()
+    met = leads.join(_shuffled(open_.select(F.col("id").alias("_o")).distinct()), F.col("id") == F.col("_o"), "left_semi")
+    met = met.unionByName(leads.join(_shuffled(open_.select(F.col("identity").alias("_o")).distinct()), F.col("identity") == F.col("_o"), "left_semi")).distinct()
     known = met.select(F.lit(None).cast(kinds["seq"]).alias("seq"), "id", "revision", "identity")
     rows = known.unionByName(open_).withColumn("node", row).withColumn("other", F.coalesce(lead, row))
     if not many:
         return _walk(rows.withColumn("root", F.lit(0).cast("long")), require_existing, kinds)
     rows = scratch.keep(rows)
     roots = scratch.keep(components(rows.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("node", "_node").distinct())
-    return _walk(rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")), require_existing, kinds)
+    return _walk(rows.join(_shuffled(roots), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")), require_existing, kinds)
 
 
 def _walk(tied: DataFrame, require_existing: bool, kinds: dict[str, str]) -> DataFrame:
@@ -166,7 +171,7 @@ def written_leads(stored: DataFrame, incoming: DataFrame, leads: DataFrame, valu
     """(id, revision, identity, values) of the leads after a batch: a lead's values are those of the row that was written last, else its stored ones."""
     new = incoming.select(F.col("seq").alias("_seq"), *[F.col(v).alias(f"_new_{v}") for v in values])
     old = stored.select(F.col("id").alias("_id"), F.col("identity").alias("_said"), *values)
-    joined = leads.join(old, F.col("id") == F.col("_id"), "left").join(new, F.col("seq") == F.col("_seq"), "left")
+    joined = leads.join(_shuffled(old), F.col("id") == F.col("_id"), "left").join(_shuffled(new), F.col("seq") == F.col("_seq"), "left")
     wrote = F.col("_seq").isNotNull()
     identity = F.when(wrote, F.col("identity")).otherwise(F.col("_said"))
     return joined.select("id", "revision", identity.alias("identity"), *[F.when(wrote, F.col(f"_new_{v}")).otherwise(F.col(v)).alias(v) for v in values])

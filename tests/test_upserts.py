@@ -124,3 +124,13 @@ def test_replacing_everything_owns_identities_anew(spark):
     made = store.replaced(leads)
     assert rows(made["leads"]) == [(1, 4, "k"), (2, 1, None), (3, 1, "k")]
     assert rows(made["identities"]) == [("k", 1)] and rows(made["conflicts"]) == [("k", 1, 3)]
+
+
+def test_small_tables_pass_no_driver(spark):
+    """Every round joined by broadcasts, whose rows go through the driver: what it took in grew with the rounds and tables."""
+    a, b = spark.createDataFrame([(1, 1, "a", "x"), (2, 1, "b", "y")], STORED), spark.createDataFrame([(1, 1, None, "b", "p"), (2, 3, None, "c", "q")], INCOMING)
+    scratch = Scratch(spark, "t")
+    leads = a.select("id", "revision", "identity", a["id"].alias("seq"))
+    found = upserts._decided(b, leads, scratch, False)
+    frames = found, upserts._after(leads, found), upserts.written_leads(a, b, leads, ["value"]), upserts.bulk_upsert(a, b, scratch)[1]
+    assert not any("Broadcast" in f._jdf.queryExecution().executedPlan().toString() for f in frames)
