@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -174,6 +176,10 @@ def cover(tasks: list[dict], most: int) -> list[dict]:
     return sorted(chosen, key=tasks.index)
 
 
+#: What a task shares with all tasks of its arm.
+_KIND = ("family", "lane", "provider")
+
+
 def scheduled(tasks: DataFrame, arms: DataFrame, most: int = 3, least_outcomes: int = 8, enabled: bool = True, sampling: bool = True) -> DataFrame:
     """(id, priority) of the tasks to run, by set cover, person guard and arm score, with draws if `sampling`.
 
@@ -182,16 +188,20 @@ def scheduled(tasks: DataFrame, arms: DataFrame, most: int = 3, least_outcomes:
     same requirements in the same lane are alike to the greedy choice, so only the
     best of each such class reach the driver, as many as there are requirements
     and places: 2 to the number of requirements (nine at most) classes a lane.
+    Draws and scores are made once for each family, lane and provider.
     """
     most = min(max(most, 1), 8)
     known = arms.select(F.concat_ws("|", "family", "lane", "provider").alias("_arm"), *ARM)
     total = arms.agg(F.coalesce(F.sum("outcome_runs"), F.lit(0))).first()[0]
     if not enabled or total < max(least_outcomes, 1) or len(tasks.select("id").limit(most + 1).collect()) <= most:
         return tasks.select("id", F.col("priority").cast("int").alias("priority"))
-    joined = tasks.select("id", "family", "lane", F.col("preference").alias("provider"), "priority", F.array_sort(F.array_distinct("covers")).alias("covers"))
-    joined = joined.join(known, F.concat_ws("|", "family", "lane", "provider") == F.col("_arm"), "left").fillna(0, list(ARM))
-    scored = scored_arms(joined, F.lit(total)).select("id", "lane", "priority", "covers", fixed(F.col("fused" if sampling else "score"), 6).alias("score"))
-    kept = Scratch(tasks.sparkSession, "scheduled").keep(scored)
+    rows = tasks.select("id", "family", "lane", F.col("preference").alias("provider"), "priority", F.array_sort(F.array_distinct("covers")).alias("covers"))
+    kinds = rows.select(*_KIND).distinct().join(known, F.concat_ws("|", *_KIND) == F.col("_arm"), "left").fillna(0, list(ARM))
+    kinds = scored_arms(kinds, F.lit(total)).select(*[F.col(c).alias(f"_{c}") for c in _KIND], fixed(F.col("fused" if sampling else "score"), 6).alias("score"))
+    scratch = Scratch(tasks.sparkSession, "scheduled")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KIND))
+    scored = rows.join(scratch.keep(kinds), same).select("id", "lane", "priority", "covers", "score")
+    kept = scratch.keep(scored)
     order = [F.col("score").desc(), F.col("priority").asc(), F.col("id").asc()]
     best = kept.withColumn("_n", F.row_number().over(Window.partitionBy("lane", "covers").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
     chosen = cover([r.asDict() for r in best.orderBy(*order).collect()], most)

@@ -353,3 +353,13 @@ def test_rescues_by_group(spark):
     got = packing.rescued(spark.createDataFrame(rows, "g string, id long, qualified boolean, rank double, url string"), "g", 5, 0.3).collect()
     want = {("a", k, "qualified") for k in range(3)} | {("a", 7, "rescued"), ("a", 6, "rescued")} | {("b", k, "qualified") for k in range(9)} | {("c", 1, "rescued"), ("c", 2, "rescued"), (None, 5, "rescued")}
     assert {(r.g, r.id, r.verdict) for r in got} == want
+
+
+def test_draws_are_made_once_for_each_kind_of_task(spark, monkeypatch):
+    """Each task drew for itself, though tasks of one family, lane and provider have one arm and one draw."""
+    seen, real = [], selection.scored_arms
+    monkeypatch.setattr(selection, "scored_arms", lambda arms, total: real(seen.append(arms) or arms, total))
+    tasks = spark.createDataFrame([(n, ("view", None)[n % 2], "person", ("tavily", None)[n % 4 // 2], n % 7, ["a", "b"][: n % 3]) for n in range(60)], "id long, family string, lane string, preference string, priority int, covers array<string>")
+    arms = spark.createDataFrame([("view", "person", "tavily", *range(9, 17))], "family string, lane string, provider string, " + ", ".join(f"{c} long" for c in selection.ARM))
+    assert len(selection.scheduled(tasks, arms, 8).collect()) == 8
+    assert seen[0].count() == 4
