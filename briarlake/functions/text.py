@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -174,7 +174,10 @@ def hint(c: Column) -> Column:
 
 
 def plausible_hint(c: Column) -> Column:
-    value, lower = hint(c), F.lower(hint(c))
+    return _plausible(hint(c), F.lower(hint(c)))
+
+
+def _plausible(value: Column, lower: Column) -> Column:
     return (
         F.length(value).between(3, 80)
         & lower.rlike("[a-z0-9]")
@@ -211,13 +214,26 @@ def company_hint(raw: Column, title: Column, content: Column, url: Column) -> Co
     return F.coalesce(*[F.when(plausible_hint(t), t) for t in tried], F.lit(""))
 
 
-def profile_company_hint(raw: Column, title: Column, content: Column) -> Column:
-    """The first plausible of: raw field, 'at Company', second line."""
+#: All up to the second line with more than space, # and @, which no cleaning empties; the whole text if it has none.
+_TWO_LINES = r"^(?:[\s#@]*+[^\s#@][^\n]*+){0,2}[\s#@]*+"
+
+
+def profile_company_hint(rows: DataFrame, raw: Column, title: Column, content: Column) -> DataFrame:
+    """`rows` with company_hint, the first plausible of: raw field, 'at Company', second line.
+
+    What is tried comes first and its cleaned forms second, so each is worked out
+    once a row; no line after the second is looked at.
+    """
     shown = F.concat(text(title), F.lit("\n"), F.substring(text(content), 1, 800))
     inline = F.regexp_extract(shown, r"(?:^|[^A-Za-z0-9_])(?:at|@)\s+([A-Z][A-Za-z0-9&.' -]{2,80}?)\s*(?:\||\n|,|–|—|$)", 1)
-    lines = F.filter(F.transform(F.split(text(content), "\r?\n"), lambda x: hint(F.regexp_replace(x, r"^#+\s*", ""))), lambda x: x != "")
+    top = F.regexp_extract(text(content), _TWO_LINES, 0)
+    lines = F.filter(F.transform(F.split(top, "\r?\n"), lambda x: hint(F.regexp_replace(x, r"^#+\s*", ""))), lambda x: x != "")
     second = text(F.try_element_at(lines, F.lit(2)))
-    return F.coalesce(*[F.when(plausible_hint(t), t) for t in (hint(raw), hint(inline), second)], F.lit(""))
+    tried = rows.withColumns({"_try0": hint(raw), "_try1": hint(inline), "_try2": second})
+    tried = tried.withColumns({f"_value{k}": hint(F.col(f"_try{k}")) for k in range(3)})
+    tried = tried.withColumns({f"_lower{k}": F.lower(f"_value{k}") for k in range(3)})
+    found = [F.when(_plausible(F.col(f"_value{k}"), F.col(f"_lower{k}")), F.col(f"_try{k}")) for k in range(3)]
+    return tried.withColumn("company_hint", F.coalesce(*found, F.lit(""))).drop(*[f"_{n}{k}" for n in ("try", "value", "lower") for k in range(3)])
 
 
 def snippets(block: Column, most: int = 3) -> Column:

@@ -163,7 +163,7 @@ def _(f: Frames) -> DataFrame:
  SELECT seq, CASE {' '.join(f"WHEN {S.plausible(x)} THEN {S.hint(x) if x < 'c' else x}" for x in 'abc')} ELSE '' END AS company_hint FROM tried""")
 def _(f: Frames) -> DataFrame:
     joined = f.observations.join(f.leads.select("id", "headline"), C("seq") == C("id"), "left")
-    return joined.select("seq", T.profile_company_hint(C("raw_company"), C("headline"), C("content")).alias("company_hint"))
+    return T.profile_company_hint(joined, C("raw_company"), C("headline"), C("content")).select("seq", "company_hint")
 
 
 @query("h22_post_search_query", f"""SELECT id, CASE WHEN ({S.handle('url')}) <> '' THEN '(site:linkedin.com/posts OR site:linkedin.com/pulse) "' || ({S.handle('url')}) || '"'
