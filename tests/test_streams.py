@@ -1,6 +1,7 @@
 """Session state across micro-batches and restarts, expiry of idle sessions, and a feed that stays up."""
 
 import datetime
+from array import array
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,61 @@ def test_two_readers_of_a_client_dont_both_take_a_delta(spark, tmp_path):
         raise AssertionError("a stale reader took it too")
     except StaleWrite:
         assert live.offsets.read("clients").where(F.col("epoch") == 0).count() == 1
+
+
+def test_a_session_calls_its_state_a_few_times_however_many_messages_come():
+    class Parts:
+        """A session's map, counting its calls."""
+
+        def __init__(self):
+            self.held, self.calls = {}, 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.held[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.held[key] = value
+
+    kept, seen, n, only = Parts(), set(), 0, None
+    for told in (range(100), range(50, 150), [k << 40 for k in range(-500, 500)], range(10_000), [3, 20_000], [3, 20_000]):
+        calls, own = kept.calls, sessions._Seen(kept, n, only)
+        for event in told:
+            assert own.add(event) == (event not in seen)
+            seen.add(event)
+        n, only = own.n, own.write()
+        assert n == len(seen) and kept.calls - calls <= 3 * min(len(told), own.parts)
+    held = [array("q", value[0]) for value in kept.held.values()]
+    assert sorted(k for part in held for k in part) == sorted(seen) and max(map(len, held)) < 4 * sessions._PART
+
+
+def test_more_parts_than_memory_may_hold_lose_no_id(monkeypatch):
+    class Parts(dict):
+        def getValue(self, key):
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    monkeypatch.setattr(sessions, "_PART", 4)
+    monkeypatch.setattr(sessions, "_HELD", 3)
+    kept = Parts()
+    own = sessions._Seen(kept, 0, None)
+    assert all(own.add(k) for k in range(100)) and not any(own.add(k) for k in range(100))
+    own.write()
+    again = sessions._Seen(kept, 100, None)
+    assert [k for k in range(90, 110) if again.add(k)] == list(range(100, 110))
+
+
+def test_a_long_session_goes_on_over_micro_batches(spark, tmp_path):
+    """Of null ids and times too, and of ids that a double doesn't hold."""
+    scratch, big = Scratch(spark, "t"), 2**60 + 1
+    feed(spark, tmp_path / "in", [message(1, k, big + k, "a") for k in range(300)] + [(1, None, 7, "b", None), message(1, 0, None)], "one")
+    run = lambda: events.drain(sessions.session_fold(stream(spark, tmp_path / "in")), scratch)
+    run()
+    feed(spark, tmp_path / "in", [message(1, 400 + k, big + k) for k in range(250, 350)] + [message(1, 900, 7)], "two")
+    got = sorted(run().collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(1, 404))
+    assert [r.event_id for r in got] == [big, None, *range(big + 1, big + 300), 7, *range(big + 250, big + 350), 7]
+    assert [r.is_new for r in got] == [True, False, *[True] * 300, *[False] * 50, *[True] * 50, False] and got[-1].n_events == 351 and got[-1].n_logs == 301
